@@ -43,3 +43,9 @@ class Inputs:
     @property
     def as_of(self):
         return testdata.as_of_date()
+
+    @property
+    def feature_store(self) -> DataFrame:
+        from ..operators.features import build_feature_store
+
+        return build_feature_store(self.customers, self.invoices, self.gl)

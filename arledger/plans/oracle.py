@@ -106,3 +106,78 @@ def rounded(select_sql: str, double_cols: list[str], digits: int = 6) -> str:
         return select_sql
     repl = ", ".join(f"round({q(c)}, {digits}) AS {q(c)}" for c in double_cols)
     return f"SELECT * REPLACE ({repl}) FROM (\n{select_sql}\n) AS _r"
+
+
+# ---- feature store (F1-F27) ------------------------------------------------------------------
+_W = "PARTITION BY KUNNR ORDER BY BLDAT, BELNR, BUZEI"
+_WP = f"({_W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+
+FS_CTES = [
+    "clr AS (SELECT BELNR, BUZEI, KUNNR, BLDAT, FAEDT, DMBTR, ZTERM, STATUS, DAYS_LATE, LATE_FLAG "
+    "FROM invn WHERE STATUS = 'CLEARED')",
+    f"""hist AS (
+  SELECT *,
+    coalesce(avg(DAYS_LATE) OVER {_WP}, 0.0) AS CUST_AVG_DAYS_LATE,
+    coalesce(avg(LATE_FLAG) OVER {_WP}, 0.0) AS CUST_LATE_RATE,
+    CAST(row_number() OVER ({_W}) - 1 AS INTEGER) AS CUST_INVOICE_COUNT,
+    coalesce(avg(DMBTR) OVER {_WP}, DMBTR) AS CUST_AVG_AMOUNT,
+    coalesce(sum(DMBTR) OVER {_WP}, 0.0) AS CUST_TOTAL_EXPOSURE,
+    avg(DAYS_LATE) OVER ({_W} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS roll3,
+    coalesce(max(DMBTR) OVER {_WP}, 0.0) AS CUST_MAX_INVOICE
+  FROM clr
+)""",
+    """hist2 AS (
+  SELECT *, coalesce(roll3, CUST_AVG_DAYS_LATE) AS CUST_ROLLING3_DAYS_LATE FROM hist
+)""",
+    f"""fs0 AS (
+  SELECT h.*, d.INDUSTRY, d.REGION, d.KLIMK,
+    CUST_ROLLING3_DAYS_LATE - CUST_AVG_DAYS_LATE AS CUST_LATE_TREND,
+    coalesce(DMBTR / nullif(CUST_AVG_AMOUNT, 0), 1.0) AS CUST_AMOUNT_CONCENTRATION,
+    CAST(month(BLDAT) AS INTEGER) AS INVOICE_MONTH,
+    CAST(quarter(BLDAT) AS INTEGER) AS INVOICE_QUARTER,
+    CAST(isodow(BLDAT) - 1 AS INTEGER) AS INVOICE_DOW,
+    CAST(month(BLDAT) IN (3, 6, 9, 12) AS INTEGER) AS IS_QUARTER_END,
+    CAST(day(BLDAT) >= 25 AS INTEGER) AS IS_MONTH_END,
+    CAST(isodow(BLDAT) = 1 AS INTEGER) AS IS_MONDAY,
+    CASE WHEN DMBTR > -1 THEN ln(1 + DMBTR) END AS LOG_AMOUNT,
+    CAST({_days_case('ZTERM')} AS INTEGER) AS PAYMENT_DAYS_NUM,
+    CAST(datediff('day', BLDAT, FAEDT) AS INTEGER) AS ACTUAL_TERM_DAYS,
+    strftime(BLDAT, '%Y%m') AS FISCPER
+  FROM hist2 h LEFT JOIN (SELECT KUNNR, INDUSTRY, REGION, KLIMK FROM cdim) d USING (KUNNR)
+)""",
+    "ind AS (SELECT INDUSTRY, CAST(row_number() OVER (ORDER BY INDUSTRY) - 1 AS INTEGER) AS INDUSTRY_CODE "
+    "FROM (SELECT DISTINCT INDUSTRY FROM fs0 WHERE INDUSTRY IS NOT NULL))",
+    "reg AS (SELECT REGION, CAST(row_number() OVER (ORDER BY REGION) - 1 AS INTEGER) AS REGION_CODE "
+    "FROM (SELECT DISTINCT REGION FROM fs0 WHERE REGION IS NOT NULL))",
+    "glagg AS (SELECT FISCPER, sum(HSL) AS TOTAL_CASH_POSITION FROM gln GROUP BY FISCPER)",
+    """fs1 AS (
+  SELECT fs0.*, coalesce(ind.INDUSTRY_CODE, -1) AS INDUSTRY_CODE, coalesce(reg.REGION_CODE, -1) AS REGION_CODE,
+    ln(1 + coalesce(glagg.TOTAL_CASH_POSITION, 0.0)) AS LOG_CASH_POSITION,
+    coalesce(DMBTR / nullif(KLIMK, 0), 0.0) AS INVOICE_TO_CREDIT_RATIO,
+    CASE WHEN coalesce(CUST_LATE_RATE, 0.0) <= 0.2 THEN 'Low'
+         WHEN coalesce(CUST_LATE_RATE, 0.0) <= 0.5 THEN 'Medium' ELSE 'High' END AS RISK_TIER
+  FROM fs0 LEFT JOIN ind USING (INDUSTRY) LEFT JOIN reg USING (REGION) LEFT JOIN glagg USING (FISCPER)
+)""",
+]
+
+
+def _fs_final() -> str:
+    from ..constants import FEATURE_COLS, FEATURE_STORE_COLS
+
+    notnull = " AND ".join(f"{c} IS NOT NULL" for c in ["LATE_FLAG", *FEATURE_COLS])
+    return f"fs AS (SELECT {', '.join(FEATURE_STORE_COLS)} FROM fs1 WHERE {notnull})"
+
+
+FS_CTES.append(_fs_final())
+
+FS_DOUBLES = [
+    "DMBTR", "LOG_AMOUNT", "CUST_AVG_DAYS_LATE", "CUST_LATE_RATE", "CUST_AVG_AMOUNT",
+    "CUST_ROLLING3_DAYS_LATE", "CUST_LATE_TREND", "CUST_MAX_INVOICE", "CUST_AMOUNT_CONCENTRATION",
+    "CUST_TOTAL_EXPOSURE", "INVOICE_TO_CREDIT_RATIO", "LOG_CASH_POSITION", "LATE_FLAG", "DAYS_LATE",
+]
+
+SPLIT_CTE = """split AS (
+  SELECT fs.*, CASE WHEN row_number() OVER (ORDER BY BLDAT, BELNR) <= floor(count(*) OVER () * 0.8)
+                    THEN 'train' ELSE 'test' END AS split
+  FROM fs
+)"""

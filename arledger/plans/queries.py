@@ -24,3 +24,56 @@ from .registry import register
 def p1_ar_aging(inp):
     """Open AR per customer by aging bucket as of the last order date."""
     return aging.ar_aging(inp.invoices, inp.as_of)
+
+
+# ----------------------------------------------------------------------------------------------
+# 2.4-2.5 F: feature store
+# ----------------------------------------------------------------------------------------------
+from ..operators import features  # noqa: E402
+
+
+@register("f26_feature_store", O.rounded(O.with_prefix(*O.FS_CTES, select="SELECT * FROM fs"), O.FS_DOUBLES))
+def f26_feature_store(inp):
+    """35-column feature store: prior-only customer history, calendar, codes, GL context."""
+    return inp.feature_store
+
+
+@register(
+    "f28_time_split",
+    O.with_prefix(*O.FS_CTES, O.SPLIT_CTE, select="SELECT BELNR, KUNNR, BLDAT, split FROM split"),
+)
+def f28_time_split(inp):
+    """Exact 80/20 cut by document date (ties by BELNR)."""
+    return features.time_split(inp.feature_store).select("BELNR", "KUNNR", "BLDAT", "split")
+
+
+@register(
+    "f30_split_summary",
+    O.with_prefix(
+        *O.FS_CTES, O.SPLIT_CTE,
+        select="SELECT split, count(*) AS n_rows, min(BLDAT) AS min_date, max(BLDAT) AS max_date FROM split GROUP BY split",
+    ),
+)
+def f30_split_summary(inp):
+    """Rows and date range per split."""
+    return features.split_summary(features.time_split(inp.feature_store))
+
+
+@register(
+    "f29_feature_store_summary",
+    O.rounded(
+        O.with_prefix(
+            *O.FS_CTES,
+            select="SELECT count(*) AS n_rows, 35 AS n_cols, avg(LATE_FLAG) AS late_rate, "
+            + ", ".join(
+                f"round_even(avg(CAST(RISK_TIER = '{t}' AS DOUBLE)), 3) AS share_{t.lower()}"
+                for t in ("Low", "Medium", "High")
+            )
+            + " FROM fs",
+        ),
+        ["late_rate", "share_low", "share_medium", "share_high"],
+    ),
+)
+def f29_feature_store_summary(inp):
+    """Row/column count, late rate and tier shares."""
+    return features.feature_store_summary(inp.feature_store)
