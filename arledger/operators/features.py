@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from ..constants import FEATURE_COLS, FEATURE_STORE_COLS, PAYMENT_TERMS, TARGET_COL, TEST_SIZE
 from ..functions.expressions import lookup, risk_tier, safe_div, weekday_mon0
+from .stats import distributed_rank, exact_quantiles
 
 ORDER_TIEBREAK = ("BELNR", "BUZEI")
 
@@ -173,16 +174,15 @@ def invoice_features(df: DataFrame) -> DataFrame:
 def amount_bucket(df: DataFrame, col: str = "DMBTR") -> DataFrame:
     """quintile code 0..4 with linearly interpolated edges (right-closed, lowest included).
 
-    The four edges are one global ``percentile`` aggregate (a single row), cross-joined back as a
-    broadcast scalar row; duplicate edges collapse bins instead of failing. NULL amounts get -1.
+    The four edges come from the distributed exact quantile operator and are attached as a
+    scalar subquery; duplicate edges collapse bins instead of failing. NULL amounts get -1.
+    (Computed but not kept in the feature store, as in the reference.)
     """
-    edges = df.agg(F.percentile(F.col(col), F.array(*[F.lit(q) for q in (0.2, 0.4, 0.6, 0.8)])).alias("_e"))
-    e = F.array_distinct(F.col("_e"))
+    q = exact_quantiles(df, col, [0.2, 0.4, 0.6, 0.8])
+    edges = F.array_distinct(q.select(F.array("q0", "q1", "q2", "q3")).scalar())
     x = F.col(col)
-    code = F.when(x.isNull(), F.lit(-1)).otherwise(
-        F.size(F.filter(e, lambda b: b < x))
-    )
-    return df.crossJoin(F.broadcast(edges)).withColumn("AMOUNT_BUCKET", code.cast("int")).drop("_e")
+    code = F.when(x.isNull(), F.lit(-1)).otherwise(F.size(F.filter(edges, lambda b: b < x)))
+    return df.withColumn("AMOUNT_BUCKET", code.cast("int"))
 
 
 def category_codes(df: DataFrame, cols=("INDUSTRY", "REGION")) -> DataFrame:
@@ -263,24 +263,6 @@ def time_split(fs: DataFrame, test_size: float = TEST_SIZE, date: str = "BLDAT")
     return whole_day.unionByName(edge).drop("_n", "_before", "_cut")
 
 
-def distributed_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
-    """1-based global row number by ``order`` without a single-partition window: range-partition
-    on the ordering (sampled bounds split hot values), count rows per partition (a table of
-    ``spark.sql.shuffle.partitions`` rows), prefix those counts, add the in-partition number."""
-    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n_parts, *order).withColumn("_pid", F.spark_partition_id())
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_pn"))
-    offsets = counts.select(
-        "_pid", (F.sum("_pn").over(Window.orderBy("_pid")) - F.col("_pn")).alias("_off")
-    )
-    in_part = F.row_number().over(Window.partitionBy("_pid").orderBy(*order))
-    return (
-        ranged.join(F.broadcast(offsets), "_pid")
-        .withColumn(name, F.col("_off") + in_part)
-        .drop("_pid", "_off")
-    )
-
-
 def feature_store_summary(fs: DataFrame) -> DataFrame:
     """rows, columns, late rate, tier shares (rounded 3)."""
     n_cols = len(fs.columns)

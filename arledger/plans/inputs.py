@@ -47,5 +47,40 @@ class Inputs:
     @property
     def feature_store(self) -> DataFrame:
         from ..operators.features import build_feature_store
+        from ..session import materialize
 
-        return build_feature_store(self.customers, self.invoices, self.gl)
+        return materialize(build_feature_store(self.customers, self.invoices, self.gl), "feature_store", self.sf_dir)
+
+    @property
+    def aging(self) -> DataFrame:
+        from ..operators.aging import ar_aging
+
+        return ar_aging(self.invoices, self.as_of)
+
+    @property
+    def threshold(self) -> float:
+        from ..operators.scoring import DEFAULT_THRESHOLD
+
+        return DEFAULT_THRESHOLD
+
+    @property
+    def scored(self) -> DataFrame:
+        """Feature store scored with the stand-in probability (C7 applied)."""
+        from ..operators import scoring
+
+        return scoring.predict(scoring.standin_probability(self.feature_store), self.threshold)
+
+    @property
+    def scored_split(self) -> DataFrame:
+        from ..operators import scoring
+        from ..operators.features import time_split
+        from ..session import materialize
+
+        scored = scoring.predict(scoring.standin_probability(time_split(self.feature_store)), self.threshold)
+        return materialize(scored, "scored_split", self.sf_dir)
+
+    @property
+    def scored_test(self) -> DataFrame:
+        from pyspark.sql import functions as F
+
+        return self.scored_split.where(F.col("split") == "test")

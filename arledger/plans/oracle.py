@@ -181,3 +181,150 @@ SPLIT_CTE = """split AS (
                     THEN 'train' ELSE 'test' END AS split
   FROM fs
 )"""
+
+
+# ---- data-quality rules (Q1-Q10) ---------------------------------------------------------------
+QUALITY_SOURCES = {"customer_master": "cust", "invoice_history": "inv", "ar_aging": "aging",
+                   "gl_cash_positions": "gl"}
+
+
+def _num(c: str) -> str:
+    return f"TRY_CAST(trim(CAST({q(c)} AS VARCHAR)) AS DOUBLE)"
+
+
+def quality_sql() -> str:
+    from ..operators.quality import RULES
+
+    parts = []
+    for ds, rules in RULES.items():
+        t = QUALITY_SOURCES[ds]
+        n = f"(SELECT count(*) FROM {t})"
+        scal = []
+        for c in rules.no_nulls:
+            scal.append(("not_null", c, f"count_if({q(c)} IS NULL)"))
+        for c, (lo, hi) in rules.ranges.items():
+            scal.append(("non_numeric", c, f"count_if({_num(c)} IS NULL AND {q(c)} IS NOT NULL)"))
+            scal.append(("numeric_range", c, f"count_if({_num(c)} < {lo} OR {_num(c)} > {hi})"))
+        if ds == "invoice_history":
+            scal.append(("date_consistency", "BLDAT,FAEDT,AUGDT",
+                         "count_if(FAEDT < BLDAT) + count_if(AUGDT IS NOT NULL AND AUGDT < BLDAT)"))
+        if ds == "ar_aging":
+            vals = [f"coalesce({_num(b)}, 0.0)" for b in AGING_BUCKETS]
+            s = " + ".join(vals)
+            neg = " + ".join(f"CAST({v} < 0 AS INTEGER)" for v in vals)
+            scal.append(("aging_consistency", "TOTAL_OUTSTANDING",
+                         f"count_if(abs(coalesce({_num('TOTAL_OUTSTANDING')}, 0.0) - ({s})) > 0.01 + 1e-5 * abs({s})) + sum({neg})"))
+        if ds == "gl_cash_positions":
+            scal.append(("period_bounds", "POPER",
+                         f"count_if({_num('POPER')} IS NULL OR {_num('POPER')} < 1 OR {_num('POPER')} > 12)"))
+        for rule, c, expr in scal:
+            parts.append(
+                f"SELECT '{ds}' AS dataset, '{rule}' AS rule, '{c}' AS col_name, CAST({expr} AS BIGINT) AS n_bad, "
+                f"CAST({n} AS BIGINT) AS n_rows, CAST(NULL AS VARCHAR) AS detail FROM {t}"
+            )
+        for c, allowed in rules.valid_values.items():
+            lst = ", ".join(f"'{a}'" for a in allowed)
+            parts.append(
+                f"SELECT '{ds}', 'valid_values', '{c}', CAST(count(*) AS BIGINT), CAST({n} AS BIGINT), "
+                f"CASE WHEN count(*) > 0 THEN string_agg(v, ',' ORDER BY v) END "
+                f"FROM (SELECT DISTINCT CAST({q(c)} AS VARCHAR) AS v FROM {t} "
+                f"WHERE {q(c)} IS NOT NULL AND CAST({q(c)} AS VARCHAR) NOT IN ({lst}))"
+            )
+    parts.append(
+        "SELECT 'invoice_history', 'referential_integrity', 'KUNNR', CAST(count(*) AS BIGINT), "
+        "CAST((SELECT count(*) FROM inv) AS BIGINT), CAST(NULL AS VARCHAR) FROM "
+        "(SELECT DISTINCT CAST(KUNNR AS VARCHAR) AS k FROM inv WHERE KUNNR IS NOT NULL) "
+        "WHERE k NOT IN (SELECT CAST(KUNNR AS VARCHAR) FROM cust WHERE KUNNR IS NOT NULL)"
+    )
+    body = "\nUNION ALL\n".join(parts)
+    return with_prefix(
+        AGING_CTE,
+        select=f"SELECT *, coalesce(n_bad = 0, false) AS passed FROM (\n{body}\n) AS rules",
+    )
+
+
+# ---- stand-in score and C7 ---------------------------------------------------------------------
+def _standin_prior() -> str:
+    from ..constants import STANDIN_PRIOR_RATE, STANDIN_PRIOR_WEIGHT
+
+    return repr(float(STANDIN_PRIOR_RATE * STANDIN_PRIOR_WEIGHT))
+
+
+def _threshold() -> str:
+    from ..operators.scoring import DEFAULT_THRESHOLD
+
+    return repr(DEFAULT_THRESHOLD)
+
+
+def scored_cte(name: str = "scored", src: str = "fs") -> str:
+    from ..constants import STANDIN_PRIOR_WEIGHT
+
+    p = f"((CUST_LATE_RATE * CUST_INVOICE_COUNT + CAST({_standin_prior()} AS DOUBLE)) / (CUST_INVOICE_COUNT + {STANDIN_PRIOR_WEIGHT}))"
+    return f"""{name} AS (
+  SELECT * EXCLUDE (p), round_even(p, 4) AS LATE_PROB, CAST(p >= CAST({_threshold()} AS DOUBLE) AS INTEGER) AS LATE_PRED,
+    CASE WHEN p > 0 AND p <= CAST(0.3 AS DOUBLE) THEN 'Low'
+         WHEN p > CAST(0.3 AS DOUBLE) AND p <= CAST(0.6 AS DOUBLE) THEN 'Medium'
+         WHEN p > CAST(0.6 AS DOUBLE) AND p <= 1 THEN 'High' END AS RISK_LABEL
+  FROM (SELECT {src}.*, {p} AS p FROM {src})
+)"""
+
+
+SCORED = [*FS_CTES, scored_cte()]
+SCORED_TEST = [*FS_CTES, SPLIT_CTE, scored_cte("scored_all", "split"),
+               "scored_test AS (SELECT * FROM scored_all WHERE split = 'test')"]
+
+
+# ---- evaluation (E1-E13, C6) -----------------------------------------------------------------------
+def ranking_ctes(src: str, groups: list[str] | None = None, y: str = "LATE_FLAG", p: str = "LATE_PROB",
+                 name: str = "rp") -> list[str]:
+    g = ", ".join(groups or [])
+    gsel = f"{g}, " if g else ""
+    part = f"PARTITION BY {g} " if g else ""
+    return [
+        f"{name}_st AS (SELECT {gsel}round_even({p}, 6) AS s, count_if({y} = 1) AS pos, count_if({y} = 0) AS neg "
+        f"FROM {src} GROUP BY ALL)",
+        f"""{name} AS (SELECT {gsel}s, pos, neg,
+  coalesce(sum(neg) OVER ({part}ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below,
+  sum(pos) OVER ({part}) AS P, sum(neg) OVER ({part}) AS N,
+  sum(pos) OVER ({part}ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
+  sum(neg) OVER ({part}ORDER BY s DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp
+FROM {name}_st)""",
+    ]
+
+
+AUC_SQL = ("CASE WHEN max(P) > 0 AND max(N) > 0 THEN sum(pos * (neg_below + neg * CAST(0.5 AS DOUBLE))) "
+           "/ (max(P) * max(N)) END")
+AP_SQL = "CASE WHEN max(P) > 0 THEN sum(pos * (tp / (tp + fp))) / max(P) END"
+
+
+def float_list(values: list[float]) -> str:
+    return "[" + ", ".join(f"CAST({v!r} AS DOUBLE)" for v in values) + "]"
+
+
+def count_le_sql(values: list[float], x: str, strict: bool = False) -> str:
+    op = "<" if strict else "<="
+    return f"CAST(len(list_filter({float_list(values)}, lambda t: t {op} {x})) AS INTEGER)"
+
+
+def grid_metrics_ctes(src: str, grid: list[float], name: str = "gm", y: str = "LATE_FLAG",
+                      p: str = "LATE_PROB") -> list[str]:
+    rows = ", ".join(f"({k + 1}, {k}, CAST({t!r} AS DOUBLE))" for k, t in enumerate(grid))
+    return [
+        f"{name}_b AS (SELECT {count_le_sql(grid, p)} AS g, count_if({y} = 1) AS pos, count_if({y} = 0) AS neg "
+        f"FROM {src} GROUP BY 1)",
+        f"{name}_tot AS (SELECT sum(pos) AS P, sum(neg) AS N FROM {name}_b)",
+        f"{name}_grid AS (SELECT * FROM (VALUES {rows}) AS t(g, k, threshold))",
+        f"""{name}_cum AS (
+  SELECT k, threshold,
+    sum(coalesce(pos, 0)) OVER (ORDER BY g DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp,
+    sum(coalesce(neg, 0)) OVER (ORDER BY g DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS fp
+  FROM {name}_grid LEFT JOIN {name}_b USING (g))""",
+        f"""{name} AS (
+  SELECT k, threshold,
+    CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision,
+    CASE WHEN P > 0 THEN tp / P ELSE 0.0 END AS recall,
+    CASE WHEN tp + fp + P > 0 THEN 2 * tp / (tp + fp + P) ELSE 0.0 END AS f1,
+    (tp + fp) / (P + N) AS flag_rate,
+    P / (P + N) AS base_rate
+  FROM {name}_cum, {name}_tot)""",
+    ]

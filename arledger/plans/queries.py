@@ -77,3 +77,166 @@ def f30_split_summary(inp):
 def f29_feature_store_summary(inp):
     """Row/column count, late rate and tier shares."""
     return features.feature_store_summary(inp.feature_store)
+
+
+# ----------------------------------------------------------------------------------------------
+# 2.3 Q: data-quality rules
+# ----------------------------------------------------------------------------------------------
+from ..operators import quality  # noqa: E402
+
+
+def _quality_tables(inp):
+    return {
+        "customer_master": inp.customers_raw,
+        "invoice_history": inp.invoices_raw,
+        "ar_aging": inp.aging,
+        "gl_cash_positions": inp.gl_raw,
+    }
+
+
+@register("q10_validate_all", O.quality_sql())
+def q10_validate_all(inp):
+    """Every rule of the four raw tables in one long report."""
+    return quality.validate_all(_quality_tables(inp))
+
+
+@register(
+    "q9_class_balance",
+    O.rounded(
+        O.with_prefix(
+            select="SELECT n_cleared, n_late, n_cleared - n_late AS n_on_time, "
+            "n_late / greatest(n_cleared, 1) AS late_share, (n_cleared - n_late) / greatest(n_cleared, 1) AS on_time_share, "
+            "n_late / greatest(n_cleared, 1) < 0.1 AS imbalance_warning FROM ("
+            "SELECT count(*) AS n_cleared, count_if(coalesce(datediff('day', FAEDT, AUGDT) > 0, false)) AS n_late "
+            "FROM inv WHERE AUGDT IS NOT NULL)"
+        ),
+        ["late_share", "on_time_share"],
+    ),
+)
+def q9_class_balance(inp):
+    """Cleared / late / on-time counts and shares."""
+    return quality.class_balance_report(inp.invoices_raw)
+
+
+# ----------------------------------------------------------------------------------------------
+# 2.6-2.7 C6, C7, E: scoring and evaluation on the stand-in score (test split as in the source)
+# ----------------------------------------------------------------------------------------------
+from ..operators import metrics  # noqa: E402
+
+_SCORED_COLS = ["BELNR", "KUNNR", "LATE_FLAG", "LATE_PROB", "LATE_PRED", "RISK_LABEL"]
+
+
+@register(
+    "c7_predict",
+    O.rounded(O.with_prefix(*O.SCORED, select=f"SELECT {', '.join(_SCORED_COLS)} FROM scored"),
+              ["LATE_FLAG", "LATE_PROB"]),
+)
+def c7_predict(inp):
+    """LATE_PROB (half-even, 4 places), LATE_PRED, RISK_LABEL for every feature-store row."""
+    return inp.scored.select(*_SCORED_COLS)
+
+
+@register(
+    "c6_optimize_threshold",
+    O.rounded(
+        O.with_prefix(
+            *O.SCORED_TEST,
+            *O.grid_metrics_ctes("scored_test", metrics.threshold_grid()),
+            """sel AS (SELECT *, least(0.85, base_rate + CAST(0.1 AS DOUBLE)) AS max_flag_rate,
+                 CASE WHEN flag_rate <= least(0.85, base_rate + CAST(0.1 AS DOUBLE)) THEN 0
+                      WHEN flag_rate <= CAST(0.95 AS DOUBLE) THEN 1 ELSE 2 END AS lvl FROM gm)""",
+            select="SELECT threshold, f1, precision, recall, flag_rate, base_rate, max_flag_rate FROM sel "
+            "WHERE lvl <= (SELECT min(lvl) FROM sel) ORDER BY f1 DESC, k ASC LIMIT 1",
+        ),
+        ["threshold", "f1", "precision", "recall", "flag_rate", "base_rate", "max_flag_rate"],
+    ),
+)
+def c6_optimize_threshold(inp):
+    """Best-F1 threshold on the 61-point grid under the flag-rate guardrail."""
+    return metrics.optimize_threshold(inp.scored_test)
+
+
+@register(
+    "c6_threshold_grid",
+    O.rounded(
+        O.with_prefix(*O.SCORED_TEST, *O.grid_metrics_ctes("scored_test", metrics.threshold_grid()),
+                      select="SELECT * FROM gm"),
+        ["threshold", "precision", "recall", "f1", "flag_rate", "base_rate"],
+    ),
+)
+def c6_threshold_grid(inp):
+    """Precision / recall / F1 / flag rate at each of the 61 grid thresholds."""
+    return metrics.grid_metrics(inp.scored_test, metrics.threshold_grid())
+
+
+@register(
+    "e10_threshold_sensitivity",
+    O.rounded(
+        O.with_prefix(*O.SCORED_TEST, *O.grid_metrics_ctes("scored_test", metrics.sensitivity_grid()),
+                      select="SELECT * FROM gm"),
+        ["threshold", "precision", "recall", "f1", "flag_rate", "base_rate"],
+    ),
+)
+def e10_threshold_sensitivity(inp):
+    """F1 / precision / recall over the 80-point sensitivity grid."""
+    return metrics.grid_metrics(inp.scored_test, metrics.sensitivity_grid())
+
+
+@register(
+    "e1_e3_ranking_metrics",
+    O.rounded(
+        O.with_prefix(
+            *O.SCORED_TEST, *O.ranking_ctes("scored_test"),
+            select=f"SELECT {O.AUC_SQL} AS auc_roc, {O.AP_SQL} AS auc_pr, "
+            "(SELECT avg(pow(LATE_PROB - LATE_FLAG, 2)) FROM scored_test) AS brier FROM rp",
+        ),
+        ["auc_roc", "auc_pr", "brier"],
+    ),
+)
+def e1_e3_ranking_metrics(inp):
+    """AUC-ROC (ties averaged), step AUC-PR, Brier on the test split."""
+    return metrics.ranking_metrics(inp.scored_test)
+
+
+@register(
+    "e5_confusion_matrix",
+    O.with_prefix(
+        *O.SCORED_TEST,
+        select="SELECT count_if(LATE_FLAG <> 1 AND LATE_PRED <> 1) AS tn, count_if(LATE_FLAG <> 1 AND LATE_PRED = 1) AS fp, "
+        "count_if(LATE_FLAG = 1 AND LATE_PRED <> 1) AS fn, count_if(LATE_FLAG = 1 AND LATE_PRED = 1) AS tp FROM scored_test",
+    ),
+)
+def e5_confusion_matrix(inp):
+    """tn, fp, fn, tp at the decision threshold."""
+    return metrics.confusion(inp.scored_test)
+
+
+_E4_SQL = O.rounded(
+    O.with_prefix(
+        *O.SCORED_TEST,
+        "cm AS (SELECT count_if(LATE_FLAG <> 1 AND LATE_PRED <> 1) AS tn, count_if(LATE_FLAG <> 1 AND LATE_PRED = 1) AS fp, "
+        "count_if(LATE_FLAG = 1 AND LATE_PRED <> 1) AS fn, count_if(LATE_FLAG = 1 AND LATE_PRED = 1) AS tp FROM scored_test)",
+        """pc AS (
+  SELECT tn, fp, fn, tp, tn + fp AS s0, tp + fn AS s1,
+    CASE WHEN tn + fn > 0 THEN tn / (tn + fn) ELSE 0.0 END AS p0,
+    CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0.0 END AS r0,
+    CASE WHEN 2 * tn + fn + fp > 0 THEN 2 * tn / (2 * tn + fn + fp) ELSE 0.0 END AS f0,
+    CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p1,
+    CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r1,
+    CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0.0 END AS f1
+  FROM cm)""",
+        select="""SELECT 'On time' AS label, p0 AS precision, r0 AS recall, f0 AS f1_score, s0 AS support FROM pc
+UNION ALL SELECT 'Late', p1, r1, f1, s1 FROM pc
+UNION ALL SELECT 'accuracy', NULL, NULL, (tp + tn) / (s0 + s1), s0 + s1 FROM pc
+UNION ALL SELECT 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, s0 + s1 FROM pc
+UNION ALL SELECT 'weighted avg', (p0 * s0 + p1 * s1) / (s0 + s1), (r0 * s0 + r1 * s1) / (s0 + s1),
+  (f0 * s0 + f1 * s1) / (s0 + s1), s0 + s1 FROM pc""",
+    ),
+    ["precision", "recall", "f1_score"],
+)
+
+
+@register("e4_classification_report", _E4_SQL)
+def e4_classification_report(inp):
+    """Per-class precision, recall, F1, support; accuracy; macro and weighted averages."""
+    return metrics.classification_report(inp.scored_test)

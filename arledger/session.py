@@ -51,3 +51,22 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared folder (survives executor loss; never local)."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_MATERIALIZED: dict[tuple, str] = {}
+
+
+def materialize(df: DataFrame, name: str, key: str = "") -> DataFrame:
+    """Write ``df`` once per session as Parquet under the shared checkpoint folder and return a
+    scan of it (lineage cut; later reads get column pruning and filter pushdown; a lost executor
+    re-reads files instead of recomputing the upstream shuffles)."""
+    spark = df.sparkSession
+    memo_key = (spark.sparkContext.applicationId, name, key)
+    path = _MATERIALIZED.get(memo_key)
+    if path is None:
+        base = checkpoint_dir(spark).rstrip("/")
+        tag = abs(hash(key)) % (10**10)
+        path = f"{base}/arledger-tables/{name}-{tag}"
+        df.write.mode("overwrite").parquet(path)
+        _MATERIALIZED[memo_key] = path
+    return spark.read.parquet(path)
