@@ -108,12 +108,14 @@ def month_label(d: Column) -> Column:
     return F.date_format(d, "yyyy-MM")
 
 
-def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every DOUBLE column (comparison precision for oracle checks)."""
+def round_doubles(df: DataFrame, digits: int = 6, overrides: dict | None = None) -> DataFrame:
+    """Round every DOUBLE column (comparison precision for oracle checks); ``overrides`` maps
+    column -> digits (money sums at cents, bin edges at 9 places)."""
+    overrides = overrides or {}
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, T.DoubleType):
-            cols.append(F.round(F.col(f.name), digits).alias(f.name))
+            cols.append(F.round(F.col(f.name), overrides.get(f.name, digits)).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

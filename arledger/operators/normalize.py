@@ -168,7 +168,7 @@ def aging_eda_fields(df: DataFrame) -> DataFrame:
         out = out.withColumn("OVERDUE_TOTAL", total)
     if "OVERDUE_PCT" not in cols:
         tot = to_double(out, "TOTAL_OUTSTANDING")
-        out = out.withColumn("OVERDUE_PCT", safe_div(F.col("OVERDUE_TOTAL") * 100, tot, 0.0))
+        out = out.withColumn("OVERDUE_PCT", F.coalesce(safe_div(F.col("OVERDUE_TOTAL"), tot) * 100, F.lit(0.0)))
     return out
 
 

@@ -84,3 +84,24 @@ class Inputs:
         from pyspark.sql import functions as F
 
         return self.scored_split.where(F.col("split") == "test")
+
+    @property
+    def customers_eda(self) -> DataFrame:
+        """P29 customer view: late rate over cleared invoices (missing = 0) and tier."""
+        from ..operators.portfolio import customer_risk_view
+
+        return customer_risk_view(self.customers, self.invoices)
+
+    @property
+    def invoices_eda(self) -> DataFrame:
+        """Invoices with the EDA customer segments and tier attached."""
+        view = self.customers_eda.select("KUNNR", "INDUSTRY", "REGION", "RISK_TIER")
+        return self.invoices.join(view, "KUNNR", "left")
+
+    @property
+    def aging_eda(self) -> DataFrame:
+        return normalize.aging_eda_fields(self.aging)
+
+    @property
+    def gl_eda(self) -> DataFrame:
+        return normalize.gl_eda_fields(self.gl_raw)

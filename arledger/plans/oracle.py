@@ -100,11 +100,12 @@ AGING_CTE = "aging AS (\n  SELECT KUNNR, '1000' AS BUKRS, {asof} AS STIDA, {sums
 )
 
 
-def rounded(select_sql: str, double_cols: list[str], digits: int = 6) -> str:
+def rounded(select_sql: str, double_cols: list[str], digits: int = 6, overrides: dict | None = None) -> str:
     """Wrap a SELECT so the listed DOUBLE columns are rounded like ``round_doubles``."""
     if not double_cols:
         return select_sql
-    repl = ", ".join(f"round({q(c)}, {digits}) AS {q(c)}" for c in double_cols)
+    overrides = overrides or {}
+    repl = ", ".join(f"round({q(c)}, {overrides.get(c, digits)}) AS {q(c)}" for c in double_cols)
     return f"SELECT * REPLACE ({repl}) FROM (\n{select_sql}\n) AS _r"
 
 
@@ -328,3 +329,47 @@ def grid_metrics_ctes(src: str, grid: list[float], name: str = "gm", y: str = "L
     P / (P + N) AS base_rate
   FROM {name}_cum, {name}_tot)""",
     ]
+
+
+# ---- portfolio (P) ---------------------------------------------------------------------------------
+def tier_sql(rate: str) -> str:
+    return (f"CASE WHEN coalesce({rate}, 0.0) <= CAST(0.2 AS DOUBLE) THEN 'Low' "
+            f"WHEN coalesce({rate}, 0.0) <= CAST(0.5 AS DOUBLE) THEN 'Medium' ELSE 'High' END")
+
+
+EDA_CTES = [
+    f"""cust_eda AS (
+  SELECT c.*, coalesce(r.rate, 0.0) AS CUSTOMER_LATE_RATE, {tier_sql('coalesce(r.rate, 0.0)')} AS RISK_TIER
+  FROM cdim c LEFT JOIN (SELECT KUNNR, avg(LATE_FLAG) AS rate FROM invn
+                         WHERE STATUS = 'CLEARED' AND KUNNR IS NOT NULL GROUP BY KUNNR) r USING (KUNNR))""",
+    "inv_eda AS (SELECT * FROM invn LEFT JOIN (SELECT KUNNR, INDUSTRY, REGION, RISK_TIER FROM cust_eda) USING (KUNNR))",
+]
+
+AGING_EDA_CTE = "aging_eda AS (SELECT *, {ot} AS OVERDUE_TOTAL, coalesce(({ot}) / nullif(TOTAL_OUTSTANDING, 0) * 100, 0.0) AS OVERDUE_PCT FROM aging)".format(
+    ot=" + ".join(f"coalesce({q(b)}, 0.0)" for b in AGING_BUCKETS[1:])
+)
+
+GL_EDA_CTE = """gl_eda AS (
+  SELECT *, strftime(make_date(CAST(substr(GJAHR, 1, 4) AS INTEGER),
+      least(greatest(coalesce(TRY_CAST(TRY_CAST(trim(POPER) AS DOUBLE) AS INTEGER), 1), 1), 12), 1), '%Y-%m') AS PERIOD,
+    coalesce(CASE RACCT WHEN '100000' THEN 'Petty Cash' WHEN '113100' THEN 'Bank Account - Operating'
+                        WHEN '113200' THEN 'Bank Account - Payroll' WHEN '113300' THEN 'Bank Account - Collections' END,
+             RACCT) AS ACCT_NAME
+  FROM gl)"""
+
+
+def hist_ctes(name: str, values_select: str, n_bins: int, groups: list[str] | None = None) -> list[str]:
+    """Equal-width bins (numpy rules) over each group's [min, max]; ``values_select`` yields
+    the group columns and ``x``."""
+    g = groups or []
+    gsel = "".join(f"{c}, " for c in g)
+    gby = f"GROUP BY {', '.join(g)}" if g else ""
+    using = f"USING ({', '.join(g)})" if g else "ON TRUE"
+    return [
+        f"{name}_v AS ({values_select})",
+        f"""{name}_r AS (SELECT {gsel}CASE WHEN min(x) = max(x) THEN min(x) - CAST(0.5 AS DOUBLE) ELSE min(x) END AS f,
+                 CASE WHEN min(x) = max(x) THEN max(x) + CAST(0.5 AS DOUBLE) ELSE max(x) END AS l, count(*) AS NN
+          FROM {name}_v WHERE x IS NOT NULL {gby})""",
+        f"""{name}_b AS (SELECT {gsel}least(greatest(CAST(floor((x - f) * (CAST({n_bins} AS DOUBLE) / (l - f))) AS INTEGER), 0), {n_bins - 1}) AS bin,
+                 f, l, NN FROM {name}_v JOIN {name}_r {using} WHERE x IS NOT NULL)""",
+    ]

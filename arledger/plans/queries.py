@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..constants import AGING_BUCKETS
+from pyspark.sql import functions as F  # noqa: F811
 from ..operators import aging
 from . import oracle as O
-from .registry import register
+from .registry import precision, register
 
 # ----------------------------------------------------------------------------------------------
 # 2.10 P1: AR aging (minimum end-to-end slice)
 # ----------------------------------------------------------------------------------------------
 
 
+@precision({'Current': 2, '1-30 days': 2, '31-60 days': 2, '61-90 days': 2, '91-180 days': 2, '180+ days': 2, 'TOTAL_OUTSTANDING': 2})
 @register(
     "p1_ar_aging",
     O.rounded(
@@ -240,3 +242,291 @@ UNION ALL SELECT 'weighted avg', (p0 * s0 + p1 * s1) / (s0 + s1), (r0 * s0 + r1
 def e4_classification_report(inp):
     """Per-class precision, recall, F1, support; accuracy; macro and weighted averages."""
     return metrics.classification_report(inp.scored_test)
+
+
+# E6-E9, E11, E12 --------------------------------------------------------------------------------
+
+
+@register("e6_roc_points", O.rounded(O.with_prefix(*O.SCORED_TEST, *O.ranking_ctes("scored_test"), select=(
+    "SELECT s AS threshold, CASE WHEN N > 0 THEN fp / N END AS fpr, CASE WHEN P > 0 THEN tp / P END AS tpr FROM rp")),
+    ["threshold", "fpr", "tpr"]))
+def e6_roc_points(inp):
+    """ROC curve points at every distinct test score."""
+    return metrics.roc_points(inp.scored_test)
+
+
+@register("e7_pr_points", O.rounded(O.with_prefix(*O.SCORED_TEST, *O.ranking_ctes("scored_test"), select=(
+    "SELECT s AS threshold, tp / (tp + fp) AS precision, CASE WHEN P > 0 THEN tp / P END AS recall FROM rp")),
+    ["threshold", "precision", "recall"]))
+def e7_pr_points(inp):
+    """Precision-recall points at every distinct test score."""
+    return metrics.pr_points(inp.scored_test)
+
+
+@register("e8_calibration_curve", O.rounded(O.with_prefix(*O.SCORED_TEST, select=(
+    f"SELECT {O.count_le_sql(metrics.calibration_edges(), 'LATE_PROB', strict=True)} AS bin, "
+    "avg(LATE_PROB) AS prob_pred, avg(LATE_FLAG) AS prob_true, count(*) AS n FROM scored_test GROUP BY 1")),
+    ["prob_pred", "prob_true"]))
+def e8_calibration_curve(inp):
+    """Ten right-closed probability bins: mean prediction vs observed late share."""
+    return metrics.calibration_curve(inp.scored_test)
+
+
+@precision({'bin_left': 9})
+@register("e9_score_histogram_by_class", O.rounded(O.with_prefix(
+    *O.SCORED_TEST,
+    *O.hist_ctes("h", "SELECT LATE_FLAG AS label, LATE_PROB AS x FROM scored_test", 40, ["label"]),
+    select="SELECT label, bin, first(f + bin * ((l - f) / 40)) AS bin_left, count(*) AS n, "
+    "count(*) / (first(NN) * first((l - f) / 40)) AS density FROM h_b GROUP BY label, bin"),
+    ["label", "density"]))
+def e9_score_histogram_by_class(inp):
+    """40-bin density histogram of the score per class over each class's own range."""
+    return metrics.class_histogram(inp.scored_test)
+
+
+_SEG_LONG = ("seg_long AS (SELECT 'INDUSTRY' AS segment, CAST(INDUSTRY AS VARCHAR) AS value, LATE_FLAG, LATE_PROB, LATE_PRED "
+             "FROM scored_test WHERE INDUSTRY IS NOT NULL UNION ALL SELECT 'REGION', CAST(REGION AS VARCHAR), LATE_FLAG, "
+             "LATE_PROB, LATE_PRED FROM scored_test WHERE REGION IS NOT NULL)")
+
+
+@register("e11_segment_analysis", O.rounded(O.with_prefix(
+    *O.SCORED_TEST, _SEG_LONG, *O.ranking_ctes("seg_long", ["segment", "value"]),
+    f"auc AS (SELECT segment, value, {O.AUC_SQL} AS auc_roc FROM rp GROUP BY segment, value)",
+    "base AS (SELECT segment, value, count(*) AS n, avg(LATE_FLAG) AS late_share, avg(LATE_PRED) AS flagged_share "
+    "FROM seg_long GROUP BY segment, value)",
+    select="SELECT base.*, auc.auc_roc FROM base LEFT JOIN auc USING (segment, value) WHERE n >= 10"),
+    ["late_share", "flagged_share", "auc_roc"]))
+def e11_segment_analysis(inp):
+    """Per industry / region value (n >= 10): n, late share, AUC, flagged share."""
+    return metrics.segment_analysis(inp.scored_test)
+
+
+@precision({'total_ar': 2, 'flagged_ar': 2, 'missed_ar': 2})
+@register("e12_business_impact", O.rounded(O.with_prefix(*O.SCORED_TEST, select=(
+    "SELECT total_ar, flagged_ar, flagged_ar / greatest(total_ar, 1.0) AS flagged_share, missed_ar, "
+    "missed_ar / greatest(total_ar, 1.0) AS missed_share FROM (SELECT coalesce(sum(DMBTR), 0.0) AS total_ar, "
+    "coalesce(sum(CASE WHEN LATE_PRED = 1 THEN DMBTR END), 0.0) AS flagged_ar, "
+    "coalesce(sum(CASE WHEN LATE_FLAG = 1 AND LATE_PRED = 0 THEN DMBTR END), 0.0) AS missed_ar FROM scored_test)")),
+    ["total_ar", "flagged_ar", "flagged_share", "missed_ar", "missed_share"]))
+def e12_business_impact(inp):
+    """AR flagged for action and AR missed (late but not flagged) on the test split."""
+    return metrics.business_impact(inp.scored_test)
+
+
+# ----------------------------------------------------------------------------------------------
+# 2.10 P: portfolio analytics
+# ----------------------------------------------------------------------------------------------
+from ..operators import normalize, portfolio  # noqa: E402
+
+_T = f"CAST({O._threshold()} AS DOUBLE)"
+
+
+@precision({'total_ar': 2, 'at_risk_ar': 2})
+@register("p2_kpis", O.rounded(O.with_prefix(*O.SCORED, select=(
+    "SELECT total_ar, at_risk_ar, CASE WHEN total_ar > 0 THEN at_risk_ar / total_ar ELSE 0.0 END AS risk_share, "
+    "n_flagged, n_total, avg_risk FROM (SELECT coalesce(sum(DMBTR), 0.0) AS total_ar, "
+    f"coalesce(sum(CASE WHEN LATE_PROB >= {_T} THEN DMBTR END), 0.0) AS at_risk_ar, "
+    f"count_if(LATE_PROB >= {_T}) AS n_flagged, count(*) AS n_total, coalesce(avg(LATE_PROB), 0.0) AS avg_risk FROM scored)")),
+    ["total_ar", "at_risk_ar", "risk_share", "avg_risk"]))
+def p2_kpis(inp):
+    """Headline KPIs: total / at-risk AR, share, flagged and total counts, mean risk."""
+    return portfolio.kpis(inp.scored, inp.threshold)
+
+
+@precision({'total_ar': 2, 'at_risk_ar': 2})
+@register("p2_kpis_segment", O.rounded(O.with_prefix(*O.SCORED, select=(
+    "SELECT total_ar, at_risk_ar, CASE WHEN total_ar > 0 THEN at_risk_ar / total_ar ELSE 0.0 END AS risk_share, "
+    "n_flagged, n_total, avg_risk FROM (SELECT coalesce(sum(DMBTR), 0.0) AS total_ar, "
+    f"coalesce(sum(CASE WHEN LATE_PROB >= {_T} THEN DMBTR END), 0.0) AS at_risk_ar, "
+    f"count_if(LATE_PROB >= {_T}) AS n_flagged, count(*) AS n_total, coalesce(avg(LATE_PROB), 0.0) AS avg_risk "
+    "FROM scored WHERE trim(REGION) = 'AMERICA' AND trim(INDUSTRY) = 'BUILDING')")),
+    ["total_ar", "at_risk_ar", "risk_share", "avg_risk"]))
+def p2_kpis_segment(inp):
+    """KPIs for one region x industry slice (selector values are trimmed)."""
+    return portfolio.kpis(inp.scored, inp.threshold, region=" AMERICA ", industry="BUILDING")
+
+
+@register("p3_top_risk_queue", O.rounded(O.with_prefix(*O.SCORED, select=(
+    f"SELECT {', '.join(portfolio.QUEUE_COLS)} FROM scored WHERE LATE_PROB >= {_T} "
+    "ORDER BY LATE_PROB DESC, BELNR ASC LIMIT 20")), ["DMBTR", "LATE_PROB"]))
+def p3_top_risk_queue(inp):
+    """Top-20 flagged invoices by probability: the collections work queue."""
+    return portfolio.top_risk_queue(inp.scored, inp.threshold)
+
+
+@register("p4_filter_values", O.with_prefix(*O.SCORED, select=(
+    "SELECT DISTINCT segment, value FROM (SELECT 'INDUSTRY' AS segment, trim(CAST(INDUSTRY AS VARCHAR)) AS value "
+    "FROM scored UNION ALL SELECT 'REGION', trim(CAST(REGION AS VARCHAR)) FROM scored) WHERE value IS NOT NULL AND value <> ''")))
+def p4_filter_values(inp):
+    """Distinct trimmed, non-empty industry and region values."""
+    return portfolio.filter_values(inp.scored)
+
+
+@precision({'bin_left': 9})
+@register("p5_risk_histogram", O.rounded(O.with_prefix(
+    *O.SCORED, *O.hist_ctes("h", "SELECT CAST(LATE_PROB AS DOUBLE) AS x FROM scored", 40),
+    select="SELECT bin, first(f + bin * ((l - f) / 40)) AS bin_left, count(*) AS n FROM h_b GROUP BY bin"),
+    []))
+def p5_risk_histogram(inp):
+    """40 equal-width bins of the late probability."""
+    return portfolio.histogram(inp.scored, "LATE_PROB", 40)
+
+
+@register("p6_aging_top20", O.rounded(O.with_prefix(O.AGING_CTE, select=(
+    "SELECT KUNNR, " + ", ".join(f"{O.q(b)} / CAST(1000 AS DOUBLE) AS {O.q(b)}" for b in AGING_BUCKETS)
+    + ", TOTAL_OUTSTANDING / CAST(1000 AS DOUBLE) AS TOTAL_K FROM aging ORDER BY TOTAL_OUTSTANDING DESC, KUNNR LIMIT 20")),
+    [*AGING_BUCKETS, "TOTAL_K"]))
+def p6_aging_top20(inp):
+    """Aging heatmap rows: 20 largest open balances, in thousands."""
+    return portfolio.aging_top(inp.aging)
+
+
+def _seg_bars_sql(seg):
+    return O.rounded(O.with_prefix(*O.SCORED, select=(
+        f"SELECT {seg} AS value, avg(LATE_PROB) AS mean_prob, count(*) AS n, CASE WHEN avg(LATE_PROB) > CAST(0.5 AS DOUBLE) "
+        f"THEN 'high' WHEN avg(LATE_PROB) > CAST(0.3 AS DOUBLE) THEN 'medium' ELSE 'low' END AS color_class "
+        f"FROM scored WHERE {seg} IS NOT NULL GROUP BY {seg}")), ["mean_prob"])
+
+
+@register("p7_segment_bars_industry", _seg_bars_sql("INDUSTRY"))
+def p7_segment_bars_industry(inp):
+    """Mean risk and count per industry with colour class."""
+    return portfolio.segment_bars(inp.scored, "INDUSTRY")
+
+
+@register("p7_segment_bars_region", _seg_bars_sql("REGION"))
+def p7_segment_bars_region(inp):
+    """Mean risk and count per region with colour class."""
+    return portfolio.segment_bars(inp.scored, "REGION")
+
+
+@register("p8_late_rate_trend", O.rounded(O.with_prefix(*O.SCORED, select=(
+    "SELECT CAST(year(BLDAT) AS VARCHAR) || 'Q' || CAST(quarter(BLDAT) AS VARCHAR) AS PERIOD, avg(LATE_FLAG) * 100 AS late_pct "
+    "FROM scored WHERE BLDAT IS NOT NULL GROUP BY 1")), ["late_pct"]))
+def p8_late_rate_trend(inp):
+    """Portfolio late rate (%) per document quarter."""
+    return portfolio.late_rate_trend(inp.scored)
+
+
+@precision({'at_risk_ar': 2})
+@register("p11_export_summary", O.rounded(O.with_prefix(*O.SCORED, select=(
+    "SELECT count(*) AS n_export, coalesce(sum(DMBTR), 0.0) AS at_risk_ar, coalesce(avg(LATE_PROB), 0.0) AS avg_risk FROM "
+    f"(SELECT * FROM scored WHERE LATE_PROB >= {_T} ORDER BY LATE_PROB DESC, BELNR ASC LIMIT 20)")),
+    ["at_risk_ar", "avg_risk"]))
+def p11_export_summary(inp):
+    """Audit-export preview: invoices to export, their AR and mean risk."""
+    return portfolio.export_summary(inp.scored, inp.threshold)
+
+
+@precision({'total_ar': 2, 'open_ar': 2})
+@register("p13_status_summary", O.rounded(O.with_prefix(select=(
+    "SELECT count_if(STATUS = 'CLEARED') AS n_cleared, count_if(STATUS = 'OPEN') AS n_open, min(BLDAT) AS first_date, "
+    "max(BLDAT) AS last_date, coalesce(sum(DMBTR), 0.0) AS total_ar, "
+    "coalesce(sum(CASE WHEN STATUS = 'OPEN' THEN DMBTR END), 0.0) AS open_ar FROM invn")), ["total_ar", "open_ar"]))
+def p13_status_summary(inp):
+    """Invoice status counts, document date range, total and open AR."""
+    return portfolio.status_summary(inp.invoices)
+
+
+@register("p14_customer_mix", O.rounded(O.with_prefix(*O.EDA_CTES, select=(
+    "SELECT 'RISK_TIER' AS dimension, RISK_TIER AS value, count(*) AS n, count(*) / (SELECT count(*) FROM cust_eda) AS share "
+    "FROM cust_eda GROUP BY RISK_TIER UNION ALL SELECT 'INDUSTRY', INDUSTRY, count(*), "
+    "count(*) / (SELECT count(*) FROM cust_eda) FROM cust_eda GROUP BY INDUSTRY")), ["share"]))
+def p14_customer_mix(inp):
+    """Customer counts and shares by risk tier and by industry."""
+    c = inp.customers_eda
+    return portfolio.value_shares(c, "RISK_TIER").unionByName(portfolio.value_shares(c, "INDUSTRY"))
+
+
+@register("p15_credit_limit_by_tier", O.rounded(O.with_prefix(*O.EDA_CTES, select=(
+    "SELECT RISK_TIER, count(KLIMK) AS n, min(KLIMK) AS min, quantile_cont(KLIMK, 0.25) AS q1, "
+    "quantile_cont(KLIMK, 0.5) AS median, quantile_cont(KLIMK, 0.75) AS q3, max(KLIMK) AS max "
+    "FROM cust_eda WHERE KLIMK IS NOT NULL GROUP BY RISK_TIER")), ["min", "q1", "median", "q3", "max"]))
+def p15_credit_limit_by_tier(inp):
+    """Five-number summary of the credit limit per customer tier (exact)."""
+    return portfolio.five_number_summary(inp.customers_eda, "KLIMK", "RISK_TIER")
+
+
+@register("p16_terms_by_tier", O.rounded(O.with_prefix(*O.EDA_CTES, select=(
+    "SELECT ZTERM, " + ", ".join(
+        f"count_if(RISK_TIER = '{t}') * CAST(100 AS DOUBLE) / count(*) AS {t}" for t in ("Low", "Medium", "High"))
+    + " FROM cust_eda WHERE ZTERM IS NOT NULL GROUP BY ZTERM")), ["Low", "Medium", "High"]))
+def p16_terms_by_tier(inp):
+    """Payment-terms x tier crosstab, row percentages."""
+    return portfolio.crosstab_row_pct(inp.customers_eda, "ZTERM", "RISK_TIER", ["Low", "Medium", "High"])
+
+
+@precision({'bin_left': 9})
+@register("p17_days_late_histogram", O.rounded(O.with_prefix(
+    *O.hist_ctes("h", "SELECT least(greatest(DAYS_LATE, CAST(-10 AS DOUBLE)), CAST(60 AS DOUBLE)) AS x "
+                 "FROM invn WHERE STATUS = 'CLEARED'", 40),
+    select="SELECT bin, first(f + bin * ((l - f) / 40)) AS bin_left, count(*) AS n FROM h_b GROUP BY bin"),
+    []))
+def p17_days_late_histogram(inp):
+    """Days-late distribution clipped to -10..60 in 40 bins (cleared invoices)."""
+    cleared = inp.invoices.where(F.col("STATUS") == "CLEARED")
+    return portfolio.histogram(cleared, "DAYS_LATE", 40, clip=(-10, 60))
+
+
+@register("p18_late_rates", O.rounded(O.with_prefix(*O.EDA_CTES, "c AS (SELECT * FROM inv_eda WHERE STATUS = 'CLEARED')", select=(
+    "SELECT 'RISK_TIER' AS dimension, RISK_TIER AS value, avg(LATE_FLAG) * 100 AS metric FROM c WHERE RISK_TIER IS NOT NULL GROUP BY 2 "
+    "UNION ALL SELECT 'INDUSTRY', INDUSTRY, avg(LATE_FLAG) * 100 FROM c WHERE INDUSTRY IS NOT NULL GROUP BY 2 "
+    "UNION ALL SELECT 'overall', 'late_rate_pct', avg(LATE_FLAG) * 100 FROM c "
+    "UNION ALL SELECT 'overall', 'avg_days_when_late', avg(DAYS_LATE) FROM c WHERE DAYS_LATE > 0")), ["metric"]))
+def p18_late_rates(inp):
+    """Late rate by customer tier and industry, overall, and mean days late when late."""
+    return portfolio.late_rates(inp.invoices_eda)
+
+
+@register("p19_seeded_sample")
+def p19_seeded_sample(inp):
+    """Seeded 1,000-row sample of cleared invoices (amount vs days late), by hashed key."""
+    cleared = inp.invoices_eda.where(F.col("STATUS") == "CLEARED").select("BELNR", "DMBTR", "DAYS_LATE", "RISK_TIER")
+    return portfolio.seeded_sample(cleared, "BELNR", 1000, 42)
+
+
+@precision({'total': 2})
+@register("p20_aging_bucket_totals", O.rounded(O.with_prefix(
+    O.AGING_CTE,
+    "long AS (" + " UNION ALL ".join(f"SELECT '{b}' AS bucket, {O.q(b)} AS amount FROM aging" for b in AGING_BUCKETS) + ")",
+    "tot AS (SELECT bucket, coalesce(sum(amount), 0.0) AS total FROM long GROUP BY bucket)",
+    select="SELECT bucket, total, round_even(total / (SELECT sum(total) FROM tot) * 100, 1) AS pct FROM tot"),
+    ["total", "pct"]))
+def p20_aging_bucket_totals(inp):
+    """Open AR per aging bucket and its share of the portfolio."""
+    return portfolio.aging_bucket_totals(inp.aging)
+
+
+@precision({'total_open': 2, 'total_overdue': 2})
+@register("p20_aging_overview", O.rounded(O.with_prefix(O.AGING_CTE, O.AGING_EDA_CTE, select=(
+    "SELECT coalesce(sum(TOTAL_OUTSTANDING), 0.0) AS total_open, coalesce(sum(OVERDUE_TOTAL), 0.0) AS total_overdue, "
+    "avg(OVERDUE_PCT) AS avg_overdue_pct FROM aging_eda")), ["total_open", "total_overdue", "avg_overdue_pct"]))
+def p20_aging_overview(inp):
+    """Total open and overdue AR, mean overdue share per customer."""
+    return portfolio.aging_overview(inp.aging_eda)
+
+
+@precision({'top_total': 2})
+@register("p21_top20_concentration", O.rounded(O.with_prefix(O.AGING_CTE, select=(
+    "SELECT count(*) AS n_customers, sum(TOTAL_OUTSTANDING) AS top_total, "
+    "sum(TOTAL_OUTSTANDING) / (SELECT sum(TOTAL_OUTSTANDING) FROM aging) * 100 AS top_share_pct FROM "
+    "(SELECT * FROM aging ORDER BY TOTAL_OUTSTANDING DESC, KUNNR LIMIT 20)")), ["top_total", "top_share_pct"]))
+def p21_top20_concentration(inp):
+    """Share of open AR held by the 20 largest customers."""
+    return portfolio.top_concentration(inp.aging)
+
+
+@precision({'HSL': 2})
+@register("p22_cash_by_period", O.rounded(O.with_prefix(O.GL_EDA_CTE, select=(
+    "SELECT PERIOD, sum(HSL) AS HSL FROM gl_eda GROUP BY PERIOD")), ["HSL"]))
+def p22_cash_by_period(inp):
+    """Total GL cash position per period."""
+    return portfolio.cash_by_period(inp.gl_eda)
+
+
+@precision({'HSL': 2})
+@register("p22_cash_by_account", O.rounded(O.with_prefix(O.GL_EDA_CTE, select=(
+    "SELECT PERIOD, ACCT_NAME, sum(HSL) AS HSL FROM gl_eda GROUP BY PERIOD, ACCT_NAME")), ["HSL"]))
+def p22_cash_by_account(inp):
+    """GL cash position per period and account name."""
+    return portfolio.cash_by_period(inp.gl_eda, by_account=True)

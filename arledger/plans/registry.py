@@ -15,6 +15,7 @@ from .inputs import Inputs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+DIGITS: dict[str, dict] = {}
 
 
 def register(name: str, sql: str | None = None, rounded: bool = True):
@@ -23,13 +24,29 @@ def register(name: str, sql: str | None = None, rounded: bool = True):
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = fn(Inputs(spark, sf_dir))
-            return round_doubles(df) if rounded else df
+            return round_doubles(df, overrides=DIGITS.get(name)) if rounded else df
 
         run.__name__ = name
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
+        fn.query_name = name
+        return fn
+
+    return deco
+
+
+def precision(digits: dict):
+    """Decorator placed above ``register``: compare the listed columns at other precisions
+    (money sums at cents, bin edges at 9 places) on both the Spark and the SQL side."""
+
+    def deco(fn):
+        name = fn.query_name
+        DIGITS[name] = dict(digits)
+        if name in ORACLE:
+            repl = ", ".join(f'round("{c}", {d}) AS "{c}"' for c, d in digits.items())
+            ORACLE[name] = f"SELECT * REPLACE ({repl}) FROM (\n{ORACLE[name]}\n) AS _p"
         return fn
 
     return deco
