@@ -179,10 +179,13 @@ def amount_bucket(df: DataFrame, col: str = "DMBTR") -> DataFrame:
     (Computed but not kept in the feature store, as in the reference.)
     """
     q = exact_quantiles(df, col, [0.2, 0.4, 0.6, 0.8])
-    edges = F.array_distinct(q.select(F.array("q0", "q1", "q2", "q3")).scalar())
+    edges = [q.select(f"q{i}").scalar() for i in range(4)]  # one cached subquery, four scalars
     x = F.col(col)
-    code = F.when(x.isNull(), F.lit(-1)).otherwise(F.size(F.filter(edges, lambda b: b < x)))
-    return df.withColumn("AMOUNT_BUCKET", code.cast("int"))
+    # edges are sorted, so a duplicate edge equals its predecessor: count distinct edges < x
+    code = (edges[0] < x).cast("int")
+    for i in range(1, 4):
+        code = code + ((edges[i] < x) & (edges[i] != edges[i - 1])).cast("int")
+    return df.withColumn("AMOUNT_BUCKET", F.when(x.isNull(), F.lit(-1)).otherwise(code).cast("int"))
 
 
 def category_codes(df: DataFrame, cols=("INDUSTRY", "REGION")) -> DataFrame:

@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import AGING_BUCKETS
+from ..constants import (
+    AGING_BUCKETS,
+    FEATURE_COLS,
+    INDUSTRY_DEFAULT,
+    INDUSTRY_MAP,
+    REGION_DEFAULT,
+    REGION_MAP,
+)
 from pyspark.sql import functions as F  # noqa: F811
 from ..operators import aging
 from . import oracle as O
@@ -530,3 +537,165 @@ def p22_cash_by_period(inp):
 def p22_cash_by_account(inp):
     """GL cash position per period and account name."""
     return portfolio.cash_by_period(inp.gl_eda, by_account=True)
+
+
+_FEATS = list(FEATURE_COLS)
+_LONG_FS = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value, LATE_FLAG FROM fs" for c in _FEATS)
+
+
+@register("p23_null_counts", O.with_prefix(*O.FS_CTES, select=" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, count_if({c} IS NULL) AS n_null FROM fs" for c in _FEATS)))
+def p23_null_counts(inp):
+    """Null count per model feature in the feature store."""
+    return portfolio.null_counts(inp.feature_store)
+
+
+@register("p24_describe", O.rounded(O.with_prefix(*O.FS_CTES, f"long AS ({_LONG_FS})", select=(
+    "SELECT feature, count(value) AS count, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min, "
+    "max(value) AS max, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50, "
+    "quantile_cont(value, 0.75) AS p75 FROM long GROUP BY feature")),
+    ["mean", "std", "min", "max", "p25", "p50", "p75"]))
+def p24_describe(inp):
+    """count / mean / std / min / quartiles / max per model feature (exact quartiles)."""
+    return portfolio.describe(inp.feature_store)
+
+
+_CORR_COLS = _FEATS + ["LATE_FLAG"]
+
+
+def _corr_sql():
+    parts = []
+    for i, a in enumerate(_CORR_COLS):
+        for b in _CORR_COLS[i:]:
+            parts.append(f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) AS corr FROM fs")
+            if a != b:
+                parts.append(f"SELECT '{b}', '{a}', corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)) FROM fs")
+    return " UNION ALL ".join(parts)
+
+
+@register("p25_correlation_matrix", O.rounded(O.with_prefix(*O.FS_CTES, select=_corr_sql()), ["corr"]))
+def p25_correlation_matrix(inp):
+    """Pearson correlation of the 12 features and the target, every ordered pair."""
+    return portfolio.correlation_long(inp.feature_store, _CORR_COLS)
+
+
+@register("p25_target_correlation", O.rounded(O.with_prefix(
+    *O.FS_CTES,
+    "tc AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, corr(CAST({c} AS DOUBLE), LATE_FLAG) AS corr FROM fs" for c in _FEATS) + ")",
+    select="SELECT feature, corr, row_number() OVER (ORDER BY abs(corr) DESC, feature) AS rank FROM tc"), ["corr"]))
+def p25_target_correlation(inp):
+    """Feature correlation with LATE_FLAG ranked by absolute value."""
+    return portfolio.target_correlation(inp.feature_store)
+
+
+@precision({"bin_left": 9})
+@register("p26_class_distributions", O.rounded(O.with_prefix(
+    *O.FS_CTES, f"long AS ({_LONG_FS})",
+    "pct AS (SELECT feature, LATE_FLAG AS label, quantile_cont(value, 0.01) AS p01, quantile_cont(value, 0.99) AS p99, "
+    "count(*) AS NN FROM long WHERE value IS NOT NULL GROUP BY ALL)",
+    """b AS (SELECT long.feature AS feature, pct.label AS label, NN,
+      CASE WHEN p01 = p99 THEN p01 - CAST(0.5 AS DOUBLE) ELSE p01 END AS f,
+      CASE WHEN p01 = p99 THEN p99 + CAST(0.5 AS DOUBLE) ELSE p99 END AS l,
+      least(greatest(value, p01), p99) AS x
+    FROM long JOIN pct ON long.feature = pct.feature AND long.LATE_FLAG = pct.label WHERE value IS NOT NULL)""",
+    "bb AS (SELECT *, least(greatest(CAST(floor((x - f) * (CAST(30 AS DOUBLE) / (l - f))) AS INTEGER), 0), 29) AS bin FROM b)",
+    select="SELECT feature, label, bin, first(f + bin * ((l - f) / 30)) AS bin_left, count(*) AS n, "
+    "count(*) / (first(NN) * first((l - f) / 30)) AS density FROM bb GROUP BY feature, label, bin"),
+    ["label", "density"]))
+def p26_class_distributions(inp):
+    """Per feature and class: 30-bin density over the 1st..99th percentile range."""
+    return portfolio.class_distributions(inp.feature_store)
+
+
+@register("p27_industry_risk", O.rounded(O.with_prefix(*O.SCORED, select=(
+    "SELECT INDUSTRY, round_even(avg(LATE_PROB), 3) AS mean, round_even(stddev_samp(LATE_PROB), 3) AS std, "
+    "count(*) AS count FROM scored WHERE INDUSTRY IS NOT NULL GROUP BY INDUSTRY")), ["mean", "std"]))
+def p27_industry_risk(inp):
+    """Mean / std / count of the late probability per industry."""
+    return portfolio.segment_risk_stats(inp.scored, "INDUSTRY")
+
+
+@register("p28_run_summary", O.rounded(O.with_prefix(O.AGING_CTE, select=(
+    "SELECT (SELECT count(*) FROM cdim) AS n_customers, count(*) AS n_invoices, count_if(AUGDT IS NULL) AS n_open, "
+    "count_if(AUGDT IS NOT NULL) AS n_cleared, coalesce(avg(CASE WHEN AUGDT IS NOT NULL THEN LATE_FLAG END), 0.0) AS late_rate, "
+    "(SELECT count(*) FROM aging) AS n_aging_rows, (SELECT count(*) FROM gl) AS n_gl_rows FROM invn")), ["late_rate"]))
+def p28_run_summary(inp):
+    """Row counts of every table, open / cleared items and the late rate."""
+    return portfolio.run_summary(inp.customers, inp.invoices, inp.aging, inp.gl_raw)
+
+
+@register("p29_customer_risk_view", O.rounded(O.with_prefix(*O.EDA_CTES, select="SELECT * FROM cust_eda"),
+                                             ["KLIMK", "CUSTOMER_LATE_RATE"]))
+def p29_customer_risk_view(inp):
+    """Customers with their whole-history late rate (missing = 0) and tier."""
+    return inp.customers_eda
+
+
+# ----------------------------------------------------------------------------------------------
+# F18, N: amount buckets and normalisation outputs
+# ----------------------------------------------------------------------------------------------
+
+
+@register("f18_amount_bucket", O.rounded(O.with_prefix(
+    "cl AS (SELECT BELNR, DMBTR FROM invn WHERE STATUS = 'CLEARED')",
+    "e AS (SELECT quantile_cont(DMBTR, [0.2, 0.4, 0.6, 0.8]) AS q FROM cl)",
+    select="SELECT BELNR, DMBTR, CASE WHEN DMBTR IS NULL THEN -1 ELSE "
+    "CAST(len(list_filter(list_distinct(e.q), lambda b: b < DMBTR)) AS INTEGER) END AS AMOUNT_BUCKET FROM cl, e"),
+    ["DMBTR"]))
+def f18_amount_bucket(inp):
+    """Quintile code (0..4) of the invoice amount over cleared invoices."""
+    cleared = inp.invoices.where(F.col("STATUS") == "CLEARED").select("BELNR", "DMBTR")
+    return features.amount_bucket(cleared)
+
+
+@register("n3_invoice_status", O.rounded(O.with_prefix(select=(
+    "SELECT BELNR, KUNNR, BLDAT, FAEDT, AUGDT, DMBTR, STATUS, DAYS_LATE, LATE_FLAG FROM invn")),
+    ["DMBTR", "DAYS_LATE", "LATE_FLAG"]))
+def n3_invoice_status(inp):
+    """Typed invoice history with STATUS, DAYS_LATE and LATE_FLAG."""
+    return inp.invoices.select("BELNR", "KUNNR", "BLDAT", "FAEDT", "AUGDT", "DMBTR", "STATUS", "DAYS_LATE", "LATE_FLAG")
+
+
+def _code_case(col, mapping, default):
+    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items())
+    return f"coalesce(CASE CAST({col} AS VARCHAR) {whens} END, '{default}')"
+
+
+@register("n1_customer_master", O.rounded(O.with_prefix(select=(
+    f"SELECT KUNNR, ZTERM, TRY_CAST(KLIMK AS DOUBLE) AS KLIMK, {_code_case('BRSCH', INDUSTRY_MAP, INDUSTRY_DEFAULT)} AS INDUSTRY, "
+    f"{_code_case('REGIO', REGION_MAP, REGION_DEFAULT)} AS REGION FROM cust")), ["KLIMK"]))
+def n1_customer_master(inp):
+    """ERP code path: BRSCH / REGIO codes mapped to labels (unknown codes -> defaults)."""
+    return normalize.customer_master(inp.customers_raw.drop("INDUSTRY", "REGION"))
+
+
+@register("n7_customer_segments", O.with_prefix(select=(
+    f"SELECT KUNNR, arg_min(INDUSTRY, ord) AS INDUSTRY, arg_min(REGION, ord) AS REGION FROM ("
+    f"SELECT KUNNR, {_code_case('BRSCH', INDUSTRY_MAP, INDUSTRY_DEFAULT)} AS INDUSTRY, "
+    f"{_code_case('REGIO', REGION_MAP, REGION_DEFAULT)} AS REGION, "
+    "row_number() OVER (PARTITION BY KUNNR ORDER BY ERDAT NULLS FIRST, BUKRS) AS ord FROM cust) GROUP BY KUNNR")))
+def n7_customer_segments(inp):
+    """One (INDUSTRY, REGION) row per customer, deterministic first row."""
+    return normalize.customer_segments(inp.customers_raw.drop("INDUSTRY", "REGION"))
+
+
+@precision({"HSL": 2})
+@register("n6_gl_fiscper", O.with_prefix(select="SELECT RACCT, GJAHR, POPER, HSL, FISCPER FROM gln"))
+def n6_gl_fiscper(inp):
+    """GL balances with FISCPER (year + clipped 2-digit period)."""
+    return inp.gl.select("RACCT", "GJAHR", "POPER", "HSL", "FISCPER")
+
+
+@precision({"HSL": 2})
+@register("n10_gl_eda_fields", O.with_prefix(O.GL_EDA_CTE, select="SELECT RACCT, GJAHR, POPER, HSL, PERIOD, ACCT_NAME FROM gl_eda"))
+def n10_gl_eda_fields(inp):
+    """GL rows with display PERIOD and account name."""
+    return inp.gl_eda.select("RACCT", "GJAHR", "POPER", "HSL", "PERIOD", "ACCT_NAME")
+
+
+@precision({"TOTAL_OUTSTANDING": 2, "OVERDUE_TOTAL": 2})
+@register("n11_aging_eda_fields", O.rounded(O.with_prefix(O.AGING_CTE, O.AGING_EDA_CTE, select=(
+    "SELECT KUNNR, TOTAL_OUTSTANDING, OVERDUE_TOTAL, OVERDUE_PCT FROM aging_eda")), ["OVERDUE_PCT"]))
+def n11_aging_eda_fields(inp):
+    """Aging rows with overdue total and overdue share."""
+    return inp.aging_eda.select("KUNNR", "TOTAL_OUTSTANDING", "OVERDUE_TOTAL", "OVERDUE_PCT")
