@@ -105,3 +105,18 @@ class Inputs:
     @property
     def gl_eda(self) -> DataFrame:
         return normalize.gl_eda_fields(self.gl_raw)
+
+    @property
+    def invoices_segmented(self) -> DataFrame:
+        """N8 + M1: invoices with INDUSTRY / REGION from the customer dimension and RISK_TIER."""
+        from ..operators.monthly import attach_segments
+
+        return attach_segments(self.invoices, self.customers.select("KUNNR", "INDUSTRY", "REGION"))
+
+    @property
+    def monthly(self) -> DataFrame:
+        """Monthly series of every slice (at most slices x months rows), materialised."""
+        from ..operators.monthly import monthly_dataset
+        from ..session import materialize
+
+        return materialize(monthly_dataset(self.invoices_segmented, self.gl, self.scored), "monthly", self.sf_dir)

@@ -373,3 +373,91 @@ def hist_ctes(name: str, values_select: str, n_bins: int, groups: list[str] | No
         f"""{name}_b AS (SELECT {gsel}least(greatest(CAST(floor((x - f) * (CAST({n_bins} AS DOUBLE) / (l - f))) AS INTEGER), 0), {n_bins - 1}) AS bin,
                  f, l, NN FROM {name}_v JOIN {name}_r {using} WHERE x IS NOT NULL)""",
     ]
+
+
+# ---- monthly series (M1-M14, M16, M17) ----------------------------------------------------------------
+def _slice_agg_sql(name: str, src: str, month_expr: str, aggs: str) -> str:
+    return f"""{name} AS (
+  SELECT * FROM (
+    SELECT COLLECT_MONTH, REGION, INDUSTRY, GROUPING(REGION) AS ALL_REGION, GROUPING(INDUSTRY) AS ALL_INDUSTRY, {aggs}
+    FROM (SELECT *, {month_expr} AS COLLECT_MONTH FROM {src})
+    GROUP BY GROUPING SETS ((COLLECT_MONTH), (COLLECT_MONTH, REGION), (COLLECT_MONTH, INDUSTRY), (COLLECT_MONTH, REGION, INDUSTRY)))
+  WHERE (ALL_REGION = 1 OR REGION IS NOT NULL) AND (ALL_INDUSTRY = 1 OR INDUSTRY IS NOT NULL) AND COLLECT_MONTH IS NOT NULL)"""
+
+
+_SLICE_ON = ("{a}.COLLECT_MONTH = {b}.COLLECT_MONTH AND {a}.ALL_REGION = {b}.ALL_REGION AND {a}.ALL_INDUSTRY = {b}.ALL_INDUSTRY "
+             "AND {a}.REGION IS NOT DISTINCT FROM {b}.REGION AND {a}.INDUSTRY IS NOT DISTINCT FROM {b}.INDUSTRY")
+_W_SLICE = "PARTITION BY ALL_REGION, ALL_INDUSTRY, REGION, INDUSTRY ORDER BY COLLECT_MONTH"
+
+MONTHLY_CTES = [
+    f"""invm0 AS (
+  SELECT invn.*, d.INDUSTRY AS INDUSTRY_RAW, d.REGION AS REGION_RAW,
+         coalesce(CASE WHEN t.rate IS NOT NULL THEN {tier_sql('t.rate')} END, 'Medium') AS RISK_TIER
+  FROM invn LEFT JOIN (SELECT KUNNR, INDUSTRY, REGION FROM cdim) d USING (KUNNR)
+  LEFT JOIN (SELECT KUNNR, avg(LATE_FLAG) AS rate FROM invn WHERE STATUS = 'CLEARED' AND KUNNR IS NOT NULL GROUP BY KUNNR) t
+  USING (KUNNR))""",
+    """invm AS (SELECT *, CASE WHEN trim(CAST(REGION_RAW AS VARCHAR)) <> '' THEN trim(CAST(REGION_RAW AS VARCHAR)) END AS REGION,
+                      CASE WHEN trim(CAST(INDUSTRY_RAW AS VARCHAR)) <> '' THEN trim(CAST(INDUSTRY_RAW AS VARCHAR)) END AS INDUSTRY
+             FROM invm0)""",
+    """scm AS (SELECT BLDAT, LATE_PROB, CASE WHEN trim(CAST(REGION AS VARCHAR)) <> '' THEN trim(CAST(REGION AS VARCHAR)) END AS REGION,
+                      CASE WHEN trim(CAST(INDUSTRY AS VARCHAR)) <> '' THEN trim(CAST(INDUSTRY AS VARCHAR)) END AS INDUSTRY
+            FROM scored)""",
+    _slice_agg_sql("coll", "(SELECT * FROM invm WHERE STATUS = 'CLEARED')", "strftime(AUGDT, '%Y-%m')",
+                   "coalesce(sum(DMBTR), 0.0) AS ACTUAL_COLLECTIONS, count(BELNR) AS N_INVOICES_CLEARED, "
+                   "avg(DAYS_LATE) AS AVG_DAYS_LATE, avg(LATE_FLAG) AS LATE_RATE, "
+                   "avg(CAST(RISK_TIER = 'High' AS DOUBLE)) AS HIGH_RISK_SHARE"),
+    _slice_agg_sql("openm", "(SELECT * FROM invm WHERE STATUS = 'OPEN')", "strftime(BLDAT, '%Y-%m')",
+                   "coalesce(sum(DMBTR), 0.0) AS OPEN_AR_TOTAL, CAST(count(BELNR) AS DOUBLE) AS N_OPEN_INVOICES"),
+    _slice_agg_sql("riskm", "scm", "strftime(BLDAT, '%Y-%m')",
+                   "CAST(sum(CAST(LATE_PROB AS DECIMAL(18, 4))) AS DOUBLE) / count(LATE_PROB) AS AVG_LATE_PROB"),
+    "cash AS (SELECT strftime(strptime(FISCPER, '%Y%m'), '%Y-%m') AS COLLECT_MONTH, sum(HSL) AS OPENING_CASH FROM gln GROUP BY FISCPER)",
+    f"""m0 AS (
+  SELECT c.*, o.OPEN_AR_TOTAL, o.N_OPEN_INVOICES, g.OPENING_CASH, r.AVG_LATE_PROB
+  FROM coll c LEFT JOIN openm o ON {_SLICE_ON.format(a='c', b='o')}
+  LEFT JOIN cash g ON c.COLLECT_MONTH = g.COLLECT_MONTH
+  LEFT JOIN riskm r ON {_SLICE_ON.format(a='c', b='r')})""",
+    f"""m1 AS (
+  SELECT ALL_REGION, ALL_INDUSTRY, REGION, INDUSTRY, COLLECT_MONTH, ACTUAL_COLLECTIONS, AVG_DAYS_LATE, LATE_RATE, HIGH_RISK_SHARE,
+    coalesce(OPEN_AR_TOTAL, 0.0) AS OPEN_AR_TOTAL, coalesce(N_OPEN_INVOICES, 0.0) AS N_OPEN_INVOICES,
+    coalesce(last_value(OPENING_CASH IGNORE NULLS) OVER ({_W_SLICE} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0.0) AS OPENING_CASH,
+    coalesce(AVG_LATE_PROB, LATE_RATE) AS AVG_LATE_PROB, N_INVOICES_CLEARED
+  FROM m0)""",
+    f"""m2 AS (
+  SELECT *, CAST(COLLECT_MONTH || '-01' AS DATE) AS PERIOD_DT,
+    CAST(month(CAST(COLLECT_MONTH || '-01' AS DATE)) AS INTEGER) AS MONTH,
+    CAST(quarter(CAST(COLLECT_MONTH || '-01' AS DATE)) AS INTEGER) AS QUARTER,
+    CAST(month(CAST(COLLECT_MONTH || '-01' AS DATE)) IN (3, 6, 9, 12) AS INTEGER) AS IS_Q_END,
+    sin(CAST(2 * pi() AS DOUBLE) * month(CAST(COLLECT_MONTH || '-01' AS DATE)) / 12) AS MONTH_SIN,
+    cos(CAST(2 * pi() AS DOUBLE) * month(CAST(COLLECT_MONTH || '-01' AS DATE)) / 12) AS MONTH_COS,
+    lag(ACTUAL_COLLECTIONS, 1) OVER ({_W_SLICE}) AS COLLECTIONS_LAG1,
+    lag(ACTUAL_COLLECTIONS, 2) OVER ({_W_SLICE}) AS COLLECTIONS_LAG2,
+    lag(ACTUAL_COLLECTIONS, 3) OVER ({_W_SLICE}) AS COLLECTIONS_LAG3,
+    lag(LATE_RATE, 1) OVER ({_W_SLICE}) AS LATE_RATE_LAG1,
+    lag(LATE_RATE, 2) OVER ({_W_SLICE}) AS LATE_RATE_LAG2,
+    lag(LATE_RATE, 3) OVER ({_W_SLICE}) AS LATE_RATE_LAG3,
+    CASE WHEN count(ACTUAL_COLLECTIONS) OVER ({_W_SLICE} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) = 3
+         THEN avg(ACTUAL_COLLECTIONS) OVER ({_W_SLICE} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) END AS COLLECTIONS_ROLL3_MEAN,
+    CASE WHEN count(ACTUAL_COLLECTIONS) OVER ({_W_SLICE} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) = 3
+         THEN stddev_samp(ACTUAL_COLLECTIONS) OVER ({_W_SLICE} ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) END AS COLLECTIONS_ROLL3_STD,
+    ln(1 + ACTUAL_COLLECTIONS) AS LOG_ACTUAL_COLLECTIONS,
+    ln(1 + coalesce(OPENING_CASH, 0.0)) AS LOG_OPENING_CASH,
+    ln(1 + coalesce(OPEN_AR_TOTAL, 0.0)) AS LOG_OPEN_AR
+  FROM m1)""",
+]
+
+MONTHLY_DATA_COLS = [
+    "COLLECT_MONTH", "ACTUAL_COLLECTIONS", "AVG_DAYS_LATE", "LATE_RATE", "HIGH_RISK_SHARE", "OPEN_AR_TOTAL",
+    "N_OPEN_INVOICES", "OPENING_CASH", "AVG_LATE_PROB", "N_INVOICES_CLEARED", "PERIOD_DT", "MONTH", "QUARTER",
+    "IS_Q_END", "MONTH_SIN", "MONTH_COS", "COLLECTIONS_LAG1", "COLLECTIONS_LAG2", "COLLECTIONS_LAG3",
+    "LATE_RATE_LAG1", "LATE_RATE_LAG2", "LATE_RATE_LAG3", "COLLECTIONS_ROLL3_MEAN", "COLLECTIONS_ROLL3_STD",
+    "LOG_ACTUAL_COLLECTIONS", "LOG_OPENING_CASH", "LOG_OPEN_AR",
+]
+MONTHLY_CTES.append("monthly AS (SELECT * FROM m2 WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in MONTHLY_DATA_COLS) + ")")
+MONTHLY_DOUBLES = [
+    "ACTUAL_COLLECTIONS", "AVG_DAYS_LATE", "LATE_RATE", "HIGH_RISK_SHARE", "OPEN_AR_TOTAL", "N_OPEN_INVOICES",
+    "OPENING_CASH", "AVG_LATE_PROB", "MONTH_SIN", "MONTH_COS", "COLLECTIONS_LAG1", "COLLECTIONS_LAG2",
+    "COLLECTIONS_LAG3", "LATE_RATE_LAG1", "LATE_RATE_LAG2", "LATE_RATE_LAG3", "COLLECTIONS_ROLL3_MEAN",
+    "COLLECTIONS_ROLL3_STD", "LOG_ACTUAL_COLLECTIONS", "LOG_OPENING_CASH", "LOG_OPEN_AR",
+]
+MONTHLY_MONEY = ["ACTUAL_COLLECTIONS", "OPEN_AR_TOTAL", "OPENING_CASH", "COLLECTIONS_LAG1", "COLLECTIONS_LAG2",
+                 "COLLECTIONS_LAG3", "COLLECTIONS_ROLL3_MEAN"]

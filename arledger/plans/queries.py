@@ -699,3 +699,68 @@ def n10_gl_eda_fields(inp):
 def n11_aging_eda_fields(inp):
     """Aging rows with overdue total and overdue share."""
     return inp.aging_eda.select("KUNNR", "TOTAL_OUTSTANDING", "OVERDUE_TOTAL", "OVERDUE_PCT")
+
+
+# ----------------------------------------------------------------------------------------------
+# 2.8 M: monthly series, targets, eligibility, pooling
+# ----------------------------------------------------------------------------------------------
+from ..operators import monthly  # noqa: E402
+
+_MONEY2 = {c: 2 for c in O.MONTHLY_MONEY}
+_MONEY2["COLLECTIONS_ROLL3_STD"] = 2
+_MONEY2["AVG_LATE_PROB"] = 9
+
+
+@precision(_MONEY2)
+@register("m12_monthly_all_slices", O.rounded(O.with_prefix(*O.SCORED, *O.MONTHLY_CTES, select="SELECT * FROM monthly"),
+                                              [c for c in O.MONTHLY_DOUBLES if c not in _MONEY2]))
+def m12_monthly_all_slices(inp):
+    """Monthly collection series of every slice: overall, per region, per industry, per pair."""
+    return inp.monthly
+
+
+@precision(_MONEY2)
+@register("m12_monthly_portfolio", O.rounded(O.with_prefix(
+    *O.SCORED, *O.MONTHLY_CTES, select="SELECT * FROM monthly WHERE ALL_REGION = 1 AND ALL_INDUSTRY = 1"),
+    [c for c in O.MONTHLY_DOUBLES if c not in _MONEY2]))
+def m12_monthly_portfolio(inp):
+    """The overall (portfolio) monthly series with the 12-row minimum enforced."""
+    return monthly.build_forecast_dataset(inp.monthly)
+
+
+@register("m16_segment_summary", O.with_prefix(*O.SCORED, *O.MONTHLY_CTES, select=(
+    "SELECT segment, months, cleared_invoices, eligible_for_segment_model, "
+    "CASE WHEN reason = '' THEN 'eligible' ELSE reason END AS reason, kept_for_pooling FROM ("
+    "SELECT REGION AS segment, count(*) AS months, sum(N_INVOICES_CLEARED) AS cleared_invoices, "
+    "count(*) >= 24 AND sum(N_INVOICES_CLEARED) >= 250 AS eligible_for_segment_model, "
+    "concat_ws(',', CASE WHEN count(*) < 24 THEN 'months<24' END, "
+    "CASE WHEN sum(N_INVOICES_CLEARED) < 250 THEN 'cleared_invoices<250' END) AS reason, "
+    "count(*) >= 12 AS kept_for_pooling FROM monthly WHERE ALL_REGION = 0 AND ALL_INDUSTRY = 1 GROUP BY REGION)")))
+def m16_segment_summary(inp):
+    """Per-region eligibility for a segment model (months >= 24, cleared >= 250)."""
+    return monthly.segment_summary(inp.monthly)
+
+
+_TARGETS_SQL = O.with_prefix(*O.SCORED, *O.MONTHLY_CTES, f"""t AS (
+  SELECT *, row_number() OVER ({O._W_SLICE}) AS rn, count(*) OVER (PARTITION BY ALL_REGION, ALL_INDUSTRY, REGION, INDUSTRY) AS nn,
+    lead(ACTUAL_COLLECTIONS, 1) OVER ({O._W_SLICE}) AS t30, lead(ACTUAL_COLLECTIONS, 2) OVER ({O._W_SLICE}) AS t60,
+    lead(ACTUAL_COLLECTIONS, 3) OVER ({O._W_SLICE}) AS t90 FROM monthly)""",
+    """tl AS (SELECT *, 30 AS HORIZON_DAYS, t30 AS TARGET FROM t UNION ALL SELECT *, 60, t60 FROM t UNION ALL SELECT *, 90, t90 FROM t)""",
+    select="SELECT ALL_REGION, ALL_INDUSTRY, REGION, INDUSTRY, COLLECT_MONTH, HORIZON_DAYS, TARGET, "
+    "CASE WHEN rn <= floor(nn * 0.8) THEN 'train' ELSE 'test' END AS split FROM tl WHERE TARGET IS NOT NULL")
+
+
+@precision({"TARGET": 2})
+@register("m13_horizon_targets", _TARGETS_SQL)
+def m13_horizon_targets(inp):
+    """Targets h = 1, 2, 3 months ahead within each slice, with the 80 % time split."""
+    t = monthly.horizon_targets(inp.monthly)
+    return t.select(*monthly.SLICE, "COLLECT_MONTH", "HORIZON_DAYS", "TARGET", "split")
+
+
+@register("m17_pooled_training_rows", O.with_prefix(*O.SCORED, *O.MONTHLY_CTES, select=(
+    "SELECT REGION, COLLECT_MONTH FROM monthly WHERE ALL_REGION = 0 AND ALL_INDUSTRY = 1 AND REGION IN "
+    "(SELECT REGION FROM monthly WHERE ALL_REGION = 0 AND ALL_INDUSTRY = 1 GROUP BY REGION HAVING count(*) >= 12)")))
+def m17_pooled_training_rows(inp):
+    """Rows pooled for the global model: kept segment series (else the overall series)."""
+    return monthly.pooled_dataset(inp.monthly).select("REGION", "COLLECT_MONTH")
