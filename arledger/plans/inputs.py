@@ -120,3 +120,43 @@ class Inputs:
         from ..session import materialize
 
         return materialize(monthly_dataset(self.invoices_segmented, self.gl, self.scored), "monthly", self.sf_dir)
+
+    # ---- trained models (fitted once per session and data directory) --------------------------
+    def _memo(self, name, build):
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _MODELS:
+            _MODELS[key] = build()
+        return _MODELS[key]
+
+    @property
+    def split(self) -> DataFrame:
+        from ..operators.features import time_split
+        from ..session import materialize
+
+        return materialize(time_split(self.feature_store), "feature_store_split", self.sf_dir)
+
+    @property
+    def classifier(self):
+        """C2-C6 fitted on the train split; saved under the checkpoint folder."""
+        from pyspark.sql import functions as F
+
+        from ..operators.classify import train_classifier
+        from ..session import checkpoint_dir
+
+        def build():
+            train = self.split.where(F.col("split") == "train").drop("split")
+            model = train_classifier(train)
+            model.save(f"{checkpoint_dir(self.spark).rstrip('/')}/arledger-models/classifier-{abs(hash(self.sf_dir)) % 10**10}")
+            return model
+
+        return self._memo("classifier", build)
+
+    @property
+    def model_scored(self) -> DataFrame:
+        """Feature store scored by the trained classifier (C7), with the split column."""
+        from ..session import materialize
+
+        return materialize(self.classifier.predict(self.split), "model_scored", self.sf_dir)
+
+
+_MODELS: dict = {}

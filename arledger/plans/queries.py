@@ -764,3 +764,60 @@ def m13_horizon_targets(inp):
 def m17_pooled_training_rows(inp):
     """Rows pooled for the global model: kept segment series (else the overall series)."""
     return monthly.pooled_dataset(inp.monthly).select("REGION", "COLLECT_MONTH")
+
+
+# ----------------------------------------------------------------------------------------------
+# 2.6 C: classifier on MLlib (model outputs: rows-only checks plus invariants in tests)
+# ----------------------------------------------------------------------------------------------
+from ..operators import classify  # noqa: E402
+
+
+@register("c9_class_weight_hint", O.rounded(O.with_prefix(*O.FS_CTES, O.SPLIT_CTE, select=(
+    "SELECT split, count(*) AS n_rows, CAST(sum(LATE_FLAG) AS BIGINT) AS n_late, avg(LATE_FLAG) AS late_share, "
+    "round_even((1 - avg(LATE_FLAG)) / avg(LATE_FLAG), 1) AS scale_pos_weight FROM split GROUP BY split")),
+    ["late_share", "scale_pos_weight"]))
+def c9_class_weight_hint(inp):
+    """Rows, late count, late share and suggested positive weight per split."""
+    return classify.class_weight_hint(inp.split)
+
+
+@register("c7_model_scores")
+def c7_model_scores(inp):
+    """Every feature-store invoice scored by the fitted, calibrated boosted trees."""
+    return inp.model_scored.select("BELNR", "split", "LATE_FLAG", "LATE_PROB", "LATE_PRED", "RISK_LABEL")
+
+
+@register("c4_model_summary")
+def c4_model_summary(inp):
+    """Fitted model: trees kept after early stopping, threshold, positive weight, calibration."""
+    m = inp.classifier
+    return inp.spark.createDataFrame(
+        [(m.gbt.getNumTrees, float(m.threshold), float(m.positive_weight), m.calibrator is not None)],
+        "n_trees int, threshold double, positive_weight double, is_calibrated boolean",
+    ).withColumn("n_train_rows", inp.split.where(F.col("split") == "train").agg(F.count(F.lit(1))).scalar())
+
+
+@register("e1_e5_model_test_metrics")
+def e1_e5_model_test_metrics(inp):
+    """AUC-ROC, step AUC-PR, Brier and confusion counts of the fitted model on the test split."""
+    test = inp.model_scored.where(F.col("split") == "test")
+    rank = metrics.ranking_metrics(test)
+    cm = metrics.confusion(test)
+    return rank.select("*", *[cm.select(c).scalar().alias(c) for c in ("tn", "fp", "fn", "tp")])
+
+
+@register("c3_cross_validation")
+def c3_cross_validation(inp):
+    """Mean AUC over 5 exactly stratified folds of the fitting rows."""
+    cut = classify.validation_cut(inp.split.where(F.col("split") == "train").drop("split"))
+    auc = classify.cross_validate(cut.where(~F.col("is_val")).drop("is_val"), classify.ClassifierConfig(cv_parallelism=5))
+    return inp.spark.createDataFrame([(auc,)], "cv_auc double").withColumn(
+        "n_rows", cut.where(~F.col("is_val")).agg(F.count(F.lit(1))).scalar())
+
+
+@register("c8_baselines")
+def c8_baselines(inp):
+    """Test AUC of a stratified random guess, logistic regression and the boosted trees."""
+    train = inp.split.where(F.col("split") == "train").drop("split")
+    test = inp.split.where(F.col("split") == "test").drop("split")
+    return classify.baselines(train, test, inp.classifier)
