@@ -160,3 +160,12 @@ class Inputs:
 
 
 _MODELS: dict = {}
+
+
+def _forecaster(inp: "Inputs"):
+    from ..operators.forecast import train_forecaster
+
+    return inp._memo("forecaster", lambda: train_forecaster(inp.monthly))
+
+
+Inputs.forecaster = property(_forecaster)

@@ -821,3 +821,64 @@ def c8_baselines(inp):
     train = inp.split.where(F.col("split") == "train").drop("split")
     test = inp.split.where(F.col("split") == "test").drop("split")
     return classify.baselines(train, test, inp.classifier)
+
+
+# ----------------------------------------------------------------------------------------------
+# 2.8 M15, M18-M22, P9-P11: quantile forecasts (model outputs: rows-only checks)
+# ----------------------------------------------------------------------------------------------
+from ..operators import forecast  # noqa: E402
+
+
+@register("m22_forecast_training_results")
+def m22_forecast_training_results(inp):
+    """Pinball loss per (model, horizon, quantile) on each slice's last 20 % of months."""
+    return inp.forecaster.results
+
+
+@register("m18_segment_models")
+def m18_segment_models(inp):
+    """Segment eligibility with the trained flag and reason per region."""
+    return inp.forecaster.summary
+
+
+@register("m21_forecast_portfolio")
+def m21_forecast_portfolio(inp):
+    """30 / 60 / 90-day collection quantiles for the whole portfolio."""
+    return forecast.generate_forecast(inp.forecaster, inp.monthly)
+
+
+@register("m21_forecast_region")
+def m21_forecast_region(inp):
+    """Forecast for the first region (segment model when eligible, else global + fallback)."""
+    first = inp.monthly.where("ALL_REGION = 0 AND ALL_INDUSTRY = 1").agg(F.min("REGION")).first()[0]
+    return forecast.generate_forecast(inp.forecaster, inp.monthly, region=first)
+
+
+@precision({"collections_m": 9})
+@register("p9_history_band", O.rounded(O.with_prefix(*O.SCORED, *O.MONTHLY_CTES,
+    "h AS (SELECT COLLECT_MONTH, ACTUAL_COLLECTIONS / CAST(1000000 AS DOUBLE) AS cm FROM monthly "
+    "WHERE ALL_REGION = 1 AND ALL_INDUSTRY = 1 ORDER BY COLLECT_MONTH DESC LIMIT 18)",
+    """b AS (SELECT COLLECT_MONTH, cm,
+      CASE WHEN count(cm) OVER (ORDER BY COLLECT_MONTH ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) >= 2
+           THEN stddev_samp(cm) OVER (ORDER BY COLLECT_MONTH ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) END AS s,
+      stddev_samp(cm) OVER () AS alls FROM h)""",
+    """c AS (SELECT COLLECT_MONTH, cm, coalesce(s, greatest(coalesce(alls * 0.25, 0.15), 0.15)) AS sd FROM b)""",
+    select="SELECT COLLECT_MONTH, cm AS collections_m, sd AS band_std, cm + sd AS upper_m, greatest(cm - sd, 0.0) AS lower_m FROM c"),
+    ["band_std", "upper_m", "lower_m"]))
+def p9_history_band(inp):
+    """Last 18 months of portfolio collections ($M) with a rolling variability band."""
+    return forecast.history_band(monthly.select_slice(inp.monthly))
+
+
+@register("p10_forecast_points")
+def p10_forecast_points(inp):
+    """Forecast chart points: last month + horizon days, quantiles in $M."""
+    overall = monthly.select_slice(inp.monthly)
+    return forecast.forecast_points(overall, forecast.generate_forecast(inp.forecaster, inp.monthly))
+
+
+@register("p11_export_summary_with_forecast")
+def p11_export_summary_with_forecast(inp):
+    """Audit-export preview including the 30-day median forecast."""
+    fc = forecast.generate_forecast(inp.forecaster, inp.monthly)
+    return portfolio.export_summary(inp.model_scored, inp.classifier.threshold, fc)
