@@ -169,3 +169,38 @@ def _forecaster(inp: "Inputs"):
 
 
 Inputs.forecaster = property(_forecaster)
+
+
+def _report_attributions(inp: "Inputs"):
+    """X2 on the top-N flagged invoices (32 sampled permutations each), memoised."""
+    from ..operators import attribution
+
+    def build():
+        top = attribution.top_flagged(inp.model_scored)
+        bg = attribution.background(inp.feature_store)
+        phi, base = attribution.shapley(inp.classifier, top, bg, n_samples=32)
+        return top, inp_materialize(phi, "report_phi", inp), inp_materialize(base, "report_base", inp)
+
+    return inp._memo("report_attr", build)
+
+
+def _portfolio_attributions(inp: "Inputs"):
+    """X2 over every feature-store invoice with 4 sampled permutations (portfolio views)."""
+    from ..operators import attribution
+
+    def build():
+        bg = attribution.background(inp.feature_store)
+        phi, base = attribution.shapley(inp.classifier, inp.feature_store, bg, n_samples=4)
+        return inp_materialize(phi, "portfolio_phi", inp), inp_materialize(base, "portfolio_base", inp)
+
+    return inp._memo("portfolio_attr", build)
+
+
+def inp_materialize(df, name, inp):
+    from ..session import materialize
+
+    return materialize(df, name, inp.sf_dir)
+
+
+Inputs.report_attributions = property(_report_attributions)
+Inputs.portfolio_attributions = property(_portfolio_attributions)

@@ -882,3 +882,71 @@ def p11_export_summary_with_forecast(inp):
     """Audit-export preview including the 30-day median forecast."""
     fc = forecast.generate_forecast(inp.forecaster, inp.monthly)
     return portfolio.export_summary(inp.model_scored, inp.classifier.threshold, fc)
+
+
+# ----------------------------------------------------------------------------------------------
+# 2.9 X: attributions, narratives, audit checks (model outputs: rows-only checks)
+# ----------------------------------------------------------------------------------------------
+from ..functions.narrative import narrative  # noqa: E402
+from ..operators import attribution  # noqa: E402
+
+
+def risk_report(inp):
+    top, phi, _ = inp.report_attributions
+    arr = attribution.phi_array(phi)
+    rows = top.join(arr, "BELNR")
+    return rows.withColumn("NARRATIVE", narrative(F.col("LATE_PROB"), inp.classifier.threshold, F.col("SHAP_VALUES")))
+
+
+@register("x7_risk_report")
+def x7_risk_report(inp):
+    """Top-20 flagged invoices with attribution arrays and audit narratives."""
+    return risk_report(inp).drop("split")
+
+
+@register("x2_report_attributions")
+def x2_report_attributions(inp):
+    """Per-invoice, per-feature margin contributions with base and model margin (additive)."""
+    _, phi, base = inp.report_attributions
+    return phi.join(base, "BELNR")
+
+
+@register("x3_global_importance")
+def x3_global_importance(inp):
+    """Mean |contribution| per feature over the whole portfolio, ranked."""
+    phi, _ = inp.portfolio_attributions
+    return attribution.global_importance(phi)
+
+
+@register("x4_waterfall")
+def x4_waterfall(inp):
+    """Top-8 drivers per reported invoice with value and direction."""
+    top, phi, _ = inp.report_attributions
+    return attribution.waterfall(phi, top)
+
+
+@register("x8_contributions_by_tier")
+def x8_contributions_by_tier(inp):
+    """Mean contribution per (risk tier, feature)."""
+    phi, _ = inp.portfolio_attributions
+    return attribution.contributions_by_tier(phi, inp.feature_store)
+
+
+@register("x9_dependence")
+def x9_dependence(inp):
+    """CUST_LATE_RATE contribution against its value, coloured by CUST_AVG_DAYS_LATE."""
+    phi, _ = inp.portfolio_attributions
+    return attribution.dependence(phi, inp.feature_store, "CUST_LATE_RATE", "CUST_AVG_DAYS_LATE")
+
+
+@register("x10_extremes")
+def x10_extremes(inp):
+    """The single highest- and lowest-risk invoices."""
+    return attribution.extremes(inp.model_scored).select("which", "BELNR", "KUNNR", "LATE_PROB", "RISK_TIER")
+
+
+@register("x11_audit_checks")
+def x11_audit_checks(inp):
+    """Six explanation / calibration policy checks with PASS / FAIL / SKIP."""
+    phi, _ = inp.portfolio_attributions
+    return attribution.audit_checks(phi, inp.model_scored)
