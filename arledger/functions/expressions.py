@@ -30,9 +30,10 @@ def lookup(col: Column | str, mapping: Mapping, default=None) -> Column:
     return hit if default is None else F.coalesce(hit, F.lit(default))
 
 
-def to_double(df: DataFrame, name: str) -> Column:
-    """Numeric-or-null (pandas ``to_numeric(errors='coerce')``); NaN becomes NULL."""
-    dtype = df.schema[name].dataType
+def to_double(df: DataFrame | T.DataType, name: str) -> Column:
+    """Numeric-or-null (pandas ``to_numeric(errors='coerce')``); NaN becomes NULL.
+    ``df`` may be the column's data type (avoids re-analysing a plan per column)."""
+    dtype = df if isinstance(df, T.DataType) else df.schema[name].dataType
     if isinstance(dtype, T.StringType):
         v = F.expr(f"try_cast(trim(`{name}`) AS DOUBLE)")
     else:
@@ -40,9 +41,9 @@ def to_double(df: DataFrame, name: str) -> Column:
     return F.nanvl(v, F.lit(None).cast("double"))
 
 
-def to_date(df: DataFrame, name: str) -> Column:
+def to_date(df: DataFrame | T.DataType, name: str) -> Column:
     """Date-or-null (pandas ``to_datetime(errors='coerce')``)."""
-    dtype = df.schema[name].dataType
+    dtype = df if isinstance(df, T.DataType) else df.schema[name].dataType
     if isinstance(dtype, T.StringType):
         return F.expr(f"try_to_date(trim(`{name}`))")
     return F.col(name).cast("date")

@@ -84,28 +84,22 @@ def invoice_history(df: DataFrame) -> DataFrame:
     """Typed dates and amount; STATUS, DAYS_LATE, LATE_FLAG derived only if absent.
 
     LATE_FLAG is 0.0 when AUGDT is set but FAEDT is null (a null comparison counts as false).
+    One projection built from a single schema lookup.
     """
-    cols = set(df.columns)
-    out = df
-    for c in ("BLDAT", "FAEDT", "AUGDT"):
-        if c in cols:
-            out = out.withColumn(c, to_date(out, c))
-    if "STATUS" not in cols:
-        out = out.withColumn("STATUS", F.when(F.col("AUGDT").isNull(), "OPEN").otherwise("CLEARED"))
-    if "DAYS_LATE" not in cols:
-        out = out.withColumn(
-            "DAYS_LATE",
-            F.when(F.col("AUGDT").isNotNull(), F.datediff("AUGDT", "FAEDT").cast("double")),
-        )
-    if "LATE_FLAG" not in cols:
-        out = out.withColumn(
-            "LATE_FLAG",
-            F.when(
-                F.col("AUGDT").isNotNull(),
-                F.coalesce(F.col("DAYS_LATE") > 0, F.lit(False)).cast("double"),
-            ),
-        )
-    return out.withColumn("DMBTR", to_double(out, "DMBTR"))
+    types = {f.name: f.dataType for f in df.schema.fields}
+    typed = {c: to_date(types[c], c) for c in ("BLDAT", "FAEDT", "AUGDT") if c in types}
+    typed["DMBTR"] = to_double(types["DMBTR"], "DMBTR")
+    out = [typed[c].alias(c) if c in typed else F.col(c) for c in df.columns]
+    augdt, faedt = typed.get("AUGDT"), typed.get("FAEDT")
+    days = F.when(augdt.isNotNull(), F.datediff(augdt, faedt).cast("double"))
+    if "STATUS" not in types:
+        out.append(F.when(augdt.isNull(), "OPEN").otherwise("CLEARED").alias("STATUS"))
+    if "DAYS_LATE" not in types:
+        out.append(days.alias("DAYS_LATE"))
+    if "LATE_FLAG" not in types:
+        dl = days if "DAYS_LATE" not in types else F.col("DAYS_LATE")
+        out.append(F.when(augdt.isNotNull(), F.coalesce(dl > 0, F.lit(False)).cast("double")).alias("LATE_FLAG"))
+    return df.select(*out)
 
 
 def _period_number(col_text) -> F.Column:

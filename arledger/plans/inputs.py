@@ -49,7 +49,8 @@ class Inputs:
         from ..operators.features import build_feature_store
         from ..session import materialize
 
-        return materialize(build_feature_store(self.customers, self.invoices, self.gl), "feature_store", self.sf_dir)
+        return materialize(lambda: build_feature_store(self.customers, self.invoices, self.gl), "feature_store",
+                           self.sf_dir, self.spark)
 
     @property
     def aging(self) -> DataFrame:
@@ -76,8 +77,9 @@ class Inputs:
         from ..operators.features import time_split
         from ..session import materialize
 
-        scored = scoring.predict(scoring.standin_probability(time_split(self.feature_store)), self.threshold)
-        return materialize(scored, "scored_split", self.sf_dir)
+        return materialize(
+            lambda: scoring.predict(scoring.standin_probability(time_split(self.feature_store)), self.threshold),
+            "scored_split", self.sf_dir, self.spark)
 
     @property
     def scored_test(self) -> DataFrame:
@@ -119,7 +121,8 @@ class Inputs:
         from ..operators.monthly import monthly_dataset
         from ..session import materialize
 
-        return materialize(monthly_dataset(self.invoices_segmented, self.gl, self.scored), "monthly", self.sf_dir)
+        return materialize(lambda: monthly_dataset(self.invoices_segmented, self.gl, self.scored), "monthly",
+                           self.sf_dir, self.spark)
 
     # ---- trained models (fitted once per session and data directory) --------------------------
     def _memo(self, name, build):
@@ -133,7 +136,7 @@ class Inputs:
         from ..operators.features import time_split
         from ..session import materialize
 
-        return materialize(time_split(self.feature_store), "feature_store_split", self.sf_dir)
+        return materialize(lambda: time_split(self.feature_store), "feature_store_split", self.sf_dir, self.spark)
 
     @property
     def classifier(self):
@@ -156,7 +159,7 @@ class Inputs:
         """Feature store scored by the trained classifier (C7), with the split column."""
         from ..session import materialize
 
-        return materialize(self.classifier.predict(self.split), "model_scored", self.sf_dir)
+        return materialize(lambda: self.classifier.predict(self.split), "model_scored", self.sf_dir, self.spark)
 
 
 _MODELS: dict = {}

@@ -53,20 +53,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-_MATERIALIZED: dict[tuple, str] = {}
+_MATERIALIZED: dict[tuple, DataFrame] = {}
 
 
-def materialize(df: DataFrame, name: str, key: str = "") -> DataFrame:
-    """Write ``df`` once per session as Parquet under the shared checkpoint folder and return a
-    scan of it (lineage cut; later reads get column pruning and filter pushdown; a lost executor
-    re-reads files instead of recomputing the upstream shuffles)."""
-    spark = df.sparkSession
+def materialize(df, name: str, key: str = "", spark: SparkSession | None = None) -> DataFrame:
+    """Write a DataFrame once per session as Parquet under the shared checkpoint folder and
+    return a scan of it (lineage cut; later reads get column pruning and filter pushdown; a
+    lost executor re-reads files instead of recomputing upstream shuffles).
+
+    ``df`` may be a zero-argument callable building the DataFrame: it is only called when the
+    table is not yet written in this session (plan construction itself costs analysis time).
+    """
+    if spark is None:
+        spark = df.sparkSession if isinstance(df, DataFrame) else SparkSession.getActiveSession()
     memo_key = (spark.sparkContext.applicationId, name, key)
-    path = _MATERIALIZED.get(memo_key)
-    if path is None:
+    scan = _MATERIALIZED.get(memo_key)
+    if scan is None:
+        frame = df() if callable(df) and not isinstance(df, DataFrame) else df
         base = checkpoint_dir(spark).rstrip("/")
         tag = abs(hash(key)) % (10**10)
         path = f"{base}/arledger-tables/{name}-{tag}"
-        df.write.mode("overwrite").parquet(path)
-        _MATERIALIZED[memo_key] = path
-    return spark.read.parquet(path)
+        frame.write.mode("overwrite").parquet(path)
+        scan = spark.read.parquet(path)
+        _MATERIALIZED[memo_key] = scan
+    return scan

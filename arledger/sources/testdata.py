@@ -23,8 +23,16 @@ from ..functions.expressions import lookup
 TERM_CODES = list(PAYMENT_TERMS)
 
 
+_SCANS: dict[tuple, DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """Scan of one driver table (the scan object is reused within a session: the tables are
+    read-only, and re-listing files and footers per query only costs planning time)."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _SCANS:
+        _SCANS[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _SCANS[key]
 
 
 def invoice_history(spark: SparkSession, sf_dir: str) -> DataFrame:
