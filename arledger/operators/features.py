@@ -39,14 +39,14 @@ def customer_history(cleared: DataFrame, key: str = "KUNNR", date: str = "BLDAT"
     ties = [c for c in ORDER_TIEBREAK if c in cleared.columns]
     w_day = Window.partitionBy(key, date).orderBy(*ties)
     prior = w_day.rowsBetween(Window.unboundedPreceding, -1)
-    whole = w_day.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     dl, lf, amt = F.col("DAYS_LATE"), F.col("LATE_FLAG"), F.col("DMBTR")
-    pos = F.struct(dl.alias("v"))  # keeps NULL positions for the rolling mean
+    rn = F.col("_rn")
 
+    # level 1: running (exclusive) aggregates inside the customer-day, one window operator
     level1 = cleared.select(
         "*",
         F.row_number().over(w_day).alias("_rn"),
-        # in-day prior rows
+        F.lead(F.lit(1)).over(w_day).isNull().alias("_last"),
         F.sum(dl).over(prior).alias("_p_sdl"),
         F.count(dl).over(prior).alias("_p_ndl"),
         F.sum(lf).over(prior).alias("_p_slf"),
@@ -54,23 +54,31 @@ def customer_history(cleared: DataFrame, key: str = "KUNNR", date: str = "BLDAT"
         F.sum(amt).over(prior).alias("_p_samt"),
         F.count(amt).over(prior).alias("_p_namt"),
         F.max(amt).over(prior).alias("_p_mx"),
-        F.collect_list(pos).over(w_day.rowsBetween(-3, -1)).alias("_p_last3"),
-        # whole-day totals
-        F.count(F.lit(1)).over(whole).alias("_d_n"),
-        F.sum(dl).over(whole).alias("_d_sdl"),
-        F.count(dl).over(whole).alias("_d_ndl"),
-        F.sum(lf).over(whole).alias("_d_slf"),
-        F.count(lf).over(whole).alias("_d_nlf"),
-        F.sum(amt).over(whole).alias("_d_samt"),
-        F.count(amt).over(whole).alias("_d_namt"),
-        F.max(amt).over(whole).alias("_d_mx"),
-        F.collect_list(pos).over(w_day.rowsBetween(-2, 0)).alias("_d_tail"),
+        *[F.lag(dl, k).over(w_day).alias(f"_l{k}") for k in (1, 2, 3)],
     )
 
-    # one row per customer-day: the last row of the day carries the day's last three values
-    days = level1.filter(F.col("_rn") == F.col("_d_n")).select(
-        key, date, "_d_n", "_d_sdl", "_d_ndl", "_d_slf", "_d_nlf", "_d_samt", "_d_namt", "_d_mx", "_d_tail"
+    def pos(value, exists):  # a position of the rolling window; NULL values still take a slot
+        return F.when(exists, F.struct(value.alias("v")))
+
+    def present(*items):
+        return F.filter(F.array(*items), lambda e: e.isNotNull())
+
+    # the last row of a day carries the day totals (running value + own value)
+    n0 = lambda c: F.coalesce(c, F.lit(0))
+    days = level1.where("_last").select(
+        key, date,
+        rn.alias("_d_n"),
+        (n0(F.col("_p_sdl")) + n0(dl)).alias("_d_sdl"),
+        (F.col("_p_ndl") + dl.isNotNull().cast("long")).alias("_d_ndl"),
+        (n0(F.col("_p_slf")) + n0(lf)).alias("_d_slf"),
+        (F.col("_p_nlf") + lf.isNotNull().cast("long")).alias("_d_nlf"),
+        F.when(F.col("_p_samt").isNull() & amt.isNull(), F.lit(None).cast("double"))
+        .otherwise(n0(F.col("_p_samt")) + n0(amt)).alias("_d_samt"),
+        (F.col("_p_namt") + amt.isNotNull().cast("long")).alias("_d_namt"),
+        F.greatest(F.col("_p_mx"), amt).alias("_d_mx"),
+        present(pos(F.col("_l2"), rn >= 3), pos(F.col("_l1"), rn >= 2), pos(dl, F.lit(True))).alias("_d_tail"),
     )
+    # level 2: prefix over the days of a customer (one row per customer-day)
     w_c = Window.partitionBy(key).orderBy(date)
     before = w_c.rowsBetween(Window.unboundedPreceding, -1)
     day_prefix = days.select(
@@ -88,23 +96,25 @@ def customer_history(cleared: DataFrame, key: str = "KUNNR", date: str = "BLDAT"
         F.flatten(F.collect_list("_d_tail").over(w_c.rowsBetween(-3, -1))).alias("_c_tail"),
     )
 
+    # level 3: join the day prefix back (the fact side is already partitioned on the keys)
     j = level1.join(day_prefix, [key, date], "inner")
-    n_prior = (_sum0(F.col("_c_n")) + F.col("_rn") - 1).cast("int")
-    sdl = _sum0(F.col("_c_sdl")) + _sum0(F.col("_p_sdl"))
-    ndl = _sum0(F.col("_c_ndl")) + _sum0(F.col("_p_ndl"))
-    slf = _sum0(F.col("_c_slf")) + _sum0(F.col("_p_slf"))
-    nlf = _sum0(F.col("_c_nlf")) + _sum0(F.col("_p_nlf"))
+    n_prior = (n0(F.col("_c_n")) + rn - 1).cast("int")
+    sdl = n0(F.col("_c_sdl")) + n0(F.col("_p_sdl"))
+    ndl = n0(F.col("_c_ndl")) + n0(F.col("_p_ndl"))
+    slf = n0(F.col("_c_slf")) + n0(F.col("_p_slf"))
+    nlf = n0(F.col("_c_nlf")) + n0(F.col("_p_nlf"))
     samt = F.when(F.col("_c_samt").isNull() & F.col("_p_samt").isNull(), F.lit(None)).otherwise(
-        _sum0(F.col("_c_samt")) + _sum0(F.col("_p_samt"))
+        n0(F.col("_c_samt")) + n0(F.col("_p_samt"))
     )
-    namt = _sum0(F.col("_c_namt")) + _sum0(F.col("_p_namt"))
+    namt = n0(F.col("_c_namt")) + n0(F.col("_p_namt"))
     avg_dl = F.coalesce(safe_div(sdl, ndl.cast("double")), F.lit(0.0))
     avg_lf = F.coalesce(safe_div(slf, nlf.cast("double")), F.lit(0.0))
     avg_amt = F.coalesce(F.when(namt > 0, samt / namt), amt)
 
-    tail = F.concat(F.coalesce(F.col("_c_tail"), F.array()), F.col("_p_last3"))
+    in_day = present(pos(F.col("_l3"), rn >= 4), pos(F.col("_l2"), rn >= 3), pos(F.col("_l1"), rn >= 2))
+    tail = F.concat(F.coalesce(F.col("_c_tail"), F.array().cast("array<struct<v:double>>")), in_day)
     last3 = F.slice(tail, F.greatest(F.size(tail) - 2, F.lit(1)), 3)
-    vals = F.filter(F.transform(last3, lambda s: s["v"]), lambda x: x.isNotNull())
+    vals = F.filter(F.transform(last3, lambda e: e["v"]), lambda x: x.isNotNull())
     roll_sum = F.aggregate(vals, F.lit(0.0), lambda acc, x: acc + x)
     roll = F.when(F.size(vals) > 0, roll_sum / F.size(vals))
 
@@ -188,13 +198,16 @@ def amount_bucket(df: DataFrame, col: str = "DMBTR") -> DataFrame:
     return df.withColumn("AMOUNT_BUCKET", F.when(x.isNull(), F.lit(-1)).otherwise(code).cast("int"))
 
 
-def category_codes(df: DataFrame, cols=("INDUSTRY", "REGION")) -> DataFrame:
+def category_codes(df: DataFrame, cols=("INDUSTRY", "REGION"), labels_from: DataFrame | None = None) -> DataFrame:
     """code = 0-based rank of the label among the sorted distinct labels present in the
     data; NULL label gives -1. The label set is a closed code list (a handful of values), so the
-    mapping is broadcast; it is computed from the data (one small aggregate)."""
+    mapping is broadcast. ``labels_from`` is a cheaper frame with the same label values (the
+    customer dimension restricted to customers with cleared invoices), so the distinct-label job
+    does not re-run the history windows."""
     out = df
+    src = df if labels_from is None else labels_from
     for c in cols:
-        labels = df.select(c).where(F.col(c).isNotNull()).distinct()
+        labels = src.select(c).where(F.col(c).isNotNull()).distinct()
         codes = labels.select(
             c, (F.row_number().over(Window.orderBy(c)) - 1).cast("int").alias(f"{c}_CODE")
         )
@@ -228,7 +241,9 @@ def build_feature_store(customers: DataFrame, invoices: DataFrame, gl: DataFrame
     # (static stats or AQE at runtime) and falls back to a shuffle join beyond it.
     out = hist.join(dim, "KUNNR", "left")
     out = invoice_features(out)
-    out = category_codes(out)
+    # labels present = labels of customers that have cleared invoices (semi join on keys)
+    present = dim.join(cleared.select("KUNNR").distinct(), "KUNNR", "left_semi")
+    out = category_codes(out, labels_from=present)
     out = gl_context(out, gl)
     out = out.withColumn("INVOICE_TO_CREDIT_RATIO", safe_div(F.col("DMBTR"), F.col("KLIMK"), 0.0))
     out = out.withColumn("RISK_TIER", risk_tier(F.col("CUST_LATE_RATE")))

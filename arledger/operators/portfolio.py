@@ -215,20 +215,25 @@ def describe(fs: DataFrame, cols: list[str] = FEATURE_COLS) -> DataFrame:
 
 
 def correlation_long(fs: DataFrame, cols: list[str]) -> DataFrame:
-    """P25: Pearson correlation of every pair (both orders and the diagonal), one aggregate."""
-    aggs, names = [], []
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            names.append((a, b))
-            aggs.append(F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}"))
-    one = fs.agg(*aggs)
+    """P25: Pearson correlation of every ordered pair (and the diagonal).
+
+    Two passes instead of one aggregate per pair: the column means (one row, attached as a
+    scalar struct subquery), then one aggregate of centred cross products - plain sums that
+    stay inside whole-stage codegen. Rows with a NULL in any of the columns are left out (the
+    feature store has none after F27)."""
+    x = fs.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
+    means = x.agg(F.struct(*[F.avg(c).alias(c) for c in cols])).scalar()
+    centred = x.select(*[(F.col(c) - means[c]).alias(c) for c in cols])
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    sums = centred.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}__{b}") for a, b in pairs])
     items = []
-    for a, b in names:
-        items += [f"'{a}'", f"'{b}'", f"`{a}__{b}`"]
+    for a, b in pairs:
+        r = f"`{a}__{b}` / sqrt(`{a}__{a}` * `{b}__{b}`)"
+        items += [f"'{a}'", f"'{b}'", r]
         if a != b:
-            items += [f"'{b}'", f"'{a}'", f"`{a}__{b}`"]
+            items += [f"'{b}'", f"'{a}'", r]
     n = len(items) // 3
-    return one.select(F.expr(f"stack({n}, {', '.join(items)}) AS (feature_a, feature_b, corr)"))
+    return sums.select(F.expr(f"stack({n}, {', '.join(items)}) AS (feature_a, feature_b, corr)"))
 
 
 def target_correlation(fs: DataFrame, cols: list[str] = FEATURE_COLS, target: str = TARGET_COL) -> DataFrame:
