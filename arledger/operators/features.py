@@ -12,8 +12,9 @@ computed in two levels:
 3. the day prefix is joined back on (KUNNR, BLDAT) - the fact side is already partitioned on
    exactly those keys, so only the small day table moves.
 
-F6 (mean of the previous three rows, NULL positions included) carries the last three values of
-each day as a bounded array, so the rolling window crosses day boundaries without a wide frame.
+F6 (mean of the previous three rows, NULL positions included) uses in-day lags plus the last
+three values of the previous days (lags on the day table), so the rolling window crosses day
+boundaries without a wide frame and without array lambdas.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ def _sum0(c: Column) -> Column:
 
 
 def customer_history(cleared: DataFrame, key: str = "KUNNR", date: str = "BLDAT") -> DataFrame:
-    """F1-F9 on cleared rows. Adds CUST_AVG_DAYS_LATE, CUST_LATE_RATE, CUST_INVOICE_COUNT,
+    """F1-F9 on cleared rows (scalar window functions only, all inside whole-stage codegen).
+    Adds CUST_AVG_DAYS_LATE, CUST_LATE_RATE, CUST_INVOICE_COUNT,
     CUST_AVG_AMOUNT, CUST_TOTAL_EXPOSURE, CUST_ROLLING3_DAYS_LATE, CUST_MAX_INVOICE,
     CUST_LATE_TREND, CUST_AMOUNT_CONCENTRATION."""
     ties = [c for c in ORDER_TIEBREAK if c in cleared.columns]
@@ -57,13 +59,8 @@ def customer_history(cleared: DataFrame, key: str = "KUNNR", date: str = "BLDAT"
         *[F.lag(dl, k).over(w_day).alias(f"_l{k}") for k in (1, 2, 3)],
     )
 
-    def pos(value, exists):  # a position of the rolling window; NULL values still take a slot
-        return F.when(exists, F.struct(value.alias("v")))
-
-    def present(*items):
-        return F.filter(F.array(*items), lambda e: e.isNotNull())
-
-    # the last row of a day carries the day totals (running value + own value)
+    # the last row of a day carries the day totals (running value + own value) and the day's
+    # last three values (d1 = last row, d2, d3; a day with fewer rows leaves them unused)
     n0 = lambda c: F.coalesce(c, F.lit(0))
     days = level1.where("_last").select(
         key, date,
@@ -76,7 +73,7 @@ def customer_history(cleared: DataFrame, key: str = "KUNNR", date: str = "BLDAT"
         .otherwise(n0(F.col("_p_samt")) + n0(amt)).alias("_d_samt"),
         (F.col("_p_namt") + amt.isNotNull().cast("long")).alias("_d_namt"),
         F.greatest(F.col("_p_mx"), amt).alias("_d_mx"),
-        present(pos(F.col("_l2"), rn >= 3), pos(F.col("_l1"), rn >= 2), pos(dl, F.lit(True))).alias("_d_tail"),
+        dl.alias("_d1"), F.col("_l1").alias("_d2"), F.col("_l2").alias("_d3"),
     )
     # level 2: prefix over the days of a customer (one row per customer-day)
     w_c = Window.partitionBy(key).orderBy(date)
@@ -92,8 +89,9 @@ def customer_history(cleared: DataFrame, key: str = "KUNNR", date: str = "BLDAT"
         F.sum("_d_samt").over(before).alias("_c_samt"),
         F.sum("_d_namt").over(before).alias("_c_namt"),
         F.max("_d_mx").over(before).alias("_c_mx"),
-        # every day has >= 1 row, so the previous three days hold the previous three rows
-        F.flatten(F.collect_list("_d_tail").over(w_c.rowsBetween(-3, -1))).alias("_c_tail"),
+        # the three rows before this day, most recent first (c1, c2, c3): walk back over the
+        # previous days' last values; every day has >= 1 row, so three days always suffice
+        *_previous_three(w_c),
     )
 
     # level 3: join the day prefix back (the fact side is already partitioned on the keys)
@@ -111,12 +109,16 @@ def customer_history(cleared: DataFrame, key: str = "KUNNR", date: str = "BLDAT"
     avg_lf = F.coalesce(safe_div(slf, nlf.cast("double")), F.lit(0.0))
     avg_amt = F.coalesce(F.when(namt > 0, samt / namt), amt)
 
-    in_day = present(pos(F.col("_l3"), rn >= 4), pos(F.col("_l2"), rn >= 3), pos(F.col("_l1"), rn >= 2))
-    tail = F.concat(F.coalesce(F.col("_c_tail"), F.array().cast("array<struct<v:double>>")), in_day)
-    last3 = F.slice(tail, F.greatest(F.size(tail) - 2, F.lit(1)), 3)
-    vals = F.filter(F.transform(last3, lambda e: e["v"]), lambda x: x.isNotNull())
-    roll_sum = F.aggregate(vals, F.lit(0.0), lambda acc, x: acc + x)
-    roll = F.when(F.size(vals) > 0, roll_sum / F.size(vals))
+    # rolling window of the previous three rows: in-day lags first, then the rows of earlier days
+    p = rn - 1  # earlier rows of the same day
+    have = p + n0(F.col("_c_n"))  # earlier rows of the customer
+    w1 = F.when(p >= 1, F.col("_l1")).otherwise(F.col("_c1"))
+    w2 = F.when(p >= 2, F.col("_l2")).when(p == 1, F.col("_c1")).otherwise(F.col("_c2"))
+    w3 = F.when(p >= 3, F.col("_l3")).when(p == 2, F.col("_c1")).when(p == 1, F.col("_c2")).otherwise(F.col("_c3"))
+    slots = [(w1, have >= 1), (w2, have >= 2), (w3, have >= 3)]
+    cnt = sum((e & v.isNotNull()).cast("int") for v, e in slots)
+    tot = sum(F.when(e & v.isNotNull(), v).otherwise(F.lit(0.0)) for v, e in slots)
+    roll = F.when(cnt > 0, tot / cnt)
 
     out = j.select(
         *[F.col(c) for c in cleared.columns],
@@ -136,6 +138,20 @@ def customer_history(cleared: DataFrame, key: str = "KUNNR", date: str = "BLDAT"
     return out.drop("_roll")
 
 
+def _previous_three(w_c) -> list[Column]:
+    """c1..c3: the last three rows before the current day, from lags over the day table."""
+    n1, n2 = F.lag("_d_n", 1).over(w_c), F.lag("_d_n", 2).over(w_c)
+    c1 = F.lag("_d1", 1).over(w_c)
+    c2 = F.when(n1 >= 2, F.lag("_d2", 1).over(w_c)).otherwise(F.lag("_d1", 2).over(w_c))
+    c3 = (
+        F.when(n1 >= 3, F.lag("_d3", 1).over(w_c))
+        .when(n1 == 2, F.lag("_d1", 2).over(w_c))
+        .when(n2 >= 2, F.lag("_d2", 2).over(w_c))
+        .otherwise(F.lag("_d1", 3).over(w_c))
+    )
+    return [c1.alias("_c1"), c2.alias("_c2"), c3.alias("_c3")]
+
+
 def customer_history_single_window(cleared: DataFrame, key: str = "KUNNR") -> DataFrame:
     """Reference formulation of F1-F9 with one customer window (used by tests as brute force)."""
     ties = [c for c in ORDER_TIEBREAK if c in cleared.columns]
