@@ -304,3 +304,34 @@ def export_summary(scored: DataFrame, threshold: float, forecast: DataFrame | No
 def risk_band(prob: Column) -> Column:
     """P12 colour band: >= .7 high, >= .5 elevated, else normal."""
     return F.when(prob >= 0.7, "high").when(prob >= 0.5, "elevated").otherwise("normal")
+
+
+def report_invoice_table(flagged_top: DataFrame) -> DataFrame:
+    """P12 invoice table: invoice, customer (first 12 characters), industry, amount, due date,
+    score and its colour band."""
+    return flagged_top.select(
+        F.col("BELNR").alias("Invoice"),
+        F.substring(F.col("KUNNR").cast("string"), 1, 12).alias("Customer"),
+        F.col("INDUSTRY").alias("Industry"),
+        F.col("DMBTR").alias("Amount"),
+        F.col("FAEDT").alias("Due_Date"),
+        F.col("LATE_PROB").alias("Risk_Score"),
+        risk_band(F.col("LATE_PROB")).alias("Risk_Band"),
+    )
+
+
+def report_summary_table(flagged_top: DataFrame, cv_auc: float | None, threshold: float) -> DataFrame:
+    """P12 summary table: (metric, value) rows for the audit export."""
+    agg = flagged_top.agg(
+        F.count(F.lit(1)).cast("double").alias("n"),
+        F.coalesce(F.sum("DMBTR"), F.lit(0.0)).alias("ar"),
+        F.avg("LATE_PROB").alias("risk"),
+    )
+    rows = F.array(
+        F.struct(F.lit("Flagged invoices").alias("metric"), F.col("n").alias("value")),
+        F.struct(F.lit("Total at-risk AR").alias("metric"), F.col("ar").alias("value")),
+        F.struct(F.lit("Average risk score").alias("metric"), F.col("risk").alias("value")),
+        F.struct(F.lit("Model CV AUC-ROC").alias("metric"), F.lit(cv_auc).cast("double").alias("value")),
+        F.struct(F.lit("Risk threshold").alias("metric"), F.lit(float(threshold)).alias("value")),
+    )
+    return agg.select(F.explode(rows).alias("r")).select("r.*")

@@ -950,3 +950,27 @@ def x11_audit_checks(inp):
     """Six explanation / calibration policy checks with PASS / FAIL / SKIP."""
     phi, _ = inp.portfolio_attributions
     return attribution.audit_checks(phi, inp.model_scored)
+
+
+@register("p12_report_invoice_table", O.rounded(O.with_prefix(*O.SCORED, select=(
+    "SELECT BELNR AS Invoice, substr(CAST(KUNNR AS VARCHAR), 1, 12) AS Customer, INDUSTRY AS Industry, DMBTR AS Amount, "
+    "FAEDT AS Due_Date, LATE_PROB AS Risk_Score, CASE WHEN LATE_PROB >= CAST(0.7 AS DOUBLE) THEN 'high' "
+    "WHEN LATE_PROB >= CAST(0.5 AS DOUBLE) THEN 'elevated' ELSE 'normal' END AS Risk_Band FROM scored "
+    f"WHERE LATE_PROB >= {_T} ORDER BY LATE_PROB DESC, BELNR ASC LIMIT 20")), ["Amount", "Risk_Score"]))
+def p12_report_invoice_table(inp):
+    """Audit-export invoice table (top 20 flagged) with the risk colour band."""
+    return portfolio.report_invoice_table(portfolio.top_risk_queue(inp.scored, inp.threshold))
+
+
+@register("p12_report_summary_table")
+def p12_report_summary_table(inp):
+    """Audit-export summary table on the fitted model's flagged invoices."""
+    m = inp.classifier
+    return portfolio.report_summary_table(portfolio.top_risk_queue(inp.model_scored, m.threshold), m.cv_auc, m.threshold)
+
+
+@register("p12_report_forecast_table")
+def p12_report_forecast_table(inp):
+    """Audit-export forecast table: horizon, quantiles and uncertainty."""
+    fc = forecast.generate_forecast(inp.forecaster, inp.monthly)
+    return fc.select("Horizon", "Lower_10pct", "Median_50pct", "Upper_90pct", "Uncertainty_Pct")
