@@ -461,3 +461,71 @@ MONTHLY_DOUBLES = [
 ]
 MONTHLY_MONEY = ["ACTUAL_COLLECTIONS", "OPEN_AR_TOTAL", "OPENING_CASH", "COLLECTIONS_LAG1", "COLLECTIONS_LAG2",
                  "COLLECTIONS_LAG3", "COLLECTIONS_ROLL3_MEAN"]
+
+
+# ---- narrative (X5) on stand-in contributions ---------------------------------------------------------
+def narrative_sql() -> str:
+    from ..constants import FEATURE_COLS, MONTH_ABBR
+
+    feats = FEATURE_COLS
+    months = "[" + ", ".join(f"'{m}'" for m in MONTH_ABBR) + "]"
+    rng = ", ".join(f"min(CAST({c} AS DOUBLE)) AS mn_{c}, max(CAST({c} AS DOUBLE)) AS mx_{c}" for c in feats)
+    phi = ", ".join(
+        f"CASE WHEN mx_{c} > mn_{c} THEN (CAST(2.0 AS DOUBLE) * CAST({c} AS DOUBLE) - mn_{c} - mx_{c}) / (mx_{c} - mn_{c}) "
+        f"ELSE 0.0 END AS phi_{c}" for c in feats)
+    i0 = "CAST(CAST(round_even({x}, 0) AS BIGINT) AS VARCHAR)"
+    t = {
+        "CUST_AVG_DAYS_LATE": "'  • Customer payment history: averaging ' || " + i0.format(x="CUST_AVG_DAYS_LATE")
+        + " || ' days late (' || CASE WHEN CUST_LATE_TREND > 2 THEN 'deteriorating' ELSE 'stable' END || ' trend)'",
+        "CUST_LATE_RATE": "'  • Customer late rate: ' || " + i0.format(x="CUST_LATE_RATE * 100")
+        + " || '% of historical invoices paid late'",
+        "CUST_INVOICE_COUNT": "'  • Limited payment history: only ' || CAST(CAST(CUST_INVOICE_COUNT AS BIGINT) AS VARCHAR)"
+        " || ' prior invoices (' || CASE WHEN CUST_INVOICE_COUNT < 5 THEN 'new relationship — insufficient data' "
+        "ELSE 'early stage' END || ')'",
+        "LOG_AMOUNT": "'  • Invoice size: $' || format('{:,}', CAST(round_even(DMBTR, 0) AS BIGINT)) || ' — ' || "
+        "CASE WHEN CUST_AMOUNT_CONCENTRATION > 1.5 THEN 'significantly above' ELSE 'above' END || "
+        "' customer average (requires additional approval steps)'",
+        "IS_QUARTER_END": f"'  • Quarter-end timing: invoice issued in ' || {months}[least(greatest(CAST(INVOICE_MONTH AS INTEGER), 1), 12)]"
+        " || ' — customer likely prioritising own close activities'",
+        "CUST_AVG_AMOUNT": "'  • Invoice materially ' || CASE WHEN phi_CUST_AVG_AMOUNT > 0 THEN 'larger' ELSE 'smaller' END || "
+        "' than this customer''s historical average — atypical transaction pattern'",
+        "PAYMENT_DAYS_NUM": "'  • Extended payment terms (' || CAST(CAST(PAYMENT_DAYS_NUM AS BIGINT) AS VARCHAR) || "
+        "' days) increase collection window and exposure duration'",
+        "INDUSTRY_CODE": "'  • Industry payment culture: sector shows ' || CASE WHEN phi_INDUSTRY_CODE > 0 THEN 'above' ELSE 'below' END"
+        " || '-average late payment rates in historical data'",
+        "REGION_CODE": "'  • Regional factor: region shows ' || CASE WHEN phi_REGION_CODE > 0 THEN 'above' ELSE 'below' END"
+        " || '-average payment punctuality historically'",
+        "INVOICE_MONTH": "'  • Seasonal timing: month ' || CAST(CAST(INVOICE_MONTH AS BIGINT) AS VARCHAR) || ' historically shows ' || "
+        "CASE WHEN phi_INVOICE_MONTH > 0 THEN 'lower' ELSE 'higher' END || ' collection rates'",
+    }
+    entries = ", ".join(
+        f"{{'neg': -phi_{c}, 'pos': phi_{c}, 'i': {i}, 'name': '{c}', 'text': {t.get(c, 'CAST(NULL AS VARCHAR)')}}}"
+        for i, c in enumerate(feats))
+    level = (f"CASE WHEN LATE_PROB >= CAST(0.7 AS DOUBLE) THEN 'HIGH RISK' WHEN LATE_PROB >= CAST({_threshold()} AS DOUBLE) "
+             "THEN 'ELEVATED RISK' ELSE 'MONITORED' END")
+    action = (f"CASE WHEN LATE_PROB >= CAST(0.7 AS DOUBLE) THEN 'Immediate escalation to senior collections' "
+              f"WHEN LATE_PROB >= CAST({_threshold()} AS DOUBLE) THEN 'Priority follow-up within 5 business days' "
+              "ELSE 'Standard collections workflow' END")
+    return with_prefix(
+        *SCORED,
+        f"rng AS (SELECT {rng} FROM scored)",
+        f"top AS (SELECT * FROM scored WHERE LATE_PRED = 1 ORDER BY LATE_PROB DESC, BELNR ASC LIMIT 20)",
+        f"ph AS (SELECT top.*, {phi} FROM top, rng)",
+        f"ent AS (SELECT *, [{entries}] AS arr, {level} AS lvl, {action} AS act FROM ph)",
+        """parts AS (SELECT BELNR,
+  ['[' || lvl || ']  Late probability: ' || CAST(CAST(round_even(LATE_PROB * 100, 0) AS BIGINT) AS VARCHAR) || '%',
+   'Recommended action: ' || act, '', 'Key risk drivers:'] AS header,
+  list_filter(list_transform(list_slice(list_sort(list_filter(arr, lambda e: e.pos > 0)), 1, 3), lambda e: e.text),
+              lambda x: x IS NOT NULL) AS drivers,
+  list_transform(list_slice(list_sort(list_transform(list_filter(arr, lambda e: e.pos < 0),
+                 lambda e: {'v': e.pos, 'i': e.i, 'name': e.name})), 1, 2),
+                 lambda e: '  ✓ ' || e.name || ': reduces risk by ' || printf('%.4f', round_even(abs(e.v), 4))) AS mitig,
+  ['', 'Suggested actions:', '  1. ' || act] AS actions,
+  list_filter([CASE WHEN CUST_LATE_RATE > 0.5 THEN '  2. Review credit limit — customer late on >50% of invoices' END,
+               CASE WHEN CUST_INVOICE_COUNT < 5 THEN '  2. Request advance payment or shorter terms — limited history' END,
+               CASE WHEN LATE_PROB >= CAST(0.7 AS DOUBLE) THEN '  3. Flag for CFO review if not resolved within 10 days' END],
+              lambda x: x IS NOT NULL) AS extra
+FROM ent)""",
+        select="SELECT BELNR, array_to_string(list_concat(header, drivers, CASE WHEN len(mitig) > 0 THEN "
+        "list_concat(['', 'Mitigating factors:'], mitig) ELSE [] END, actions, extra), chr(10)) AS NARRATIVE FROM parts",
+    )

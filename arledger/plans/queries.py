@@ -974,3 +974,19 @@ def p12_report_forecast_table(inp):
     """Audit-export forecast table: horizon, quantiles and uncertainty."""
     fc = forecast.generate_forecast(inp.forecaster, inp.monthly)
     return fc.select("Horizon", "Lower_10pct", "Median_50pct", "Upper_90pct", "Uncertainty_Pct")
+
+
+@register("x5_narrative_standin", O.narrative_sql())
+def x5_narrative_standin(inp):
+    """Audit narratives for the top-20 flagged invoices with deterministic stand-in contributions
+    (each feature's position in its portfolio range, in [-1, 1]) - the text oracle for X5."""
+    sc = inp.scored
+    stats = sc.agg(*[F.min(F.col(c).cast("double")).alias(f"mn_{c}") for c in FEATURE_COLS],
+                   *[F.max(F.col(c).cast("double")).alias(f"mx_{c}") for c in FEATURE_COLS])
+    rng = stats.select(F.struct(*stats.columns)).scalar()
+    phis = []
+    for c in FEATURE_COLS:
+        mn, mx = rng[f"mn_{c}"], rng[f"mx_{c}"]
+        phis.append(F.when(mx > mn, (F.lit(2.0) * F.col(c).cast("double") - mn - mx) / (mx - mn)).otherwise(F.lit(0.0)))
+    top = attribution.top_flagged(sc).withColumn("phi", F.array(*phis))
+    return top.select("BELNR", narrative(F.col("LATE_PROB"), inp.threshold, F.col("phi")).alias("NARRATIVE"))
