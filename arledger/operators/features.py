@@ -44,11 +44,11 @@ def customer_history(cleared: DataFrame, key: str = "KUNNR", date: str = "BLDAT"
     dl, lf, amt = F.col("DAYS_LATE"), F.col("LATE_FLAG"), F.col("DMBTR")
     rn = F.col("_rn")
 
-    # level 1: running (exclusive) aggregates inside the customer-day, one window operator
+    # level 1: running (exclusive) aggregates inside the customer-day, one window operator;
+    # this is the only shuffle of the full fact rows
     level1 = cleared.select(
         "*",
         F.row_number().over(w_day).alias("_rn"),
-        F.lead(F.lit(1)).over(w_day).isNull().alias("_last"),
         F.sum(dl).over(prior).alias("_p_sdl"),
         F.count(dl).over(prior).alias("_p_ndl"),
         F.sum(lf).over(prior).alias("_p_slf"),
@@ -59,22 +59,26 @@ def customer_history(cleared: DataFrame, key: str = "KUNNR", date: str = "BLDAT"
         *[F.lag(dl, k).over(w_day).alias(f"_l{k}") for k in (1, 2, 3)],
     )
 
-    # the last row of a day carries the day totals (running value + own value) and the day's
-    # last three values (d1 = last row, d2, d3; a day with fewer rows leaves them unused)
-    n0 = lambda c: F.coalesce(c, F.lit(0))
-    days = level1.where("_last").select(
-        key, date,
-        rn.alias("_d_n"),
-        (n0(F.col("_p_sdl")) + n0(dl)).alias("_d_sdl"),
-        (F.col("_p_ndl") + dl.isNotNull().cast("long")).alias("_d_ndl"),
-        (n0(F.col("_p_slf")) + n0(lf)).alias("_d_slf"),
-        (F.col("_p_nlf") + lf.isNotNull().cast("long")).alias("_d_nlf"),
-        F.when(F.col("_p_samt").isNull() & amt.isNull(), F.lit(None).cast("double"))
-        .otherwise(n0(F.col("_p_samt")) + n0(amt)).alias("_d_samt"),
-        (F.col("_p_namt") + amt.isNotNull().cast("long")).alias("_d_namt"),
-        F.greatest(F.col("_p_mx"), amt).alias("_d_mx"),
-        dl.alias("_d1"), F.col("_l1").alias("_d2"), F.col("_l2").alias("_d3"),
+    # the day table (one row per customer-day) comes from its own aggregates over the rows, not
+    # from ``level1``: a second consumer of ``level1`` would re-run its scan and shuffle.
+    # Totals: a hash aggregate (map-side partial, so a hot customer-day costs one partial row
+    # per task). Last three values of the day: a row_number <= 3 filter, which Spark pre-limits
+    # per task before the shuffle (WindowGroupLimit), then three conditional maxima.
+    totals = cleared.groupBy(key, date).agg(
+        F.count(F.lit(1)).alias("_d_n"),
+        F.sum(dl).alias("_d_sdl"), F.count(dl).alias("_d_ndl"),
+        F.sum(lf).alias("_d_slf"), F.count(lf).alias("_d_nlf"),
+        F.sum(amt).alias("_d_samt"), F.count(amt).alias("_d_namt"),
+        F.max(amt).alias("_d_mx"),
+    )
+    w_last = Window.partitionBy(key, date).orderBy(*[F.desc(c) for c in ties])
+    last3 = cleared.select(key, date, dl.alias("_v"), F.row_number().over(w_last).alias("_r")).where(F.col("_r") <= 3)
+    tails = last3.groupBy(key, date).agg(
+        *[F.max(F.when(F.col("_r") == k, F.col("_v"))).alias(f"_d{k}") for k in (1, 2, 3)]
     )
+    days = totals.join(tails, [key, date], "inner")
+    n0 = lambda c: F.coalesce(c, F.lit(0))
+
     # level 2: prefix over the days of a customer (one row per customer-day)
     w_c = Window.partitionBy(key).orderBy(date)
     before = w_c.rowsBetween(Window.unboundedPreceding, -1)
