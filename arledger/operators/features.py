@@ -33,7 +33,8 @@ def _sum0(c: Column) -> Column:
     return F.coalesce(c, F.lit(0))
 
 
-def customer_history(cleared: DataFrame, key: str = "KUNNR", date: str = "BLDAT") -> DataFrame:
+def customer_history(cleared: DataFrame, key: str = "KUNNR", date: str = "BLDAT",
+                     dim: DataFrame | None = None) -> DataFrame:
     """F1-F9 on cleared rows (scalar window functions only, all inside whole-stage codegen).
     Adds CUST_AVG_DAYS_LATE, CUST_LATE_RATE, CUST_INVOICE_COUNT,
     CUST_AVG_AMOUNT, CUST_TOTAL_EXPOSURE, CUST_ROLLING3_DAYS_LATE, CUST_MAX_INVOICE,
@@ -98,6 +99,13 @@ def customer_history(cleared: DataFrame, key: str = "KUNNR", date: str = "BLDAT"
         *_previous_three(w_c),
     )
 
+    dim_cols = []
+    if dim is not None:
+        # customer attributes ride on the day table (keyed by customer already), so the fact
+        # rows never need a second shuffle by customer for the dimension join
+        dim_cols = [c for c in dim.columns if c != key]
+        day_prefix = day_prefix.join(dim, key, "left")
+
     # level 3: join the day prefix back (the fact side is already partitioned on the keys)
     j = level1.join(day_prefix, [key, date], "inner")
     n_prior = (n0(F.col("_c_n")) + rn - 1).cast("int")
@@ -126,6 +134,7 @@ def customer_history(cleared: DataFrame, key: str = "KUNNR", date: str = "BLDAT"
 
     out = j.select(
         *[F.col(c) for c in cleared.columns],
+        *[F.col(c) for c in dim_cols],
         avg_dl.alias("CUST_AVG_DAYS_LATE"),
         avg_lf.alias("CUST_LATE_RATE"),
         n_prior.alias("CUST_INVOICE_COUNT"),
@@ -248,6 +257,12 @@ def gl_context(df: DataFrame, gl: DataFrame) -> DataFrame:
     return out.withColumn("LOG_CASH_POSITION", F.log1p(F.coalesce(F.col("TOTAL_CASH_POSITION"), F.lit(0.0))))
 
 
+def _dedupe_dim(dim: DataFrame) -> DataFrame:
+    from .normalize import dedupe_customers
+
+    return dedupe_customers(dim)
+
+
 def build_feature_store(customers: DataFrame, invoices: DataFrame, gl: DataFrame) -> DataFrame:
     """cleared invoices -> history -> customer dimension -> invoice features -> codes ->
     GL context -> credit ratio, tier -> drop incomplete rows (F27) -> 35 output columns."""
@@ -255,11 +270,12 @@ def build_feature_store(customers: DataFrame, invoices: DataFrame, gl: DataFrame
         "BELNR", *[c for c in ("BUZEI",) if c in invoices.columns],
         "KUNNR", "BLDAT", "FAEDT", "DMBTR", "ZTERM", "STATUS", "DAYS_LATE", "LATE_FLAG",
     )
-    hist = customer_history(cleared)
-    dim = customers.select("KUNNR", "INDUSTRY", "REGION", "KLIMK")
-    # dimension: no hint. Spark broadcasts it when its measured size is under the threshold
-    # (static stats or AQE at runtime) and falls back to a shuffle join beyond it.
-    out = hist.join(dim, "KUNNR", "left")
+    # one row per customer (a duplicated master row must not duplicate invoices)
+    dim = _dedupe_dim(customers.select("KUNNR", "INDUSTRY", "REGION", "KLIMK"))
+    # the dimension joins the per-customer-day prefix table inside customer_history, not the
+    # fact rows. No broadcast hint: Spark broadcasts it when its measured size is under the
+    # threshold (static stats or AQE at runtime) and sort-merge joins it beyond that.
+    out = customer_history(cleared, dim=dim)
     out = invoice_features(out)
     # labels present = labels of customers that have cleared invoices (semi join on keys)
     present = dim.join(cleared.select("KUNNR").distinct(), "KUNNR", "left_semi")
