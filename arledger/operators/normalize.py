@@ -110,8 +110,8 @@ def _period_number(col_text) -> F.Column:
 
 def gl_cash(df: DataFrame) -> DataFrame:
     """HSL numeric; FISCPER = year + 2-digit period (GJAHR/POPER), or a 7-char YYYYPPP
-    FISCPER converted when every row has length 7 (checked with one aggregate, no collect of
-    rows: the min/max lengths are two scalars)."""
+    FISCPER converted when every row has length 7 (decided by a scalar subquery over the
+    lengths; nothing is collected to the driver)."""
     cols = set(df.columns)
     out = df.withColumn("HSL", to_double(df, "HSL"))
     if "FISCPER" not in cols:
@@ -121,12 +121,12 @@ def gl_cash(df: DataFrame) -> DataFrame:
         per = _period_number("CAST(POPER AS STRING)")
         return out.withColumn("FISCPER", F.concat(year, F.lpad(per.cast("string"), 2, "0")))
     fis = F.col("FISCPER").cast("string")
-    lens = out.agg(F.min(F.length(fis)).alias("lo"), F.max(F.length(fis)).alias("hi"),
-                   F.count_if(fis.isNull()).alias("nulls")).first()
-    if lens["lo"] == 7 and lens["hi"] == 7 and lens["nulls"] == 0:
-        per = _period_number("substring(CAST(FISCPER AS STRING), 5)")
-        return out.withColumn("FISCPER", F.concat(F.substring(fis, 1, 4), F.lpad(per.cast("string"), 2, "0")))
-    return out.withColumn("FISCPER", fis)
+    all7 = out.agg(
+        (F.min(F.length(fis)) == 7) & (F.max(F.length(fis)) == 7) & (F.count_if(fis.isNull()) == 0)
+    ).scalar()
+    per = _period_number("substring(CAST(FISCPER AS STRING), 5)")
+    converted = F.concat(F.substring(fis, 1, 4), F.lpad(per.cast("string"), 2, "0"))
+    return out.withColumn("FISCPER", F.when(F.coalesce(all7, F.lit(False)), converted).otherwise(fis))
 
 
 def gl_eda_fields(df: DataFrame) -> DataFrame:
