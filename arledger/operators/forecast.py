@@ -114,6 +114,8 @@ def train_forecaster(monthly: DataFrame, cfg: ForecastConfig | None = None, pool
     cfg = cfg or ForecastConfig()
     targets = horizon_targets(monthly, cfg.horizons).persist()
     summ = segment_summary(monthly, segment)
+    # segment values drive one MLlib fit each, so the (small, label-domain bounded) list of
+    # eligible / kept values is read on the driver; no data rows are collected
     eligible = [r["segment"] for r in summ.where("eligible_for_segment_model").select("segment").collect()]
     flag_seg = "ALL_REGION" if segment == "REGION" else "ALL_INDUSTRY"
     flag_other = "ALL_INDUSTRY" if segment == "REGION" else "ALL_REGION"

@@ -85,3 +85,28 @@ def test_sinks_round_trip(spark, tmp_dir):
     erp.write_flagged_invoices(portfolio.top_risk_queue(inp.scored, inp.threshold), out)
     back = spark.read.option("header", True).csv(out)
     assert back.columns == erp.FLAGGED_COLS and back.count() == 20
+
+
+def test_risk_report_csv_round_trip(spark, tmp_dir):
+    import __spark_entry__ as entry
+
+    report = entry.queries()["x5_narrative_standin"](spark, SF_SMALL)
+    out = os.path.join(tmp_dir, "report")
+    erp.write_risk_report(report, out)
+    back = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(out)
+    a = {r["BELNR"]: r["NARRATIVE"] for r in report.collect()}
+    b = {int(r["BELNR"]): r["NARRATIVE"] for r in back.collect()}
+    assert a == b and len(a) > 0
+    assert all("\n" in t for t in b.values())
+
+
+def test_raw_csv_reader_quoted_and_typed(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "cm.csv")
+    with open(path, "w") as f:
+        f.write('KUNNR,BUKRS,NAME1,LAND1,REGIO,BRSCH,KTOKD,ZTERM,KLIMK,ERDAT\n'
+                'C000001,1000,"Acme, ""North""",US,IL,CN,Z001,NT60,2500.5,2020-01-01\n')
+    customers, = [normalize.customer_master(erp.read_raw(spark, path, "customer_master"))]
+    r = customers.first()
+    assert (r["KUNNR"], r["INDUSTRY"], r["REGION"], r["KLIMK"]) == ("C000001", "Construction", "Midwest", 2500.5)
+    raw = erp.read_raw(spark, path, "customer_master").first()
+    assert raw["NAME1"] == 'Acme, "North"' and raw["BUKRS"] == "1000"
