@@ -132,7 +132,7 @@ def customer_history(cleared: DataFrame, key: str = "KUNNR", date: str = "BLDAT"
     tot = sum(F.when(e & v.isNotNull(), v).otherwise(F.lit(0.0)) for v, e in slots)
     roll = F.when(cnt > 0, tot / cnt)
 
-    out = j.select(
+    base = j.select(
         *[F.col(c) for c in cleared.columns],
         *[F.col(c) for c in dim_cols],
         avg_dl.alias("CUST_AVG_DAYS_LATE"),
@@ -143,12 +143,14 @@ def customer_history(cleared: DataFrame, key: str = "KUNNR", date: str = "BLDAT"
         roll.alias("_roll"),
         F.coalesce(F.greatest(F.col("_c_mx"), F.col("_p_mx")), F.lit(0.0)).alias("CUST_MAX_INVOICE"),
     )
-    out = out.withColumn("CUST_ROLLING3_DAYS_LATE", F.coalesce(F.col("_roll"), F.col("CUST_AVG_DAYS_LATE")))
-    out = out.withColumn("CUST_LATE_TREND", F.col("CUST_ROLLING3_DAYS_LATE") - F.col("CUST_AVG_DAYS_LATE"))
-    out = out.withColumn(
-        "CUST_AMOUNT_CONCENTRATION", safe_div(F.col("DMBTR"), F.col("CUST_AVG_AMOUNT"), 1.0)
+    rolling = F.coalesce(F.col("_roll"), F.col("CUST_AVG_DAYS_LATE"))
+    keep = [c for c in base.columns if c != "_roll"]
+    return base.select(
+        *keep,
+        rolling.alias("CUST_ROLLING3_DAYS_LATE"),
+        (rolling - F.col("CUST_AVG_DAYS_LATE")).alias("CUST_LATE_TREND"),
+        safe_div(F.col("DMBTR"), F.col("CUST_AVG_AMOUNT"), 1.0).alias("CUST_AMOUNT_CONCENTRATION"),
     )
-    return out.drop("_roll")
 
 
 def _previous_three(w_c) -> list[Column]:
@@ -240,10 +242,9 @@ def category_codes(df: DataFrame, cols=("INDUSTRY", "REGION"), labels_from: Data
         codes = labels.select(
             c, (F.row_number().over(Window.orderBy(c)) - 1).cast("int").alias(f"{c}_CODE")
         )
-        out = out.join(F.broadcast(codes), c, "left").withColumn(
-            f"{c}_CODE", F.coalesce(F.col(f"{c}_CODE"), F.lit(-1))
-        )
-    return out
+        out = out.join(F.broadcast(codes), c, "left")
+    return out.select(*[F.coalesce(F.col(n), F.lit(-1)).alias(n) if n in {f"{c}_CODE" for c in cols} else F.col(n)
+                        for n in out.columns])
 
 
 def gl_context(df: DataFrame, gl: DataFrame) -> DataFrame:
@@ -252,9 +253,8 @@ def gl_context(df: DataFrame, gl: DataFrame) -> DataFrame:
     gl_agg = gl.groupBy(F.col("FISCPER").cast("string").alias("FISCPER")).agg(
         F.sum("HSL").alias("TOTAL_CASH_POSITION")
     )
-    out = df.withColumn("FISCPER", F.date_format("BLDAT", "yyyyMM"))
-    out = out.join(F.broadcast(gl_agg), "FISCPER", "left")
-    return out.withColumn("LOG_CASH_POSITION", F.log1p(F.coalesce(F.col("TOTAL_CASH_POSITION"), F.lit(0.0))))
+    out = df.select("*", F.date_format("BLDAT", "yyyyMM").alias("FISCPER")).join(F.broadcast(gl_agg), "FISCPER", "left")
+    return out.select("*", F.log1p(F.coalesce(F.col("TOTAL_CASH_POSITION"), F.lit(0.0))).alias("LOG_CASH_POSITION"))
 
 
 def _dedupe_dim(dim: DataFrame) -> DataFrame:
@@ -281,10 +281,15 @@ def build_feature_store(customers: DataFrame, invoices: DataFrame, gl: DataFrame
     present = dim.join(cleared.select("KUNNR").distinct(), "KUNNR", "left_semi")
     out = category_codes(out, labels_from=present)
     out = gl_context(out, gl)
-    out = out.withColumn("INVOICE_TO_CREDIT_RATIO", safe_div(F.col("DMBTR"), F.col("KLIMK"), 0.0))
-    out = out.withColumn("RISK_TIER", risk_tier(F.col("CUST_LATE_RATE")))
-    out = out.dropna(subset=[TARGET_COL, *FEATURE_COLS])
-    return out.select(*FEATURE_STORE_COLS)
+    derived = {
+        "INVOICE_TO_CREDIT_RATIO": safe_div(F.col("DMBTR"), F.col("KLIMK"), 0.0),
+        "RISK_TIER": risk_tier(F.col("CUST_LATE_RATE")),
+    }
+    complete = None
+    for c in [TARGET_COL, *FEATURE_COLS]:  # drop rows with a missing target or feature
+        cond = F.col(c).isNotNull()
+        complete = cond if complete is None else complete & cond
+    return out.where(complete).select(*[derived[c].alias(c) if c in derived else F.col(c) for c in FEATURE_STORE_COLS])
 
 
 def time_split(fs: DataFrame, test_size: float = TEST_SIZE, date: str = "BLDAT") -> DataFrame:
