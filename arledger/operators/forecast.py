@@ -105,6 +105,39 @@ class Forecaster:
     results: DataFrame  # M22 pinball losses
     cfg: ForecastConfig
 
+    def save(self, path: str) -> None:
+        """Every forest, its training leaves, the summary, the results and one metadata row."""
+        spark = self.summary.sparkSession
+        index = []
+        for i, ((key, h), qf) in enumerate(sorted(self.models.items())):
+            qf.forest.write().overwrite().save(f"{path}/forest_{i}")
+            qf.leaves.write.mode("overwrite").parquet(f"{path}/leaves_{i}")
+            index.append((i, key, int(h)))
+        spark.createDataFrame(index, "i int, model_key string, horizon int").coalesce(1) \
+            .write.mode("overwrite").parquet(f"{path}/index")
+        self.summary.write.mode("overwrite").parquet(f"{path}/summary")
+        self.results.write.mode("overwrite").parquet(f"{path}/results")
+        meta = [(",".join(map(str, self.cfg.quantiles)), ",".join(map(str, self.cfg.horizons)),
+                 ",".join(FORECAST_FEATURE_COLS), self.cfg.num_trees, self.cfg.max_depth)]
+        spark.createDataFrame(meta, "quantiles string, horizons string, feature_cols string, num_trees int, "
+                                    "max_depth int").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+
+    @staticmethod
+    def load(path: str) -> "Forecaster":
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.getActiveSession()
+        meta = spark.read.parquet(f"{path}/meta").first()
+        cfg = ForecastConfig(num_trees=meta["num_trees"], max_depth=meta["max_depth"],
+                             quantiles=tuple(float(q) for q in meta["quantiles"].split(",")),
+                             horizons=tuple(int(h) for h in meta["horizons"].split(",")))
+        models = {}
+        for r in spark.read.parquet(f"{path}/index").collect():  # one row per saved forest
+            forest = RandomForestRegressionModel.load(f"{path}/forest_{r['i']}")
+            leaves = spark.read.parquet(f"{path}/leaves_{r['i']}")
+            models[(r["model_key"], r["horizon"])] = QuantileForest(r["model_key"], r["horizon"], forest, leaves)
+        return Forecaster(models, spark.read.parquet(f"{path}/summary"), spark.read.parquet(f"{path}/results"), cfg)
+
 
 def train_forecaster(monthly: DataFrame, cfg: ForecastConfig | None = None, pooled: bool = False,
                      segment: str = SEGMENT_COLUMN) -> Forecaster:

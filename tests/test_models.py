@@ -95,3 +95,15 @@ def test_narrative_text(spark):
     assert lines[-3:] == ["  1. Immediate escalation to senior collections",
                           "  2. Review credit limit — customer late on >50% of invoices",
                           "  3. Flag for CFO review if not resolved within 10 days"]
+
+
+def test_forecaster_save_load(inp, tmp_dir):
+    from arledger.operators.forecast import Forecaster
+
+    fc = inp.forecaster
+    fc.save(tmp_dir + "/fc")
+    back = Forecaster.load(tmp_dir + "/fc")
+    assert set(back.models) == set(fc.models)
+    a = forecast.generate_forecast(fc, inp.monthly).orderBy("Horizon_Days").collect()
+    b = forecast.generate_forecast(back, inp.monthly).orderBy("Horizon_Days").collect()
+    assert a == b
