@@ -990,3 +990,12 @@ def x5_narrative_standin(inp):
         phis.append(F.when(mx > mn, (F.lit(2.0) * F.col(c).cast("double") - mn - mx) / (mx - mn)).otherwise(F.lit(0.0)))
     top = attribution.top_flagged(sc).withColumn("phi", F.array(*phis))
     return top.select("BELNR", narrative(F.col("LATE_PROB"), inp.threshold, F.col("phi")).alias("NARRATIVE"))
+
+
+@register("x10_extremes_standin", O.rounded(O.with_prefix(*O.SCORED, select=(
+    "SELECT * FROM (SELECT 'highest' AS which, BELNR, KUNNR, LATE_PROB, RISK_TIER FROM scored "
+    "ORDER BY LATE_PROB DESC, BELNR LIMIT 1) UNION ALL SELECT * FROM (SELECT 'lowest', BELNR, KUNNR, LATE_PROB, "
+    "RISK_TIER FROM scored ORDER BY LATE_PROB ASC, BELNR LIMIT 1)")), ["LATE_PROB"]))
+def x10_extremes_standin(inp):
+    """Highest- and lowest-risk invoice on the stand-in score (oracle for X10's selection)."""
+    return attribution.extremes(inp.scored).select("which", "BELNR", "KUNNR", "LATE_PROB", "RISK_TIER")
