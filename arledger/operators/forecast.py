@@ -212,6 +212,7 @@ def generate_forecast(fc: Forecaster, monthly: DataFrame, region: str | None = N
     uncertainty % = width / max(median, 1) * 100 rounded to 1."""
     key, source, seg = resolve_model(fc, region, industry)
     rows = inference_rows(monthly, region, industry)
+    reason = _inference_reason(monthly, region, industry)
     latest = rows.withColumn("_rk", F.row_number().over(Window.partitionBy(*SLICE).orderBy(F.desc("COLLECT_MONTH"))))
     latest = latest.where(F.col("_rk") == 1).drop("_rk").withColumn("_qid", F.lit(0))
     qs = fc.cfg.quantiles
@@ -232,11 +233,22 @@ def generate_forecast(fc: Forecaster, monthly: DataFrame, region: str | None = N
             F.bround(F.greatest((upper - lower) / F.greatest(med, F.lit(1.0)) * 100, F.lit(0.0)), 1).alias("Uncertainty_Pct"),
             F.lit(source).alias("Model_Source"),
             F.lit(seg or "All").alias("Model_Segment"),
+            reason.alias("Inference_Slice"),
         )
         out = row if out is None else out.unionByName(row)
     return out
 
 
+def _inference_reason(monthly: DataFrame, region: str | None, industry: str | None, min_rows: int = 12):
+    """M20 reporting: which series fed the forecast, and why the portfolio was used instead."""
+    if normalize_selector(region) is None and normalize_selector(industry) is None:
+        return F.lit("portfolio")
+    n = select_slice(monthly, region, industry).agg(F.count(F.lit(1))).scalar()
+    return F.when(n >= min_rows, F.lit("selected slice")).otherwise(
+        F.concat(F.lit("portfolio (fallback: selected slice has "), n.cast("string"),
+                 F.lit(f" months < {min_rows})")))
+
+
 def history_band(monthly_slice: DataFrame, n_months: int = 18) -> DataFrame:
     """Last 18 months in millions with a rolling sample std of 3 (min 2); missing std is
     max(0.25 x std of the window, 0.15); lower bound clipped at 0."""

@@ -107,3 +107,10 @@ def test_forecaster_save_load(inp, tmp_dir):
     a = forecast.generate_forecast(fc, inp.monthly).orderBy("Horizon_Days").collect()
     b = forecast.generate_forecast(back, inp.monthly).orderBy("Horizon_Days").collect()
     assert a == b
+
+
+def test_forecast_fallback_reason(inp):
+    out = forecast.generate_forecast(inp.forecaster, inp.monthly, region="No Such Region").collect()
+    assert all(r["Inference_Slice"].startswith("portfolio (fallback") for r in out)
+    own = forecast.generate_forecast(inp.forecaster, inp.monthly).collect()
+    assert {r["Inference_Slice"] for r in own} == {"portfolio"}
