@@ -121,3 +121,18 @@ def test_amount_bucket_duplicate_edges(spark):
                                "BELNR string, DMBTR double")
     got = {r["BELNR"]: r["AMOUNT_BUCKET"] for r in features.amount_bucket(df).collect()}
     assert got["0"] == 0 and got["9"] == max(got.values())
+
+
+def test_time_split_with_hot_boundary_day(spark):
+    rows = []
+    for i in range(1000):
+        # 480 rows before 2022-01-25, 420 on it: the 800-row cut falls inside the hot day
+        day = D(2022, 1, 25) if i % 5 < 2 else D(2022, 1, 1) + dt.timedelta(days=i % 30)
+        rows.append((f"{i:05d}", day))
+    df = spark.createDataFrame(rows, "BELNR string, BLDAT date")
+    sp = features.time_split(df)
+    got = {r["BELNR"]: r["split"] for r in sp.collect()}
+    assert len(got) == 1000
+    ordered = sorted(rows, key=lambda r: (r[1], r[0]))
+    expect = {b: ("train" if i < 800 else "test") for i, (b, _) in enumerate(ordered)}
+    assert got == expect
