@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, repetition, sharding, sql
+from . import decontamination, mixing, repetition, sharding, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -38,6 +38,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+@register("op2_wu_manber", sql.HITS)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside occurrences of benchmark windows, and the items found."""
+    return decontamination.digest(decontamination.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 @register("op9_jump_shards", sql.SHARDS)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard, slot and shard after growth of every document, by law ``key``."""

@@ -77,3 +77,26 @@ counted AS (SELECT drawn.*, least + len(list_filter(cdf, lambda c: c <= u)) AS t
 """
 
 MIXTURE = f"WITH {MIXTURE_OF.format(docs='documents').strip()}\nSELECT doc_id, text, lang, source, n_chars, unnest(range(1, times + 1)) AS copy FROM counted"
+
+
+HITS_OF = """
+WITH d AS (SELECT row_number() OVER () AS rid, {id} AS doc_id, regexp_extract_all({lower}, '{words}') AS ws FROM {docs}),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({lower}, '{words}') AS ws FROM benchmark),
+windows AS (SELECT DISTINCT item, least(len(ws), 10) AS k, array_to_string(list_slice(ws, i, i + 9), ' ') AS g
+    FROM (SELECT item, ws, unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS i FROM b WHERE len(ws) > 0)),
+places AS (SELECT rid, k, i, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS g
+    FROM (SELECT rid, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM windows))),
+found AS (SELECT rid, i, k, item FROM places JOIN windows USING (k, g)),
+hit AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT DISTINCT rid, unnest(range(i, i + k)) AS p FROM found) GROUP BY rid),
+items AS (SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT rid, item FROM found) GROUP BY rid)
+SELECT d.rid, doc_id, coalesce(len(ws), 0) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items,
+    sha256(coalesce(items.s, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)
+"""
+
+
+def hits(docs: str = "documents", id_column: str = "doc_id") -> str:
+    return HITS_OF.format(docs=docs, id=id_column, words=WORDS_ALNUM, lower=lower_az("text"))
+
+
+HITS = f"SELECT doc_id, n_words, n_hit, n_items, items_sha256, contaminated FROM ({hits()})"
