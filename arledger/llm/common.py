@@ -102,23 +102,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def string_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ``data[starts:ends]``: a polynomial over blocks of eight bytes, so equal bytes give
-    equal hashes wherever they lie; strings with unequal hashes are different."""
-    out = mix64((ends - starts).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    """64-bit hashes of ``data[starts:ends]``, folded over blocks of eight bytes: equal bytes give equal
+    hashes wherever they lie, so strings of unequal hashes are different."""
     left = (ends - starts).astype(np.int64)
+    out = mix64(left.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
     live, at = np.flatnonzero(left > 0), starts.astype(np.int64).copy()
-    shifts = (np.arange(8) * 8).astype(np.uint64)
     while len(live):
-        block = (padded[at[live, None] + np.arange(8)].astype(np.uint64) << shifts)
-        n = np.minimum(left[live], 8)
-        block[np.arange(8)[None, :] >= n[:, None]] = 0
-        out[live] = mix64((out[live] * np.uint64(0x9E3779B97F4A7C15)) ^ np.bitwise_or.reduce(block, axis=1))
+        unused = (8 * (8 - np.minimum(left[live], 8))).astype(np.uint64)
+        block = (eights[at[live]] << unused) >> unused
+        out[live] = mix64((out[live] * np.uint64(0x9E3779B97F4A7C15)) ^ block)
         at[live] += 8
         left[live] -= 8
         live = live[left[live] > 0]
     return out
-
-
-def true_if(condition):
-    return F.coalesce(condition, F.lit(False))

@@ -100,3 +100,14 @@ def hits(docs: str = "documents", id_column: str = "doc_id") -> str:
 
 
 HITS = f"SELECT doc_id, n_words, n_hit, n_items, items_sha256, contaminated FROM ({hits()})"
+
+LINES = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT rid, doc_id, line, i, {lower_az(r"regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')")} AS k
+    FROM (SELECT rid, doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+rep AS (SELECT k, min(doc_id) AS first FROM l WHERE length(k) >= 10 GROUP BY k HAVING count(DISTINCT doc_id) > 1),
+m AS (SELECT l.*, doc_id > first IS TRUE AS away FROM l LEFT JOIN rep USING (k))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (away) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT away), '')) AS kept_sha256
+FROM m GROUP BY rid
+"""
