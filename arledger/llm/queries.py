@@ -7,14 +7,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, repetition, sharding, sql
+from . import decontamination, linededup, mixing, prefixcounts, repetition, sharding, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 SHARDS = 40
+PIECES = "piece_bpe_32k.model"
+MOST_TOKENS = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +47,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+@register("op6_bloom_line_dedup", sql.LINES)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, how many repeat an earlier document's, and the digest of the others."""
+    return linededup.line_dedup(table(spark, sf_dir, "documents"))
+
+
+@register("op8_prefix_token_counts")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether it is over the token limit."""
+    return prefixcounts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), MOST_TOKENS)
+
+
 @register("op9_jump_shards", sql.SHARDS)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard, slot and shard after growth of every document, by law ``key``."""
