@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, linededup, mixing, prefixcounts, repetition, sharding, sql
+from . import decontamination, jaccard, linededup, mixing, prefixcounts, repetition, sharding, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -47,6 +47,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+@register("op4_count_vector_jaccard", sql.JACCARD)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document's shingle set, and its component of links."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 @register("op6_bloom_line_dedup", sql.LINES)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document, how many repeat an earlier document's, and the digest of the others."""
