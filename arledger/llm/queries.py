@@ -10,13 +10,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, jaccard, linededup, mixing, prefixcounts, repetition, sharding, sql
+from . import chat, decontamination, jaccard, linededup, mixing, packing, prefixcounts, repetition, sharding, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 SHARDS = 40
-PIECES = "piece_bpe_32k.model"
+PIECES, BYTES, BYTES_END = "piece_bpe_32k.model", "byte_bpe_50k.tiktoken", 50256
 MOST_TOKENS = 4096
 
 
@@ -47,6 +47,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(decontamination.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+@register("op3_snapshot_collapse", sql.CHAT)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every maximal conversation, rendered."""
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 @register("op4_count_vector_jaccard", sql.JACCARD)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of every document's shingle set, and its component of links."""
@@ -59,6 +65,12 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_dedup(table(spark, sf_dir, "documents"))
 
 
+@register("op7_packed_rows")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' token ids in matrices of 4,096 columns."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTES), public_tokenizers.PATTERN, BYTES_END)
+
+
 @register("op8_prefix_token_counts")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document, and whether it is over the token limit."""

@@ -135,3 +135,15 @@ JACCARD = f"""
 WITH RECURSIVE {components()}
 SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, component_id FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN component USING (doc_id)
 """
+
+CHAT = """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text,
+    md5((CASE WHEN role IS NULL THEN '0' ELSE '1' END) || coalesce(role, '') || chr(31) || (CASE WHEN text IS NULL THEN '0' ELSE '1' END) || coalesce(text, '')) AS d
+    FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, count(*) AS n, list(d ORDER BY turn NULLS FIRST, role NULLS FIRST, d) AS ds,
+    list('<|' || coalesce(role, '') || '|>' || chr(10) || coalesce(text, '') || chr(10) || '<|end|>' || chr(10) ORDER BY turn NULLS FIRST, role NULLS FIRST, d) AS shown FROM t GROUP BY conv_id),
+prefixes AS (SELECT DISTINCT list_slice(ds, 1, k) AS ds FROM (SELECT ds, unnest(range(1, n)) AS k FROM c)),
+kept AS (SELECT min(conv_id) AS conv_id FROM c WHERE ds NOT IN (SELECT ds FROM prefixes) GROUP BY ds)
+SELECT conv_id, CAST(s AS INTEGER) AS segment, n AS n_turns, array_to_string(list_slice(shown, 256 * s + 1, 256 * s + 256), '') AS chat
+FROM (SELECT c.*, unnest(range(0, (n + 255) // 256)) AS s FROM c JOIN kept USING (conv_id))
+"""
