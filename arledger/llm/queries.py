@@ -10,7 +10,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontamination, jaccard, linededup, mixing, packing, prefixcounts, repetition, sharding, sql
+from . import chat, decontamination, jaccard, langid, linededup, mixing, packing, prefixcounts, repetition, sharding, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -59,6 +59,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+@register("op5_language_fusion")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page."""
+    return langid.identify(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 @register("op6_bloom_line_dedup", sql.LINES)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document, how many repeat an earlier document's, and the digest of the others."""
