@@ -257,7 +257,7 @@ def _filed(source: DataFrame, words: int, scheme: Scheme, buckets: int, kind: st
             by = np.argsort(bucket, kind="stable")
             bucket, sig, node = bucket[by], sig[by], node[by]
             cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-            rows = [(int(bucket[s]), sig[s:e].tobytes(), node[s:e].tobytes()) for s, e in zip(cut, np.append(cut[1:], len(bucket)), strict=True)]
+            rows = [(int(bucket[s]), sig[s:e].tobytes(), node[s:e].tobytes()) for s, e in zip(cut, np.append(cut, len(bucket))[1:], strict=True)]
             rows.append((-1, a.astype(np.int64).tobytes(), b.astype(np.int64).tobytes()))
             sigs.clear()
             nodes.clear()
