@@ -86,7 +86,5 @@ def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, e
     place = F.xxhash64(F.lit(seed), F.col("u"), F.col("copy"), F.monotonically_increasing_id())
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).withColumn("place", place)
     dealt = rows.repartition("place").sortWithinPartitions("place")
-    out = dealt.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)], "copy")
-    if copy_col is None:
-        return out.select(*[out[i].alias(c) for i, c in enumerate(docs.columns)])
-    return out.select(*[out[i].alias(c) for i, c in enumerate(docs.columns) if c.lower() != copy_col.lower()], out[len(docs.columns)].alias(copy_col))
+    kept = [i for i, c in enumerate(docs.columns) if copy_col is None or c.lower() != copy_col.lower()]
+    return dealt.select(*[F.col(f"c{i}").alias(docs.columns[i]) for i in kept], *([] if copy_col is None else [F.col("copy").alias(copy_col)]))
