@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint_dir
 
@@ -20,6 +22,24 @@ WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+_SHIPPED: set[str] = set()
+
+
+def shipped(spark: SparkSession) -> None:
+    """Send this package's sources to the executors, once per application (they may not share its folder)."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        path = os.path.join(tempfile.mkdtemp(prefix="arledger-"), f"{os.path.basename(package)}-sources.zip")
+        with zipfile.ZipFile(path, "w") as archive:
+            for folder, _, names in os.walk(package):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(package)))
+        spark.sparkContext.addPyFile(path)
+        _SHIPPED.add(app)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once under the shared folder of ``spark.checkpoint.dir`` and return a scan of
     it: lineage is cut, two readers see the same rows, and a lost executor loses nothing."""
