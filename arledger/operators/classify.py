@@ -27,14 +27,13 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import CV_FOLDS, FEATURE_COLS, RANDOM_SEED, TARGET_COL, TEST_SIZE
 from .features import time_split
 from .metrics import optimize_threshold, ranking_metrics
 from .scoring import predict
-from .stats import distributed_rank
 
 
 @dataclass
@@ -73,16 +72,28 @@ def validation_cut(train: DataFrame, share: float = TEST_SIZE) -> DataFrame:
     return cut.withColumn("is_val", F.col("split") == "test").drop("split")
 
 
+#: Rows of one (class, hash range) group that the fold number is counted in.
+FOLD_GROUP_ROWS = 200_000
+
+
 def stratified_folds(df: DataFrame, k: int, seed: int = RANDOM_SEED) -> DataFrame:
-    """fold = (rank inside the class by a seeded hash) mod k - exactly stratified."""
-    keyed = df.withColumn("_h", F.xxhash64(F.col("BELNR"), F.lit(seed)))
-    ranked = distributed_rank(keyed, [TARGET_COL, "_h", "BELNR"], "_r")
-    first = ranked.groupBy(TARGET_COL).agg(F.min("_r").alias("_r0"))  # one row per class
-    return (
-        ranked.join(F.broadcast(first), TARGET_COL)
-        .withColumn("fold", F.pmod(F.col("_r") - F.col("_r0"), F.lit(k)).cast("int"))
-        .drop("_h", "_r", "_r0")
-    )
+    """fold = (rank inside the class by a seeded hash) mod k - exactly stratified.
+
+    The rank is the number of rows in the lower ranges of the hash plus the row's number in its
+    own range. The ranges are fixed by the hash's leading bits, so counts and numbers agree
+    whatever the partitioning; a class of any size is spread over its ranges.
+    """
+    keys = [c for c in ("BELNR", "BUZEI") if c in df.columns]
+    keyed = df.withColumn("_h", F.xxhash64(*[F.col(c) for c in keys], F.lit(seed)))
+    n = df.count()
+    bits = max(0, (n // FOLD_GROUP_ROWS).bit_length())
+    ranged = keyed.withColumn("_b", F.shiftrightunsigned("_h", 64 - bits) if bits else F.lit(0).cast("long"))
+    counts = ranged.groupBy(TARGET_COL, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(TARGET_COL).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+    before = counts.select(F.col(TARGET_COL).alias("_t"), F.col("_b").alias("_bb"), (upto - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(TARGET_COL, "_b").orderBy("_h", *keys))
+    ranked = ranged.withColumn("_in", inside).join(before, F.col(TARGET_COL).eqNullSafe(F.col("_t")) & (F.col("_b") == F.col("_bb")))
+    return ranked.withColumn("fold", F.pmod(F.col("_before") + F.col("_in") - 1, F.lit(k)).cast("int")).select(*df.columns, "fold")
 
 
 def training_frame(df: DataFrame, rows_per_partition: int = 100_000) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..constants import FEATURE_COLS, FEATURE_STORE_COLS, PAYMENT_TERMS, TARGET_COL, TEST_SIZE
 from ..functions.expressions import lookup, risk_tier, safe_div, weekday_mon0
-from .stats import distributed_rank, exact_quantiles
+from .stats import exact_quantiles, running_counts
 
 ORDER_TIEBREAK = ("BELNR", "BUZEI")
 
@@ -295,31 +295,40 @@ def build_feature_store(customers: DataFrame, invoices: DataFrame, gl: DataFrame
 def time_split(fs: DataFrame, test_size: float = TEST_SIZE, date: str = "BLDAT") -> DataFrame:
     """the first int(n*(1-test_size)) rows by date are 'train', the rest 'test'.
 
-    No global window over the rows: daily counts (one row per date, bounded by the calendar), a
-    running count on that small table, whole days decided by it, and only the rows of the one
-    boundary day ranked by (BELNR, BUZEI) with a distributed rank. Deterministic for ties (the
-    reference's unstable sort is not).
+    The cut is found first, as a few scalars: the boundary day from daily counts (one row per
+    date), then the boundary key (BELNR, BUZEI) from the running counts of that one day's keys.
+    The split of every row is then a comparison with literals - no join, no rank of the rows -
+    so all later reads agree, and date filters reach the scan. Rows that share the boundary key
+    itself (repeated rows) are numbered by a hash of their columns; rows without a date are left
+    out (they have no place in time).
     """
     ties = [c for c in ORDER_TIEBREAK if c in fs.columns]
-    daily = fs.groupBy(date).agg(F.count(F.lit(1)).alias("_n"))
-    cum = daily.select(
-        date,
-        "_n",
-        (F.sum("_n").over(Window.orderBy(date).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias(
-            "_before"
-        ),
-        F.floor(F.sum("_n").over(Window.partitionBy()) * (1 - test_size)).cast("long").alias("_cut"),
-    )
-    j = fs.join(F.broadcast(cum), date, "inner")
-    whole_day = j.filter((F.col("_before") + F.col("_n") <= F.col("_cut")) | (F.col("_before") >= F.col("_cut")))
-    whole_day = whole_day.withColumn(
-        "split", F.when(F.col("_before") >= F.col("_cut"), F.lit("test")).otherwise(F.lit("train"))
-    )
-    edge = j.filter((F.col("_before") < F.col("_cut")) & (F.col("_before") + F.col("_n") > F.col("_cut")))
-    edge = distributed_rank(edge, ties, "_rk").withColumn(
-        "split", F.when(F.col("_before") + F.col("_rk") <= F.col("_cut"), F.lit("train")).otherwise(F.lit("test"))
-    ).drop("_rk")
-    return whole_day.unionByName(edge).drop("_n", "_before", "_cut")
+    daily = fs.where(F.col(date).isNotNull()).groupBy(date).agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(Window.orderBy(date).rowsBetween(Window.unboundedPreceding, 0))
+    cut = F.floor(F.sum("_n").over(Window.partitionBy()) * (1 - test_size)).cast("long")
+    days = daily.select(date, (upto - F.col("_n")).alias("before"), upto.alias("upto"), cut.alias("cut"))
+    dated = fs.where(F.col(date).isNotNull())
+    edge = days.where("before <= cut and upto > cut").first()  # the day of the first test row
+    if edge is None:
+        return dated.withColumn("split", F.lit("train"))
+    day, quota = F.lit(edge[date]), edge["cut"] - edge["before"]
+    late, same_day = F.col(date) > day, F.col(date) == day
+    label = lambda train: F.when(train, F.lit("train")).otherwise(F.lit("test"))
+    if quota == 0:
+        return dated.withColumn("split", label(F.col(date) < day))
+    key = F.struct(*[F.col(c) for c in ties])
+    keys = running_counts(fs.where(same_day).select(*ties), ties)
+    bound = keys.where(F.col("upto") >= quota).orderBy("upto").first()  # the last train row's key
+    at = F.struct(*[F.lit(bound[c]).cast(fs.schema[c].dataType).alias(c) for c in ties])
+    below = same_day & (key < at)
+    rest = quota - (bound["upto"] - bound["n"])
+    if rest == bound["n"]:
+        return dated.withColumn("split", label((F.col(date) < day) | below | (same_day & key.eqNullSafe(at))))
+    tied = dated.where(same_day & key.eqNullSafe(at))  # repeated rows of one key
+    order = Window.partitionBy(F.lit(1)).orderBy(F.xxhash64(*[F.col(c) for c in fs.columns]))
+    tied = tied.withColumn("_r", F.row_number().over(order)).withColumn("split", label(F.col("_r") <= rest)).drop("_r")
+    others = dated.where(~(same_day & key.eqNullSafe(at)))
+    return others.withColumn("split", label(~late & (~same_day | below))).unionByName(tied)
 
 
 def feature_store_summary(fs: DataFrame) -> DataFrame:

@@ -1,31 +1,33 @@
-"""Distributed order statistics: global rank and exact interpolated quantiles.
+"""Distributed order statistics: running counts over distinct keys, exact interpolated quantiles.
 
 ``percentile`` keeps every distinct value of a group in one aggregation buffer; over a whole
-column that buffer is the column. Here the ordering work is a range-partitioned sort (sampled
-bounds split hot values across tasks); only per-partition counts (``shuffle.partitions`` rows)
-and the few rows at the wanted ranks are ever gathered.
+column that buffer is the column. Here the values are counted first (combined before the shuffle,
+so a value that holds most rows is one record per task), the distinct keys are range-partitioned
+and **stored with their partition number**, and the running total of a key is its total within
+the stored partition plus the sum of the partitions before it. Both parts read the same stored
+rows: nothing depends on two exchanges sampling the same bounds.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
-def distributed_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
-    """1-based global row number by ``order`` (ties broken by the listed columns only)."""
+def running_counts(df: DataFrame, order: list[str]) -> DataFrame:
+    """One row per distinct ``order`` key: the key, ``n`` rows and ``upto``, the rows up to and
+    including this key in the global order (ascending, NULL first)."""
     n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n_parts, *order).withColumn("_pid", F.spark_partition_id())
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_pn"))
+    counts = df.groupBy(*order).agg(F.count(F.lit(1)).alias("n"))
+    ranged = stored(counts.repartitionByRange(n_parts, *order).withColumn("_pid", F.spark_partition_id()), "running-counts")
     # one row per partition: bounded by spark.sql.shuffle.partitions
-    offsets = counts.select("_pid", (F.sum("_pn").over(Window.orderBy("_pid")) - F.col("_pn")).alias("_off"))
-    in_part = F.row_number().over(Window.partitionBy("_pid").orderBy(*order))
-    return (
-        ranged.join(F.broadcast(offsets), "_pid")
-        .withColumn(name, F.col("_off") + in_part)
-        .drop("_pid", "_off")
+    totals = ranged.groupBy("_pid").agg(F.sum("n").alias("_pn"))
+    offsets = totals.select("_pid", (F.sum("_pn").over(Window.orderBy("_pid")) - F.col("_pn")).alias("_off"))
+    inside = F.sum("n").over(Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("_in", inside).join(F.broadcast(offsets), "_pid").select(
+        *order, "n", (F.col("_off") + F.col("_in")).alias("upto")
     )
 
 
@@ -39,36 +41,38 @@ def exact_quantiles(
     """Linear-interpolated quantiles (numpy/pandas default, Spark ``percentile``) per group.
 
     Output: group columns + one column ``{prefix}{i}`` per probability, plus ``n``. NULL/NaN
-    values are ignored. Groups must be few (they are broadcast with their counts).
+    values are ignored. The group sizes are joined without a hint, so any number of groups works.
     """
     groups = list(groups or [])
     x = F.col(value).cast("double")
     base = df.select(*groups, x.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    keys = groups + ["_x"]
-    ranked = distributed_rank(base, keys, "_r")
-    counts = base.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
+    counted = running_counts(base, [*groups, "_x"])
     if groups:
-        counts = counts.withColumn("_goff", F.sum("_n").over(Window.orderBy(*groups)) - F.col("_n"))
-        j = ranked.join(F.broadcast(counts), groups)  # group-count table: one row per group
+        counted = stored(counted, "quantile-counts")
+        ends = counted.groupBy(*groups).agg(F.max("upto").alias("_end"), F.sum("n").alias("_n"))
+        same = None
+        for g in groups:  # a NULL group is a group
+            ends = ends.withColumnRenamed(g, f"_of_{g}")
+            cond = F.col(g).eqNullSafe(F.col(f"_of_{g}"))
+            same = cond if same is None else same & cond
+        j = counted.join(ends, same)
+        before = F.col("_end") - F.col("_n")
     else:
-        j = ranked.withColumn("_n", counts.select("_n").scalar()).withColumn("_goff", F.lit(0).cast("long"))
-    local = F.col("_r") - F.col("_goff")  # 1-based rank inside the group
+        totals = base.agg(F.count(F.lit(1))).scalar()
+        j = counted.withColumn("_n", totals)
+        before = F.lit(0).cast("long")
+    # the value at 1-based rank r is the one whose running count first reaches r
+    last = F.col("upto") - before
+    first = last - F.col("n") + 1
     n = F.col("_n")
-    wanted = None
-    pos_cols = []
+    aggs = [F.first("_n").alias("n")]
+    wanted = F.lit(False)
     for i, p in enumerate(probs):
         h = (n - 1) * F.lit(float(p))
         lo, hi = F.floor(h) + 1, F.ceil(h) + 1
-        pos_cols.append((i, h, lo, hi))
-        cond = (local == lo) | (local == hi)
-        wanted = cond if wanted is None else (wanted | cond)
-    picked = j.where(wanted)  # at most 2 rows per probability per group
-    aggs = [F.first("_n").alias("n")]
-    for i, h, lo, hi in pos_cols:
-        lo_v = F.max(F.when(local == lo, F.col("_x")))
-        hi_v = F.max(F.when(local == hi, F.col("_x")))
-        frac = F.first(h - F.floor(h))
-        aggs.append(_interp(lo_v, hi_v, frac).alias(f"{prefix}{i}"))
-    if groups:
-        return picked.groupBy(*groups).agg(*aggs)
-    return picked.agg(*aggs)
+        at_lo, at_hi = (first <= lo) & (lo <= last), (first <= hi) & (hi <= last)
+        wanted = wanted | at_lo | at_hi
+        lo_v, hi_v = F.max(F.when(at_lo, F.col("_x"))), F.max(F.when(at_hi, F.col("_x")))
+        aggs.append(_interp(lo_v, hi_v, F.first(h - F.floor(h))).alias(f"{prefix}{i}"))
+    picked = j.where(wanted)  # at most 2 values per probability per group
+    return picked.groupBy(*groups).agg(*aggs) if groups else picked.agg(*aggs)

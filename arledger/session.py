@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,10 +50,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss; never local)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def digest(text: str) -> str:
+    """Short stable name for a key (the same in every process, unlike ``hash``)."""
+    return hashlib.sha256(text.encode()).hexdigest()[:16]
+
+
+def tables_dir(spark: SparkSession) -> str:
+    """This application's own folder for intermediate tables under the shared folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/arledger-tables/{spark.sparkContext.applicationId}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a new folder of this application and return a scan of it (cut lineage: every
+    reader sees the same rows, and a lost executor re-reads files)."""
+    path = f"{tables_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    _drop_at_exit(df.sparkSession)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 _MATERIALIZED: dict[tuple, DataFrame] = {}
@@ -70,10 +86,29 @@ def materialize(df, name: str, key: str = "", spark: SparkSession | None = None)
     scan = _MATERIALIZED.get(memo_key)
     if scan is None:
         frame = df() if callable(df) and not isinstance(df, DataFrame) else df
-        base = checkpoint_dir(spark).rstrip("/")
-        tag = abs(hash(key)) % (10**10)
-        path = f"{base}/arledger-tables/{name}-{tag}"
-        frame.write.mode("overwrite").parquet(path)
-        scan = spark.read.parquet(path)
-        _MATERIALIZED[memo_key] = scan
+        scan = _MATERIALIZED[memo_key] = stored(frame, f"{name}-{digest(key)}")
     return scan
+
+
+_TO_DROP: set[str] = set()
+
+
+def _drop_at_exit(spark: SparkSession) -> None:
+    app = spark.sparkContext.applicationId
+    if app not in _TO_DROP:
+        _TO_DROP.add(app)
+        atexit.register(_drop_if_alive, spark)
+
+
+def _drop_if_alive(spark: SparkSession) -> None:
+    if spark.sparkContext._jsc is not None:
+        drop_tables(spark)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Remove this application's intermediate tables (also done when the driver ends)."""
+    app = spark.sparkContext.applicationId
+    for k in [k for k in _MATERIALIZED if k[0] == app]:
+        del _MATERIALIZED[k]
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

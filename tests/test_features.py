@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,3 +137,68 @@ def test_time_split_with_hot_boundary_day(spark):
     ordered = sorted(rows, key=lambda r: (r[1], r[0]))
     expect = {b: ("train" if i < 800 else "test") for i, (b, _) in enumerate(ordered)}
     assert got == expect
+
+
+@pytest.mark.parametrize("partitions", [2, 8, 64])
+def test_time_split_is_exact_at_size(spark, partitions):
+    """2M rows, 40 % of them on the boundary day, with repeated keys and wide rows."""
+    n = 2_000_000
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        i = F.col("id")
+        day = F.when(i % 10 < 4, F.lit(20)).when(i % 10 < 9, i % 20).otherwise(F.lit(21) + i % 5).cast("int")
+        rows = spark.range(n).select(
+            (F.xxhash64(i) % 1_900_000).alias("BELNR"), F.lit("001").alias("BUZEI"),
+            F.date_add(F.lit("2022-01-01"), day).alias("BLDAT"),
+            *[F.xxhash64(i, F.lit(k)).alias(f"wide{k}") for k in range(6)], i,
+        )
+        split = features.time_split(rows)
+        cut = int(n * 0.8)
+        got = split.groupBy("split").agg(F.count("*").alias("n"), F.sum("id").alias("ids")).collect()
+        assert {r["split"]: r["n"] for r in got} == {"train": cut, "test": n - cut}
+        again = split.select("id", "split").groupBy("split").agg(F.sum("id").alias("ids")).collect()
+        assert {r["split"]: r["ids"] for r in got} == {r["split"]: r["ids"] for r in again}
+        key = F.struct("BLDAT", "BELNR", "BUZEI")
+        assert split.where("split = 'train'").agg(F.max(key)).first()[0] <= split.where("split = 'test'").agg(F.min(key)).first()[0]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+@pytest.mark.parametrize("partitions", [2, 64])
+def test_folds_are_exactly_stratified(spark, partitions, monkeypatch):
+    from arledger.operators import classify
+
+    monkeypatch.setattr(classify, "FOLD_GROUP_ROWS", 5_000)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        rows = spark.range(300_001).select(F.col("id").alias("BELNR"), (F.col("id") % 7 == 0).cast("double").alias("LATE_FLAG"))
+        folds = classify.stratified_folds(rows, 5)
+        sizes = folds.groupBy("LATE_FLAG", "fold").count().collect()
+        for label in (0.0, 1.0):
+            n = [r["count"] for r in sizes if r["LATE_FLAG"] == label]
+            assert len(n) == 5 and max(n) - min(n) <= 1
+        assert folds.where("fold = 2").agg(F.sum("BELNR")).first() == folds.select("BELNR", "fold").where("fold = 2").agg(F.sum("BELNR")).first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
+def test_quantiles_with_a_hot_value(spark):
+    """75 % of the rows hold one value: counted before the shuffle, and exact in every group."""
+    import numpy as np
+
+    from arledger.operators import stats
+
+    rows = spark.range(200_000).select(
+        F.when(F.col("id") % 4 < 3, F.lit(5.0)).otherwise(F.col("id") % 1000 / 7.0).alias("v"),
+        F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 3).alias("g"),
+    )
+    got = {r["g"]: r for r in stats.exact_quantiles(rows, "v", [0.0, 0.1, 0.37, 0.5, 0.9, 1.0], ["g"]).collect()}
+    data = rows.toPandas()
+    for g, part in data.groupby("g", dropna=False)["v"]:
+        key = None if g != g else int(g)
+        want = np.quantile(part, [0.0, 0.1, 0.37, 0.5, 0.9, 1.0])
+        assert got[key]["n"] == len(part) and np.allclose([got[key][f"q{i}"] for i in range(6)], want, rtol=1e-12)
+    ranged = stats.running_counts(rows, ["v"])
+    assert ranged.count() == rows.select("v").distinct().count() and ranged.agg(F.max("upto")).first()[0] == 200_000

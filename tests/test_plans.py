@@ -5,8 +5,10 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from arledger.plans import registry
 from tests.conftest import SF_SMALL
 
+registry.load_all()
 PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF")
 
 
@@ -14,7 +16,7 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_no_python_in_relational_plans(spark, name):
     plan = _plan(entry.queries()[name](spark, SF_SMALL))
     assert not any(n in plan for n in PY_NODES), name
