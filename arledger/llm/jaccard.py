@@ -39,8 +39,11 @@ from . import common, graph
 WORDS, PERCENT = 3, 90
 #: Coordinates of a point; children of an R-tree node; pairs verified at a time.
 GROUPS, FANOUT, AT_ONCE = 32, 32, 32
-#: Shingles that one R-tree task holds; signatures that one file task holds, and that a batch combines at a time.
-TASK_SHINGLES, TASK_SIGNATURES, BATCH_SIGNATURES = 2_000_000, 1_000_000, 500_000
+#: A component of more shingles than UNDIVIDED is dealt to blocks, one for the root of every BLOCK_UNIT of them, so its
+#: tasks grow in number as the component does; and at least to so many that a task holds at most TASK_SHINGLES.
+UNDIVIDED, BLOCK_UNIT, TASK_SHINGLES = 50_000, 1_000, 2_000_000
+#: Signatures that one file task holds, and that a batch combines at a time.
+TASK_SIGNATURES, BATCH_SIGNATURES = 1_000_000, 500_000
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
@@ -362,10 +365,13 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     coarse = graph.components(ties)
 
     members = common.stored(classes.join(coarse.withColumnRenamed("node", "key1"), "key1").select("id", "key1", "key2", "n", F.col("component").alias("task")), "jaccard-members")
-    blocks = common.stored(members.groupBy("task").agg(F.count("*").alias("classes"), F.ceil(2 * F.sum("n") / F.lit(TASK_SHINGLES)).alias("blocks")).where("classes > 1").select("task", "blocks"), "jaccard-blocks")
+    held = F.sum("n")
+    parts = F.when(held <= UNDIVIDED, F.lit(1)).otherwise(F.greatest(F.ceil(F.sqrt(held / F.lit(BLOCK_UNIT))), F.ceil(2 * held / F.lit(TASK_SHINGLES))))
+    blocks = members.groupBy("task").agg(F.count("*").alias("classes"), parts.cast("long").alias("blocks")).where("classes > 1").select("task", "blocks")
+    blocks = common.stored(blocks, "jaccard-blocks")
     members = members.join(blocks, "task").select("id", "key1", "key2", "task", "blocks", F.pmod(F.xxhash64("key2"), "blocks").alias("block"))
     members = common.stored(members, "jaccard-placed")
-    texts = source.join(members, "id")
+    texts = source.join(members.hint("merge"), "id")  # the members are a share of all documents: never broadcast
 
     def reread(batches):
         last = None

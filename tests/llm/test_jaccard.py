@@ -113,7 +113,9 @@ def test_components_match_all_pairs(spark, seed):
 
 def test_large_components_are_dealt_to_blocks(spark, monkeypatch):
     rows = near_copies(3, 3, 120)
-    monkeypatch.setattr(jaccard, "TASK_SHINGLES", 2_000)
+    monkeypatch.setattr(jaccard, "UNDIVIDED", 500)
+    monkeypatch.setattr(jaccard, "BLOCK_UNIT", 300)
+    monkeypatch.setattr(jaccard, "TASK_SHINGLES", 4_000)
     found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
     want = brute_components(rows)
     assert {r[0]: r[2] for r in found.collect()} == want
