@@ -156,7 +156,6 @@ PRIORITY_TERMS = {
     "5-LOW": "NT90",
 }
 RETURNFLAG_ACCOUNT = {"A": "113100", "N": "113200", "R": "113300"}
-AGING_AS_OF = "2001-08-01"
 COMPANY_CODE = "1000"
 CURRENCY = "USD"
 

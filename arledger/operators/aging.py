@@ -9,14 +9,17 @@ from ..constants import AGING_BUCKETS, COMPANY_CODE, CURRENCY
 from ..functions.expressions import aging_bucket
 
 
-def ar_aging(invoices: DataFrame, as_of: Column) -> DataFrame:
-    """Open invoices (AUGDT null) -> one row per customer with the six bucket sums, total.
+def ar_aging(invoices: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """Open invoices (AUGDT null) -> one row per customer with the six bucket sums, total, as of a
+    date (default: the last document date of all invoices, a scalar of the same plan).
 
     Plan: a single hash aggregate keyed by KUNNR (map-side partial sums; a customer that holds
     a third of all rows costs one partial row per map task). The pivot is over a fixed literal
     list, so no extra job runs to discover bucket values. Empty input gives an empty frame
     with the full schema.
     """
+    if as_of is None:
+        as_of = invoices.agg(F.max("BLDAT")).scalar()
     # null customer keys form no group (pandas groupby semantics)
     open_items = invoices.filter(F.col("AUGDT").isNull() & F.col("KUNNR").isNotNull())
     overdue = F.datediff(as_of, F.col("FAEDT"))

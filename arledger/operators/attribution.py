@@ -1,82 +1,128 @@
 """Per-invoice feature attributions as a distributed Shapley job.
 
-Sampled Shapley values (Strumbelj & Kononenko 2014): for every (invoice, sample) a seeded
+Sampled Shapley values (Strumbelj & Kononenko 2014): for every (invoice line, sample) a seeded
 feature permutation and a seeded background row z are drawn; the 13 "switch-on" points of the
-permutation (first k features from x, the rest from z) are scored by the fitted trees in one
-``transform``; consecutive margin differences are the marginal contributions, averaged per
-(invoice, feature) with a plain ``groupBy``. Per sample the contributions telescope to
-f(x) - f(z), so base + sum(phi) = f(x) exactly (base = mean f(z) over the samples).
-
-Contributions are on the uncalibrated tree margin (log-odds): columns ``phi_margin`` and
-``base_margin``. Row growth is rows x samples x 13; the report runs on the top-N rows, the
-portfolio views with a few samples per row.
+permutation (first k features from x, the rest from z) are scored in one ``transform``. A point's
+margin counts for the feature just switched on and against the next one, so the contributions are
+plain signed sums per (line, feature): the points are made and scored row by row, the sums are
+combined before their shuffle (12 rows per line are left), and no window over points is needed.
+Per sample the contributions telescope to f(x) - f(z), so base + sum(phi) = f(x) exactly (base =
+mean f(z) over the samples).
+
+The scorer is any function that adds a MARGIN to a ``features`` vector: the fitted trees, or
+``linear_scorer``, for which the contributions are w * (x - mean z) whatever the permutations.
+Contributions of the trees are on the uncalibrated margin (log-odds): columns ``phi_margin`` and
+``base_margin``. ``phi_se`` is their standard error from the means of ``BATCHES`` groups of
+samples (zero for a linear scorer with one background row). Row growth is rows x samples x 13;
+``n_samples`` is a parameter, and the error falls with its square root.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
+from collections.abc import Callable
+
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import BACKGROUND_ROWS, FEATURE_COLS, RANDOM_SEED, TOP_N_RISKS
 from .classify import TrainedClassifier, margin
 
+#: Key of an invoice line, and groups of samples that the standard error is taken from.
+KEYS, BATCHES = ["BELNR", "BUZEI"], 4
+
+Scorer = Callable[[DataFrame], DataFrame]
+
+
+def line_keys(df: DataFrame) -> list[str]:
+    return [c for c in KEYS if c in df.columns]
+
+
+def linear_scorer(weights: list[float]) -> Scorer:
+    """MARGIN = sum of weight * feature."""
+
+    def score(df: DataFrame) -> DataFrame:
+        x = vector_to_array("features")
+        total = F.lit(0.0)
+        for j, w in enumerate(weights):
+            total = total + F.lit(float(w)) * x[j]
+        return df.withColumn("MARGIN", total)
+
+    return score
+
+
+def tree_scorer(model: TrainedClassifier) -> Scorer:
+    return lambda df: margin(model.gbt.transform(df))
+
 
 def background(fs: DataFrame, n: int = BACKGROUND_ROWS, seed: int = RANDOM_SEED,
                features: list[str] = FEATURE_COLS) -> DataFrame:
     """<= n rows chosen by a seeded hash order (a distributed top-k), indexed 0..n-1."""
-    top = fs.orderBy(F.xxhash64(F.col("BELNR"), F.lit(seed)), F.col("BELNR")).limit(n)
+    keys = line_keys(fs)
+    order = [F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))), *[F.col(k) for k in keys]]
+    top = fs.orderBy(*order).limit(n)
     return top.select(
-        (F.row_number().over(Window.orderBy(F.xxhash64(F.col("BELNR"), F.lit(seed)), F.col("BELNR"))) - 1).alias("bg_idx"),
+        *keys, (F.row_number().over(Window.orderBy(*order)) - 1).alias("bg_idx"),
         F.array(*[F.col(c).cast("double") for c in features]).alias("z"),
     )
 
 
-def shapley(model: TrainedClassifier, rows: DataFrame, bg: DataFrame, n_samples: int = 32,
-            seed: int = RANDOM_SEED) -> tuple[DataFrame, DataFrame]:
-    """Returns (long table BELNR, feature, phi_margin; per-row BELNR, base_margin, f_margin)."""
-    feats = model.config.features
+def shapley(scorer: Scorer, rows: DataFrame, bg: DataFrame, n_samples: int = 32, seed: int = RANDOM_SEED,
+            feats: list[str] = FEATURE_COLS) -> tuple[DataFrame, DataFrame]:
+    """Returns (long table keys, feature_idx, feature, phi_margin, phi_se; per-line table keys,
+    base_margin, f_margin)."""
+    keys = line_keys(rows)
     n_feat = len(feats)
     n_bg = bg.agg(F.count(F.lit(1))).scalar()
-    x = rows.select("BELNR", F.array(*[F.col(c).cast("double") for c in feats]).alias("x"))
-    s = x.select("BELNR", "x", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("s"))
-    s = s.withColumn("bg_idx", F.pmod(F.xxhash64(F.col("BELNR"), F.col("s"), F.lit(seed)), n_bg).cast("int"))
+    ids = [F.col(k) for k in keys]
+    x = rows.select(*keys, F.array(*[F.col(c).cast("double") for c in feats]).alias("x"))
+    s = x.select(*keys, "x", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))).alias("s"))
+    s = s.withColumn("bg_idx", F.pmod(F.xxhash64(*ids, F.col("s"), F.lit(seed)), n_bg).cast("int"))
     # the background has at most BACKGROUND_ROWS rows: broadcast is bounded
-    s = s.join(F.broadcast(bg), "bg_idx").drop("bg_idx")
-    keys = F.transform(
-        F.sequence(F.lit(0), F.lit(n_feat - 1)),
-        lambda j: F.struct(F.xxhash64(F.col("BELNR"), F.col("s"), j, F.lit(seed + 1)).alias("h"), j.alias("j")),
+    s = s.join(F.broadcast(bg.select("bg_idx", "z")), "bg_idx").drop("bg_idx")
+    each = F.sequence(F.lit(0), F.lit(n_feat - 1))
+    drawn = F.transform(each, lambda j: F.struct(F.xxhash64(*ids, F.col("s"), j, F.lit(seed + 1)).alias("h"), j.alias("j")))
+    s = s.withColumn("perm", F.transform(F.array_sort(drawn), lambda e: e["j"]))  # perm[k] = feature at position k
+    s = s.withColumn("rank", F.transform(each, lambda j: F.array_position(F.col("perm"), j) - 1))
+    pts = s.select(*keys, "s", "x", "z", "perm", "rank", F.explode(F.sequence(F.lit(0), F.lit(n_feat))).alias("k"))
+    vec = F.transform(each, lambda j: F.when(F.col("rank")[j] < F.col("k"), F.col("x")[j]).otherwise(F.col("z")[j]))
+    scored = scorer(pts.withColumn("features", array_to_vector(vec)))
+    m, k = F.col("MARGIN"), F.col("k")
+    before, after = F.when(k > 0, F.col("perm")[k - 1]), F.when(k < n_feat, F.col("perm")[k])
+    # feature -1 holds the margins of the two ends: the background row, and the line itself
+    ends = [F.struct(F.when((k == 0) | (k == n_feat), F.lit(-1)).alias("j"), F.when(k == 0, m).otherwise(F.lit(0.0)).alias("v"),
+                     F.when(k == n_feat, m).otherwise(F.lit(0.0)).alias("end"))]
+    steps = [F.struct(before.cast("int").alias("j"), m.alias("v"), F.lit(0.0).alias("end")),
+             F.struct(after.cast("int").alias("j"), (-m).alias("v"), F.lit(0.0).alias("end"))]
+    parts = scored.select(*keys, "s", F.explode(F.array(*steps, *ends)).alias("p")).where(F.col("p.j").isNotNull())
+    batches = min(BATCHES, n_samples)
+    sums = parts.groupBy(*keys, F.col("p.j").alias("j")).agg(
+        F.sum("p.v").alias("v"), F.sum("p.end").alias("end"),
+        *[F.sum(F.when(F.col("s") % batches == b, F.col("p.v"))).alias(f"b{b}") for b in range(batches)],
     )
-    perm = F.transform(F.array_sort(keys), lambda e: e["j"])  # perm[k] = feature at position k
-    s = s.withColumn("perm", perm)
-    s = s.withColumn("rank", F.transform(F.sequence(F.lit(0), F.lit(n_feat - 1)),
-                                         lambda j: F.array_position(F.col("perm"), j) - 1))
-    pts = s.select("BELNR", "s", "x", "z", "perm", "rank",
-                   F.explode(F.sequence(F.lit(0), F.lit(n_feat))).alias("k"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(n_feat - 1)),
-                      lambda j: F.when(F.col("rank")[j] < F.col("k"), F.col("x")[j]).otherwise(F.col("z")[j]))
-    pts = pts.withColumn("features", array_to_vector(vec))
-    scored = margin(model.gbt.transform(pts)).select("BELNR", "s", "k", "perm", "MARGIN")
-    w = Window.partitionBy("BELNR", "s").orderBy("k")
-    steps = scored.select(
-        "BELNR", "s", "k", "MARGIN",
-        (F.col("MARGIN") - F.lag("MARGIN").over(w)).alias("delta"),
-        F.when(F.col("k") > 0, F.col("perm")[F.col("k") - 1]).alias("fidx"),
-    ).persist()
+    # one narrow row per (line, feature); both results read it, so the points are scored once
+    from ..session import stored
+
+    sums = stored(sums, "shapley-sums")
+    size = [len(range(b, n_samples, batches)) for b in range(batches)]
+    means = [F.col(f"b{b}") / F.lit(float(size[b])) for b in range(batches)]
+    centre = sum(means, F.lit(0.0)) / F.lit(float(batches))
+    spread = sum(((x - centre) * (x - centre) for x in means), F.lit(0.0))
+    se = F.sqrt(spread / F.lit(float(max(1, batches * (batches - 1)))))
     names = F.array(*[F.lit(c) for c in feats])
-    phi = steps.where(F.col("k") > 0).groupBy("BELNR", "fidx").agg(F.avg("delta").alias("phi_margin")).select(
-        "BELNR", F.col("fidx").alias("feature_idx"), F.element_at(names, F.col("fidx") + 1).alias("feature"), "phi_margin"
+    phi = sums.where("j >= 0").select(
+        *keys, F.col("j").alias("feature_idx"), F.element_at(names, F.col("j") + 1).alias("feature"),
+        (F.col("v") / F.lit(float(n_samples))).alias("phi_margin"), se.alias("phi_se"),
     )
-    base = steps.groupBy("BELNR").agg(
-        F.avg(F.when(F.col("k") == 0, F.col("MARGIN"))).alias("base_margin"),
-        F.avg(F.when(F.col("k") == n_feat, F.col("MARGIN"))).alias("f_margin"),
+    base = sums.where("j = -1").select(
+        *keys, (F.col("v") / F.lit(float(n_samples))).alias("base_margin"), (F.col("end") / F.lit(float(n_samples))).alias("f_margin"),
     )
     return phi, base
 
 
 def phi_array(phi: DataFrame, n_feat: int = len(FEATURE_COLS)) -> DataFrame:
     """Long contributions -> one array per invoice in feature order (SHAP_VALUES)."""
-    return phi.groupBy("BELNR").agg(
+    return phi.groupBy(*line_keys(phi)).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("feature_idx", "phi_margin"))), lambda e: e["phi_margin"]
         ).alias("SHAP_VALUES")
@@ -92,31 +138,45 @@ def global_importance(phi: DataFrame) -> DataFrame:
 def waterfall(phi: DataFrame, rows: DataFrame, top: int = 8, features: list[str] = FEATURE_COLS) -> DataFrame:
     """Per invoice the 8 largest |contribution| with the feature value and sign."""
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in features)
-    vals = rows.select("BELNR", F.expr(f"stack({len(features)}, {pairs}) AS (feature, value)"))
-    j = phi.join(vals, ["BELNR", "feature"])
-    r = F.row_number().over(Window.partitionBy("BELNR").orderBy(F.desc(F.abs("phi_margin")), "feature"))
+    keys = line_keys(phi)
+    vals = rows.select(*keys, F.expr(f"stack({len(features)}, {pairs}) AS (feature, value)"))
+    j = phi.join(vals, [*keys, "feature"])
+    r = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.abs("phi_margin")), "feature"))
     return j.withColumn("position", r).where(F.col("position") <= top).select(
-        "BELNR", "position", "feature", "value", "phi_margin",
+        *keys, "position", "feature", "value", "phi_margin",
         F.when(F.col("phi_margin") > 0, "increases risk").otherwise("reduces risk").alias("direction"),
     )
 
 
 def contributions_by_tier(phi: DataFrame, fs: DataFrame) -> DataFrame:
     """Mean contribution per (risk tier, feature)."""
-    return phi.join(fs.select("BELNR", "RISK_TIER"), "BELNR").groupBy("RISK_TIER", "feature").agg(
+    keys = line_keys(phi)
+    return phi.join(fs.select(*keys, "RISK_TIER"), keys).groupBy("RISK_TIER", "feature").agg(
         F.avg("phi_margin").alias("mean_phi")
     )
 
 
 def dependence(phi: DataFrame, fs: DataFrame, feature: str, interaction: str) -> DataFrame:
     """(value, contribution, interacting value) triples for one feature."""
+    keys = line_keys(phi)
     return phi.where(F.col("feature") == feature).join(
-        fs.select("BELNR", F.col(feature).cast("double").alias("value"),
-                  F.col(interaction).cast("double").alias("interaction_value")), "BELNR"
-    ).select("BELNR", F.lit(feature).alias("feature"), "value", "phi_margin",
+        fs.select(*keys, F.col(feature).cast("double").alias("value"),
+                  F.col(interaction).cast("double").alias("interaction_value")), keys
+    ).select(*keys, F.lit(feature).alias("feature"), "value", "phi_margin",
              F.lit(interaction).alias("interaction"), "interaction_value")
 
 
+def top_dependence(phi: DataFrame, fs: DataFrame, features: list[str] = FEATURE_COLS) -> DataFrame:
+    """X9 for the feature of greatest mean |contribution|: (value, contribution) pairs. The
+    feature is found in the same plan (a scalar), its value picked by name."""
+    keys = line_keys(phi)
+    top = global_importance(phi).where("rank = 1").select("feature").scalar()
+    value = F.create_map(*[x for c in features for x in (F.lit(c), F.col(c).cast("double"))])
+    vals = fs.select(*keys, value.alias("_v"))
+    j = phi.where(F.col("feature") == top).join(vals, keys)
+    return j.select(*keys, "feature", F.element_at("_v", F.col("feature")).alias("value"), "phi_margin")
+
+
 def extremes(scored: DataFrame) -> DataFrame:
     """The single highest- and lowest-risk invoices (ties by BELNR)."""
     hi = scored.orderBy(F.desc("LATE_PROB"), "BELNR").limit(1).withColumn("which", F.lit("highest"))
@@ -131,8 +191,6 @@ def top_flagged(scored: DataFrame, n: int = TOP_N_RISKS) -> DataFrame:
 
 # FIXED VALUES: feature groups of the audit checks
 PAYMENT_FEATURES = ["CUST_AVG_DAYS_LATE", "CUST_LATE_RATE", "CUST_INVOICE_COUNT", "CUST_AVG_AMOUNT"]
-CONTEXT_FEATURES = ["PAYMENT_DAYS_NUM", "INDUSTRY_CODE", "REGION_CODE", "INVOICE_MONTH", "INVOICE_QUARTER",
-                    "INVOICE_DOW", "IS_QUARTER_END"]
 
 
 def audit_checks(phi: DataFrame, scored: DataFrame) -> DataFrame:
@@ -163,14 +221,20 @@ def audit_checks(phi: DataFrame, scored: DataFrame) -> DataFrame:
     tier_ok = (t["high_n"] >= 100) & (t["low_n"] >= 100)
     flag_ok = (t["flag_rate"] > 0.02) & (t["flag_rate"] < 0.98) & (t["high_n"] >= 100)
 
-    def row(name, applicable, ok, detail):
+    # a tier without rows has no mean: shown as n/a instead of blanking the text
+    f4 = lambda c: F.coalesce(F.format_string("%.4f", F.bround(c, 4)), F.lit("n/a"))
+    count = lambda c: c.cast("string")
+    few = F.concat(F.lit("skipped: high_n="), count(t["high_n"]), F.lit("; low_n="), count(t["low_n"]), F.lit("; each must be 100 or more"))
+    one_sided = F.concat(F.lit("skipped: overall_flag_rate="), f4(t["flag_rate"]), F.lit("; high_n="), count(t["high_n"]),
+                         F.lit("; needs a rate within (0.02, 0.98) and 100 rows"))
+
+    def row(name, applicable, ok, detail, skipped=F.lit("")):
         applicable = applicable if hasattr(applicable, "alias") else F.lit(applicable)
-        ok_col = F.when(applicable, ok).otherwise(F.lit(True))
+        ok_col = F.coalesce(F.when(applicable, ok).otherwise(F.lit(True)), F.lit(False))
         status = F.when(~applicable, "SKIP").when(ok_col, "PASS").otherwise("FAIL")
         return F.struct(F.lit(name).alias("name"), applicable.alias("applicable"), ok_col.alias("ok"),
-                        status.alias("status"), detail.alias("detail"))
+                        status.alias("status"), F.when(applicable, detail).otherwise(skipped).alias("detail"))
 
-    f4 = lambda c: F.format_string("%.4f", F.bround(c, 4))
     checks = F.array(
         row("Top-5 include at least two payment behavior features", True, s["top5_payment"] >= 2,
             F.concat(F.lit("top5="), s["top5"], F.lit("; payment_count="), s["top5_payment"].cast("string"))),
@@ -178,9 +242,9 @@ def audit_checks(phi: DataFrame, scored: DataFrame) -> DataFrame:
             F.concat(F.lit("payment_share="), f4(s["pay_share"]), F.lit("; threshold=0.3500"))),
         row("High-risk tier has higher avg LATE_PROB than low-risk tier", tier_ok, t["high_prob"] > t["low_prob"],
             F.concat(F.lit("high_n="), t["high_n"].cast("string"), F.lit("; low_n="), t["low_n"].cast("string"),
-                     F.lit("; high_mean_prob="), f4(t["high_prob"]), F.lit("; low_mean_prob="), f4(t["low_prob"]))),
+                     F.lit("; high_mean_prob="), f4(t["high_prob"]), F.lit("; low_mean_prob="), f4(t["low_prob"])), few),
         row("High-risk flag rate is above overall flag rate", flag_ok, t["high_flag"] > t["flag_rate"],
-            F.concat(F.lit("high_flag_rate="), f4(t["high_flag"]), F.lit("; overall_flag_rate="), f4(t["flag_rate"]))),
+            F.concat(F.lit("high_flag_rate="), f4(t["high_flag"]), F.lit("; overall_flag_rate="), f4(t["flag_rate"])), one_sided),
         row("Portfolio calibration gap is below 0.10", True, gap < 0.10,
             F.concat(F.lit("mean_prob="), f4(t["mean_prob"]), F.lit("; actual_late_rate="), f4(t["late_rate"]),
                      F.lit("; gap="), f4(gap), F.lit("; threshold=0.1000"))),

@@ -6,7 +6,7 @@
   hash) and rank mod k - then ``CrossValidator(foldCol=...)`` with exact AUC (numBins=0).
 * C4 boosted trees: ``GBTClassifier`` with a class weight column (positive weight =
   round(neg/pos, 2)), row / feature subsampling, early stopping on the validation rows.
-* C5 Platt scaling: logistic regression on the tree margin with Platt's smoothed targets,
+* C5 isotonic regression, or Platt scaling: logistic regression on the tree margin with Platt's smoothed targets,
   expressed as two weighted rows per validation row.
 * C6 threshold: ``metrics.optimize_threshold`` on calibrated validation probabilities.
 * C8 baselines: stratified random and standardised logistic regression.
@@ -14,7 +14,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, fields
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -23,6 +23,7 @@ from pyspark.ml.classification import (
     LogisticRegression,
     LogisticRegressionModel,
 )
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -38,18 +39,20 @@ from .scoring import predict
 
 @dataclass
 class ClassifierConfig:
-    # the published model uses 500 rounds with early stopping; MLlib builds trees one Spark
-    # job at a time, so the default here is smaller and the value is a parameter
-    n_rounds: int = 30
+    # at most 500 rounds as in the published model; the fit ends as soon as the loss on the
+    # validation rows falls by less than validation_tol (relative) in a round
+    n_rounds: int = 500
     max_depth: int = 6
     step_size: float = 0.05
     subsample: float = 0.8
     feature_subset: str = "0.8"
     min_instances_per_node: int = 5
-    validation_tol: float = 1e-5
+    validation_tol: float = 1e-3
     calibrate: bool = True
     cv_folds: int = CV_FOLDS
-    cv_parallelism: int = 2
+    cv_rounds: int = 30
+    cv_parallelism: int = 5
+    calibration: str = "sigmoid"  # or "isotonic"
     seed: int = RANDOM_SEED
     features: list[str] = field(default_factory=lambda: list(FEATURE_COLS))
 
@@ -97,24 +100,21 @@ def stratified_folds(df: DataFrame, k: int, seed: int = RANDOM_SEED) -> DataFram
 
 
 def training_frame(df: DataFrame, rows_per_partition: int = 100_000) -> DataFrame:
-    """Persisted input for iterative MLlib fits, with partitions sized to the data: tree
-    learners run several jobs per level, so tiny partitions cost more in scheduling than in
-    work, while large inputs keep one partition per ~100k rows (capped by parallelism x 4)."""
-    df = df.persist()
+    """Persisted input for iterative MLlib fits, in partitions of about ``rows_per_partition``
+    rows: tree learners run several jobs per level, so tiny partitions cost more in scheduling
+    than in work. The number of partitions follows the rows alone, and rows are dealt by their
+    key's hash, so the model doesn't depend on the number of cores."""
     n = df.count()
-    sc = df.sparkSession.sparkContext
-    target = max(1, min(sc.defaultParallelism * 4, -(-n // rows_per_partition)))
-    if target != df.rdd.getNumPartitions():
-        shaped = df.repartition(target).persist()
-        shaped.count()
-        df.unpersist()
-        return shaped
-    return df
+    keys = [c for c in ("BELNR", "BUZEI") if c in df.columns]
+    shaped = df.repartition(max(1, -(-n // rows_per_partition)), *keys).sortWithinPartitions(*keys) if keys else df
+    shaped = shaped.persist()
+    shaped.count()
+    return shaped
 
 
-def _gbt(cfg: ClassifierConfig, with_validation: bool) -> GBTClassifier:
+def _gbt(cfg: ClassifierConfig, with_validation: bool, rounds: int | None = None) -> GBTClassifier:
     params = dict(
-        featuresCol="features", labelCol="label", weightCol="weight", maxIter=cfg.n_rounds,
+        featuresCol="features", labelCol="label", weightCol="weight", maxIter=rounds or cfg.n_rounds,
         maxDepth=cfg.max_depth, stepSize=cfg.step_size, subsamplingRate=cfg.subsample,
         featureSubsetStrategy=cfg.feature_subset, minInstancesPerNode=cfg.min_instances_per_node,
         seed=cfg.seed, lossType="logistic",
@@ -125,13 +125,14 @@ def _gbt(cfg: ClassifierConfig, with_validation: bool) -> GBTClassifier:
 
 
 def cross_validate(fit_rows: DataFrame, cfg: ClassifierConfig) -> float:
-    """Mean exact AUC over stratified folds of the fitting rows."""
+    """Mean exact AUC over stratified folds of the fitting rows. Each fold's fit has the same
+    number of rounds, ``cv_rounds`` (folds have no validation rows to stop on)."""
     spw = positive_weight(fit_rows)
     data = training_frame(assemble(stratified_folds(fit_rows, cfg.cv_folds, cfg.seed)).withColumn(
         "weight", F.when(F.col("label") == 1, F.lit(spw)).otherwise(F.lit(1.0))
     ))
     cv = CrossValidator(
-        estimator=_gbt(cfg, with_validation=False),
+        estimator=_gbt(cfg, with_validation=False, rounds=cfg.cv_rounds),
         estimatorParamMaps=ParamGridBuilder().build(),
         evaluator=BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", metricName="areaUnderROC", numBins=0),
         foldCol="fold",
@@ -167,10 +168,16 @@ def platt(val_scored: DataFrame) -> LogisticRegressionModel:
     return lr.fit(data)
 
 
+def isotonic(val_scored: DataFrame) -> IsotonicRegressionModel:
+    """C5, the other method: a monotone step function of the margin (pool adjacent violators)."""
+    rows = val_scored.select(F.col("label").cast("double").alias("label"), F.col("MARGIN").alias("mfeat"))
+    return IsotonicRegression(featuresCol="mfeat", labelCol="label", isotonic=True).fit(rows)
+
+
 @dataclass
 class TrainedClassifier:
     gbt: GBTClassificationModel
-    calibrator: LogisticRegressionModel | None
+    calibrator: LogisticRegressionModel | IsotonicRegressionModel | None
     threshold: float
     cv_auc: float | None
     positive_weight: float
@@ -181,6 +188,9 @@ class TrainedClassifier:
         scored = margin(self.gbt.transform(assemble(df, self.config.features)))
         if self.calibrator is None:
             prob = vector_to_array("probability")[1]
+        elif isinstance(self.calibrator, IsotonicRegressionModel):
+            scored = self.calibrator.setFeaturesCol("MARGIN").setPredictionCol("_iso").transform(scored)
+            prob = F.least(F.greatest(F.col("_iso"), F.lit(0.0)), F.lit(1.0))
         else:
             coef = float(self.calibrator.coefficients[0])
             icpt = float(self.calibrator.intercept)
@@ -207,10 +217,15 @@ class TrainedClassifier:
 
     @staticmethod
     def load(path: str) -> "TrainedClassifier":
+        """The saved model with its whole configuration."""
         spark = SparkSession.getActiveSession()
         meta = spark.read.parquet(f"{path}/meta").first().asDict()
-        cal = LogisticRegressionModel.load(f"{path}/calibrator") if meta["is_calibrated"] == "True" else None
-        cfg = ClassifierConfig(features=meta["features"].split(","))
+        kinds = {f.name: type(f.default) for f in fields(ClassifierConfig) if f.name != "features"}
+        read = {bool: lambda v: v == "True"}
+        cfg = ClassifierConfig(features=meta["features"].split(","),
+                               **{k: read.get(t, t)(meta[k]) for k, t in kinds.items() if meta.get(k) is not None})
+        kind = IsotonicRegressionModel if cfg.calibration == "isotonic" else LogisticRegressionModel
+        cal = kind.load(f"{path}/calibrator") if meta["is_calibrated"] == "True" else None
         cv = None if meta["cv_auc"] is None else float(meta["cv_auc"])
         return TrainedClassifier(GBTClassificationModel.load(f"{path}/gbt"), cal, float(meta["threshold"]),
                                  cv, float(meta["positive_weight"]), cfg)
@@ -230,7 +245,7 @@ def train_classifier(train: DataFrame, cfg: ClassifierConfig | None = None, with
     gbt = _gbt(cfg, with_validation=True).fit(data)
     data.unpersist()
     val = margin(gbt.transform(assemble(cut.where(F.col("is_val")), cfg.features)))
-    calibrator = platt(val) if cfg.calibrate else None
+    calibrator = (isotonic(val) if cfg.calibration == "isotonic" else platt(val)) if cfg.calibrate else None
     model = TrainedClassifier(gbt, calibrator, 0.5, cv_auc, spw, cfg)
     val_prob = model.raw_probability(cut.where(F.col("is_val")))
     best = optimize_threshold(val_prob, p="RAW_PROB").first()

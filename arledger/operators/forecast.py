@@ -26,11 +26,15 @@ from ..constants import (
     RANDOM_SEED,
     SEGMENT_COLUMN,
 )
-from .metrics import pinball_loss
+from ..session import stored
 from .monthly import SLICE, horizon_targets, segment_summary, select_slice
 from .normalize import normalize_selector
 
 
+#: Target rows up to which the forests are fitted on one partition.
+ONE_PARTITION_ROWS = 100_000
+
+
 @dataclass
 class ForecastConfig:
     num_trees: int = 100
@@ -51,70 +55,64 @@ def _assemble(df: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=FORECAST_FEATURE_COLS, outputCol="features").transform(df)
 
 
-@dataclass
-class QuantileForest:
-    """One fitted forest and its training leaves (targets and leaf sizes per tree)."""
-
-    model_key: str
-    horizon: int
-    forest: RandomForestRegressionModel
-    leaves: DataFrame  # _rid, _ty (training target), tree, leaf, w
-
-    def predict(self, rows: DataFrame, id_cols: list[str], quantiles) -> DataFrame:
-        """Weighted quantiles for every row: id_cols + one ``qname(q)`` column each."""
-        q_leaves = self.forest.transform(_assemble(rows)).select(
-            *id_cols, F.posexplode(vector_to_array("leaf")).alias("tree", "leaf")
-        )
-        joined = q_leaves.join(self.leaves, ["tree", "leaf"])
-        weights = joined.groupBy(*id_cols, "_ty", "_rid").agg(F.sum("w").alias("w"))
-        w = Window.partitionBy(*id_cols).orderBy("_ty", "_rid")
-        cum = weights.withColumn("cw", F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        aggs = [
-            F.min(F.when(F.col("cw") >= F.lit(float(q)) - 1e-12, F.col("_ty"))).alias(qname(q))
-            for q in quantiles
-        ]
-        return cum.groupBy(*id_cols).agg(*aggs)
-
-
-def fit_forest(train: DataFrame, model_key: str, horizon: int, cfg: ForecastConfig) -> QuantileForest:
-    """Fit one forest on rows with FORECAST_FEATURE_COLS and TARGET."""
-    rf = RandomForestRegressor(
-        featuresCol="features", labelCol="TARGET", numTrees=cfg.num_trees, maxDepth=cfg.max_depth,
-        minInstancesPerNode=cfg.min_instances_per_node, subsamplingRate=cfg.subsample, seed=cfg.seed,
-        featureSubsetStrategy="onethird", leafCol="leaf",
-    )
-    data = _assemble(train).withColumn("_rid", F.monotonically_increasing_id()).persist()
-    model = rf.fit(data)
-    t_leaves = model.transform(data).select(
-        "_rid", F.col("TARGET").alias("_ty"), F.posexplode(vector_to_array("leaf")).alias("tree", "leaf")
+def leaf_rows(forest: RandomForestRegressionModel, rows: DataFrame, model_key: str, horizon: int, ids: list[str]) -> DataFrame:
+    """One row per (row, tree): model, horizon, ids, tree, leaf."""
+    return forest.transform(_assemble(rows)).select(
+        F.lit(model_key).alias("model"), F.lit(int(horizon)).alias("horizon"), *ids,
+        F.posexplode(vector_to_array("leaf")).alias("tree", "leaf"),
     )
-    size = Window.partitionBy("tree", "leaf")
-    n_trees = model.getNumTrees
-    leaves = t_leaves.withColumn("w", 1.0 / (F.count(F.lit(1)).over(size) * F.lit(float(n_trees)))).persist()
-    leaves.count()
-    data.unpersist()
-    return QuantileForest(model_key, horizon, model, leaves)
+
+
+def leaf_weights(train_leaves: DataFrame) -> DataFrame:
+    """Weight 1 / (trees x leaf size) of every training row in every tree."""
+    of_leaf = Window.partitionBy("model", "horizon", "tree", "leaf")
+    of_row = Window.partitionBy("model", "horizon", "_rid")
+    return train_leaves.withColumn("w", 1.0 / (F.count(F.lit(1)).over(of_leaf) * F.count(F.lit(1)).over(of_row)))
+
+
+def weighted_quantiles(query_leaves: DataFrame, leaves: DataFrame, id_cols: list[str], quantiles) -> DataFrame:
+    """model, horizon, id_cols and one ``qname(q)`` column each, for the queries of all models at once."""
+    at = ["model", "horizon", "tree", "leaf"]
+    keys = ["model", "horizon", *id_cols]
+    weights = query_leaves.join(leaves, at).groupBy(*keys, "_ty", "_rid").agg(F.sum("w").alias("w"))
+    w = Window.partitionBy(*keys).orderBy("_ty", "_rid").rowsBetween(Window.unboundedPreceding, 0)
+    cum = weights.withColumn("cw", F.sum("w").over(w))
+    return cum.groupBy(*keys).agg(*[
+        F.min(F.when(F.col("cw") >= F.lit(float(q)) - 1e-9, F.col("_ty"))).alias(qname(q)) for q in quantiles
+    ])
+
+
+def pinball_table(pred: DataFrame, quantiles, target: str = "TARGET") -> DataFrame:
+    """Mean pinball loss per (model, horizon, quantile) in one aggregate."""
+    stacked = ", ".join(f"CAST({float(q)} AS DOUBLE), `{qname(q)}`" for q in quantiles)
+    long = pred.select("model", "horizon", target, F.expr(f"stack({len(quantiles)}, {stacked}) AS (quantile, pred)"))
+    miss = F.col(target) - F.col("pred")
+    loss = F.greatest(F.col("quantile") * miss, (F.col("quantile") - 1) * miss)
+    return long.groupBy("model", "horizon", "quantile").agg(
+        F.bround(F.avg(loss), 2).alias("pinball_loss"), F.count(F.lit(1)).alias("n_test")
+    ).select("model", F.concat(F.col("horizon").cast("string"), F.lit("d")).alias("horizon"), "quantile", "pinball_loss", "n_test")
 
 
 @dataclass
 class Forecaster:
     """Global forest per horizon plus forests for eligible segment values."""
 
-    models: dict  # (model_key, horizon) -> QuantileForest
+    models: dict  # (model_key, horizon) -> fitted forest
+    leaves: DataFrame  # model, horizon, _rid, _ty (training target), tree, leaf, w
     summary: DataFrame  # M16 + trained flag / reason
     results: DataFrame  # M22 pinball losses
     cfg: ForecastConfig
 
     def save(self, path: str) -> None:
-        """Every forest, its training leaves, the summary, the results and one metadata row."""
+        """Every forest, the training leaves, the summary, the results and one metadata row."""
         spark = self.summary.sparkSession
         index = []
-        for i, ((key, h), qf) in enumerate(sorted(self.models.items())):
-            qf.forest.write().overwrite().save(f"{path}/forest_{i}")
-            qf.leaves.write.mode("overwrite").parquet(f"{path}/leaves_{i}")
+        for i, ((key, h), forest) in enumerate(sorted(self.models.items(), key=lambda m: m[0])):
+            forest.write().overwrite().save(f"{path}/forest_{i}")
             index.append((i, key, int(h)))
         spark.createDataFrame(index, "i int, model_key string, horizon int").coalesce(1) \
             .write.mode("overwrite").parquet(f"{path}/index")
+        self.leaves.write.mode("overwrite").parquet(f"{path}/leaves")
         self.summary.write.mode("overwrite").parquet(f"{path}/summary")
         self.results.write.mode("overwrite").parquet(f"{path}/results")
         meta = [(",".join(map(str, self.cfg.quantiles)), ",".join(map(str, self.cfg.horizons)),
@@ -131,21 +129,25 @@ class Forecaster:
         cfg = ForecastConfig(num_trees=meta["num_trees"], max_depth=meta["max_depth"],
                              quantiles=tuple(float(q) for q in meta["quantiles"].split(",")),
                              horizons=tuple(int(h) for h in meta["horizons"].split(",")))
-        models = {}
-        for r in spark.read.parquet(f"{path}/index").collect():  # one row per saved forest
-            forest = RandomForestRegressionModel.load(f"{path}/forest_{r['i']}")
-            leaves = spark.read.parquet(f"{path}/leaves_{r['i']}")
-            models[(r["model_key"], r["horizon"])] = QuantileForest(r["model_key"], r["horizon"], forest, leaves)
-        return Forecaster(models, spark.read.parquet(f"{path}/summary"), spark.read.parquet(f"{path}/results"), cfg)
+        models = {(r["model_key"], r["horizon"]): RandomForestRegressionModel.load(f"{path}/forest_{r['i']}")
+                  for r in spark.read.parquet(f"{path}/index").collect()}  # one row per saved forest
+        return Forecaster(models, spark.read.parquet(f"{path}/leaves"), spark.read.parquet(f"{path}/summary"),
+                          spark.read.parquet(f"{path}/results"), cfg)
 
 
 def train_forecaster(monthly: DataFrame, cfg: ForecastConfig | None = None, pooled: bool = False,
                      segment: str = SEGMENT_COLUMN) -> Forecaster:
     """M15 + M18 + M22. The global model trains on the overall series (``pooled=True`` trains it
     on the kept segment series instead); each eligible segment value gets its own forests.
-    Targets never cross slices (lead inside a slice) and the 80 % split is per slice."""
+    Targets never cross slices (lead inside a slice) and the 80 % split is per slice.
+
+    MLlib fits one forest at a time; everything after the fits is one table keyed (model, horizon,
+    tree, leaf): the training leaves are stored once, and all test rows of all models get all
+    quantiles and losses in one aggregate."""
     cfg = cfg or ForecastConfig()
-    targets = horizon_targets(monthly, cfg.horizons).persist()
+    targets = stored(horizon_targets(monthly, cfg.horizons).withColumn("_rid", F.monotonically_increasing_id()), "forecast-targets")
+    if targets.count() <= ONE_PARTITION_ROWS:  # slices x months: one partition saves a scheduling round per tree level
+        targets = targets.coalesce(1)
     summ = segment_summary(monthly, segment)
     # segment values drive one MLlib fit each, so the (small, label-domain bounded) list of
     # eligible / kept values is read on the driver; no data rows are collected
@@ -159,28 +161,32 @@ def train_forecaster(monthly: DataFrame, cfg: ForecastConfig | None = None, pool
     plans = [("global", global_rows)] + [
         (f"segment:{v}", seg_rows & (F.col(segment) == v)) for v in eligible
     ]
-    models, results = {}, None
+    models, train_leaves, test_leaves = {}, None, None
     for key, cond in plans:
         for h in cfg.horizons:
             rows = targets.where(cond & (F.col("HORIZON_DAYS") == h))
-            train = rows.where(F.col("split") == "train")
+            train = rows.where(F.col("split") == "train").withColumn("_ty", F.col("TARGET"))
             test = rows.where(F.col("split") == "test")
-            forest = fit_forest(train, key, h, cfg)
-            models[(key, h)] = forest
-            pred = forest.predict(test.withColumn("_qid", F.monotonically_increasing_id()), ["_qid", "TARGET"],
-                                  cfg.quantiles)
-            for q in cfg.quantiles:
-                r = pinball_loss(pred, "TARGET", qname(q), q).select(
-                    F.lit(key).alias("model"), F.lit(f"{h}d").alias("horizon"), F.lit(float(q)).alias("quantile"),
-                    F.bround("pinball_loss", 2).alias("pinball_loss"), "n_test",
-                )
-                results = r if results is None else results.unionByName(r)
+            rf = RandomForestRegressor(
+                featuresCol="features", labelCol="TARGET", numTrees=cfg.num_trees, maxDepth=cfg.max_depth,
+                minInstancesPerNode=cfg.min_instances_per_node, subsamplingRate=cfg.subsample, seed=cfg.seed,
+                featureSubsetStrategy="onethird", leafCol="leaf",
+            )
+            data = _assemble(train).persist()
+            models[(key, h)] = forest = rf.fit(data)
+            data.unpersist()
+            a = leaf_rows(forest, train, key, h, ["_rid", "_ty"])
+            b = leaf_rows(forest, test, key, h, ["_rid", "TARGET"]).withColumnRenamed("_rid", "_qid")
+            train_leaves = a if train_leaves is None else train_leaves.unionByName(a)
+            test_leaves = b if test_leaves is None else test_leaves.unionByName(b)
+    leaves = stored(leaf_weights(train_leaves), "forecast-leaves")
+    pred = weighted_quantiles(test_leaves, leaves, ["_qid", "TARGET"], cfg.quantiles)
+    results = stored(pinball_table(pred, cfg.quantiles), "forecast-results")
     trained = F.col("segment").isin(eligible) if eligible else F.lit(False)
     summary = summ.withColumn("trained", trained).withColumn(
         "reason", F.when(F.col("trained"), F.lit("trained")).otherwise(F.col("reason"))
     )
-    targets.unpersist()
-    return Forecaster(models, summary, results, cfg)
+    return Forecaster(models, leaves, summary, results, cfg)
 
 
 def resolve_model(fc: Forecaster, region: str | None = None, industry: str | None = None,
@@ -205,40 +211,87 @@ def inference_rows(monthly: DataFrame, region: str | None = None, industry: str
     return sel.where(n >= min_rows).unionByName(overall.where(n < min_rows))
 
 
-def generate_forecast(fc: Forecaster, monthly: DataFrame, region: str | None = None,
-                      industry: str | None = None) -> DataFrame:
-    """Latest row of the inference slice -> quantiles per horizon; lower <= median <= upper,
-    clipped at 0 and rounded (half-even) to cents; width from the unclipped bounds;
-    uncertainty % = width / max(median, 1) * 100 rounded to 1."""
-    key, source, seg = resolve_model(fc, region, industry)
+#: Columns that a quantile source hands to ``forecast_table``.
+BOUNDS = ["LOWER", "MEDIAN", "UPPER"]
+
+
+def forecast_table(pred: DataFrame) -> DataFrame:
+    """M21 from any quantiles (Horizon_Days, LOWER, MEDIAN, UPPER and the model columns): lower <=
+    median <= upper, clipped at 0 and rounded (half-even) to cents; width from the unclipped
+    bounds; uncertainty % = width / max(median, 1) * 100 rounded to 1."""
+    med = F.col("MEDIAN")
+    lower, upper = F.least(F.col("LOWER"), med), F.greatest(F.col("UPPER"), med)
+    rest = [c for c in pred.columns if c not in {*BOUNDS, "Horizon_Days"}]
+    zero = F.lit(0.0)
+    return pred.select(
+        F.concat(F.col("Horizon_Days").cast("string"), F.lit(" days")).alias("Horizon"),
+        F.col("Horizon_Days").cast("int").alias("Horizon_Days"),
+        F.bround(F.greatest(lower, zero), 2).alias("Lower_10pct"),
+        F.bround(F.greatest(med, zero), 2).alias("Median_50pct"),
+        F.bround(F.greatest(upper, zero), 2).alias("Upper_90pct"),
+        F.bround(F.greatest(upper - lower, zero), 2).alias("Range_Width"),
+        F.bround(F.greatest((upper - lower) / F.greatest(med, F.lit(1.0)) * 100, zero), 1).alias("Uncertainty_Pct"),
+        *rest,
+    )
+
+
+def latest_rows(monthly: DataFrame, region: str | None = None, industry: str | None = None) -> DataFrame:
+    """The latest row of the inference slice, and which series it is."""
     rows = inference_rows(monthly, region, industry)
-    reason = _inference_reason(monthly, region, industry)
-    latest = rows.withColumn("_rk", F.row_number().over(Window.partitionBy(*SLICE).orderBy(F.desc("COLLECT_MONTH"))))
-    latest = latest.where(F.col("_rk") == 1).drop("_rk").withColumn("_qid", F.lit(0))
+    last = F.row_number().over(Window.partitionBy(*SLICE).orderBy(F.desc("COLLECT_MONTH")))
+    rows = rows.withColumn("_rk", last).where(F.col("_rk") == 1).drop("_rk")
+    return rows.withColumn("Inference_Slice", _inference_reason(monthly, region, industry))
+
+
+def generate_forecasts(fc: Forecaster, monthly: DataFrame, slices: list[tuple[str | None, str | None]]) -> DataFrame:
+    """M21 for several (region, industry) selections at once: every (selection, horizon) is a query
+    of one weighted-quantile job."""
     qs = fc.cfg.quantiles
     lo_q, med_q, hi_q = (min(qs, key=lambda x: abs(x - t)) for t in (0.10, 0.50, 0.90))
+    ids = ["Selected_Region", "Selected_Industry", "Model_Source", "Model_Segment", "Inference_Slice"]
+    queries = None
+    for region, industry in slices:
+        key, source, seg = resolve_model(fc, region, industry)
+        rows = latest_rows(monthly, region, industry).withColumns({
+            "Selected_Region": F.lit(region or "All"), "Selected_Industry": F.lit(industry or "All"),
+            "Model_Source": F.lit(source), "Model_Segment": F.lit(seg or "All")})
+        for h in fc.cfg.horizons:
+            one = leaf_rows(fc.models[(key, h)], rows, key, h, ids)
+            queries = one if queries is None else queries.unionByName(one)
+    pred = weighted_quantiles(queries, fc.leaves, ids, [lo_q, med_q, hi_q])
+    return forecast_table(pred.select(
+        F.col("horizon").alias("Horizon_Days"), F.col(qname(lo_q)).alias("LOWER"), F.col(qname(med_q)).alias("MEDIAN"),
+        F.col(qname(hi_q)).alias("UPPER"), *ids))
+
+
+def generate_forecast(fc: Forecaster, monthly: DataFrame, region: str | None = None,
+                      industry: str | None = None) -> DataFrame:
+    """M21 for one selection (see ``generate_forecasts``)."""
+    return generate_forecasts(fc, monthly, [(region, industry)]).drop("Selected_Region", "Selected_Industry")
+
+
+def standin_quantiles(monthly: DataFrame, slices: list[tuple[str | None, str | None]], horizons=tuple(FORECAST_HORIZONS)) -> DataFrame:
+    """Model-free quantiles from a slice's own recent months, so the forecast reports have an exact
+    oracle. They are neither ordered nor positive, which ``forecast_table`` has to mend."""
     out = None
-    for h in fc.cfg.horizons:
-        forest = fc.models[(key, h)]
-        p = forest.predict(latest, ["_qid"], [lo_q, med_q, hi_q])
-        lower0, med, upper0 = F.col(qname(lo_q)), F.col(qname(med_q)), F.col(qname(hi_q))
-        lower, upper = F.least(lower0, med), F.greatest(upper0, med)
-        row = p.select(
-            F.lit(f"{h} days").alias("Horizon"),
-            F.lit(h).alias("Horizon_Days"),
-            F.bround(F.greatest(lower, F.lit(0.0)), 2).alias("Lower_10pct"),
-            F.bround(F.greatest(med, F.lit(0.0)), 2).alias("Median_50pct"),
-            F.bround(F.greatest(upper, F.lit(0.0)), 2).alias("Upper_90pct"),
-            F.bround(F.greatest(upper - lower, F.lit(0.0)), 2).alias("Range_Width"),
-            F.bround(F.greatest((upper - lower) / F.greatest(med, F.lit(1.0)) * 100, F.lit(0.0)), 1).alias("Uncertainty_Pct"),
-            F.lit(source).alias("Model_Source"),
-            F.lit(seg or "All").alias("Model_Segment"),
-            reason.alias("Inference_Slice"),
-        )
-        out = row if out is None else out.unionByName(row)
+    h = F.col("Horizon_Days")
+    for region, industry in slices:
+        rows = latest_rows(monthly, region, industry).withColumns({
+            "Selected_Region": F.lit(region or "All"), "Selected_Industry": F.lit(industry or "All")})
+        one = rows.withColumn("Horizon_Days", F.explode(F.array(*[F.lit(int(x)) for x in horizons]))).select(
+            "Horizon_Days", (F.col("COLLECTIONS_LAG2") - F.col("COLLECTIONS_ROLL3_MEAN") * h / 45).alias("LOWER"),
+            (F.col("COLLECTIONS_LAG1") - F.col("COLLECTIONS_ROLL3_MEAN") * (h - 30) / 80).alias("MEDIAN"),
+            (F.col("ACTUAL_COLLECTIONS") * h / 60).alias("UPPER"), "Selected_Region", "Selected_Industry", "Inference_Slice")
+        out = one if out is None else out.unionByName(one)
     return out
 
 
+def regions(monthly: DataFrame) -> list[str]:
+    """The region labels of the series (a closed label list)."""
+    rows = monthly.where((F.col("ALL_REGION") == 0) & (F.col("ALL_INDUSTRY") == 1)).select("REGION").distinct().collect()
+    return sorted(r["REGION"] for r in rows if r["REGION"] is not None)
+
+
 def _inference_reason(monthly: DataFrame, region: str | None, industry: str | None, min_rows: int = 12):
     """M20 reporting: which series fed the forecast, and why the portfolio was used instead."""
     if normalize_selector(region) is None and normalize_selector(industry) is None:
@@ -279,3 +332,14 @@ def forecast_points(monthly_slice: DataFrame, forecast: DataFrame) -> DataFrame:
         (F.col("Median_50pct") / 1e6).alias("median_m"), (F.col("Lower_10pct") / 1e6).alias("lower_m"),
         (F.col("Upper_90pct") / 1e6).alias("upper_m"),
     )
+
+
+def chart_series(monthly_slice: DataFrame, forecast: DataFrame, n_months: int = 18) -> DataFrame:
+    """P10: the whole chart - the last ``n_months`` months of history with their band, then the
+    forecast points (series, date, value, lower and upper in millions)."""
+    day = F.to_date(F.concat("COLLECT_MONTH", F.lit("-01")))
+    past = history_band(monthly_slice, n_months).select(
+        F.lit("history").alias("series"), day.alias("date"), F.col("collections_m").alias("value_m"), "lower_m", "upper_m")
+    points = forecast_points(monthly_slice, forecast).select(
+        F.lit("forecast").alias("series"), F.col("forecast_date").alias("date"), F.col("median_m").alias("value_m"), "lower_m", "upper_m")
+    return past.unionByName(points)

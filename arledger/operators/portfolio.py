@@ -19,8 +19,10 @@ from .stats import exact_quantiles
 QUEUE_COLS = ["BELNR", "KUNNR", "INDUSTRY", "REGION", "DMBTR", "FAEDT", "LATE_PROB", "RISK_LABEL"]
 
 
-def kpis(scored: DataFrame, threshold: float, region: str | None = None, industry: str | None = None) -> DataFrame:
-    """Total AR, at-risk AR (rounded prob >= threshold), share, flagged n, total n, mean risk."""
+def kpis(scored: DataFrame, threshold: float, region: str | None = None, industry: str | None = None,
+         forecast: DataFrame | None = None, horizon: int = 30) -> DataFrame:
+    """Total AR, at-risk AR (rounded prob >= threshold), share, flagged n, total n, mean risk; with a
+    forecast also its median for the chosen horizon and half of its range (null without that horizon)."""
     f = apply_segment_filters(scored, region, industry)
     flag = F.col("LATE_PROB") >= F.lit(float(threshold))
     agg = f.agg(
@@ -31,7 +33,12 @@ def kpis(scored: DataFrame, threshold: float, region: str | None = None, industr
         F.coalesce(F.avg("LATE_PROB"), F.lit(0.0)).alias("avg_risk"),
     )
     share = F.when(F.col("total_ar") > 0, F.col("at_risk_ar") / F.col("total_ar")).otherwise(0.0)
-    return agg.select("total_ar", "at_risk_ar", share.alias("risk_share"), "n_flagged", "n_total", "avg_risk")
+    out = agg.select("total_ar", "at_risk_ar", share.alias("risk_share"), "n_flagged", "n_total", "avg_risk")
+    if forecast is None:
+        return out
+    chosen = forecast.where(F.col("Horizon_Days") == horizon).agg(
+        F.first("Median_50pct").alias("m"), F.first((F.col("Upper_90pct") - F.col("Lower_10pct")) / 2).alias("w"))
+    return out.withColumns({"forecast_median": chosen.select("m").scalar(), "forecast_half_width": chosen.select("w").scalar()})
 
 
 def top_risk_queue(scored: DataFrame, threshold: float, n: int = TOP_N_RISKS,
@@ -151,8 +158,8 @@ def late_rates(invoices_with_tier: DataFrame) -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, key: str, n: int = 1000, seed: int = 42) -> DataFrame:
-    """Deterministic sample of n rows: order by a seeded 64-bit hash of the key (top-k)."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    """Deterministic sample of n rows: order by the MD5 of key and seed (top-k)."""
+    return df.orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), F.col(key)).limit(n)
 
 
 def aging_bucket_totals(aging: DataFrame) -> DataFrame:
@@ -236,6 +243,21 @@ def correlation_long(fs: DataFrame, cols: list[str]) -> DataFrame:
     return sums.select(F.expr(f"stack({n}, {', '.join(items)}) AS (feature_a, feature_b, corr)"))
 
 
+# FIXED VALUES: why each model feature is expected to matter
+RATIONALE = {
+    "CUST_LATE_RATE": "payment history", "CUST_AVG_DAYS_LATE": "payment history", "CUST_INVOICE_COUNT": "relationship length",
+    "CUST_AVG_AMOUNT": "usual size", "LOG_AMOUNT": "approval effort", "PAYMENT_DAYS_NUM": "contract terms",
+    "INDUSTRY_CODE": "sector practice", "REGION_CODE": "regional practice", "INVOICE_MONTH": "season",
+    "INVOICE_QUARTER": "season", "INVOICE_DOW": "processing day", "IS_QUARTER_END": "period close",
+}
+
+
+def feature_rationale(fs: DataFrame, cols: list[str] = FEATURE_COLS, target: str = TARGET_COL) -> DataFrame:
+    """P25: every model feature with its reason and its correlation with the target, strongest first."""
+    reasons = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(RATIONALE.get(c, "")))])
+    return target_correlation(fs, cols, target).select("rank", "feature", F.element_at(reasons, F.col("feature")).alias("rationale"), "corr")
+
+
 def target_correlation(fs: DataFrame, cols: list[str] = FEATURE_COLS, target: str = TARGET_COL) -> DataFrame:
     """P25: correlation of each feature with the target, ranked by absolute value."""
     one = fs.agg(*[F.corr(F.col(c).cast("double"), F.col(target)).alias(c) for c in cols])

@@ -40,10 +40,6 @@ class Inputs:
     def gl(self) -> DataFrame:
         return normalize.gl_cash(self.gl_raw)
 
-    @property
-    def as_of(self):
-        return testdata.as_of_date()
-
     @property
     def feature_store(self) -> DataFrame:
         from ..operators.features import build_feature_store
@@ -56,7 +52,7 @@ class Inputs:
     def aging(self) -> DataFrame:
         from ..operators.aging import ar_aging
 
-        return ar_aging(self.invoices, self.as_of)
+        return ar_aging(self.invoices)
 
     @property
     def threshold(self) -> float:
@@ -144,16 +140,29 @@ class Inputs:
         from pyspark.sql import functions as F
 
         from ..operators.classify import train_classifier
-        from ..session import checkpoint_dir
+        from ..session import models_dir
 
         def build():
             train = self.split.where(F.col("split") == "train").drop("split")
             model = train_classifier(train)
-            model.save(f"{checkpoint_dir(self.spark).rstrip('/')}/arledger-models/classifier-{abs(hash(self.sf_dir)) % 10**10}")
+            model.save(f"{models_dir(self.spark, 'classifier', self.sf_dir)}/{self.spark.sparkContext.applicationId}")
             return model
 
         return self._memo("classifier", build)
 
+    @property
+    def cv_auc(self) -> float:
+        """Mean AUC over the folds of the fitting rows, computed once per session."""
+        from pyspark.sql import functions as F
+
+        from ..operators import classify
+
+        def build():
+            cut = classify.validation_cut(self.split.where(F.col("split") == "train").drop("split"))
+            return classify.cross_validate(cut.where(~F.col("is_val")).drop("is_val"), classify.ClassifierConfig(cv_rounds=self.classifier.gbt.getNumTrees))
+
+        return self._memo("cv_auc", build)
+
     @property
     def model_scored(self) -> DataFrame:
         """Feature store scored by the trained classifier (C7), with the split column."""
@@ -174,36 +183,50 @@ def _forecaster(inp: "Inputs"):
 Inputs.forecaster = property(_forecaster)
 
 
+#: Sampled permutations per invoice: on the reported rows, and for portfolio means (whose error
+#: falls with the number of invoices as well). ``phi_se`` tells the error that is left.
+REPORT_SAMPLES, PORTFOLIO_SAMPLES = 64, 8
+
+# FIXED VALUES: weights of the linear stand-in scorer, one per model feature
+LINEAR_WEIGHTS = [0.9, -0.02, 0.1, -0.15, 0.03, 2.5, -0.01, 0.00001, 0.05, -0.2, 0.04, 0.3]
+
+
 def _report_attributions(inp: "Inputs"):
-    """X2 on the top-N flagged invoices (32 sampled permutations each), memoised."""
+    """X2 on the top-N flagged invoices, memoised."""
     from ..operators import attribution
 
     def build():
         top = attribution.top_flagged(inp.model_scored)
         bg = attribution.background(inp.feature_store)
-        phi, base = attribution.shapley(inp.classifier, top, bg, n_samples=32)
-        return top, inp_materialize(phi, "report_phi", inp), inp_materialize(base, "report_base", inp)
+        phi, base = attribution.shapley(attribution.tree_scorer(inp.classifier), top, bg, n_samples=REPORT_SAMPLES)
+        return top, phi, base
 
     return inp._memo("report_attr", build)
 
 
 def _portfolio_attributions(inp: "Inputs"):
-    """X2 over every feature-store invoice with 4 sampled permutations (portfolio views)."""
+    """X2 over every feature-store invoice (portfolio views)."""
     from ..operators import attribution
 
     def build():
         bg = attribution.background(inp.feature_store)
-        phi, base = attribution.shapley(inp.classifier, inp.feature_store, bg, n_samples=4)
-        return inp_materialize(phi, "portfolio_phi", inp), inp_materialize(base, "portfolio_base", inp)
+        return attribution.shapley(attribution.tree_scorer(inp.classifier), inp.feature_store, bg, n_samples=PORTFOLIO_SAMPLES)
 
     return inp._memo("portfolio_attr", build)
 
 
-def inp_materialize(df, name, inp):
-    from ..session import materialize
+def _linear_attributions(inp: "Inputs"):
+    """X2 of the linear stand-in scorer against one background row, over the whole feature store
+    (the contributions are then w * (x - z), which SQL can tell)."""
+    from ..operators import attribution
+
+    def build():
+        bg = attribution.background(inp.feature_store, n=1)
+        return attribution.shapley(attribution.linear_scorer(LINEAR_WEIGHTS), inp.feature_store, bg, n_samples=2)
 
-    return materialize(df, name, inp.sf_dir)
+    return inp._memo("linear_attr", build)
 
 
 Inputs.report_attributions = property(_report_attributions)
 Inputs.portfolio_attributions = property(_portfolio_attributions)
+Inputs.linear_attributions = property(_linear_attributions)

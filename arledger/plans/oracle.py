@@ -6,7 +6,7 @@ engines see the same invoices, customers and GL rows. Each query text is ``with_
 
 from __future__ import annotations
 
-from ..constants import AGING_AS_OF, AGING_BUCKETS, PAYMENT_TERMS
+from ..constants import AGING_BUCKETS, INDUSTRY_MAP, PAYMENT_TERMS, REGION_MAP
 
 _TERMS_CASE = "CASE o_orderpriority WHEN '1-URGENT' THEN 'NT14' WHEN '2-HIGH' THEN 'NT30' " \
     "WHEN '3-MEDIUM' THEN 'NT45' WHEN '4-NOT SPECIFIED' THEN 'NT60' WHEN '5-LOW' THEN 'NT90' END"
@@ -17,6 +17,12 @@ def _days_case(col: str) -> str:
     return f"CASE {col} {whens} END"
 
 
+def _codes(known, other: str) -> str:
+    """The ERP code that a customer's key picks: all known ones, an unknown one, none."""
+    codes = ", ".join(f"'{c}'" for c in [*known, other]) + ", NULL"
+    return f"([{codes}])[CAST(c_custkey % {len(known) + 2} + 1 AS INTEGER)]"
+
+
 PREFIX = f"""
 inv0 AS (
   SELECT o_orderkey AS BELNR, '1000' AS BUKRS, '001' AS BUZEI, o_custkey AS KUNNR,
@@ -44,8 +50,8 @@ invn AS (
   FROM inv
 ),
 cust AS (
-  SELECT c_custkey AS KUNNR, '1000' AS BUKRS, c_name AS NAME1, n_name AS LAND1, r_name AS REGIO,
-         c_mktsegment AS BRSCH, 'Z001' AS KTOKD,
+  SELECT c_custkey AS KUNNR, '1000' AS BUKRS, c_name AS NAME1, n_name AS LAND1,
+         {_codes(REGION_MAP, 'XX')} AS REGIO, {_codes(INDUSTRY_MAP, 'ZZ')} AS BRSCH, 'Z001' AS KTOKD,
          (['NT14','NT30','NT45','NT60','NT90'])[CAST(c_custkey % 5 + 1 AS INTEGER)] AS ZTERM,
          c_acctbal * 100 AS KLIMK, CAST(NULL AS DATE) AS ERDAT,
          c_mktsegment AS INDUSTRY, r_name AS REGION
@@ -66,7 +72,7 @@ gln AS (
 )
 """
 
-AS_OF = f"DATE '{AGING_AS_OF}'"
+AS_OF = "(SELECT max(BLDAT) FROM inv)"
 
 
 def with_prefix(*ctes: str, select: str) -> str:
@@ -464,7 +470,8 @@ MONTHLY_MONEY = ["ACTUAL_COLLECTIONS", "OPEN_AR_TOTAL", "OPENING_CASH", "COLLECT
 
 
 # ---- narrative (X5) on stand-in contributions ---------------------------------------------------------
-def narrative_sql() -> str:
+def narrative_sql(ctes: tuple = (), phi_of=None, source: str = "top, rng") -> str:
+    """X5 texts; ``phi_of(feature)`` is the SQL of a contribution (default: the place in its range)."""
     from ..constants import FEATURE_COLS, MONTH_ABBR
 
     feats = FEATURE_COLS
@@ -473,6 +480,8 @@ def narrative_sql() -> str:
     phi = ", ".join(
         f"CASE WHEN mx_{c} > mn_{c} THEN (CAST(2.0 AS DOUBLE) * CAST({c} AS DOUBLE) - mn_{c} - mx_{c}) / (mx_{c} - mn_{c}) "
         f"ELSE 0.0 END AS phi_{c}" for c in feats)
+    if phi_of is not None:
+        phi = ", ".join(f"{phi_of(c)} AS phi_{c}" for c in feats)
     i0 = "CAST(CAST(round_even({x}, 0) AS BIGINT) AS VARCHAR)"
     t = {
         "CUST_AVG_DAYS_LATE": "'  • Customer payment history: averaging ' || " + i0.format(x="CUST_AVG_DAYS_LATE")
@@ -510,7 +519,8 @@ def narrative_sql() -> str:
         *SCORED,
         f"rng AS (SELECT {rng} FROM scored)",
         f"top AS (SELECT * FROM scored WHERE LATE_PRED = 1 ORDER BY LATE_PROB DESC, BELNR ASC LIMIT 20)",
-        f"ph AS (SELECT top.*, {phi} FROM top, rng)",
+        *ctes,
+        f"ph AS (SELECT top.*, {phi} FROM {source})",
         f"ent AS (SELECT *, [{entries}] AS arr, {level} AS lvl, {action} AS act FROM ph)",
         """parts AS (SELECT BELNR,
   ['[' || lvl || ']  Late probability: ' || CAST(CAST(round_even(LATE_PROB * 100, 0) AS BIGINT) AS VARCHAR) || '%',

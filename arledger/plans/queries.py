@@ -32,7 +32,7 @@ from .registry import precision, register
 )
 def p1_ar_aging(inp):
     """Open AR per customer by aging bucket as of the last order date."""
-    return aging.ar_aging(inp.invoices, inp.as_of)
+    return aging.ar_aging(inp.invoices)
 
 
 # ----------------------------------------------------------------------------------------------
@@ -485,7 +485,9 @@ def p18_late_rates(inp):
     return portfolio.late_rates(inp.invoices_eda)
 
 
-@register("p19_seeded_sample")
+@register("p19_seeded_sample", O.rounded(O.with_prefix(*O.EDA_CTES, select=(
+    "SELECT BELNR, DMBTR, DAYS_LATE, RISK_TIER FROM inv_eda WHERE STATUS = 'CLEARED' "
+    "ORDER BY md5(CAST(BELNR AS VARCHAR) || '|42'), BELNR LIMIT 1000")), ["DMBTR", "DAYS_LATE"]))
 def p19_seeded_sample(inp):
     """Seeded 1,000-row sample of cleared invoices (amount vs days late), by hashed key."""
     cleared = inp.invoices_eda.where(F.col("STATUS") == "CLEARED").select("BELNR", "DMBTR", "DAYS_LATE", "RISK_TIER")
@@ -810,8 +812,7 @@ def e1_e5_model_test_metrics(inp):
 def c3_cross_validation(inp):
     """Mean AUC over 5 exactly stratified folds of the fitting rows."""
     cut = classify.validation_cut(inp.split.where(F.col("split") == "train").drop("split"))
-    auc = classify.cross_validate(cut.where(~F.col("is_val")).drop("is_val"), classify.ClassifierConfig(cv_parallelism=5))
-    return inp.spark.createDataFrame([(auc,)], "cv_auc double").withColumn(
+    return inp.spark.createDataFrame([(inp.cv_auc,)], "cv_auc double").withColumn(
         "n_rows", cut.where(~F.col("is_val")).agg(F.count(F.lit(1))).scalar())
 
 
@@ -849,9 +850,8 @@ def m21_forecast_portfolio(inp):
 
 @register("m21_forecast_region")
 def m21_forecast_region(inp):
-    """Forecast for the first region (segment model when eligible, else global + fallback)."""
-    first = inp.monthly.where("ALL_REGION = 0 AND ALL_INDUSTRY = 1").agg(F.min("REGION")).first()[0]
-    return forecast.generate_forecast(inp.forecaster, inp.monthly, region=first)
+    """Forecast of every region (segment model when eligible, else global + fallback), in one job."""
+    return forecast.generate_forecasts(inp.forecaster, inp.monthly, [(r, None) for r in forecast.regions(inp.monthly)])
 
 
 @precision({"collections_m": 9})
@@ -894,7 +894,7 @@ from ..operators import attribution  # noqa: E402
 def risk_report(inp):
     top, phi, _ = inp.report_attributions
     arr = attribution.phi_array(phi)
-    rows = top.join(arr, "BELNR")
+    rows = top.join(arr, attribution.line_keys(arr))
     return rows.withColumn("NARRATIVE", narrative(F.col("LATE_PROB"), inp.classifier.threshold, F.col("SHAP_VALUES")))
 
 
@@ -908,7 +908,7 @@ def x7_risk_report(inp):
 def x2_report_attributions(inp):
     """Per-invoice, per-feature margin contributions with base and model margin (additive)."""
     _, phi, base = inp.report_attributions
-    return phi.join(base, "BELNR")
+    return phi.join(base, attribution.line_keys(phi))
 
 
 @register("x3_global_importance")
@@ -966,7 +966,7 @@ def p12_report_invoice_table(inp):
 def p12_report_summary_table(inp):
     """Audit-export summary table on the fitted model's flagged invoices."""
     m = inp.classifier
-    return portfolio.report_summary_table(portfolio.top_risk_queue(inp.model_scored, m.threshold), m.cv_auc, m.threshold)
+    return portfolio.report_summary_table(portfolio.top_risk_queue(inp.model_scored, m.threshold), inp.cv_auc, m.threshold)
 
 
 @register("p12_report_forecast_table")

@@ -54,4 +54,4 @@ def precision(digits: dict):
 
 def load_all() -> None:
     """Import the modules that register queries."""
-    from . import queries  # noqa: F401
+    from . import queries, standin  # noqa: F401

@@ -60,6 +60,12 @@ def tables_dir(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/arledger-tables/{spark.sparkContext.applicationId}"
 
 
+def models_dir(spark: SparkSession, kind: str, key: str) -> str:
+    """Folder of the saved models of one kind and data directory, one sub-folder per application
+    (the same path in every process, so a later one can load them; never written over)."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/arledger-models/{kind}-{digest(key)}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a new folder of this application and return a scan of it (cut lineage: every
     reader sees the same rows, and a lost executor re-reads files)."""

@@ -11,16 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import (
-    AGING_AS_OF,
     COMPANY_CODE,
     CURRENCY,
+    INDUSTRY_MAP,
     PAYMENT_TERMS,
     PRIORITY_TERMS,
+    REGION_MAP,
     RETURNFLAG_ACCOUNT,
 )
 from ..functions.expressions import lookup
 
 TERM_CODES = list(PAYMENT_TERMS)
+#: Codes that customers get in turn: all known ones, an unknown one, none.
+INDUSTRY_CODES = [*INDUSTRY_MAP, "ZZ", None]
+REGION_CODES = [*REGION_MAP, "XX", None]
 
 
 _SCANS: dict[tuple, DataFrame] = {}
@@ -65,21 +69,23 @@ def invoice_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer_master(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw-shaped customer master. BRSCH/REGIO carry the driver's own labels (not ERP codes),
-    so the validator reports them; the analysis dimension is :func:`customer_dim`."""
+    """Raw-shaped customer master. BRSCH / REGIO are ERP codes picked by the key (every known code,
+    an unknown one and a missing one); INDUSTRY / REGION carry the driver's own labels for the
+    analysis dimension :func:`customer_dim`."""
     c = table(spark, sf_dir, "customer")
     n = table(spark, sf_dir, "nation")
     r = table(spark, sf_dir, "region")
     # nation and region are fixed 25- and 5-row tables: broadcasting them is bounded
     geo = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select("n_nationkey", "n_name", "r_name")
     terms = F.array(*[F.lit(t) for t in TERM_CODES])
+    pick = lambda codes: F.element_at(F.array(*[F.lit(c) for c in codes]), (F.col("c_custkey") % len(codes) + 1).cast("int"))
     return c.join(F.broadcast(geo), c.c_nationkey == geo.n_nationkey, "left").select(
         F.col("c_custkey").alias("KUNNR"),
         F.lit(COMPANY_CODE).alias("BUKRS"),
         F.col("c_name").alias("NAME1"),
         F.col("n_name").alias("LAND1"),
-        F.col("r_name").alias("REGIO"),
-        F.col("c_mktsegment").alias("BRSCH"),
+        pick(REGION_CODES).alias("REGIO"),
+        pick(INDUSTRY_CODES).alias("BRSCH"),
         F.lit("Z001").alias("KTOKD"),
         F.element_at(terms, (F.col("c_custkey") % len(TERM_CODES) + 1).cast("int")).alias("ZTERM"),
         (F.col("c_acctbal") * 100).alias("KLIMK"),
@@ -111,7 +117,3 @@ def gl_cash_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
         "HSL",
         F.lit(CURRENCY).alias("WAERS"),
     )
-
-
-def as_of_date():
-    return F.lit(AGING_AS_OF).cast("date")
