@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from arledger.constants import FEATURE_COLS
 from arledger.operators import attribution, forecast, monthly
 from arledger.plans.inputs import Inputs
-from tests.conftest import SF_SMALL
+from tests.conftest import SF_MEDIUM, SF_SMALL
 
 
 @pytest.fixture(scope="module")
@@ -61,7 +62,8 @@ def test_forecast_region_fallback(inp):
 def test_attribution_additivity_and_report(inp):
     top = attribution.top_flagged(inp.model_scored, 5)
     bg = attribution.background(inp.feature_store)
-    phi, base = attribution.shapley(inp.classifier, top, bg, n_samples=8)
+    phi, base = attribution.shapley(attribution.tree_scorer(inp.classifier), top, bg, n_samples=8)
+    assert phi.where("phi_se < 0 or phi_se is null").count() == 0
     j = phi.groupBy("BELNR").agg(F.sum("phi_margin").alias("s"), F.count(F.lit(1)).alias("n")).join(base, "BELNR")
     rows = j.collect()
     assert len(rows) == top.count() and all(r["n"] == 12 for r in rows)
@@ -76,6 +78,54 @@ def test_attribution_additivity_and_report(inp):
     assert len(checks) == 6 and {c["status"] for c in checks} <= {"PASS", "FAIL", "SKIP"}
 
 
+def test_attribution_keeps_the_lines_of_a_document_apart(inp):
+    two = inp.feature_store.limit(30).withColumn("BUZEI", F.explode(F.array(F.lit("001"), F.lit("002"))))
+    two = two.withColumn("CUST_LATE_RATE", F.when(F.col("BUZEI") == "002", F.lit(0.9)).otherwise(F.lit(0.1)))
+    bg = attribution.background(inp.feature_store, 7)
+    weights = [0.1 * (i + 1) for i in range(12)]
+    phi, base = attribution.shapley(attribution.linear_scorer(weights), two, bg, n_samples=16)
+    j = phi.groupBy("BELNR", "BUZEI").agg(F.sum("phi_margin").alias("s"), F.count("*").alias("n")).join(base, ["BELNR", "BUZEI"]).collect()
+    assert len(j) == 60 and all(r["n"] == 12 and abs(r["s"] + r["base_margin"] - r["f_margin"]) < 1e-6 for r in j)
+    exact = two.select("BELNR", "BUZEI", sum((F.lit(w) * F.col(c).cast("double") for w, c in zip(weights, FEATURE_COLS)), F.lit(0.0)).alias("f"))
+    assert exact.join(base, ["BELNR", "BUZEI"]).where("abs(f - f_margin) > 1e-6").count() == 0
+
+
+def test_isotonic_calibration_is_monotone(inp, tmp_dir):
+    from arledger.operators import classify
+
+    train = inp.split.where("split = 'train'").drop("split")
+    model = classify.train_classifier(train, classify.ClassifierConfig(calibration="isotonic", n_rounds=5))
+    model.save(tmp_dir + "/iso")
+    back = classify.TrainedClassifier.load(tmp_dir + "/iso")
+    assert back.config == model.config
+    rows = back.raw_probability(inp.split).select("MARGIN", "RAW_PROB").orderBy("MARGIN").collect()
+    assert all(0 <= r["RAW_PROB"] <= 1 for r in rows)
+    assert all(a["RAW_PROB"] <= b["RAW_PROB"] + 1e-12 for a, b in zip(rows, rows[1:]))
+
+
+def test_cv_auc_is_near_the_test_auc(spark):
+    """On enough rows for it (sf0.01)."""
+    auc = entry.queries()["e1_e5_model_test_metrics"](spark, SF_MEDIUM).first()["auc_roc"]
+    table = {r["metric"]: r["value"] for r in entry.queries()["p12_report_summary_table"](spark, SF_MEDIUM).collect()}
+    assert table["Model CV AUC-ROC"] is not None and abs(table["Model CV AUC-ROC"] - auc) < 0.08
+
+
+def test_widths_do_not_collapse_with_the_horizon(inp):
+    fc = {r["Horizon_Days"]: r["Range_Width"] for r in forecast.generate_forecast(inp.forecaster, inp.monthly).collect()}
+    assert fc[90] >= 0.6 * fc[30]
+
+
+def test_saved_classifier_is_found_by_another_application(inp):
+    from arledger.operators.classify import TrainedClassifier
+    from arledger.session import digest, models_dir
+
+    model = inp.classifier
+    folder = models_dir(inp.spark, "classifier", SF_SMALL)
+    assert folder.endswith(f"classifier-{digest(SF_SMALL)}") and digest("x") == "2d711642b726b044"
+    back = TrainedClassifier.load(f"{folder}/{inp.spark.sparkContext.applicationId}")
+    assert back.threshold == model.threshold and back.config == model.config
+
+
 def test_narrative_text(spark):
     from arledger.functions.narrative import narrative
 
