@@ -1,10 +1,12 @@
 """Monthly collection series per segment slice.
 
-The reference rebuilds the monthly table once per segment in a Python loop. Here every slice is
-one grouping set of a single aggregate: (month), (month, region), (month, industry) and
-(month, region, industry), so the invoices are scanned and shuffled once. Slice keys are the
-two ``grouping()`` flags plus the trimmed labels (NULL label = "all"); windows (forward fill,
-lags, rolling) are partitioned by slice and hold at most one row per month.
+The reference rebuilds the monthly table once per segment in a Python loop. Here the facts are
+reduced once, to sums and counts per (customer, status, month): combined before their only shuffle,
+so a customer that holds most invoices is a few rows. Segments and the customer tier are attached to
+those rows (no join of facts), the rows are summed per (month, region, industry), and every slice -
+all, per region, per industry, per pair - is a grouping set of that small table. Slice keys are the
+two ``grouping()`` flags plus the trimmed labels (NULL label = "all"); windows (forward fill, lags,
+rolling) are partitioned by slice and hold at most one row per month.
 """
 
 from __future__ import annotations
@@ -33,27 +35,41 @@ def horizon_months(days: int) -> int:
     return max(1, int(round(days / 30.0)))
 
 
-def invoice_risk_tier(inv: DataFrame) -> DataFrame:
-    """M1: whole-history customer late rate -> tier; customers without cleared invoices
-    (and every row when nothing is cleared) get 'Medium'. One aggregate keyed by KUNNR."""
-    rates = inv.where((F.col("STATUS") == "CLEARED") & F.col("KUNNR").isNotNull()).groupBy("KUNNR").agg(
-        F.avg("LATE_FLAG").alias("_rate")
+#: Sums and counts that a mean can be taken from after any further grouping.
+PARTS = ["amount", "n", "days", "n_days", "late", "n_late", "n_rows"]
+
+
+def customer_months(inv: DataFrame) -> DataFrame:
+    """Invoices reduced to (KUNNR, STATUS, COLLECT_MONTH): the clearing month of cleared items, the
+    document month of open ones."""
+    month = F.when(F.col("STATUS") == "CLEARED", month_label(F.col("AUGDT"))).otherwise(month_label(F.col("BLDAT")))
+    return inv.groupBy("KUNNR", "STATUS", month.alias("COLLECT_MONTH")).agg(
+        F.sum("DMBTR").alias("amount"), F.count("BELNR").alias("n"),
+        F.sum("DAYS_LATE").alias("days"), F.count("DAYS_LATE").alias("n_days"),
+        F.sum("LATE_FLAG").alias("late"), F.count("LATE_FLAG").alias("n_late"), F.count(F.lit(1)).alias("n_rows"),
     )
-    out = inv.join(rates, "KUNNR", "left")
-    tier = F.when(F.col("_rate").isNotNull(), risk_tier(F.col("_rate"))).otherwise(F.lit(TIER_LABELS[1]))
-    return out.withColumn("RISK_TIER", tier).drop("_rate")
 
 
-def attach_segments(inv: DataFrame, segments: DataFrame) -> DataFrame:
-    """INDUSTRY / REGION by customer key, filling only NULLs when the columns exist."""
+def customer_tier(cm: DataFrame) -> DataFrame:
+    """M1: whole-history customer late rate over cleared invoices -> tier; customers without any
+    (and rows without a customer) get 'Medium'. A customer has a few rows per month."""
+    w = Window.partitionBy("KUNNR")
+    cleared = F.col("STATUS") == "CLEARED"
+    late, n = F.sum(F.when(cleared, F.col("late"))).over(w), F.sum(F.when(cleared, F.col("n_late"))).over(w)
+    rate = F.when(F.col("KUNNR").isNotNull() & (n > 0), late / n)
+    tier = F.when(rate.isNotNull(), risk_tier(rate)).otherwise(F.lit(TIER_LABELS[1]))
+    return cm.withColumn("RISK_TIER", tier)
+
+
+def attach_segments(cm: DataFrame, segments: DataFrame) -> DataFrame:
+    """INDUSTRY / REGION by customer key (one row per customer), filling only NULLs when the
+    columns exist; M1 when there is no tier yet."""
     seg = segments.select("KUNNR", F.col("INDUSTRY").alias("_ind"), F.col("REGION").alias("_reg"))
-    out = inv.join(seg, "KUNNR", "left")
+    tiered = cm if "RISK_TIER" in cm.columns else customer_tier(cm)
+    out = tiered.join(seg, "KUNNR", "left")
     for col, src in (("INDUSTRY", "_ind"), ("REGION", "_reg")):
-        out = out.withColumn(col, F.coalesce(F.col(col), F.col(src)) if col in inv.columns else F.col(src))
-    out = out.drop("_ind", "_reg")
-    if "RISK_TIER" not in inv.columns:
-        out = invoice_risk_tier(out)
-    return out
+        out = out.withColumn(col, F.coalesce(F.col(col), F.col(src)) if col in cm.columns else F.col(src))
+    return out.drop("_ind", "_reg")
 
 
 def _labels(df: DataFrame) -> DataFrame:
@@ -65,10 +81,10 @@ def _labels(df: DataFrame) -> DataFrame:
     return out
 
 
-def _slice_agg(df: DataFrame, month: Column, aggs: list[Column]) -> DataFrame:
-    base = _labels(df).withColumn("COLLECT_MONTH", month)
-    g = base.groupingSets(GROUPING_SETS, "COLLECT_MONTH", "REGION", "INDUSTRY").agg(
-        *aggs, F.grouping("REGION").alias("ALL_REGION"), F.grouping("INDUSTRY").alias("ALL_INDUSTRY")
+def _slices(parts: DataFrame, sums: list[Column]) -> DataFrame:
+    """All slices of a table of one row per (month, region, industry)."""
+    g = parts.groupingSets(GROUPING_SETS, "COLLECT_MONTH", "REGION", "INDUSTRY").agg(
+        *sums, F.grouping("REGION").alias("ALL_REGION"), F.grouping("INDUSTRY").alias("ALL_INDUSTRY")
     )
     # a NULL label inside a per-segment set is "no segment", not "all": the reference's
     # per-segment loop never builds it
@@ -79,45 +95,56 @@ def _slice_agg(df: DataFrame, month: Column, aggs: list[Column]) -> DataFrame:
     )
 
 
+def collection_series(cm: DataFrame) -> DataFrame:
+    """The collections of the overall series alone (COLLECT_MONTH, ACTUAL_COLLECTIONS), over the same
+    months as ``monthly_dataset`` (three earlier months, known days late): for reports that need
+    neither segments nor scores."""
+    s = cm.where((F.col("STATUS") == "CLEARED") & F.col("COLLECT_MONTH").isNotNull()).groupBy("COLLECT_MONTH").agg(
+        F.coalesce(F.sum("amount"), F.lit(0.0)).alias("ACTUAL_COLLECTIONS"), F.sum("n_days").alias("_d"), F.sum("n_late").alias("_l"))
+    w = Window.orderBy("COLLECT_MONTH")  # one row per month
+    known = (F.col("_d") > 0) & (F.col("_l") > 0)
+    for k in (1, 2, 3):
+        known = known & (F.coalesce(F.lag("_l", k).over(w), F.lit(0)) > 0)
+    return s.withColumn("_ok", known).where("_ok").select("COLLECT_MONTH", "ACTUAL_COLLECTIONS")
+
+
 def _slice_join(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
     cond = [left["COLLECT_MONTH"] == right["COLLECT_MONTH"]] + [left[c].eqNullSafe(right[c]) for c in SLICE]
     keep = [right[c] for c in right.columns if c not in SLICE + ["COLLECT_MONTH"]]
     return left.join(right, cond, how).select(*[left[c] for c in left.columns], *keep)
 
 
-def monthly_dataset(inv: DataFrame, gl: DataFrame, scored: DataFrame) -> DataFrame:
-    """M3-M11 for every slice. ``inv`` has STATUS, AUGDT, BLDAT, DMBTR, BELNR, DAYS_LATE,
-    LATE_FLAG, RISK_TIER, REGION, INDUSTRY; ``gl`` has FISCPER, HSL; ``scored`` has BLDAT,
-    LATE_PROB, REGION, INDUSTRY."""
-    cleared = inv.where(F.col("STATUS") == "CLEARED")
-    coll = _slice_agg(
-        cleared,
-        month_label(F.col("AUGDT")),
-        [
-            F.coalesce(F.sum("DMBTR"), F.lit(0.0)).alias("ACTUAL_COLLECTIONS"),
-            F.count("BELNR").alias("N_INVOICES_CLEARED"),
-            F.avg("DAYS_LATE").alias("AVG_DAYS_LATE"),
-            F.avg("LATE_FLAG").alias("LATE_RATE"),
-            F.avg((F.col("RISK_TIER") == TIER_LABELS[2]).cast("double")).alias("HIGH_RISK_SHARE"),
-        ],
+def monthly_dataset(cm: DataFrame, gl: DataFrame, scored: DataFrame) -> DataFrame:
+    """M3-M11 for every slice. ``cm`` is ``customer_months`` with RISK_TIER, REGION, INDUSTRY;
+    ``gl`` has FISCPER, HSL; ``scored`` has BLDAT, LATE_PROB, REGION, INDUSTRY."""
+    cleared, open_ = F.col("STATUS") == "CLEARED", F.col("STATUS") == "OPEN"
+    keys = ["COLLECT_MONTH", "REGION", "INDUSTRY"]
+    parts = _labels(cm).groupBy(*keys).agg(
+        *[F.sum(F.when(cleared, F.col(c))).alias(c) for c in PARTS],
+        F.sum(F.when(cleared & (F.col("RISK_TIER") == TIER_LABELS[2]), F.col("n_rows"))).alias("high"),
+        F.sum(F.when(open_, F.col("amount"))).alias("open_amount"), F.sum(F.when(open_, F.col("n"))).alias("open_n"),
     )
-    open_ = _slice_agg(
-        inv.where(F.col("STATUS") == "OPEN"),
-        month_label(F.col("BLDAT")),
-        [F.coalesce(F.sum("DMBTR"), F.lit(0.0)).alias("OPEN_AR_TOTAL"),
-         F.count("BELNR").cast("double").alias("N_OPEN_INVOICES")],
+    slices = _slices(parts, [F.sum(c).alias(c) for c in [*PARTS, "high", "open_amount", "open_n"]])
+    coll = slices.where(F.col("n_rows") > 0).select(  # months with cleared items
+        *SLICE, "COLLECT_MONTH",
+        F.coalesce("amount", F.lit(0.0)).alias("ACTUAL_COLLECTIONS"),
+        F.col("n").alias("N_INVOICES_CLEARED"),
+        F.when(F.col("n_days") > 0, F.col("days") / F.col("n_days")).alias("AVG_DAYS_LATE"),
+        F.when(F.col("n_late") > 0, F.col("late") / F.col("n_late")).alias("LATE_RATE"),
+        (F.coalesce("high", F.lit(0)) / F.col("n_rows")).alias("HIGH_RISK_SHARE"),
+        F.coalesce("open_amount", F.lit(0.0)).alias("OPEN_AR_TOTAL"),
+        F.coalesce("open_n", F.lit(0)).cast("double").alias("N_OPEN_INVOICES"),
     )
     # LATE_PROB carries 4 decimals: sum it exactly (DECIMAL) so the mean does not depend on the
     # order in which partial sums are merged
-    exact_sum = F.sum(F.col("LATE_PROB").cast("decimal(18,4)")).cast("double")
-    risk = _slice_agg(scored, month_label(F.col("BLDAT")),
-                      [(exact_sum / F.count("LATE_PROB")).alias("AVG_LATE_PROB")])
+    prob = _labels(scored).groupBy(month_label(F.col("BLDAT")).alias("COLLECT_MONTH"), "REGION", "INDUSTRY").agg(
+        F.sum(F.col("LATE_PROB").cast("decimal(18,4)")).alias("p"), F.count("LATE_PROB").alias("np"))
+    risk = _slices(prob, [(F.sum("p").cast("double") / F.sum("np")).alias("AVG_LATE_PROB")])
     # GL is never segment-filtered: one row per period (bounded by the calendar)
     cash = gl.groupBy(F.col("FISCPER").cast("string").alias("_p")).agg(F.sum("HSL").alias("OPENING_CASH")).select(
         F.date_format(F.to_date(F.col("_p"), "yyyyMM"), "yyyy-MM").alias("COLLECT_MONTH"), "OPENING_CASH"
     )
-    df = _slice_join(coll, open_)
-    df = df.join(F.broadcast(cash), "COLLECT_MONTH", "left")
+    df = coll.join(F.broadcast(cash), "COLLECT_MONTH", "left")
     df = _slice_join(df, risk)
 
     w = Window.partitionBy(*SLICE).orderBy("COLLECT_MONTH")

@@ -143,18 +143,30 @@ def crosstab_row_pct(df: DataFrame, row: str, col: str, col_values: list[str]) -
     return counts.select(row, *[(F.col(v) * 100.0 / total).alias(v) for v in col_values])
 
 
-def late_rates(invoices_with_tier: DataFrame) -> DataFrame:
-    """Late rate (%) by customer tier and by industry, overall, and mean days when late."""
-    c = invoices_with_tier.where(F.col("STATUS") == "CLEARED")
-    by = lambda dim: c.where(F.col(dim).isNotNull()).groupBy(F.lit(dim).alias("dimension"), F.col(dim).alias("value")).agg(
-        (F.avg(TARGET_COL) * 100).alias("metric")
+def customer_totals(invoices: DataFrame) -> DataFrame:
+    """Cleared invoices summed per customer: counts and sums that rates can be taken from (a
+    customer that holds most invoices is one row before segments are joined)."""
+    late = F.col("DAYS_LATE") > 0
+    return invoices.where(F.col("STATUS") == "CLEARED").groupBy("KUNNR").agg(
+        F.count(TARGET_COL).alias("n"), F.sum(TARGET_COL).alias("late"),
+        F.count_if(late).alias("n_when"), F.sum(F.when(late, F.col("DAYS_LATE"))).alias("days_when"),
     )
-    overall = c.agg(F.lit("overall").alias("dimension"), F.lit("late_rate_pct").alias("value"),
-                    (F.avg(TARGET_COL) * 100).alias("metric"))
-    when_late = c.where(F.col("DAYS_LATE") > 0).agg(
-        F.lit("overall").alias("dimension"), F.lit("avg_days_when_late").alias("value"), F.avg("DAYS_LATE").alias("metric")
-    )
-    return by("RISK_TIER").unionByName(by("INDUSTRY")).unionByName(overall).unionByName(when_late)
+
+
+def late_rates(totals: DataFrame) -> DataFrame:
+    """Late rate (%) by customer tier and by industry, overall, and mean days when late, from
+    customer totals with RISK_TIER and INDUSTRY (one aggregate over all groupings)."""
+    g = totals.groupingSets([["RISK_TIER"], ["INDUSTRY"], []], "RISK_TIER", "INDUSTRY").agg(
+        F.sum("late").alias("late"), F.sum("n").alias("n"), F.sum("days_when").alias("days"), F.sum("n_when").alias("n_when"),
+        F.grouping("RISK_TIER").alias("gt"), F.grouping("INDUSTRY").alias("gi"))
+    rate = F.col("late") / F.col("n") * 100
+    one = lambda dim, value, metric: F.struct(dim.alias("dimension"), value.alias("value"), metric.alias("metric"))
+    tier = F.array(one(F.lit("RISK_TIER"), F.col("RISK_TIER"), rate))
+    industry = F.array(one(F.lit("INDUSTRY"), F.col("INDUSTRY"), rate))
+    both = F.array(one(F.lit("overall"), F.lit("late_rate_pct"), rate),
+                   one(F.lit("overall"), F.lit("avg_days_when_late"), F.when(F.col("n_when") > 0, F.col("days") / F.col("n_when"))))
+    rows = F.when(F.col("gt") == 0, tier).when(F.col("gi") == 0, industry).otherwise(both)
+    return g.select(F.explode(rows).alias("r")).select("r.*").where("value is not null")
 
 
 def seeded_sample(df: DataFrame, key: str, n: int = 1000, seed: int = 42) -> DataFrame:

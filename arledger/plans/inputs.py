@@ -69,13 +69,10 @@ class Inputs:
 
     @property
     def scored_split(self) -> DataFrame:
+        """The split scored with the stand-in probability (columns are pruned to what a query reads)."""
         from ..operators import scoring
-        from ..operators.features import time_split
-        from ..session import materialize
 
-        return materialize(
-            lambda: scoring.predict(scoring.standin_probability(time_split(self.feature_store)), self.threshold),
-            "scored_split", self.sf_dir, self.spark)
+        return scoring.predict(scoring.standin_probability(self.split), self.threshold)
 
     @property
     def scored_test(self) -> DataFrame:
@@ -91,10 +88,12 @@ class Inputs:
         return customer_risk_view(self.customers, self.invoices)
 
     @property
-    def invoices_eda(self) -> DataFrame:
-        """Invoices with the EDA customer segments and tier attached."""
+    def customer_totals_eda(self) -> DataFrame:
+        """Cleared invoices summed per customer, with the EDA segments and tier attached."""
+        from ..operators.portfolio import customer_totals
+
         view = self.customers_eda.select("KUNNR", "INDUSTRY", "REGION", "RISK_TIER")
-        return self.invoices.join(view, "KUNNR", "left")
+        return customer_totals(self.invoices).join(view, "KUNNR", "left")
 
     @property
     def aging_eda(self) -> DataFrame:
@@ -105,11 +104,11 @@ class Inputs:
         return normalize.gl_eda_fields(self.gl_raw)
 
     @property
-    def invoices_segmented(self) -> DataFrame:
-        """N8 + M1: invoices with INDUSTRY / REGION from the customer dimension and RISK_TIER."""
-        from ..operators.monthly import attach_segments
+    def customer_months(self) -> DataFrame:
+        """Invoices reduced to (customer, status, month), with N8 segments and M1 tier."""
+        from ..operators.monthly import attach_segments, customer_months
 
-        return attach_segments(self.invoices, self.customers.select("KUNNR", "INDUSTRY", "REGION"))
+        return attach_segments(customer_months(self.invoices), self.customers.select("KUNNR", "INDUSTRY", "REGION"))
 
     @property
     def monthly(self) -> DataFrame:
@@ -117,7 +116,7 @@ class Inputs:
         from ..operators.monthly import monthly_dataset
         from ..session import materialize
 
-        return materialize(lambda: monthly_dataset(self.invoices_segmented, self.gl, self.scored), "monthly",
+        return materialize(lambda: monthly_dataset(self.customer_months, self.gl, self.scored), "monthly",
                            self.sf_dir, self.spark)
 
     # ---- trained models (fitted once per session and data directory) --------------------------
@@ -129,10 +128,11 @@ class Inputs:
 
     @property
     def split(self) -> DataFrame:
+        """The feature store with its time split: a projection with literal bounds (found once per
+        session), so it needs no table of its own."""
         from ..operators.features import time_split
-        from ..session import materialize
 
-        return materialize(lambda: time_split(self.feature_store), "feature_store_split", self.sf_dir, self.spark)
+        return self._memo("split", lambda: time_split(self.feature_store))
 
     @property
     def classifier(self):

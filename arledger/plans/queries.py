@@ -482,7 +482,7 @@ def p17_days_late_histogram(inp):
     "UNION ALL SELECT 'overall', 'avg_days_when_late', avg(DAYS_LATE) FROM c WHERE DAYS_LATE > 0")), ["metric"]))
 def p18_late_rates(inp):
     """Late rate by customer tier and industry, overall, and mean days late when late."""
-    return portfolio.late_rates(inp.invoices_eda)
+    return portfolio.late_rates(inp.customer_totals_eda)
 
 
 @register("p19_seeded_sample", O.rounded(O.with_prefix(*O.EDA_CTES, select=(
@@ -490,8 +490,9 @@ def p18_late_rates(inp):
     "ORDER BY md5(CAST(BELNR AS VARCHAR) || '|42'), BELNR LIMIT 1000")), ["DMBTR", "DAYS_LATE"]))
 def p19_seeded_sample(inp):
     """Seeded 1,000-row sample of cleared invoices (amount vs days late), by hashed key."""
-    cleared = inp.invoices_eda.where(F.col("STATUS") == "CLEARED").select("BELNR", "DMBTR", "DAYS_LATE", "RISK_TIER")
-    return portfolio.seeded_sample(cleared, "BELNR", 1000, 42)
+    cleared = inp.invoices.where(F.col("STATUS") == "CLEARED").select("BELNR", "KUNNR", "DMBTR", "DAYS_LATE")
+    sample = portfolio.seeded_sample(cleared, "BELNR", 1000, 42)  # the customer view joins the sample, not all rows
+    return sample.join(inp.customers_eda.select("KUNNR", "RISK_TIER"), "KUNNR", "left").select("BELNR", "DMBTR", "DAYS_LATE", "RISK_TIER")
 
 
 @precision({'total': 2})
@@ -867,7 +868,7 @@ def m21_forecast_region(inp):
     ["band_std", "upper_m", "lower_m"]))
 def p9_history_band(inp):
     """Last 18 months of portfolio collections ($M) with a rolling variability band."""
-    return forecast.history_band(monthly.select_slice(inp.monthly))
+    return forecast.history_band(monthly.collection_series(monthly.customer_months(inp.invoices)))
 
 
 @register("p10_forecast_points")
