@@ -33,12 +33,50 @@ def _sum0(c: Column) -> Column:
     return F.coalesce(c, F.lit(0))
 
 
+def asof_labels(cleared: DataFrame, key: str, date: str, known: str = "AUGDT") -> DataFrame:
+    """Label state of a customer that was known before each document day: sums over the invoices
+    cleared strictly earlier, and the days late of the last three of them (by clearing date, document
+    date, key). One row per (customer, document day).
+
+    Clearings are reduced to customer-days first; the as-of join is a union of clearing days and
+    document days, of which the latter sort first within a day, and the last clearing state before.
+    """
+    ties = [c for c in ORDER_TIEBREAK if c in cleared.columns]
+    events = cleared.where(F.col(known).isNotNull())
+    dl, lf = F.col("DAYS_LATE"), F.col("LATE_FLAG")
+    totals = events.groupBy(key, F.col(known).alias("_day")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(dl).alias("sdl"), F.count(dl).alias("ndl"), F.sum(lf).alias("slf"), F.count(lf).alias("nlf"))
+    newest = Window.partitionBy(key, known).orderBy(F.desc(date), *[F.desc(c) for c in ties])
+    last3 = events.select(key, F.col(known).alias("_day"), dl.alias("_v"), F.row_number().over(newest).alias("_r")).where("_r <= 3")
+    tails = last3.groupBy(key, "_day").agg(*[F.max(F.when(F.col("_r") == k, F.col("_v"))).alias(f"d{k}") for k in (1, 2, 3)])
+    w = Window.partitionBy(key).orderBy("_day")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    back = lambda c, k: F.lag(c, k).over(w)
+    n = F.col("n")
+    second = F.when(n >= 2, F.col("d2")).otherwise(back("d1", 1))
+    third = F.when(n >= 3, F.col("d3")).when(n == 2, back("d1", 1)).when(back("n", 1) >= 2, back("d2", 1)).otherwise(back("d1", 2))
+    state = F.struct(*[F.sum(c).over(upto).alias(c) for c in ("n", "sdl", "ndl", "slf", "nlf")],
+                     F.col("d1").alias("v1"), second.alias("v2"), third.alias("v3"))
+    clearings = totals.join(tails, [key, "_day"]).select(key, "_day", F.lit(1).alias("_kind"), state.alias("_state"))
+    kind = clearings.schema["_state"].dataType
+    days = cleared.select(key, F.col(date).alias("_day")).distinct().select(key, "_day", F.lit(0).alias("_kind"), F.lit(None).cast(kind).alias("_state"))
+    before = Window.partitionBy(key).orderBy("_day", "_kind").rowsBetween(Window.unboundedPreceding, -1)
+    both = days.unionByName(clearings).withColumn("_known", F.last("_state", ignorenulls=True).over(before))
+    return both.where("_kind = 0").select(key, F.col("_day").alias(date), *[F.col(f"_known.{c}").alias(f"_k_{c}") for c in kind.names])
+
+
 def customer_history(cleared: DataFrame, key: str = "KUNNR", date: str = "BLDAT",
-                     dim: DataFrame | None = None) -> DataFrame:
+                     dim: DataFrame | None = None, asof: bool = False) -> DataFrame:
     """F1-F9 on cleared rows (scalar window functions only, all inside whole-stage codegen).
+    By default the labels (days late, late flag) of all earlier documents count, as in the source,
+    whether or not they were cleared by then. ``asof=True`` is free of that look-ahead: the averages
+    and the rolling mean use only invoices cleared (AUGDT) before the document's day.
+    Rows without customer or date have no history and are left out.
     Adds CUST_AVG_DAYS_LATE, CUST_LATE_RATE, CUST_INVOICE_COUNT,
     CUST_AVG_AMOUNT, CUST_TOTAL_EXPOSURE, CUST_ROLLING3_DAYS_LATE, CUST_MAX_INVOICE,
     CUST_LATE_TREND, CUST_AMOUNT_CONCENTRATION."""
+    # NULL keys match nothing in the joins below: dropped before they meet in one task
+    cleared = cleared.where(F.col(key).isNotNull() & F.col(date).isNotNull())
     ties = [c for c in ORDER_TIEBREAK if c in cleared.columns]
     w_day = Window.partitionBy(key, date).orderBy(*ties)
     prior = w_day.rowsBetween(Window.unboundedPreceding, -1)
@@ -99,6 +137,8 @@ def customer_history(cleared: DataFrame, key: str = "KUNNR", date: str = "BLDAT"
         *_previous_three(w_c),
     )
 
+    if asof:
+        day_prefix = day_prefix.join(asof_labels(cleared, key, date), [key, date], "left")
     dim_cols = []
     if dim is not None:
         # customer attributes ride on the day table (keyed by customer already), so the fact
@@ -119,6 +159,9 @@ def customer_history(cleared: DataFrame, key: str = "KUNNR", date: str = "BLDAT"
     namt = n0(F.col("_c_namt")) + n0(F.col("_p_namt"))
     avg_dl = F.coalesce(safe_div(sdl, ndl.cast("double")), F.lit(0.0))
     avg_lf = F.coalesce(safe_div(slf, nlf.cast("double")), F.lit(0.0))
+    if asof:
+        avg_dl = F.coalesce(safe_div(F.col("_k_sdl"), F.col("_k_ndl").cast("double")), F.lit(0.0))
+        avg_lf = F.coalesce(safe_div(F.col("_k_slf"), F.col("_k_nlf").cast("double")), F.lit(0.0))
     avg_amt = F.coalesce(F.when(namt > 0, samt / namt), amt)
 
     # rolling window of the previous three rows: in-day lags first, then the rows of earlier days
@@ -128,6 +171,8 @@ def customer_history(cleared: DataFrame, key: str = "KUNNR", date: str = "BLDAT"
     w2 = F.when(p >= 2, F.col("_l2")).when(p == 1, F.col("_c1")).otherwise(F.col("_c2"))
     w3 = F.when(p >= 3, F.col("_l3")).when(p == 2, F.col("_c1")).when(p == 1, F.col("_c2")).otherwise(F.col("_c3"))
     slots = [(w1, have >= 1), (w2, have >= 2), (w3, have >= 3)]
+    if asof:
+        slots = [(F.col(f"_k_v{i}"), F.lit(True)) for i in (1, 2, 3)]
     cnt = sum((e & v.isNotNull()).cast("int") for v, e in slots)
     tot = sum(F.when(e & v.isNotNull(), v).otherwise(F.lit(0.0)) for v, e in slots)
     roll = F.when(cnt > 0, tot / cnt)
@@ -229,22 +274,38 @@ def amount_bucket(df: DataFrame, col: str = "DMBTR") -> DataFrame:
     return df.withColumn("AMOUNT_BUCKET", F.when(x.isNull(), F.lit(-1)).otherwise(code).cast("int"))
 
 
-def category_codes(df: DataFrame, cols=("INDUSTRY", "REGION"), labels_from: DataFrame | None = None) -> DataFrame:
-    """code = 0-based rank of the label among the sorted distinct labels present in the
-    data; NULL label gives -1. The label set is a closed code list (a handful of values), so the
-    mapping is broadcast. ``labels_from`` is a cheaper frame with the same label values (the
-    customer dimension restricted to customers with cleared invoices), so the distinct-label job
-    does not re-run the history windows."""
+#: Labels up to which a code mapping is written into the plan as literals.
+LITERAL_LABELS = 1_000
+
+
+def category_mapping(df: DataFrame, cols=("INDUSTRY", "REGION")) -> DataFrame:
+    """(column, label, code) - the 0-based rank of every label among the sorted distinct
+    labels of its column. Kept with a model, it gives new data the codes of the training data."""
+    pairs = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in cols)
+    labels = df.select(F.expr(f"stack({len(cols)}, {pairs}) AS (column, label)")).where("label is not null").distinct()
+    rank = F.row_number().over(Window.partitionBy("column").orderBy("label"))
+    return labels.select("column", "label", (rank - 1).cast("int").alias("code"))
+
+
+def category_codes(df: DataFrame, cols=("INDUSTRY", "REGION"), labels_from: DataFrame | None = None,
+                   mapping: DataFrame | None = None) -> DataFrame:
+    """code columns by ``mapping`` (default: that of the labels in the data); NULL and labels
+    that the mapping doesn't hold give -1. ``labels_from`` is a cheaper frame with the same label
+    values. A mapping of at most ``LITERAL_LABELS`` labels (counted first) is written into the plan,
+    so no join is needed; a larger one is joined, without a hint."""
+    mapping = category_mapping(df if labels_from is None else labels_from, cols) if mapping is None else mapping
+    rows = mapping.limit(LITERAL_LABELS + 1).collect()
     out = df
-    src = df if labels_from is None else labels_from
     for c in cols:
-        labels = src.select(c).where(F.col(c).isNotNull()).distinct()
-        codes = labels.select(
-            c, (F.row_number().over(Window.orderBy(c)) - 1).cast("int").alias(f"{c}_CODE")
-        )
-        out = out.join(F.broadcast(codes), c, "left")
-    return out.select(*[F.coalesce(F.col(n), F.lit(-1)).alias(n) if n in {f"{c}_CODE" for c in cols} else F.col(n)
-                        for n in out.columns])
+        if len(rows) <= LITERAL_LABELS:
+            known = {r["label"]: r["code"] for r in rows if r["column"] == c}
+            code = lookup(F.col(c).cast("string"), known).cast("int") if known else F.lit(None).cast("int")
+            out = out.withColumn(f"{c}_CODE", F.coalesce(code, F.lit(-1)))
+        else:
+            of = mapping.where(F.col("column") == c).select(F.col("label").alias("_label"), F.col("code").alias("_code"))
+            joined = out.join(of, F.col(c).cast("string") == F.col("_label"), "left")
+            out = joined.withColumn(f"{c}_CODE", F.coalesce("_code", F.lit(-1))).drop("_label", "_code")
+    return out
 
 
 def gl_context(df: DataFrame, gl: DataFrame) -> DataFrame:
@@ -263,11 +324,13 @@ def _dedupe_dim(dim: DataFrame) -> DataFrame:
     return dedupe_customers(dim)
 
 
-def build_feature_store(customers: DataFrame, invoices: DataFrame, gl: DataFrame) -> DataFrame:
+def build_feature_store(customers: DataFrame, invoices: DataFrame, gl: DataFrame, asof: bool = False,
+                        codes: DataFrame | None = None) -> DataFrame:
     """cleared invoices -> history -> customer dimension -> invoice features -> codes ->
-    GL context -> credit ratio, tier -> drop incomplete rows (F27) -> 35 output columns."""
+    GL context -> credit ratio, tier -> drop incomplete rows (F27) -> 35 output columns.
+    ``asof``: history without label look-ahead; ``codes``: the kept ``category_mapping`` of a model."""
     cleared = invoices.filter(F.col("STATUS") == "CLEARED").select(
-        "BELNR", *[c for c in ("BUZEI",) if c in invoices.columns],
+        "BELNR", *[c for c in ("BUZEI",) if c in invoices.columns], *(["AUGDT"] if asof else []),
         "KUNNR", "BLDAT", "FAEDT", "DMBTR", "ZTERM", "STATUS", "DAYS_LATE", "LATE_FLAG",
     )
     # one row per customer (a duplicated master row must not duplicate invoices)
@@ -275,11 +338,11 @@ def build_feature_store(customers: DataFrame, invoices: DataFrame, gl: DataFrame
     # the dimension joins the per-customer-day prefix table inside customer_history, not the
     # fact rows. No broadcast hint: Spark broadcasts it when its measured size is under the
     # threshold (static stats or AQE at runtime) and sort-merge joins it beyond that.
-    out = customer_history(cleared, dim=dim)
+    out = customer_history(cleared, dim=dim, asof=asof)
     out = invoice_features(out)
     # labels present = labels of customers that have cleared invoices (semi join on keys)
     present = dim.join(cleared.select("KUNNR").distinct(), "KUNNR", "left_semi")
-    out = category_codes(out, labels_from=present)
+    out = category_codes(out, labels_from=present, mapping=codes)
     out = gl_context(out, gl)
     derived = {
         "INVOICE_TO_CREDIT_RATIO": safe_div(F.col("DMBTR"), F.col("KLIMK"), 0.0),

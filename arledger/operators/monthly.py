@@ -50,10 +50,13 @@ def customer_months(inv: DataFrame) -> DataFrame:
     )
 
 
-def customer_tier(cm: DataFrame) -> DataFrame:
+def customer_tier(cm: DataFrame, asof: bool = False) -> DataFrame:
     """M1: whole-history customer late rate over cleared invoices -> tier; customers without any
-    (and rows without a customer) get 'Medium'. A customer has a few rows per month."""
+    (and rows without a customer) get 'Medium'. A customer has a few rows per month. ``asof=True``
+    counts only what was cleared in earlier months than the row's."""
     w = Window.partitionBy("KUNNR")
+    if asof:
+        w = w.orderBy(F.regexp_replace("COLLECT_MONTH", "-", "").cast("int")).rangeBetween(Window.unboundedPreceding, -1)
     cleared = F.col("STATUS") == "CLEARED"
     late, n = F.sum(F.when(cleared, F.col("late"))).over(w), F.sum(F.when(cleared, F.col("n_late"))).over(w)
     rate = F.when(F.col("KUNNR").isNotNull() & (n > 0), late / n)

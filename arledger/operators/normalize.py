@@ -23,18 +23,22 @@ def _inverse(mapping: dict) -> dict:
     return {v: k for k, v in mapping.items()}
 
 
+# FIXED VALUES: ERP column <- older name, with the label-to-code map and default if it held labels
+LEGACY = {
+    "KLIMK": ("CREDIT_LIMIT", None, None),
+    "LAND1": ("COUNTRY", None, None),
+    "REGIO": ("REGION", REGION_MAP, REGION_CODE_DEFAULT),
+    "BRSCH": ("INDUSTRY", INDUSTRY_MAP, INDUSTRY_CODE_DEFAULT),
+}
+
+
 def legacy_aliases(df: DataFrame) -> DataFrame:
-    """Old column names to ERP names, only where the ERP column is absent."""
-    cols = set(df.columns)
-    if "KLIMK" not in cols and "CREDIT_LIMIT" in cols:
-        df = df.withColumn("KLIMK", F.col("CREDIT_LIMIT"))
-    if "LAND1" not in cols and "COUNTRY" in cols:
-        df = df.withColumn("LAND1", F.col("COUNTRY"))
-    if "REGIO" not in cols and "REGION" in cols:
-        df = df.withColumn("REGIO", lookup("REGION", _inverse(REGION_MAP), REGION_CODE_DEFAULT))
-    if "BRSCH" not in cols and "INDUSTRY" in cols:
-        df = df.withColumn("BRSCH", lookup("INDUSTRY", _inverse(INDUSTRY_MAP), INDUSTRY_CODE_DEFAULT))
-    return df
+    """Old column names to ERP names, only where the ERP column is absent (one projection)."""
+    added = [
+        (F.col(old) if codes is None else lookup(old, _inverse(codes), default)).alias(new)
+        for new, (old, codes, default) in LEGACY.items() if new not in df.columns and old in df.columns
+    ]
+    return df.select("*", *added) if added else df
 
 
 def _first_per_customer(df: DataFrame) -> DataFrame:
@@ -184,7 +188,3 @@ def apply_segment_filters(df: DataFrame, region: str | None = None, industry: st
     if i is not None and "INDUSTRY" in df.columns:
         df = df.filter(F.trim(F.col("INDUSTRY").cast("string")) == i)
     return df
-
-
-def is_string(df: DataFrame, name: str) -> bool:
-    return isinstance(df.schema[name].dataType, T.StringType)

@@ -1,21 +1,24 @@
 """Q1-Q10: declarative data-quality rules over the raw exports.
 
-One output schema for every rule: (dataset, rule, col_name, n_bad, n_rows, detail). All scalar
-rules of one table are computed in a single ``agg`` pass (one job, map-side partial counts) and
-unpivoted with ``stack``; the distinct-invalid-values rule groups by the value first (map-side
-combine), so only the distinct invalid values - a code list - reach the final row.
+One output schema for every rule: (dataset, rule, col_name, n_bad, n_rows, detail). A table is
+scanned once: its rows are grouped by (rule column, invalid value), with the counters of all scalar
+rules summed in the group that stands for the whole table (combined before the shuffle, so a value
+that fills a column is one record per task). The result - one row and the distinct invalid values -
+is stored; counts are taken from all of it, and the ``DETAIL_VALUES`` first values are listed in the
+report (``invalid_values`` gives all of them as rows).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import AGING_BUCKETS, INDUSTRY_MAP, PAYMENT_TERMS, REGION_MAP
 from ..functions.expressions import to_date, to_double
+from ..session import stored
 
 RESULT_SCHEMA = T.StructType(
     [
@@ -76,16 +79,8 @@ def check_columns(df: DataFrame, required: list[str]) -> list[str]:
     return [c for c in required if c not in df.columns]
 
 
-def _stack(dataset: str, n_rows_alias: str, items: list[tuple[str, str, str]]) -> str:
-    """stack() expression over (rule, col_name, value-column) triples of the one-row agg."""
-    parts = []
-    for rule, col, alias in items:
-        parts += [f"'{rule}'", f"'{col}'", f"CAST(`{alias}` AS BIGINT)"]
-    return f"stack({len(items)}, {', '.join(parts)}) AS (rule, col_name, n_bad)"
-
-
-def scalar_rules(dataset: str, df: DataFrame, rules: TableRules) -> DataFrame:
-    """Q2, Q4 (+Q6-Q8 for the tables they apply to) in one aggregate pass."""
+def scalar_rules(dataset: str, df: DataFrame, rules: TableRules) -> tuple[list, list[tuple[str, str, str]]]:
+    """Q2, Q4 (+Q6-Q8 for the tables they apply to): aggregates, and (rule, column, aggregate)."""
     aggs = [F.count(F.lit(1)).alias("__n")]
     items: list[tuple[str, str, str]] = []
     cols = set(df.columns)
@@ -126,41 +121,64 @@ def scalar_rules(dataset: str, df: DataFrame, rules: TableRules) -> DataFrame:
         p = to_double(df, "POPER")
         aggs.append(F.count_if(p.isNull() | (p < 1) | (p > 12)).alias("poper__"))
         items.append(("period_bounds", "POPER", "poper__"))
-    # Q3: distinct invalid values per column. collect_set dedups map-side, so the final buffer
-    # holds only the distinct invalid codes of one column.
-    vv_items = []
-    for c, allowed in rules.valid_values.items():
-        if c not in cols:
-            continue
+    return aggs, items
+
+
+#: Invalid values that the detail of a report row lists.
+DETAIL_VALUES = 1_000
+
+
+def _profile(dataset: str, df: DataFrame, rules: TableRules) -> tuple[DataFrame, list, list[str]]:
+    """One scan: a row (NULL, NULL) with the counters of all scalar rules and the number of rows,
+    and a row (column, value, n) per distinct invalid value (Q3); also the rules and the columns."""
+    aggs, items = scalar_rules(dataset, df, rules)
+    cols = [c for c in rules.valid_values if c in df.columns]
+    bad = []
+    for c in cols:
         v = F.col(c).cast("string")
-        a = f"invalid__{c}"
-        aggs.append(F.array_sort(F.collect_set(F.when(v.isNotNull() & ~v.isin(*allowed), v))).alias(a))
-        vv_items.append((c, a))
-    one = df.agg(*aggs)
-    scalar = one.select(
-        F.lit(dataset).alias("dataset"), F.expr(_stack(dataset, "__n", items)), F.col("__n").alias("n_rows")
-    ).select("dataset", "rule", "col_name", "n_bad", "n_rows", F.lit(None).cast("string").alias("detail"))
-    if not vv_items:
+        bad.append(F.when(v.isNotNull() & ~v.isin(*rules.valid_values[c]), F.struct(F.lit(c).alias("c"), v.alias("v"))))
+    table = F.struct(F.lit(None).cast("string").alias("c"), F.lit(None).cast("string").alias("v"))
+    found = F.filter(F.array(table, *bad), lambda e: e.isNotNull())
+    keyed = df.select("*", F.explode(found).alias("__k"))
+    whole = F.col("__k.c").isNull()
+    return keyed, [aggs, items, whole], cols
+
+
+def _report(dataset: str, df: DataFrame, rules: TableRules) -> DataFrame:
+    """Q2-Q4, Q6-Q8 of one table."""
+    keyed, (aggs, items, whole), cols = _profile(dataset, df, rules)
+    grouped = keyed.groupBy(F.col("__k.c").alias("col_name"), F.col("__k.v").alias("value")).agg(*aggs)
+    one = stored(grouped, f"quality-{dataset}")
+    total = one.where("col_name is null")
+    names = [a for _, _, a in items]
+    parts = []
+    for rule, col, alias in items:
+        parts += [f"'{rule}'", f"'{col}'", f"CAST(`{alias}` AS BIGINT)"]
+    # an empty table has no group: its rules hold, over no rows
+    total = total.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__n"), *[F.coalesce(F.sum(a), F.lit(0)).alias(a) for a in names])
+    n_rows = F.col("__n")
+    scalar = total.select(n_rows.alias("n_rows"), F.expr(f"stack({len(items)}, {', '.join(parts)}) AS (rule, col_name, n_bad)")).select(
+        F.lit(dataset).alias("dataset"), "rule", "col_name", "n_bad", "n_rows", F.lit(None).cast("string").alias("detail"))
+    if not cols:
         return scalar
-    structs = [
-        F.struct(
-            F.lit(c).alias("col_name"),
-            F.size(a).cast("long").alias("n_bad"),
-            F.when(F.size(a) > 0, F.array_join(a, ",")).alias("detail"),
-        )
-        for c, a in vv_items
-    ]
-    valid = one.select(F.col("__n").alias("n_rows"), F.explode(F.array(*structs)).alias("_v")).select(
-        F.lit(dataset).alias("dataset"),
-        F.lit("valid_values").alias("rule"),
-        "_v.col_name",
-        "_v.n_bad",
-        "n_rows",
-        "_v.detail",
-    )
+    values = one.where("col_name is not null")
+    first = values.withColumn("__r", F.row_number().over(Window.partitionBy("col_name").orderBy("value"))).where(F.col("__r") <= DETAIL_VALUES)
+    listed = first.groupBy("col_name").agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("list"))
+    counts = values.groupBy("col_name").agg(F.count(F.lit(1)).alias("n")).join(listed, "col_name")
+    detail = F.when(F.col("n") > DETAIL_VALUES, F.concat("list", F.lit(",... ("), F.col("n").cast("string"), F.lit(" values)"))).otherwise(F.col("list"))
+    wanted = total.select(n_rows.alias("n_rows"), F.explode(F.array(*[F.lit(c) for c in cols])).alias("col_name"))
+    valid = wanted.join(counts.withColumn("detail", detail), "col_name", "left").select(
+        F.lit(dataset).alias("dataset"), F.lit("valid_values").alias("rule"), "col_name", F.coalesce("n", F.lit(0)).alias("n_bad"), "n_rows", "detail")
     return scalar.unionByName(valid)
 
 
+def invalid_values(dataset: str, df: DataFrame) -> DataFrame:
+    """Q3 in full: (dataset, col_name, value, n_rows) of every distinct value outside the code lists."""
+    keyed, (_, _, whole), _ = _profile(dataset, df, RULES[dataset])
+    return keyed.where(~whole).groupBy(F.col("__k.c").alias("col_name"), F.col("__k.v").alias("value")).agg(
+        F.count(F.lit(1)).alias("n_rows")).select(F.lit(dataset).alias("dataset"), "col_name", "value", "n_rows")
+
+
 def referential_integrity(invoices: DataFrame, customers: DataFrame) -> DataFrame:
     """Q5: number of distinct invoice customers missing from the master (anti join on keys)."""
     inv_keys = invoices.select(F.col("KUNNR").cast("string").alias("k")).where(F.col("k").isNotNull()).distinct()
@@ -188,7 +206,7 @@ def validate_table(dataset: str, df: DataFrame | None) -> DataFrame:
     if missing:
         # Q1 short-circuits the other rules of this table
         return _rows(spark, [(dataset, "required_columns", c, 1, None, "missing column") for c in missing])
-    return scalar_rules(dataset, df, rules)
+    return _report(dataset, df, rules)
 
 
 def validate_all(tables: dict[str, DataFrame | None]) -> DataFrame:

@@ -349,3 +349,43 @@ def q1_incomplete_inputs(inp):
     tables = _quality_tables(inp)
     report = quality.validate_all({**tables, "customer_master": tables["customer_master"].drop("ERDAT"), "gl_cash_positions": None})
     return report.where("rule IN ('required_columns', 'file_present') OR (dataset = 'invoice_history' AND rule = 'not_null' AND col_name = 'BELNR')")
+
+
+@register("q3_invalid_values", O.with_prefix(select=(
+    "SELECT 'customer_master' AS dataset, 'BRSCH' AS col_name, BRSCH AS value, count(*) AS n_rows FROM cust WHERE BRSCH = 'ZZ' GROUP BY ALL "
+    "UNION ALL SELECT 'customer_master', 'REGIO', REGIO, count(*) FROM cust WHERE REGIO = 'XX' GROUP BY ALL")))
+def q3_invalid_values(inp):
+    """Every distinct value of the customer master outside its code lists, with its rows."""
+    return quality.invalid_values("customer_master", inp.customers_raw)
+
+
+# ---- history without label look-ahead ------------------------------------------------------------
+_ASOF = [
+    "cl AS (SELECT BELNR, KUNNR, BLDAT, AUGDT, DAYS_LATE, LATE_FLAG FROM invn WHERE STATUS = 'CLEARED' AND KUNNR IS NOT NULL AND BLDAT IS NOT NULL)",
+    "pr AS (SELECT i.BELNR AS b, j.DAYS_LATE, j.LATE_FLAG, row_number() OVER (PARTITION BY i.BELNR ORDER BY j.AUGDT DESC, j.BLDAT DESC, j.BELNR DESC) AS r "
+    "FROM cl i JOIN cl j ON i.KUNNR = j.KUNNR AND j.AUGDT < i.BLDAT)",
+    "st AS (SELECT b, avg(DAYS_LATE) AS a, avg(LATE_FLAG) AS l, avg(DAYS_LATE) FILTER (r <= 3) AS r3 FROM pr GROUP BY b)",
+]
+
+
+@register("f1_history_asof", O.rounded(O.with_prefix(*_ASOF, select=(
+    "SELECT BELNR, coalesce(a, 0.0) AS CUST_AVG_DAYS_LATE, coalesce(l, 0.0) AS CUST_LATE_RATE, coalesce(r3, a, 0.0) AS CUST_ROLLING3_DAYS_LATE "
+    "FROM cl LEFT JOIN st ON BELNR = b")), ["CUST_AVG_DAYS_LATE", "CUST_LATE_RATE", "CUST_ROLLING3_DAYS_LATE"]))
+def f1_history_asof(inp):
+    """Customer history from invoices cleared before the document's day (no label look-ahead)."""
+    from ..operators import features
+
+    cleared = inp.invoices.where(F.col("STATUS") == "CLEARED")
+    return features.customer_history(cleared, asof=True).select("BELNR", "CUST_AVG_DAYS_LATE", "CUST_LATE_RATE", "CUST_ROLLING3_DAYS_LATE")
+
+
+@register("m1_tier_asof", O.with_prefix(
+    "cm AS (SELECT KUNNR, strftime(CASE WHEN STATUS = 'CLEARED' THEN AUGDT ELSE BLDAT END, '%Y-%m') AS COLLECT_MONTH, STATUS, sum(LATE_FLAG) AS late, "
+    "count(LATE_FLAG) AS n FROM invn WHERE KUNNR IS NOT NULL GROUP BY ALL)",
+    "e AS (SELECT a.KUNNR, a.COLLECT_MONTH, a.STATUS, sum(b.late) / nullif(sum(b.n), 0) AS rate FROM cm a LEFT JOIN cm b ON a.KUNNR = b.KUNNR "
+    "AND b.STATUS = 'CLEARED' AND b.COLLECT_MONTH < a.COLLECT_MONTH GROUP BY ALL)",
+    select=f"SELECT COLLECT_MONTH, RISK_TIER, count(*) AS n FROM (SELECT *, coalesce(CASE WHEN rate IS NOT NULL THEN {O.tier_sql('rate')} END, 'Medium') AS RISK_TIER FROM e) GROUP BY ALL"))
+def m1_tier_asof(inp):
+    """Customer-months per month and tier, where the tier knows only earlier months."""
+    tiers = monthly.customer_tier(monthly.customer_months(inp.invoices), asof=True)
+    return tiers.where("KUNNR IS NOT NULL").groupBy("COLLECT_MONTH", "RISK_TIER").agg(F.count(F.lit(1)).alias("n"))

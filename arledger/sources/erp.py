@@ -1,41 +1,44 @@
 """ERP export readers (declared schemas, never inferred) and report sinks.
 
 Raw exports are read with every column as text (``schemas.RAW_SCHEMAS``) so the validator can
-report non-numeric values; the normalisers type them. Quoted fields may contain commas and
-line breaks (``multiLine``), quotes are escaped by doubling.
+report non-numeric values; the normalisers type them. Quoted fields may contain commas, quotes are
+escaped by doubling. Exports have one record per line, so large files are split among tasks;
+``multi_line`` reads line breaks inside quotes (as narratives have them), one task per file.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..operators import normalize
 from .schemas import RAW_SCHEMAS
 
 
-def read_raw(spark: SparkSession, path: str, dataset: str) -> DataFrame:
+def read_raw(spark: SparkSession, path: str, dataset: str, multi_line: bool = False) -> DataFrame:
     """One raw export with its declared (all-text) schema; empty fields are NULL."""
     return (
         spark.read.schema(RAW_SCHEMAS[dataset])
         .option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("escape", '"')
         .option("mode", "PERMISSIVE")
         .csv(path)
     )
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path or pattern names a file or folder, in whatever file system it is."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(sc._jsc.hadoopConfiguration()).globStatus(at)
+    return found is not None and len(found) > 0
+
+
 def read_raw_optional(spark: SparkSession, path: str, dataset: str) -> DataFrame | None:
-    """Like :func:`read_raw`, but a missing file gives None (reported as a failed rule)."""
-    try:
-        df = read_raw(spark, path, dataset)
-        df.schema  # noqa: B018 - resolves the path
-        spark.read.text(path).limit(1).count()  # missing paths fail here, not later in a job
-        return df
-    except AnalysisException:
-        return None
+    """Like :func:`read_raw`, but a missing file gives None (reported as a failed rule). Only
+    the absence of the path counts; any other fault is raised."""
+    return read_raw(spark, path, dataset) if path_exists(spark, path) else None
 
 
 def read_raw_tables(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame | None]:
@@ -63,22 +66,21 @@ def load_splits(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return df.where(F.col("split") == "train").drop("split"), df.where(F.col("split") == "test").drop("split")
 
 
-def write_risk_report(report: DataFrame, path: str) -> None:
+def _csv(df: DataFrame, path: str, files: int | None) -> None:
+    """CSV with a header; ``files`` merges the output (a report of a few rows) into so many."""
+    df = df if files is None else df.coalesce(files)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def write_risk_report(report: DataFrame, path: str, files: int | None = None) -> None:
     """The risk report as CSV with a header; the array column is dropped; narratives are
     quoted multi-line text."""
-    (
-        report.drop("SHAP_VALUES")
-        .coalesce(1)
-        .write.mode("overwrite")
-        .option("header", True)
-        .option("escape", '"')
-        .csv(path)
-    )
+    _csv(report.drop("SHAP_VALUES"), path, files)
 
 
 FLAGGED_COLS = ["BELNR", "KUNNR", "INDUSTRY", "REGION", "DMBTR", "FAEDT", "LATE_PROB", "RISK_LABEL"]
 
 
-def write_flagged_invoices(queue: DataFrame, path: str) -> None:
+def write_flagged_invoices(queue: DataFrame, path: str, files: int | None = None) -> None:
     """Flagged-invoice export (invoice, customer, segments, amount, due date, prob, label)."""
-    queue.select(*FLAGGED_COLS).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    _csv(queue.select(*FLAGGED_COLS), path, files)

@@ -202,3 +202,35 @@ def test_quantiles_with_a_hot_value(spark):
         assert got[key]["n"] == len(part) and np.allclose([got[key][f"q{i}"] for i in range(6)], want, rtol=1e-12)
     ranged = stats.running_counts(rows, ["v"])
     assert ranged.count() == rows.select("v").distinct().count() and ranged.agg(F.max("upto")).first()[0] == 200_000
+
+
+def test_asof_history_matches_brute_force(spark):
+    rnd = random.Random(12)
+    rows = []
+    for i in range(400):
+        day = D(2022, 1, 1) + dt.timedelta(days=rnd.randrange(60))
+        rows.append((f"{i:04d}", "001", "hot" if rnd.random() < 0.4 else f"c{rnd.randrange(9)}", day, None if rnd.random() < 0.05 else day + dt.timedelta(days=rnd.randrange(0, 40)),
+                     None if rnd.random() < 0.1 else float(rnd.randrange(-5, 30)), 10.0 * i))
+    rows = [(*r[:5], r[5], None if r[5] is None else float(r[5] > 0), r[6]) for r in rows]
+    df = spark.createDataFrame(rows, "BELNR string, BUZEI string, KUNNR string, BLDAT date, AUGDT date, DAYS_LATE double, LATE_FLAG double, DMBTR double")
+    got = {r["BELNR"]: r for r in features.customer_history(df, asof=True).collect()}
+    mean = lambda v: sum(v) / len(v) if v else None
+    for r in rows:
+        known = sorted([x for x in rows if x[2] == r[2] and x[4] is not None and x[4] < r[3]], key=lambda x: (x[4], x[3], x[0], x[1]))
+        avg = mean([x[5] for x in known if x[5] is not None]) or 0.0
+        rate = mean([x[6] for x in known if x[6] is not None]) or 0.0
+        roll = mean([x[5] for x in known[-3:] if x[5] is not None])
+        g = got[r[0]]
+        assert abs(g["CUST_AVG_DAYS_LATE"] - avg) < 1e-9 and abs(g["CUST_LATE_RATE"] - rate) < 1e-9
+        assert abs(g["CUST_ROLLING3_DAYS_LATE"] - (avg if roll is None else roll)) < 1e-9
+
+
+def test_kept_codes_hold_for_new_data(spark):
+    old = spark.createDataFrame([("A", "x"), ("B", "y"), ("C", None)], "INDUSTRY string, REGION string")
+    new = spark.createDataFrame([("C", "y"), ("D", None)], "INDUSTRY string, REGION string")
+    kept = features.category_mapping(old)
+    got = {r["INDUSTRY"]: (r["INDUSTRY_CODE"], r["REGION_CODE"]) for r in features.category_codes(new, mapping=kept).collect()}
+    assert got == {"C": (2, 1), "D": (-1, -1)}
+    many = spark.range(1500).select(F.format_string("%05d", "id").alias("INDUSTRY"), F.lit("x").alias("REGION"))
+    codes = features.category_codes(many)
+    assert codes.where(F.col("INDUSTRY").cast("int") != F.col("INDUSTRY_CODE")).count() == 0 and codes.count() == 1500

@@ -6,6 +6,8 @@ import random
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from arledger.operators import metrics, stats
 
 
@@ -88,14 +90,30 @@ def test_exact_quantiles_match_numpy(spark):
             assert abs(got[g][f"q{i}"] - float(np.percentile(xs, q * 100))) < 1e-9
 
 
-def test_distributed_rank_is_a_permutation(spark):
-    df = spark.range(5000).selectExpr("id % 7 AS k", "id")
-    r = stats.distributed_rank(df, ["k", "id"], "rk")
-    got = [row["rk"] for row in r.orderBy("k", "id").collect()]
-    assert got == list(range(1, 5001))
+def test_running_counts_are_a_permutation(spark):
+    """400,000 keys, more than the range sampler sees: every rank occurs once, in the keys' order."""
+    df = spark.range(400_000).selectExpr("id % 7 AS k", "id")
+    r = stats.running_counts(df, ["k", "id"])
+    got = r.agg(F.count("*").alias("n"), F.countDistinct("upto").alias("d"), F.max("upto").alias("m")).first()
+    assert (got["n"], got["d"], got["m"]) == (400_000, 400_000, 400_000)
+    per = 400_000 // 7 + 1
+    wrong = r.where("upto <> id div 7 + 1 + k * %d - greatest(k - %d, 0)" % (per, 400_000 % 7))
+    assert wrong.count() == 0
 
 
 def test_pinball(spark):
     df = spark.createDataFrame([(10.0, 8.0), (10.0, 12.0)], "y double, yhat double")
     got = metrics.pinball_loss(df, "y", "yhat", 0.9).first()["pinball_loss"]
     assert abs(got - (0.9 * 2 + 0.1 * 2) / 2) < 1e-12
+
+
+def test_grid_place_is_exact(spark):
+    """The computed place equals a walk along the grid, on and next to every grid point."""
+    import numpy as np
+
+    for grid in (metrics.threshold_grid(), metrics.sensitivity_grid(), metrics.calibration_edges()):
+        xs = sorted({float(x) for g in grid for x in (g, np.nextafter(g, 0), np.nextafter(g, 1))} | {0.0, 1.0, -3.0, 7.5})
+        df = spark.createDataFrame([(x,) for x in xs], "x double")
+        for strict in (False, True):
+            got = {r["x"]: r["n"] for r in df.select("x", metrics._count_le(grid, F.col("x"), strict).alias("n")).collect()}
+            assert got == {x: sum((g < x) if strict else (g <= x) for g in grid) for x in xs}

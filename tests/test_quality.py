@@ -81,3 +81,26 @@ def test_class_balance(spark, tmp_dir):
     row = quality.class_balance_report(inv).first()
     assert (row["n_cleared"], row["n_late"], row["n_on_time"]) == (2, 1, 1)
     assert not row["imbalance_warning"]
+
+
+def test_every_invalid_value_is_found_with_one_scan(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    wild = spark.range(5_000).select(*[
+        (F.concat(F.lit("v"), F.col("id") % 3000) if c == "BRSCH" else F.lit("NT30") if c == "ZTERM" else F.lit("TX") if c == "REGIO" else F.lit("5000")).alias(c)
+        for c in quality.RULES["customer_master"].required])
+    report = {(r["rule"], r["col_name"]): r for r in quality.validate_table("customer_master", wild).collect()}
+    row = report[("valid_values", "BRSCH")]
+    assert row["n_bad"] == 3000 and row["detail"].endswith("(3000 values)") and row["n_rows"] == 5000
+    assert report[("valid_values", "REGIO")]["n_bad"] == 0
+    full = quality.invalid_values("customer_master", wild)
+    assert full.count() == 3000 and full.agg(F.sum("n_rows")).first()[0] == 5000
+    empty = quality.validate_table("customer_master", wild.limit(0)).collect()
+    assert len(empty) == len(report) and all(r["n_bad"] == 0 and r["n_rows"] == 0 for r in empty)
+
+
+def test_missing_file_is_not_any_fault(spark, tmp_dir):
+    assert erp.read_raw_optional(spark, tmp_dir + "/none.csv", "customer_master") is None
+    path = _write(tmp_dir, "c.csv", CUSTOMERS)
+    assert erp.read_raw_optional(spark, path, "customer_master").count() == 4
+    assert erp.path_exists(spark, tmp_dir + "/*.csv") and not erp.path_exists(spark, tmp_dir + "/*.txt")
