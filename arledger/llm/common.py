@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import io
 import os
-import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -26,17 +26,24 @@ _SHIPPED: set[str] = set()
 
 
 def shipped(spark: SparkSession) -> None:
-    """Send this package's sources to the executors, once per application (they may not share its folder)."""
+    """Send this package's sources to the executors, once per application (they may not share its
+    folder): a zip file in the shared folder, which Spark fetches from there."""
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
         package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        path = os.path.join(tempfile.mkdtemp(prefix="arledger-"), f"{os.path.basename(package)}-sources.zip")
-        with zipfile.ZipFile(path, "w") as archive:
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w") as archive:
             for folder, _, names in os.walk(package):
                 for name in sorted(n for n in names if n.endswith(".py")):
                     full = os.path.join(folder, name)
                     archive.write(full, os.path.relpath(full, os.path.dirname(package)))
-        spark.sparkContext.addPyFile(path)
+        sc = spark.sparkContext
+        path = f"{checkpoint_dir(spark).rstrip('/')}/{app}/arledger-sources.zip"
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at, True)
+        out.write(bytearray(packed.getvalue()))
+        out.close()
+        sc.addPyFile(path)
         _SHIPPED.add(app)
 
 
