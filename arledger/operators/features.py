@@ -5,8 +5,9 @@ Customer history (F1-F9) is a running aggregate over each customer's cleared inv
 one task; with one customer holding a third of all rows that task is the job. So the prefix is
 computed in two levels:
 
-1. rows are partitioned by (KUNNR, BLDAT): one window gives the in-day prior aggregates and the
-   day totals (one shuffle of the fact rows, one sort);
+1. rows are partitioned by (KUNNR, BLDAT): one window gives the in-day prior aggregates (the one
+   shuffle and sort of whole rows; the day totals and last values come from two more scans of a few
+   columns, reduced before their shuffles);
 2. the day totals (one row per customer-day: bounded by the calendar, not by volume) get a
    running prefix over days per customer;
 3. the day prefix is joined back on (KUNNR, BLDAT) - the fact side is already partitioned on
@@ -84,7 +85,7 @@ def customer_history(cleared: DataFrame, key: str = "KUNNR", date: str = "BLDAT"
     rn = F.col("_rn")
 
     # level 1: running (exclusive) aggregates inside the customer-day, one window operator;
-    # this is the only shuffle of the full fact rows
+    # this is the only shuffle of whole fact rows
     level1 = cleared.select(
         "*",
         F.row_number().over(w_day).alias("_rn"),

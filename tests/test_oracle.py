@@ -5,10 +5,12 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry
+from arledger.plans import registry
 from tests.conftest import SF_SMALL
 from tools.oracle_check import compare, duck
 
-ORACLE = entry.oracle_sql()
+registry.load_all()
+ORACLE = registry.ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +20,7 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_duckdb(spark, con, name):
-    sdf = entry.queries()[name](spark, SF_SMALL)
+    sdf = registry.QUERIES[name](spark, SF_SMALL)
     rows = [tuple(r) for r in sdf.collect()]
     cur = con.execute(ORACLE[name])
     drows = cur.fetchall()
