@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import os
 import uuid
@@ -17,6 +18,9 @@ from ..session import checkpoint_dir
 #: Bytes of text that one numpy pass works on at a time (a longer single text is its own chunk).
 CHUNK_BYTES = 2 << 20
 
+#: Bytes up to which a string is hashed in step with others.
+FOLDED = 256
+
 #: The white space that separates words: space and \x09-\x0D.
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -129,10 +133,13 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def string_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ``data[starts:ends]``, folded over blocks of eight bytes: equal bytes give equal
-    hashes wherever they lie, so strings of unequal hashes are different."""
+    """64-bit hashes of ``data[starts:ends]``, folded over blocks of eight bytes (BLAKE2b beyond ``FOLDED``
+    bytes): equal bytes give equal hashes wherever they lie, so strings of unequal hashes are different."""
     left = (ends - starts).astype(np.int64)
     out = mix64(left.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    for i in np.flatnonzero(left > FOLDED).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+        left[i] = 0
     padded = np.concatenate((data, np.zeros(8, np.uint8)))
     eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
     live, at = np.flatnonzero(left > 0), starts.astype(np.int64).copy()

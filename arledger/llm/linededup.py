@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from . import common
 
 LEAST_CHARS = 10
-#: Bits of a filter per 64 bytes of text (a usual line), hash functions, and the least and most bits of a filter.
-BITS_PER_LINE, HASHES, LEAST_BITS, MOST_BITS = 12, 3, 20, 30
+#: Bytes of a usual line, filter bits for it, hash functions, and the least and most address bits of a filter.
+LINE_BYTES, BITS_PER_LINE, HASHES, LEAST_BITS, MOST_BITS = 128, 12, 3, 20, 30
 #: Bytes of a filter that are merged and sent as one part.
 PART = 1 << 16
 
@@ -114,7 +114,7 @@ def seen_twice(filt: np.ndarray, bits: int, hashes: np.ndarray) -> np.ndarray:
 
 def filter_bits(docs: DataFrame, text_col: str) -> int:
     size = docs.agg(F.sum(F.octet_length(docs[text_col]))).first()[0] or 0
-    return min(MOST_BITS, max(LEAST_BITS, int(size // 64 * BITS_PER_LINE).bit_length()))
+    return min(MOST_BITS, max(LEAST_BITS, int(size // LINE_BYTES * BITS_PER_LINE).bit_length()))
 
 
 def twice_filter(source: DataFrame, bits: int) -> np.ndarray:
