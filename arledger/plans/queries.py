@@ -837,7 +837,14 @@ def m22_forecast_training_results(inp):
     return inp.forecaster.results
 
 
-@register("m18_segment_models")
+@register("m18_segment_models", O.with_prefix(*O.SCORED, *O.MONTHLY_CTES, select=(
+    "SELECT segment, months, cleared_invoices, eligible_for_segment_model, kept_for_pooling, eligible_for_segment_model AS trained, "
+    "CASE WHEN eligible_for_segment_model THEN 'trained' ELSE reason END AS reason FROM ("
+    "SELECT REGION AS segment, count(*) AS months, sum(N_INVOICES_CLEARED) AS cleared_invoices, "
+    "count(*) >= 24 AND sum(N_INVOICES_CLEARED) >= 250 AS eligible_for_segment_model, "
+    "concat_ws(',', CASE WHEN count(*) < 24 THEN 'months<24' END, "
+    "CASE WHEN sum(N_INVOICES_CLEARED) < 250 THEN 'cleared_invoices<250' END) AS reason, "
+    "count(*) >= 12 AS kept_for_pooling FROM monthly WHERE ALL_REGION = 0 AND ALL_INDUSTRY = 1 GROUP BY REGION)")))
 def m18_segment_models(inp):
     """Segment eligibility with the trained flag and reason per region."""
     return inp.forecaster.summary
