@@ -36,9 +36,10 @@ from pyspark.sql import functions as F
 
 from . import common, graph
 
-WORDS, PERCENT = 3, 90
+#: Words of a shingle, and the least similarity in percent, of near duplicates.
+WORDS, PERCENT = 5, 80
 #: Coordinates of a point; children of an R-tree node; pairs verified at a time.
-GROUPS, FANOUT, AT_ONCE = 32, 32, 32
+GROUPS, FANOUT, AT_ONCE = 64, 32, 32
 #: A component of more shingles than UNDIVIDED is dealt to blocks, one for the root of every BLOCK_UNIT of them, so its
 #: tasks grow in number as the component does; and at least to so many that a task holds at most TASK_SHINGLES.
 UNDIVIDED, BLOCK_UNIT, TASK_SHINGLES = 50_000, 1_000, 2_000_000
@@ -207,7 +208,7 @@ def spanning_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None
     begin = end - sizes
     points = np.zeros((n, GROUPS), np.int32)
     flat = np.concatenate(sets)
-    np.add.at(points, (np.repeat(np.arange(n), sizes), (common.mix64(flat) >> np.uint64(59)).astype(np.int64) % GROUPS), 1)
+    np.add.at(points, (np.repeat(np.arange(n), sizes), ((common.mix64(flat) >> np.uint64(32)) * np.uint64(GROUPS) >> np.uint64(32)).astype(np.int64)), 1)
     tree = Tree(points, sizes)
     place = tree.order
     label, members = np.arange(n), [[i] for i in range(n)]
@@ -244,64 +245,62 @@ def spanning_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None
     return links
 
 
-FILED = "id {kind}, n long, key1 long, key2 long, bucket long, files binary, nodes binary"
+def _classed(source: DataFrame, words: int, kind: str) -> DataFrame:
+    """One row per document: id, n (size of its set) and the digest of the set, key1 and key2."""
 
-
-def _filed(source: DataFrame, words: int, scheme: Scheme, buckets: int, kind: str) -> DataFrame:
-    """One row per document (id, n, key1, key2) and rows of files (bucket, files, nodes), of ties if bucket is -1."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                texts, made = common.byte_texts(batch.column(1)), []
+                for s, e in common.chunks(texts):
+                    h, n = shingles(texts[s:e], words)
+                    made.append((n, *(k.view(np.int64) for k in set_keys(h, n))))
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(x)) for x in zip(*made, strict=True))], ["id", "n", "key1", "key2"])
+
+    return source.mapInArrow(run, f"id {kind}, n long, key1 long, key2 long")
+
+
+def _filed(source: DataFrame, words: int, scheme: Scheme, buckets: int) -> DataFrame:
+    """Rows of files (bucket, files, nodes), and of ties (least node, node) if bucket is -1. A file is
+    told from others of its bucket by 32 bits: a chance meeting only adds a tie, not a link."""
+
+    def flush(sigs, nodes):
+        a, b, sig, node = _tied(np.concatenate(sigs), np.concatenate(nodes))
+        bucket = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        bucket, sig, node = bucket[by], (sig[by] & np.uint64(0xFFFFFFFF)).astype(np.uint32), node[by]
+        cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+        rows = [(int(bucket[s]), sig[s:e].tobytes(), node[s:e].tobytes()) for s, e in zip(cut, np.append(cut, len(bucket))[1:], strict=True)]
+        rows.append((-1, a.astype(np.int64).tobytes(), b.astype(np.int64).tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["bucket", "files", "nodes"])
 
     def run(batches):
         sigs: list[np.ndarray] = []
         nodes: list[np.ndarray] = []
-
-        def flush():
-            a, b, sig, node = _tied(np.concatenate(sigs), np.concatenate(nodes))
-            bucket = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            by = np.argsort(bucket, kind="stable")
-            bucket, sig, node = bucket[by], sig[by], node[by]
-            cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-            rows = [(int(bucket[s]), sig[s:e].tobytes(), node[s:e].tobytes()) for s, e in zip(cut, np.append(cut, len(bucket))[1:], strict=True)]
-            rows.append((-1, a.astype(np.int64).tobytes(), b.astype(np.int64).tobytes()))
-            sigs.clear()
-            nodes.clear()
-            none = pa.nulls(len(rows))
-            return pa.RecordBatch.from_arrays([none.cast(id_type), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int64()), *(pa.array(x) for x in zip(*rows, strict=True))], names)
-
-        names = ["id", "n", "key1", "key2", "bucket", "files", "nodes"]
-        id_type = None
         for batch in batches:
-            id_type = batch.column(0).type
-            if not batch.num_rows:
-                continue
-            texts, known = common.byte_texts(batch.column(1)), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            made = []
+            texts = common.byte_texts(batch.column(1).filter(batch.column(0).is_valid()))
             for s, e in common.chunks(texts):
                 h, n = shingles(texts[s:e], words)
-                key1, key2 = (k.view(np.int64) for k in set_keys(h, n))
-                made.append((n, key1, key2))
-                sig, who = signatures(h, np.where(known[s:e], n, 0), scheme) if known[s:e].all() else signatures(h[np.repeat(known[s:e], n)], np.where(known[s:e], n, 0), scheme)
+                sig, who = signatures(h, n, scheme)
                 sigs.append(sig)
-                nodes.append(key1[who])
+                nodes.append(set_keys(h, n)[0].view(np.int64)[who])
                 if sum(map(len, sigs)) >= BATCH_SIGNATURES:
-                    yield flush()
-            columns = [pa.array(np.concatenate(x)) for x in zip(*made, strict=True)]
-            none = pa.nulls(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, none.cast(pa.int64()), none.cast(pa.binary()), none.cast(pa.binary())], names)
+                    yield flush(sigs, nodes)
+                    sigs.clear()
+                    nodes.clear()
         if sigs:
-            yield flush()
+            yield flush(sigs, nodes)
 
-    return source.mapInArrow(run, FILED.format(kind=kind))
+    return source.mapInArrow(run, "bucket long, files binary, nodes binary")
 
 
 def _ties(batches):
     """The ties (a, b) of files that come bucket by bucket."""
 
     def made(bucket, rows):
-        a, b = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("files", np.uint64), ("nodes", np.int64)))
+        a, b = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("files", np.uint32 if bucket >= 0 else np.int64), ("nodes", np.int64)))
         if bucket >= 0:
             a, b, _, _ = _tied(a, b)
-        else:
-            a = a.view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     last, rows = None, []
@@ -353,13 +352,13 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     kind = source.schema["id"].dataType.simpleString()
     scheme = Scheme(percent)
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = 1 + int(size // 25 // (TASK_SIGNATURES // 4))  # a set has fewer files than a text has 25 bytes
-    filed = common.stored(_filed(source, words, scheme, buckets, kind), "jaccard-files")
-    plain = filed.where("bucket is null").select("id", "n", "key1", "key2")
+    # about one shingle for six bytes of text, and (100 - p) / 50 files for a shingle
+    buckets = 1 + int(size * (100 - percent) // 300 // (TASK_SIGNATURES // 4))
+    plain = common.stored(_classed(source, words, kind), "jaccard-classed")
     classes = common.stored(plain.where("n > 0 and id is not null").groupBy("key1", "key2").agg(F.min("id").alias("id"), F.first("n").alias("n")), "jaccard-classes")
 
     tasks = max(2 * source.sparkSession.sparkContext.defaultParallelism, 1 + buckets // 4)
-    files = filed.where("bucket is not null").select("bucket", "files", "nodes")
+    files = _filed(source, words, scheme, buckets)
     place = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.xxhash64("nodes"))
     ties = files.repartition(tasks, place).sortWithinPartitions("bucket").mapInArrow(_ties, "a long, b long")
     coarse = graph.components(ties)

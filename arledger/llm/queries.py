@@ -62,7 +62,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_count_vector_jaccard", sql.JACCARD)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of every document's shingle set, and its component of links."""
-    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
 @register("op5_language_fusion")

@@ -116,19 +116,19 @@ FROM m GROUP BY rid
 #: Tables shingles (doc_id, g), sizes (doc_id, n), links (x, y) and component (doc_id, component_id) of rows with a doc_id.
 COMPONENTS_OF = """
 jw AS (SELECT {id} AS doc_id, regexp_extract_all({lower}, '{words}') AS ws FROM {docs} WHERE {id} IS NOT NULL),
-shingles AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 2), ' ') AS g
-    FROM (SELECT doc_id, ws, unnest(range(1, greatest(1, len(ws) - 2) + 1)) AS i FROM jw WHERE len(ws) > 0)),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + {n} - 1), ' ') AS g
+    FROM (SELECT doc_id, ws, unnest(range(1, greatest(1, len(ws) - {n} + 1) + 1)) AS i FROM jw WHERE len(ws) > 0)),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 overlap AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
-half AS (SELECT x, y FROM overlap o JOIN sizes a ON x = a.doc_id JOIN sizes b ON y = b.doc_id WHERE 100 * o.n >= 90 * (a.n + b.n - o.n)),
+half AS (SELECT x, y FROM overlap o JOIN sizes a ON x = a.doc_id JOIN sizes b ON y = b.doc_id WHERE 100 * o.n >= {percent} * (a.n + b.n - o.n)),
 links AS (SELECT x, y FROM half UNION ALL SELECT y, x FROM half),
 reach AS (SELECT DISTINCT doc_id AS x, doc_id AS y FROM jw UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
 component AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
 """
 
 
-def components(docs: str = "documents", id_column: str = "doc_id") -> str:
-    return COMPONENTS_OF.format(docs=docs, id=id_column, words=WORDS, lower=lower_az("text")).strip()
+def components(docs: str = "documents", id_column: str = "doc_id", n: int = 3, percent: int = 90) -> str:
+    return COMPONENTS_OF.format(n=n, percent=percent, docs=docs, id=id_column, words=WORDS, lower=lower_az("text")).strip()
 
 
 JACCARD = f"""

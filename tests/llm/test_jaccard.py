@@ -13,20 +13,20 @@ from arledger.llm import graph, jaccard
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def shingle_set(text):
+def shingle_set(text, n=3):
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    return frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) if len(w) > 2 else frozenset([tuple(w)] if w else [])
+    return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
 
 def linked(a, b, percent=90):
     return bool(a) and bool(b) and 100 * len(a & b) >= percent * len(a | b)
 
 
-def brute_components(rows, percent=90):
+def brute_components(rows, percent=90, n=3):
     sets = {}
     for r in rows:
         if r[0] is not None:
-            sets.setdefault(r[0], set()).add(shingle_set(r[1]))
+            sets.setdefault(r[0], set()).add(shingle_set(r[1], n))
     ids = sorted(sets)
     least = {i: i for i in ids}
 
@@ -64,11 +64,12 @@ def near_copies(seed, groups=12, most=60):
     return [(i, t) for i, t in enumerate(rows)]
 
 
-def test_filing_misses_no_link():
-    scheme = jaccard.Scheme(90)
-    rnd = random.Random(1)
-    for size in [9, 10, 12, 14, 15, 17, 20, 21, 22, 25, 32, 33, 40, 48, 49, 60, 73, 90, 108, 109, 150, 240, 600]:
-        for _ in range(40):
+@pytest.mark.parametrize("percent", [60, 80, 90, 95])
+def test_filing_misses_no_link(percent):
+    scheme = jaccard.Scheme(percent)
+    rnd = random.Random(percent)
+    for size in [1, 2, 3, 4, 5, 7, 9, 10, 12, 14, 15, 17, 19, 20, 21, 22, 25, 32, 33, 40, 48, 49, 60, 73, 90, 108, 109, 150, 240]:
+        for _ in range(12):
             a = set(rnd.getrandbits(64) for _ in range(size))
             b = set(a)
             while True:
@@ -77,7 +78,7 @@ def test_filing_misses_no_link():
                     c.discard(rnd.choice(sorted(c)))
                 else:
                     c.add(rnd.getrandbits(64))
-                if not linked(a, c):
+                if not linked(a, c, percent):
                     break
                 b = c
             if a == b:
@@ -103,12 +104,12 @@ def test_tree_bounds_lose_nothing():
                 assert not linked(sets[a], sets[b], percent) or label[a] == label[b]
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_match_all_pairs(spark, seed):
+@pytest.mark.parametrize(("seed", "n", "percent"), [(1, 3, 90), (2, 5, 80), (3, 2, 60)])
+def test_components_match_all_pairs(spark, seed, n, percent):
     rows = near_copies(seed)
-    found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
-    want = brute_components(rows)
-    assert {r[0]: (r[1], r[2]) for r in found.collect()} == {i: (len(shingle_set(t)), want[i]) for i, t in rows}
+    found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), n, percent)
+    want = brute_components(rows, percent, n)
+    assert {r[0]: (r[1], r[2]) for r in found.collect()} == {i: (len(shingle_set(t, n)), want[i]) for i, t in rows}
 
 
 def test_large_components_are_dealt_to_blocks(spark, monkeypatch):
@@ -116,13 +117,13 @@ def test_large_components_are_dealt_to_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "UNDIVIDED", 500)
     monkeypatch.setattr(jaccard, "BLOCK_UNIT", 300)
     monkeypatch.setattr(jaccard, "TASK_SHINGLES", 4_000)
-    found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 90)
     want = brute_components(rows)
     assert {r[0]: r[2] for r in found.collect()} == want
 
 
 def test_all_rows(docs, corpus, no_docs, spark):
-    found = jaccard.jaccard_components(docs).collect()
+    found = jaccard.jaccard_components(docs, 3, 90).collect()
     want = brute_components(corpus)
     assert sorted((tuple(r) for r in found), key=repr) == sorted(((r[0], len(shingle_set(r[1])), want.get(r[0])) for r in corpus), key=repr)
     assert jaccard.jaccard_components(no_docs).count() == 0
@@ -132,7 +133,7 @@ def test_all_rows(docs, corpus, no_docs, spark):
 
 def test_first_of_each_group_stays(clashing, corpus):
     kept = jaccard.keep_first(clashing)
-    want = brute_components(corpus)
+    want = brute_components(corpus, 80, 5)
     assert kept.columns == clashing.columns
     got = kept.collect()
     assert sorted(r[0] for r in got if r[0] is not None) == sorted({i for i, c in want.items() if i == c})
