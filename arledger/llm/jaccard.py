@@ -3,14 +3,14 @@
 A document's set holds its distinct shingles as 64-bit hashes (a shingle: ``WORDS`` consecutive words, or all
 words of a shorter document). Documents of equal sets are one class, found by a 128-bit digest of the set.
 
-*Partitioning.* Two linked sets differ in at most d = (100 - p) (|A| + |B|) / (100 + p) shingles. Tokens are hashed
-into K groups; as a differing shingle spoils one group, K - d groups of a linked pair are equal. So each class
-is filed under a digest of every ``r`` of its groups with r <= K - d, and a linked pair meets in at least one
-file. K follows the size class of the larger set; a set near the upper bound of its class is filed for the next
-one too. For large sets r is 1 and K - d has some slack, by which groups of at most one shingle needn't be
-filed unless a set has more such groups than the slack. Sets that meet are tied into coarse components, and every
-link lies within one of them. Files are combined within every batch of documents before the shuffle, so a
-file's size is bounded by the number of batches.
+*Partitioning.* Two linked sets differ in at most d = (100 - p) (|A| + |B|) / (100 + p) shingles. Shingles are hashed
+into K = d + m groups; as a differing shingle spoils one group, at least m groups of a linked pair are equal.
+So each class is filed under a digest of every group that isn't empty, and a linked pair meets in at least
+m files less its empty groups. K follows the size class of the larger set; a set near the upper bound of its class
+is filed for the next one too. (Only a set with m or more empty groups is filed under these as well.) A class
+that meets others in fewer files than that is linked with none and leaves, and again once others have left;
+what remains is tied into coarse components, and every link lies within one of them. Files are combined within
+every batch of documents before the shuffle, so a task gets a file at most once from each batch.
 
 *R-tree.* Within a coarse component, shingles are hashed into ``GROUPS`` groups; a set is the point of its group
 counts. Points are packed into an R-tree by size and coordinates. The sum of coordinate minima of a point
@@ -27,8 +27,6 @@ other columns don't matter; an empty table gives an empty one.
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,7 +40,7 @@ WORDS, PERCENT = 5, 80
 GROUPS, FANOUT, AT_ONCE = 64, 32, 32
 #: A component of more shingles than UNDIVIDED is dealt to blocks, one for the root of every BLOCK_UNIT of them, so its
 #: tasks grow in number as the component does; and at least to so many that a task holds at most TASK_SHINGLES.
-UNDIVIDED, BLOCK_UNIT, TASK_SHINGLES = 50_000, 1_000, 2_000_000
+UNDIVIDED, BLOCK_UNIT, TASK_SHINGLES = 1_000_000, 60_000, 2_000_000
 #: Signatures that one file task holds, and that a batch combines at a time.
 TASK_SIGNATURES, BATCH_SIGNATURES = 1_000_000, 500_000
 
@@ -109,17 +107,20 @@ class Scheme:
         top = int(self.bounds[level + 1]) - 1
         return (100 - self.percent) * 2 * top // (100 + self.percent)
 
-    def groups(self, level: int) -> tuple[int, int, int]:
-        """(K, r, slack)."""
-        d = self.differ(level)
-        r = 3 if d <= 3 else 2 if d <= 8 else 1
-        slack = 2 + d // 10 if r == 1 else 0
-        return d + r + slack, r, slack
+    def groups(self, level: int) -> tuple[int, int]:
+        """(K, m)."""
+        m = 4 + self.differ(level) // 6
+        return self.differ(level) + m, m
+
+
+#: Bits of a node's name that hold the size class it is filed for.
+LEVEL_BITS = 6
 
 
-def signatures(h: np.ndarray, counts: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray]:
-    """Every file that each set is filed under, and the number of the set."""
-    sig, who = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+def signatures(h: np.ndarray, counts: np.ndarray, scheme: Scheme) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Every file that each set is filed under; the number of the set, the size class it is filed for, and
+    the files in which it has to meet another set to be linked with it."""
+    sig, who, levels, needs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     level = np.searchsorted(scheme.bounds, counts, "right") - 1
     end = np.cumsum(counts)
     for c in np.unique(level[counts > 0]).tolist():
@@ -130,7 +131,7 @@ def signatures(h: np.ndarray, counts: np.ndarray, scheme: Scheme) -> tuple[np.nd
             sets = np.flatnonzero(mine)
             if not len(sets) or not scheme.differ(target):
                 continue
-            k, r, slack = scheme.groups(target)
+            k, m = scheme.groups(target)
             n = counts[sets]
             row = np.repeat(np.arange(len(sets)), n)
             x = h[np.repeat(end[sets] - n, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
@@ -138,33 +139,31 @@ def signatures(h: np.ndarray, counts: np.ndarray, scheme: Scheme) -> tuple[np.nd
             at = row * k + (((mixed >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)).astype(np.int64)
             total = np.zeros(len(sets) * k, np.uint64)
             np.add.at(total, at, common.mix64(x ^ np.uint64(0xA4093822299F31D0)))
-            number = np.bincount(at, minlength=len(total)).reshape(-1, k)
+            empty = (np.bincount(at, minlength=len(total)) == 0).reshape(-1, k)
             total = common.mix64(total + common.mix64(np.tile(np.arange(k), len(sets)) + 1000 * target)).reshape(-1, k)
-            if r == 1:
-                light = number <= 1
-                use = ~light | (light.sum(1) > slack)[:, None]
-                sig.append(total[use])
-                who.append(np.repeat(sets, use.sum(1)))
-            else:
-                for some in itertools.combinations(range(k), r):
-                    one = np.zeros(len(sets), np.uint64)
-                    for g in some:
-                        one = common.mix64(one * _ODD + total[:, g])
-                    sig.append(one)
-                    who.append(sets)
-    return np.concatenate(sig), np.concatenate(who)
-
-
-def _tied(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ties of each node to the least node of its file (a, b), and one (file, least node) per file."""
-    by = np.lexsort((node, sig))
-    sig, node = sig[by], node[by]
-    first = np.ones(len(sig), bool)
-    first[1:] = sig[1:] != sig[:-1]
-    least = node[np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))]
-    apart = np.flatnonzero(node != least)
-    ties = np.unique(np.stack((least[apart], node[apart]), 1), axis=0) if len(apart) else np.zeros((0, 2), np.int64)
-    return ties[:, 0], ties[:, 1], sig[first], node[first]
+            spare = m - empty.sum(1)
+            use = ~empty | (spare <= 0)[:, None]
+            need = np.maximum(spare, 1)  # the equal groups of a pair that neither set has empty
+            each = use.sum(1)
+            sig.append(total[use])
+            who.append(np.repeat(sets, each))
+            levels.append(np.full(int(each.sum()), target))
+            needs.append(np.repeat(need, each))
+    return tuple(map(np.concatenate, (sig, who, levels, needs)))
+
+
+def _met(file: np.ndarray, node: np.ndarray):
+    """Entries without repetitions, in the order of their files; which of them share their file with
+    another node, and which are the first of their file."""
+    by = np.lexsort((node, file))
+    file, node = file[by], node[by]
+    new = np.ones(len(file), bool)
+    new[1:] = (file[1:] != file[:-1]) | (node[1:] != node[:-1])
+    file, node = file[new], node[new]
+    first = np.ones(len(file), bool)
+    first[1:] = file[1:] != file[:-1]
+    alone = first & np.append(first[1:], True)[: len(first)]
+    return file, node, ~alone, first
 
 
 class Tree:
@@ -260,48 +259,61 @@ def _classed(source: DataFrame, words: int, kind: str) -> DataFrame:
     return source.mapInArrow(run, f"id {kind}, n long, key1 long, key2 long")
 
 
+#: In place of a bucket: entries that meet within their batch, and the files that nodes need.
+MET, NEEDS = -1, -2
+
+
 def _filed(source: DataFrame, words: int, scheme: Scheme, buckets: int) -> DataFrame:
-    """Rows of files (bucket, files, nodes), and of ties (least node, node) if bucket is -1. A file is
-    told from others of its bucket by 32 bits: a chance meeting only adds a tie, not a link."""
-
-    def flush(sigs, nodes):
-        a, b, sig, node = _tied(np.concatenate(sigs), np.concatenate(nodes))
-        bucket = ((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        bucket, sig, node = bucket[by], (sig[by] & np.uint64(0xFFFFFFFF)).astype(np.uint32), node[by]
-        cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-        rows = [(int(bucket[s]), sig[s:e].tobytes(), node[s:e].tobytes()) for s, e in zip(cut, np.append(cut, len(bucket))[1:], strict=True)]
-        rows.append((-1, a.astype(np.int64).tobytes(), b.astype(np.int64).tobytes()))
+    """Entries (files, nodes) back to back: of every file of a batch the first one, by bucket; with whole
+    file names those that meet within the batch; and what every node needs. A file's name is its bucket and
+    32 bits of its digest; a chance meeting of names only lets more pairs be tested."""
+
+    def flush(parts):
+        sig, node, need = (np.concatenate(x) for x in zip(*parts, strict=True))
+        bucket = (sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        file = (bucket << np.uint64(32) | sig & np.uint64(0xFFFFFFFF)).view(np.int64)
+        nodes, one = np.unique(node, return_index=True)
+        file, node, shared, first = _met(file, node)
+        rows = [(NEEDS, need[one].tobytes(), nodes.tobytes()), (MET, file[shared].tobytes(), node[shared].tobytes())]
+        file, node = file[first], node[first]
+        of = file >> 32
+        cut = np.flatnonzero(np.diff(of, prepend=-1))
+        low = (file & 0xFFFFFFFF).astype(np.uint32)
+        rows += [(int(of[s]), low[s:e].tobytes(), node[s:e].tobytes()) for s, e in zip(cut, np.append(cut, len(of))[1:], strict=True)]
         return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["bucket", "files", "nodes"])
 
     def run(batches):
-        sigs: list[np.ndarray] = []
-        nodes: list[np.ndarray] = []
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for batch in batches:
             texts = common.byte_texts(batch.column(1).filter(batch.column(0).is_valid()))
             for s, e in common.chunks(texts):
                 h, n = shingles(texts[s:e], words)
-                sig, who = signatures(h, n, scheme)
-                sigs.append(sig)
-                nodes.append(set_keys(h, n)[0].view(np.int64)[who])
-                if sum(map(len, sigs)) >= BATCH_SIGNATURES:
-                    yield flush(sigs, nodes)
-                    sigs.clear()
-                    nodes.clear()
-        if sigs:
-            yield flush(sigs, nodes)
+                sig, who, level, need = signatures(h, n, scheme)
+                node = set_keys(h, n)[0].view(np.int64) >> LEVEL_BITS << LEVEL_BITS
+                if len(sig):
+                    parts.append((sig, node[who] | level, need))
+                if sum(len(p[0]) for p in parts) >= BATCH_SIGNATURES:
+                    yield flush(parts)
+                    parts.clear()
+        if parts:
+            yield flush(parts)
 
     return source.mapInArrow(run, "bucket long, files binary, nodes binary")
 
 
-def _ties(batches):
-    """The ties (a, b) of files that come bucket by bucket."""
+def _meetings(batches):
+    """The entries (file, node) that share their file, of buckets that come one after the other, and the
+    files that nodes need (node, need)."""
 
     def made(bucket, rows):
-        a, b = (np.concatenate([np.frombuffer(r[c], t) for r in rows]) for c, t in (("files", np.uint32 if bucket >= 0 else np.int64), ("nodes", np.int64)))
+        node = np.concatenate([np.frombuffer(r["nodes"], np.int64) for r in rows])
+        file = np.concatenate([np.frombuffer(r["files"], np.uint32 if bucket >= 0 else np.int64) for r in rows])
+        if bucket == NEEDS:
+            return pa.RecordBatch.from_arrays([pa.nulls(len(node), pa.int64()), pa.array(node), pa.array(file)], ["file", "node", "need"])
         if bucket >= 0:
-            a, b, _, _ = _tied(a, b)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            file, node, shared, _ = _met(file.astype(np.int64) | bucket << 32, node)
+            file, node = file[shared], node[shared]
+        return pa.RecordBatch.from_arrays([pa.array(file), pa.array(node), pa.nulls(len(node), pa.int64())], ["file", "node", "need"])
 
     last, rows = None, []
     for batch in batches:
@@ -315,6 +327,25 @@ def _ties(batches):
         yield made(last, rows)
 
 
+#: How often classes that meet in too few files are taken out.
+PRUNINGS = 2
+
+
+def _ties(met: DataFrame) -> DataFrame:
+    """Ties (a, b) of the nodes that meet others in as many files as a link needs."""
+    met = common.stored(met, "jaccard-met")
+    needs = met.where("file is null").groupBy("node").agg(F.max("need").alias("need"))
+    met = met.where("file is not null").select("file", "node").distinct()
+    for _ in range(PRUNINGS):
+        able = met.groupBy("node").agg(F.count(F.lit(1)).alias("n")).join(needs, "node").where("n >= need").select("node")
+        left = common.stored(met.join(common.stored(able, "jaccard-able"), "node", "left_semi"), "jaccard-left")
+        full = left.groupBy("file").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("file", F.shiftright("a", LEVEL_BITS).alias("a"))
+        met = left.join(common.stored(full, "jaccard-full"), "file")
+        ties = met.select("a", F.shiftright("node", LEVEL_BITS).alias("b"))
+        met = met.drop("a")
+    return ties.where("a <> b").distinct()
+
+
 def _linked(percent: int, kind: str):
     """Links of the R-tree tasks, which come one after the other."""
 
@@ -357,13 +388,14 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     plain = common.stored(_classed(source, words, kind), "jaccard-classed")
     classes = common.stored(plain.where("n > 0 and id is not null").groupBy("key1", "key2").agg(F.min("id").alias("id"), F.first("n").alias("n")), "jaccard-classes")
 
-    tasks = max(2 * source.sparkSession.sparkContext.defaultParallelism, 1 + buckets // 4)
     files = _filed(source, words, scheme, buckets)
+    tasks = max(2 * source.sparkSession.sparkContext.defaultParallelism, 1 + buckets // 4)
     place = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(F.xxhash64("nodes"))
-    ties = files.repartition(tasks, place).sortWithinPartitions("bucket").mapInArrow(_ties, "a long, b long")
-    coarse = graph.components(ties)
+    met = files.repartition(tasks, place).sortWithinPartitions("bucket").mapInArrow(_meetings, "file long, node long, need long")
+    coarse = graph.components(_ties(met))
 
-    members = common.stored(classes.join(coarse.withColumnRenamed("node", "key1"), "key1").select("id", "key1", "key2", "n", F.col("component").alias("task")), "jaccard-members")
+    members = classes.withColumn("node", F.shiftright("key1", LEVEL_BITS)).join(coarse, "node").select("id", "key1", "key2", "n", F.col("component").alias("task"))
+    members = common.stored(members, "jaccard-members")
     held = F.sum("n")
     parts = F.when(held <= UNDIVIDED, F.lit(1)).otherwise(F.greatest(F.ceil(F.sqrt(held / F.lit(BLOCK_UNIT))), F.ceil(2 * held / F.lit(TASK_SHINGLES))))
     blocks = members.groupBy("task").agg(F.count("*").alias("classes"), parts.cast("long").alias("blocks")).where("classes > 1").select("task", "blocks")

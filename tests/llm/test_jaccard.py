@@ -84,8 +84,12 @@ def test_filing_misses_no_link(percent):
             if a == b:
                 continue
             h = np.array(sorted(a) + sorted(b), np.uint64)
-            sig, who = jaccard.signatures(h, np.array([len(a), len(b)]), scheme)
-            assert set(sig[who == 0].tolist()) & set(sig[who == 1].tolist()), (len(a), len(b))
+            sig, who, level, need = jaccard.signatures(h, np.array([len(a), len(b)]), scheme)
+            met = set(sig[who == 0].tolist()) & set(sig[who == 1].tolist())
+            target = max(level[(who == w)].min() for w in (0, 1))  # the class of the larger set
+            wanted = [int(need[(who == w) & (level == target)][0]) for w in (0, 1)]
+            in_class = met & set(sig[level == target].tolist())
+            assert len(in_class) >= max(1, *wanted), (len(a), len(b), len(met), wanted)
 
 
 def test_tree_bounds_lose_nothing():
