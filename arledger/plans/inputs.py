@@ -187,8 +187,10 @@ Inputs.forecaster = property(_forecaster)
 #: falls with the number of invoices as well). ``phi_se`` tells the error that is left.
 REPORT_SAMPLES, PORTFOLIO_SAMPLES = 64, 8
 
-# FIXED VALUES: weights of the linear stand-in scorer, one per model feature
-LINEAR_WEIGHTS = [0.9, -0.02, 0.1, -0.15, 0.03, 2.5, -0.01, 0.00001, 0.05, -0.2, 0.04, 0.3]
+# FIXED VALUES: weights of the linear stand-in scorer, one per model feature (with enough digits that no
+# product of a count falls half-way between two rounded values)
+LINEAR_WEIGHTS = [0.91371723, -0.02197341, 0.11391127, -0.15139733, 0.03177129, 2.51791337, -0.01193947, 0.0000113717,
+                  0.05197119, -0.20193131, 0.04177713, 0.30192741]
 
 
 def _report_attributions(inp: "Inputs"):
