@@ -1,6 +1,12 @@
 """Per-invoice feature attributions as a distributed Shapley job.
 
-Sampled Shapley values (Strumbelj & Kononenko 2014): for every (invoice line, sample) a seeded
+Contributions of the fitted trees are exact (``tree_shapley``): a leaf counts for a line x and a background row z
+if each feature on its path is met by x or by z, and its part of the Shapley values depends only on which of them
+x meets and which z meets. So the background is counted once per leaf, by the features that its rows meet, and a
+line looks its parts up by those that it meets itself: the mean over all background rows and all permutations,
+at the cost of one look-up per leaf.
+
+Other scorers are sampled (``shapley``; Strumbelj & Kononenko 2014): for every (invoice line, sample) a seeded
 feature permutation and a seeded background row z are drawn; the 13 "switch-on" points of the
 permutation (first k features from x, the rest from z) are scored in one ``transform``. A point's
 margin counts for the feature just switched on and against the next one, so the contributions are
@@ -9,23 +15,29 @@ combined before their shuffle (12 rows per line are left), and no window over po
 Per sample the contributions telescope to f(x) - f(z), so base + sum(phi) = f(x) exactly (base =
 mean f(z) over the samples).
 
-The scorer is any function that adds a MARGIN to a ``features`` vector: the fitted trees, or
+The sampled scorer is any function that adds a MARGIN to a ``features`` vector: the fitted trees, or
 ``linear_scorer``, for which the contributions are w * (x - mean z) whatever the permutations.
 Contributions of the trees are on the uncalibrated margin (log-odds): columns ``phi_margin`` and
 ``base_margin``. ``phi_se`` is their standard error from the means of ``BATCHES`` groups of
-samples (zero for a linear scorer with one background row). Row growth is rows x samples x 13;
+samples (zero for a linear scorer with one background row, and for exact contributions). As noise raises the mean of
+|phi_margin| whatever the number of lines, portfolio views need the exact ones. Row growth of the sampled ones is rows x samples x 13;
 ``n_samples`` is a parameter, and the error falls with its square root.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from math import factorial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import BACKGROUND_ROWS, FEATURE_COLS, RANDOM_SEED, TOP_N_RISKS
+from ..session import stored, tables_dir
 from .classify import TrainedClassifier, margin
 
 #: Key of an invoice line, and groups of samples that the standard error is taken from.
@@ -101,8 +113,6 @@ def shapley(scorer: Scorer, rows: DataFrame, bg: DataFrame, n_samples: int = 32,
         *[F.sum(F.when(F.col("s") % batches == b, F.col("p.v"))).alias(f"b{b}") for b in range(batches)],
     )
     # one narrow row per (line, feature); both results read it, so the points are scored once
-    from ..session import stored
-
     sums = stored(sums, "shapley-sums")
     size = [len(range(b, n_samples, batches)) for b in range(batches)]
     means = [F.col(f"b{b}") / F.lit(float(size[b])) for b in range(batches)]
@@ -120,6 +130,109 @@ def shapley(scorer: Scorer, rows: DataFrame, bg: DataFrame, n_samples: int = 32,
     return phi, base
 
 
+def tree_leaves(model: TrainedClassifier, spark) -> list[tuple[float, list[int], np.ndarray, np.ndarray]]:
+    """(margin, features, lower, upper) of every leaf: a row is in it if lower < value <= upper for all its
+    features. Read from the saved trees (at most 500 x 127 nodes)."""
+    path = f"{tables_dir(spark)}/trees-{uuid.uuid4().hex[:12]}"
+    model.gbt.write().save(path)
+    trees: dict[int, dict] = {}
+    for r in spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect():
+        trees.setdefault(r["treeID"], {})[r["id"]] = r
+    leaves = []
+    for tree, weight in enumerate(model.gbt.treeWeights):
+        nodes, todo = trees[tree], [(0, {})]
+        while todo:
+            at, box = todo.pop()
+            node = nodes[at]
+            if node["leftChild"] < 0:
+                feats = sorted(box)
+                lower, upper = (np.array([box[f][i] for f in feats]) for i in (0, 1))
+                leaves.append((2 * weight * node["prediction"], feats, lower, upper))
+                continue
+            if node["split"]["numCategories"] != -1:
+                raise ValueError("splits by category aren't supported")
+            f, cut = node["split"]["featureIndex"], node["split"]["leftCategoriesOrThreshold"][0]
+            lo, hi = box.get(f, (-np.inf, np.inf))
+            todo.append((node["leftChild"], {**box, f: (lo, min(hi, cut))}))
+            todo.append((node["rightChild"], {**box, f: (max(lo, cut), hi)}))
+    return leaves
+
+
+def _ordered(values: np.ndarray) -> np.ndarray:
+    """Feature rows as comparisons take them: a missing value is never below a threshold."""
+    return np.maximum(np.where(np.isnan(values), np.inf, values), -np.finfo(np.float64).max)
+
+
+def leaf_parts(d: int) -> np.ndarray:
+    """[met by x, met by z, feature]: Shapley values of a leaf of margin 1 with d features, by the sets of them
+    that x and z meet (as bits)."""
+    full = (1 << d) - 1
+    parts = np.zeros((full + 1, full + 1, d))
+    for x in range(full + 1):
+        for z in range(full + 1):
+            if x | z != full:
+                continue
+            u, v = d - z.bit_count(), d - x.bit_count()  # met by x only, by z only
+            for j in range(d):
+                if not z >> j & 1:
+                    parts[x, z, j] = factorial(u - 1) * factorial(v) / factorial(u + v)
+                elif not x >> j & 1:
+                    parts[x, z, j] = -factorial(u) * factorial(v - 1) / factorial(u + v)
+    return parts
+
+
+def tree_shapley(model: TrainedClassifier, rows: DataFrame, bg: DataFrame, feats: list[str] = FEATURE_COLS) -> tuple[DataFrame, DataFrame]:
+    """X2, exact for the fitted trees and the whole background: the tables of ``shapley``, ``phi_se`` being 0."""
+    keys = line_keys(rows)
+    spark = rows.sparkSession
+    z = _ordered(np.array([r["z"] for r in bg.select("z").collect()], dtype=np.float64).reshape(-1, len(feats)))  # at most BACKGROUND_ROWS rows
+    parts: dict[int, np.ndarray] = {}
+    base, table = 0.0, []
+    for value, on, lower, upper in tree_leaves(model, spark):
+        d = len(on)
+        met = (((z[:, on] > lower) & (z[:, on] <= upper)) << np.arange(d)).sum(1)
+        share = np.bincount(met, minlength=1 << d) / len(z) * value
+        base += float(share[-1])
+        if d not in parts:
+            parts[d] = leaf_parts(d)
+        # feature by pattern of the line
+        table.append((value, on, lower, upper, np.ascontiguousarray(np.einsum("xzj,z->jx", parts[d], share))))
+    leaves, n_feat, block = spark.sparkContext.broadcast(table), len(feats), 4096
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            x = np.ascontiguousarray(np.array([batch.column(len(keys) + j).to_numpy(zero_copy_only=False) for j in range(n_feat)], dtype=np.float64).reshape(n_feat, n))
+            x = np.maximum(np.where(np.isnan(x), np.inf, x), -np.finfo(np.float64).max)
+            phi, f = np.zeros((n_feat, n)), np.zeros(n)
+            for start in range(0, n, block):
+                end = min(n, start + block)
+                for value, on, lower, upper, part in leaves.value:
+                    met = np.zeros(end - start, np.int64)
+                    for j, feature in enumerate(on):
+                        mine = x[feature, start:end]
+                        met |= ((mine > lower[j]) & (mine <= upper[j])).astype(np.int64) << j
+                    for j, feature in enumerate(on):
+                        phi[feature, start:end] += part[j][met]
+                    f[start:end] += np.where(met == (1 << len(on)) - 1, value, 0.0)
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(phi.T).ravel()), n_feat).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys))), lists, pa.array(f)], [*keys, "phi", "f"])
+
+    source = rows.select(*keys, *[F.col(c).cast("double").alias(f"x{j}") for j, c in enumerate(feats)])
+    kinds = ", ".join(f"`{k}` {source.schema[k].dataType.simpleString()}" for k in keys)
+    done = stored(source.mapInArrow(run, f"{kinds}, phi array<double>, f double"), "shapley-exact")
+    leaves.unpersist()
+    names = F.array(*[F.lit(c) for c in feats])
+    phi = done.select(*keys, F.posexplode("phi").alias("feature_idx", "phi_margin")).select(
+        *keys, "feature_idx", F.element_at(names, F.col("feature_idx") + 1).alias("feature"), "phi_margin", F.lit(0.0).alias("phi_se"))
+    return phi, done.select(*keys, F.lit(base).alias("base_margin"), F.col("f").alias("f_margin"))
+
+
+def with_error(result: DataFrame, phi: DataFrame) -> DataFrame:
+    """A report on contributions with the largest standard error among them (0: they are exact)."""
+    return result.withColumn("max_phi_se", phi.agg(F.max("phi_se")).scalar())
+
+
 def phi_array(phi: DataFrame, n_feat: int = len(FEATURE_COLS)) -> DataFrame:
     """Long contributions -> one array per invoice in feature order (SHAP_VALUES)."""
     return phi.groupBy(*line_keys(phi)).agg(

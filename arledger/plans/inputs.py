@@ -183,10 +183,6 @@ def _forecaster(inp: "Inputs"):
 Inputs.forecaster = property(_forecaster)
 
 
-#: Sampled permutations per invoice: on the reported rows, and for portfolio means (whose error
-#: falls with the number of invoices as well). ``phi_se`` tells the error that is left.
-REPORT_SAMPLES, PORTFOLIO_SAMPLES = 64, 8
-
 # FIXED VALUES: weights of the linear stand-in scorer, one per model feature (with enough digits that no
 # product of a count falls half-way between two rounded values)
 LINEAR_WEIGHTS = [0.91371723, -0.02197341, 0.11391127, -0.15139733, 0.03177129, 2.51791337, -0.01193947, 0.0000113717,
@@ -200,7 +196,7 @@ def _report_attributions(inp: "Inputs"):
     def build():
         top = attribution.top_flagged(inp.model_scored)
         bg = attribution.background(inp.feature_store)
-        phi, base = attribution.shapley(attribution.tree_scorer(inp.classifier), top, bg, n_samples=REPORT_SAMPLES)
+        phi, base = attribution.tree_shapley(inp.classifier, top, bg)
         return top, phi, base
 
     return inp._memo("report_attr", build)
@@ -212,7 +208,7 @@ def _portfolio_attributions(inp: "Inputs"):
 
     def build():
         bg = attribution.background(inp.feature_store)
-        return attribution.shapley(attribution.tree_scorer(inp.classifier), inp.feature_store, bg, n_samples=PORTFOLIO_SAMPLES)
+        return attribution.tree_shapley(inp.classifier, inp.feature_store, bg)
 
     return inp._memo("portfolio_attr", build)
 

@@ -921,9 +921,9 @@ def x2_report_attributions(inp):
 
 @register("x3_global_importance")
 def x3_global_importance(inp):
-    """Mean |contribution| per feature over the whole portfolio, ranked."""
+    """Mean |contribution| per feature over the whole portfolio, ranked, with the contributions' standard error."""
     phi, _ = inp.portfolio_attributions
-    return attribution.global_importance(phi)
+    return attribution.with_error(attribution.global_importance(phi), phi)
 
 
 @register("x4_waterfall")
@@ -955,9 +955,9 @@ def x10_extremes(inp):
 
 @register("x11_audit_checks")
 def x11_audit_checks(inp):
-    """Six explanation / calibration policy checks with PASS / FAIL / SKIP."""
+    """Six explanation / calibration policy checks with PASS / FAIL / SKIP, and the contributions' standard error."""
     phi, _ = inp.portfolio_attributions
-    return attribution.audit_checks(phi, inp.model_scored)
+    return attribution.with_error(attribution.audit_checks(phi, inp.model_scored), phi)
 
 
 @register("p12_report_invoice_table", O.rounded(O.with_prefix(*O.SCORED, select=(

@@ -164,3 +164,41 @@ def test_forecast_fallback_reason(inp):
     assert all(r["Inference_Slice"].startswith("portfolio (fallback") for r in out)
     own = forecast.generate_forecast(inp.forecaster, inp.monthly).collect()
     assert {r["Inference_Slice"] for r in own} == {"portfolio"}
+
+
+def test_tree_contributions_are_exact(inp):
+    from itertools import combinations
+    from math import factorial
+
+    from pyspark.ml.functions import array_to_vector
+
+    bg = attribution.background(inp.feature_store, 3)
+    rows = inp.feature_store.orderBy("BELNR").limit(2)
+    phi, base = attribution.tree_shapley(inp.classifier, rows, bg)
+    # every subset of the features switched on, averaged over the background
+    n = len(FEATURE_COLS)
+    x = rows.select("BELNR", F.array(*[F.col(c).cast("double") for c in FEATURE_COLS]).alias("x"))
+    points = x.crossJoin(bg.select("z")).crossJoin(inp.spark.range(1 << n).select(F.col("id").alias("s")))
+    mixed = F.array(*[F.when(F.col("s").bitwiseAND(1 << j) != 0, F.col("x")[j]).otherwise(F.col("z")[j]) for j in range(n)])
+    scored = attribution.tree_scorer(inp.classifier)(points.withColumn("features", array_to_vector(mixed)))
+    worth: dict = {}
+    for r in scored.groupBy("BELNR", "s").agg(F.avg("MARGIN").alias("m")).collect():
+        worth.setdefault(r["BELNR"], {})[r["s"]] = r["m"]
+    got = phi.collect()
+    assert len(got) == 2 * n and {r["phi_se"] for r in got} == {0.0}
+    for r in got:
+        j, m = r["feature_idx"], worth[r["BELNR"]]
+        want = sum(factorial(k) * factorial(n - k - 1) / factorial(n) * (m[s | 1 << j] - m[s])
+                   for k in range(n) for s in (sum(1 << i for i in c) for c in combinations([i for i in range(n) if i != j], k)))
+        assert abs(r["phi_margin"] - want) < 1e-9
+    for r in base.collect():
+        assert abs(r["base_margin"] - worth[r["BELNR"]][0]) < 1e-9 and abs(r["f_margin"] - worth[r["BELNR"]][(1 << n) - 1]) < 1e-9
+
+
+def test_importance_of_the_portfolio_has_no_sampling_noise(inp):
+    phi, _ = inp.portfolio_attributions
+    top, exact, _ = inp.report_attributions
+    assert phi.where("phi_se <> 0").count() == 0 and exact.where("phi_se <> 0").count() == 0
+    assert phi.count() == 12 * inp.feature_store.count()
+    out = entry.queries()["x3_global_importance"](inp.spark, SF_SMALL).collect()
+    assert len(out) == 12 and {r["max_phi_se"] for r in out} == {0.0}
