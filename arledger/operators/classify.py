@@ -14,7 +14,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field, fields
+from dataclasses import asdict, dataclass, field, fields, replace
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -47,10 +47,10 @@ class ClassifierConfig:
     subsample: float = 0.8
     feature_subset: str = "0.8"
     min_instances_per_node: int = 5
-    validation_tol: float = 1e-3
+    validation_tol: float = 1e-5
     calibrate: bool = True
     cv_folds: int = CV_FOLDS
-    cv_rounds: int = 30
+    cv_rounds: int = 0  # 0: as many as the fitted model kept
     cv_parallelism: int = 5
     calibration: str = "sigmoid"  # or "isotonic"
     seed: int = RANDOM_SEED
@@ -126,7 +126,7 @@ def _gbt(cfg: ClassifierConfig, with_validation: bool, rounds: int | None = None
 
 def cross_validate(fit_rows: DataFrame, cfg: ClassifierConfig) -> float:
     """Mean exact AUC over stratified folds of the fitting rows. Each fold's fit has the same
-    number of rounds, ``cv_rounds`` (folds have no validation rows to stop on)."""
+    number of rounds, ``cv_rounds`` (folds have no validation rows to stop on), or all."""
     spw = positive_weight(fit_rows)
     data = training_frame(assemble(stratified_folds(fit_rows, cfg.cv_folds, cfg.seed)).withColumn(
         "weight", F.when(F.col("label") == 1, F.lit(spw)).otherwise(F.lit(1.0))
@@ -207,6 +207,9 @@ class TrainedClassifier:
         self.gbt.write().overwrite().save(f"{path}/gbt")
         if self.calibrator is not None:
             self.calibrator.write().overwrite().save(f"{path}/calibrator")
+        self.save_meta(path)
+
+    def save_meta(self, path: str) -> None:
         spark = SparkSession.getActiveSession()
         meta = {"threshold": self.threshold, "cv_auc": self.cv_auc, "positive_weight": self.positive_weight,
                 "is_calibrated": self.calibrator is not None, "features": ",".join(self.config.features),
@@ -232,18 +235,18 @@ class TrainedClassifier:
 
 
 def train_classifier(train: DataFrame, cfg: ClassifierConfig | None = None, with_cv: bool = False) -> TrainedClassifier:
-    """C2-C6 on the train split: validation cut, optional CV on the fitting rows, weighted GBT
-    with early stopping, Platt calibration and the guarded F1 threshold."""
+    """C2-C6 on the train split: validation cut, weighted GBT with early stopping, optional CV on the
+    fitting rows (with as many rounds as the GBT kept), Platt calibration and the guarded F1 threshold."""
     cfg = cfg or ClassifierConfig()
     cut = validation_cut(train).persist()  # reused by the fit, calibration and threshold steps
     fit_rows = cut.where(~F.col("is_val"))
     spw = positive_weight(fit_rows)
-    cv_auc = cross_validate(fit_rows, cfg) if with_cv else None
     data = training_frame(assemble(cut, cfg.features).withColumn(
         "weight", F.when(F.col("label") == 1, F.lit(spw)).otherwise(F.lit(1.0))
     ))
     gbt = _gbt(cfg, with_validation=True).fit(data)
     data.unpersist()
+    cv_auc = cross_validate(fit_rows.drop("is_val"), replace(cfg, cv_rounds=cfg.cv_rounds or gbt.getNumTrees)) if with_cv else None
     val = margin(gbt.transform(assemble(cut.where(F.col("is_val")), cfg.features)))
     calibrator = (isotonic(val) if cfg.calibration == "isotonic" else platt(val)) if cfg.calibrate else None
     model = TrainedClassifier(gbt, calibrator, 0.5, cv_auc, spw, cfg)

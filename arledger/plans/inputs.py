@@ -140,26 +140,34 @@ class Inputs:
         from pyspark.sql import functions as F
 
         from ..operators.classify import train_classifier
-        from ..session import models_dir
 
         def build():
             train = self.split.where(F.col("split") == "train").drop("split")
             model = train_classifier(train)
-            model.save(f"{models_dir(self.spark, 'classifier', self.sf_dir)}/{self.spark.sparkContext.applicationId}")
+            model.save(self._classifier_path)
             return model
 
         return self._memo("classifier", build)
 
+    @property
+    def _classifier_path(self) -> str:
+        from ..session import models_dir
+
+        return f"{models_dir(self.spark, 'classifier', self.sf_dir)}/{self.spark.sparkContext.applicationId}"
+
     @property
     def cv_auc(self) -> float:
-        """Mean AUC over the folds of the fitting rows, computed once per session."""
+        """Mean AUC over the folds of the fitting rows, computed once per session and saved with the model."""
         from pyspark.sql import functions as F
 
         from ..operators import classify
 
         def build():
             cut = classify.validation_cut(self.split.where(F.col("split") == "train").drop("split"))
-            return classify.cross_validate(cut.where(~F.col("is_val")).drop("is_val"), classify.ClassifierConfig(cv_rounds=self.classifier.gbt.getNumTrees))
+            model = self.classifier
+            model.cv_auc = classify.cross_validate(cut.where(~F.col("is_val")).drop("is_val"), classify.ClassifierConfig(cv_rounds=model.gbt.getNumTrees))
+            model.save_meta(self._classifier_path)
+            return model.cv_auc
 
         return self._memo("cv_auc", build)
 

@@ -202,3 +202,26 @@ def test_importance_of_the_portfolio_has_no_sampling_noise(inp):
     assert phi.count() == 12 * inp.feature_store.count()
     out = entry.queries()["x3_global_importance"](inp.spark, SF_SMALL).collect()
     assert len(out) == 12 and {r["max_phi_se"] for r in out} == {0.0}
+
+
+def test_folds_are_fitted_after_the_model_with_its_rounds(inp, tmp_dir, monkeypatch):
+    from arledger.operators import classify
+
+    assert classify.ClassifierConfig().validation_tol <= 1e-5
+    seen = []
+    monkeypatch.setattr(classify, "cross_validate", lambda rows, cfg: seen.append(cfg.cv_rounds) or 0.75)
+    train = inp.split.where("split = 'train'").drop("split")
+    m = classify.train_classifier(train, classify.ClassifierConfig(n_rounds=3), with_cv=True)
+    assert seen == [m.gbt.getNumTrees]
+    m.save(tmp_dir + "/cv")
+    assert classify.TrainedClassifier.load(tmp_dir + "/cv").cv_auc == 0.75
+
+
+def test_cv_auc_is_saved_with_the_model(inp, monkeypatch):
+    from arledger.operators import classify
+    from arledger.plans import inputs
+
+    monkeypatch.setattr(inputs, "_MODELS", {k: v for k, v in inputs._MODELS.items() if k[2] != "cv_auc"})
+    monkeypatch.setattr(classify, "cross_validate", lambda rows, cfg: 0.75)
+    assert inp.cv_auc == 0.75
+    assert classify.TrainedClassifier.load(inp._classifier_path).cv_auc == 0.75
