@@ -6,8 +6,8 @@ words of a shorter document). Documents of equal sets are one class, found by a
 *Partitioning.* Two linked sets differ in at most d = (100 - p) (|A| + |B|) / (100 + p) shingles. Shingles are hashed
 into K = d + m groups; as a differing shingle spoils one group, at least m groups of a linked pair are equal.
 So each class is filed under a digest of every group that isn't empty, and a linked pair meets in at least
-m files less its empty groups. K follows the size class of the larger set; a set near the upper bound of its class
-is filed for the next one too. (Only a set with m or more empty groups is filed under these as well.) A class
+m files less its empty groups. K follows the size class of the larger set; a set is filed for every higher class,
+too, in which a set can be linked with it (for 67 percent and more that is the next one at most). (Only a set with m or more empty groups is filed under these as well.) A class
 that meets others in fewer files than that is linked with none and leaves, and again once others have left;
 what remains is tied into coarse components, and every link lies within one of them. Files are combined within
 every batch of documents before the shuffle, so a task gets a file at most once from each batch.
@@ -124,7 +124,9 @@ def signatures(h: np.ndarray, counts: np.ndarray, scheme: Scheme) -> tuple[np.nd
     level = np.searchsorted(scheme.bounds, counts, "right") - 1
     end = np.cumsum(counts)
     for c in np.unique(level[counts > 0]).tolist():
-        for target in (c, c + 1):
+        # the classes of all larger sets that it can be linked with
+        last = np.searchsorted(scheme.bounds, 100 * int(counts[level == c].max()) // scheme.percent, "right") - 1
+        for target in range(c, min(int(last), len(scheme.bounds) - 2) + 1):
             mine = (level == c) & (counts > 0)
             if target > c:
                 mine &= 100 * counts >= scheme.percent * scheme.bounds[target]

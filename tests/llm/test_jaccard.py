@@ -161,3 +161,19 @@ def test_graph_components(spark):
     found = graph.components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {r[0]: r[1] for r in found} == {i: root(i) for i in least} and len(found) == len(least)
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize(("small", "large", "percent"), [(8, 13, 60), (18, 28, 60), (10, 30, 33)])
+def test_sets_two_size_classes_apart_meet(small, large, percent):
+    h = np.random.default_rng(5).integers(1, 1 << 63, large).astype(np.uint64)
+    scheme = jaccard.Scheme(percent)
+    sig, who, levels, needs = jaccard.signatures(np.concatenate((np.sort(h[:small]), np.sort(h))), np.array([small, large]), scheme)
+    shared = set(sig[who == 0].tolist()) & set(sig[who == 1].tolist())
+    assert 100 * small >= percent * large and len(shared) >= needs[who == 1].min()
+
+
+def test_linked_sets_of_8_and_13_shingles(spark):
+    words = [f"w{i}" for i in range(15)]
+    rows = [(1, " ".join(words[:10])), (2, " ".join(words)), (3, "other words that stand alone here")]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 60).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {1: (8, 1), 2: (13, 1), 3: (4, 3)}
