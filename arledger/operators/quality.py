@@ -179,6 +179,16 @@ def invalid_values(dataset: str, df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_rows")).select(F.lit(dataset).alias("dataset"), "col_name", "value", "n_rows")
 
 
+def all_invalid_values(tables: dict[str, DataFrame | None]) -> DataFrame:
+    """Q3 in full over all tables that are there (``invalid_values`` of each)."""
+    out = None
+    for name in RULES:
+        if tables.get(name) is not None:
+            part = invalid_values(name, tables[name])
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
 def referential_integrity(invoices: DataFrame, customers: DataFrame) -> DataFrame:
     """Q5: number of distinct invoice customers missing from the master (anti join on keys)."""
     inv_keys = invoices.select(F.col("KUNNR").cast("string").alias("k")).where(F.col("k").isNotNull()).distinct()

@@ -355,8 +355,8 @@ def q1_incomplete_inputs(inp):
     "SELECT 'customer_master' AS dataset, 'BRSCH' AS col_name, BRSCH AS value, count(*) AS n_rows FROM cust WHERE BRSCH = 'ZZ' GROUP BY ALL "
     "UNION ALL SELECT 'customer_master', 'REGIO', REGIO, count(*) FROM cust WHERE REGIO = 'XX' GROUP BY ALL")))
 def q3_invalid_values(inp):
-    """Every distinct value of the customer master outside its code lists, with its rows."""
-    return quality.invalid_values("customer_master", inp.customers_raw)
+    """Every distinct value of the four raw tables outside their code lists, with its rows."""
+    return quality.all_invalid_values(_quality_tables(inp))
 
 
 # ---- history without label look-ahead ------------------------------------------------------------

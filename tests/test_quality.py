@@ -104,3 +104,23 @@ def test_missing_file_is_not_any_fault(spark, tmp_dir):
     path = _write(tmp_dir, "c.csv", CUSTOMERS)
     assert erp.read_raw_optional(spark, path, "customer_master").count() == 4
     assert erp.path_exists(spark, tmp_dir + "/*.csv") and not erp.path_exists(spark, tmp_dir + "/*.txt")
+
+
+def test_invalid_values_of_every_table(spark):
+    from pyspark.sql import functions as F
+
+    tables = {
+        "customer_master": spark.createDataFrame([("C1", "ZZ", "XX", "Q9")], "KUNNR string, BRSCH string, REGIO string, ZTERM string"),
+        "invoice_history": spark.createDataFrame([("H", "EUR", "Q9"), ("H", "USD", None)], "SHKZG string, WAERS string, ZTERM string"),
+        "ar_aging": spark.createDataFrame([("GBP",)], "WAERS string"),
+        "gl_cash_positions": spark.createDataFrame([("JPY",), ("USD",)], "WAERS string"),
+    }
+    empty = {c for rules in quality.RULES.values() for c in [*rules.required, "AUGDT"]}
+    full = {}
+    for name, df in tables.items():
+        full[name] = df.select("*", *[F.lit(None).cast("string").alias(c) for c in sorted(empty - set(df.columns))])
+    got = {tuple(r) for r in quality.all_invalid_values(full).collect()}
+    assert got == {
+        ("customer_master", "BRSCH", "ZZ", 1), ("customer_master", "REGIO", "XX", 1), ("customer_master", "ZTERM", "Q9", 1),
+        ("invoice_history", "SHKZG", "H", 2), ("invoice_history", "WAERS", "EUR", 1), ("invoice_history", "ZTERM", "Q9", 1),
+        ("ar_aging", "WAERS", "GBP", 1), ("gl_cash_positions", "WAERS", "JPY", 1)}
