@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, common, decontamination, jaccard, langid, linededup, mixing, packing, prefixcounts, repetition, sharding, sql
+from . import audit, chat, common, decontamination, jaccard, langid, linededup, mixing, packing, prefixcounts, repetition, sharding, sql, toxicity, turntrie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -99,3 +99,21 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture of all sources at square-root weights, whole rows with the number of the copy."""
     return mixing.replicate(table(spark, sf_dir, "documents"))
+
+
+@register("op11_prefix_trie", sql.TRIE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix tree of the rebuilt conversations."""
+    return turntrie.nodes(turntrie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+@register("op12_filter_audit", sql.AUDIT)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each step of every order of five filters keeps, removes and repeats, per language."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op13_factorization_toxicity")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of every document."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -147,3 +147,57 @@ kept AS (SELECT min(conv_id) AS conv_id FROM c WHERE ds NOT IN (SELECT ds FROM p
 SELECT conv_id, CAST(s AS INTEGER) AS segment, n AS n_turns, array_to_string(list_slice(shown, 256 * s + 1, 256 * s + 256), '') AS chat
 FROM (SELECT c.*, unnest(range(0, (n + 255) // 256)) AS s FROM c JOIN kept USING (conv_id))
 """
+
+
+#: Of every part and set of failed filters (bit 0: A): documents, those of quality 1 and those labelled toxic.
+AUDIT = f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORDS}') AS ws FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+f AS (SELECT part, doc_id,
+    (len(ws) < 100)::INT + 2 * (100 * len(list_distinct(ws)) < 80 * len(ws))::INT
+    + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, false)::INT AS failed
+    FROM d JOIN firsts USING (t)),
+kinds AS (SELECT part, failed, count(*) AS n, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS good,
+    count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)) AS toxic FROM f GROUP BY ALL),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order FROM letter a, letter b, letter c, letter d, letter e
+    WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps AS (SELECT filter_order, step, ascii(substr(filter_order, step, 1)) - 65 AS i,
+    coalesce(list_sum(list_transform(range(1, step), lambda k: 1 << (ascii(substr(filter_order, k, 1)) - 65))), 0)::INT AS before
+    FROM (SELECT filter_order, unnest(range(1, 6))::INT AS step FROM orders)),
+judged AS (SELECT part, filter_order, step, i, n, good, toxic, failed & before = 0 AS reached, failed & (1 << i) <> 0 AS fails, failed = 1 << i AS alone FROM steps, kinds),
+m AS (SELECT part, filter_order, step, i, coalesce(sum(n) FILTER (reached AND NOT fails), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (reached AND fails), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (fails AND NOT reached), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (reached AND fails), 0)::BIGINT AS good_lost,
+    coalesce(sum(toxic) FILTER (reached AND fails), 0)::BIGINT AS toxic_lost FROM judged GROUP BY part, filter_order, step, i)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    (sum(removed) OVER (PARTITION BY part, i))::BIGINT AS shapley FROM m
+"""
+
+
+#: ``k``: turns of the base conversation that come first; ``path``: digests of the rebuilt turns.
+TRIE = f"""
+WITH rows_in AS (SELECT DISTINCT CAST(conv_id AS VARCHAR) AS text FROM conversations WHERE conv_id IS NOT NULL),
+{CRC.strip()},
+turn_of AS (SELECT conv_id, turn, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d,
+    len(regexp_extract_all(coalesce(text, ''), '{WORDS}')) AS words FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d) AS pos FROM turn_of),
+sized AS (SELECT conv_id, count(*) AS n FROM placed GROUP BY conv_id),
+convs AS (SELECT s.conv_id, s.conv_id - s.conv_id % 20 AS base, text_crc32 % 4 AS h, least(text_crc32 % 4, coalesce(b.n, 0)) AS k
+    FROM sized s JOIN crc ON text = CAST(s.conv_id AS VARCHAR) LEFT JOIN sized b ON b.conv_id = s.conv_id - s.conv_id % 20),
+again AS (SELECT c.conv_id, pos, d, words FROM convs c JOIN placed p ON p.conv_id = c.base AND pos <= k
+    UNION ALL SELECT conv_id, pos - h + k, d, words FROM convs JOIN placed USING (conv_id) WHERE pos > h),
+paths AS (SELECT conv_id, coalesce(list(d ORDER BY pos) FILTER (d IS NOT NULL), []) AS path, list(words ORDER BY pos) AS words
+    FROM convs LEFT JOIN again USING (conv_id) GROUP BY conv_id),
+begins AS (SELECT conv_id, depth, len(path) = depth AS ends, md5(array_to_string(list_slice(path, 1, depth), ',')) AS key,
+    CASE WHEN depth > 0 THEN md5(array_to_string(list_slice(path, 1, depth - 1), ',')) END AS up, CASE WHEN depth > 0 THEN words[depth] ELSE 0 END AS words
+    FROM (SELECT *, unnest(range(0, len(path) + 1)) AS depth FROM paths)),
+node AS (SELECT key, depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(words) AS saved,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256 FROM begins GROUP BY key, depth),
+children AS (SELECT up, depth - 1 AS depth, count(*) AS n FROM node WHERE up IS NOT NULL GROUP BY up, depth),
+below AS (SELECT b.key, b.depth, count(*) FILTER (c.n IS NULL) AS n_leaves, sum(n.saved) AS saved FROM node n LEFT JOIN children c ON c.up = n.key AND c.depth = n.depth
+    JOIN begins b ON b.conv_id = n.conv_id AND b.depth <= n.depth GROUP BY b.key, b.depth)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, n_leaves, CAST(below.saved AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM node n JOIN below USING (key, depth) LEFT JOIN children c ON c.up = n.key AND c.depth = n.depth LEFT JOIN node p ON p.key = n.up AND p.depth = n.depth - 1
+"""
