@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from ..constants import BACKGROUND_ROWS, FEATURE_COLS, RANDOM_SEED, TOP_N_RISKS
 from ..session import stored, tables_dir
-from .classify import TrainedClassifier, margin
+from .classify import TrainedClassifier, margin, tree_nodes
 
 #: Key of an invoice line, and groups of samples that the standard error is taken from.
 KEYS, BATCHES = ["BELNR", "BUZEI"], 4
@@ -130,17 +130,15 @@ def shapley(scorer: Scorer, rows: DataFrame, bg: DataFrame, n_samples: int = 32,
     return phi, base
 
 
-def tree_leaves(model: TrainedClassifier, spark) -> list[tuple[float, list[int], np.ndarray, np.ndarray]]:
-    """(margin, features, lower, upper) of every leaf: a row is in it if lower < value <= upper for all its
-    features. Read from the saved trees (at most 500 x 127 nodes)."""
-    path = f"{tables_dir(spark)}/trees-{uuid.uuid4().hex[:12]}"
-    model.gbt.write().save(path)
-    trees: dict[int, dict] = {}
-    for r in spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect():
-        trees.setdefault(r["treeID"], {})[r["id"]] = r
+#: A leaf: margin, features on its path, lower and upper bounds. A row is in it if lower < value <= upper for all.
+Leaf = tuple[float, list[int], np.ndarray, np.ndarray]
+
+
+def tree_leaves(trees: list[tuple[float, dict]]) -> list[Leaf]:
+    """The leaves of (weight, nodes) trees, as ``classify.tree_nodes`` reads them."""
     leaves = []
-    for tree, weight in enumerate(model.gbt.treeWeights):
-        nodes, todo = trees[tree], [(0, {})]
+    for weight, nodes in trees:
+        todo = [(0, {})]
         while todo:
             at, box = todo.pop()
             node = nodes[at]
@@ -149,8 +147,6 @@ def tree_leaves(model: TrainedClassifier, spark) -> list[tuple[float, list[int],
                 lower, upper = (np.array([box[f][i] for f in feats]) for i in (0, 1))
                 leaves.append((2 * weight * node["prediction"], feats, lower, upper))
                 continue
-            if node["split"]["numCategories"] != -1:
-                raise ValueError("splits by category aren't supported")
             f, cut = node["split"]["featureIndex"], node["split"]["leftCategoriesOrThreshold"][0]
             lo, hi = box.get(f, (-np.inf, np.inf))
             todo.append((node["leftChild"], {**box, f: (lo, min(hi, cut))}))
@@ -181,14 +177,19 @@ def leaf_parts(d: int) -> np.ndarray:
     return parts
 
 
-def tree_shapley(model: TrainedClassifier, rows: DataFrame, bg: DataFrame, feats: list[str] = FEATURE_COLS) -> tuple[DataFrame, DataFrame]:
-    """X2, exact for the fitted trees and the whole background: the tables of ``shapley``, ``phi_se`` being 0."""
+def model_shapley(model: TrainedClassifier, rows: DataFrame, bg: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """X2 of a fitted model."""
+    return tree_shapley(tree_leaves(tree_nodes(model.gbt, rows.sparkSession)), rows, bg, model.config.features)
+
+
+def tree_shapley(leaves: list[Leaf], rows: DataFrame, bg: DataFrame, feats: list[str] = FEATURE_COLS) -> tuple[DataFrame, DataFrame]:
+    """X2, exact for the leaves of any trees and the whole background: the tables of ``shapley``, ``phi_se`` being 0."""
     keys = line_keys(rows)
     spark = rows.sparkSession
     z = _ordered(np.array([r["z"] for r in bg.select("z").collect()], dtype=np.float64).reshape(-1, len(feats)))  # at most BACKGROUND_ROWS rows
     parts: dict[int, np.ndarray] = {}
     base, table = 0.0, []
-    for value, on, lower, upper in tree_leaves(model, spark):
+    for value, on, lower, upper in leaves:
         d = len(on)
         met = (((z[:, on] > lower) & (z[:, on] <= upper)) << np.arange(d)).sum(1)
         share = np.bincount(met, minlength=1 << d) / len(z) * value

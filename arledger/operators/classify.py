@@ -5,7 +5,10 @@
 * C3 cross-validation: folds are exactly stratified - a distributed rank over (label, seeded
   hash) and rank mod k - then ``CrossValidator(foldCol=...)`` with exact AUC (numBins=0).
 * C4 boosted trees: ``GBTClassifier`` with a class weight column (positive weight =
-  round(neg/pos, 2)), row / feature subsampling, early stopping on the validation rows.
+  round(neg/pos, 2)), row / feature subsampling. Rounds are stopped with patience on the validation
+  AUC: one pass gives every validation row its margin after each tree, one aggregate the AUC of all
+  prefixes of the ensemble, and the ensemble is cut at its best round. MLlib can't go on with a fit,
+  so a fit that may still improve is made again with twice the rounds (its first trees are the same).
 * C5 isotonic regression, or Platt scaling: logistic regression on the tree margin with Platt's smoothed targets,
   expressed as two weighted rows per validation row.
 * C6 threshold: ``metrics.optimize_threshold`` on calibrated validation probabilities.
@@ -14,8 +17,12 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import asdict, dataclass, field, fields, replace
 
+import numpy as np
+import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     GBTClassificationModel,
@@ -28,26 +35,28 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import CV_FOLDS, FEATURE_COLS, RANDOM_SEED, TARGET_COL, TEST_SIZE
+from ..session import tables_dir
 from .features import time_split
-from .metrics import optimize_threshold, ranking_metrics
+from .metrics import optimize_threshold, ranking_metrics, staged_auc
 from .scoring import predict
 
 
 @dataclass
 class ClassifierConfig:
-    # at most 500 rounds as in the published model; the fit ends as soon as the loss on the
-    # validation rows falls by less than validation_tol (relative) in a round
+    # at most 500 rounds as in the published model, of which those up to the best validation AUC are
+    # kept: the one that the next ``patience`` rounds don't exceed
     n_rounds: int = 500
+    patience: int = 50
+    first_rounds: int = 150  # of the first fit
     max_depth: int = 6
     step_size: float = 0.05
     subsample: float = 0.8
     feature_subset: str = "0.8"
     min_instances_per_node: int = 5
-    validation_tol: float = 1e-5
     calibrate: bool = True
     cv_folds: int = CV_FOLDS
     cv_rounds: int = 0  # 0: as many as the fitted model kept
@@ -112,16 +121,102 @@ def training_frame(df: DataFrame, rows_per_partition: int = 100_000) -> DataFram
     return shaped
 
 
-def _gbt(cfg: ClassifierConfig, with_validation: bool, rounds: int | None = None) -> GBTClassifier:
-    params = dict(
+def _gbt(cfg: ClassifierConfig, rounds: int | None = None) -> GBTClassifier:
+    return GBTClassifier(
         featuresCol="features", labelCol="label", weightCol="weight", maxIter=rounds or cfg.n_rounds,
         maxDepth=cfg.max_depth, stepSize=cfg.step_size, subsamplingRate=cfg.subsample,
         featureSubsetStrategy=cfg.feature_subset, minInstancesPerNode=cfg.min_instances_per_node,
         seed=cfg.seed, lossType="logistic",
     )
-    if with_validation:
-        params.update(validationIndicatorCol="is_val", validationTol=cfg.validation_tol)
-    return GBTClassifier(**params)
+
+
+def tree_nodes(gbt: GBTClassificationModel, spark: SparkSession) -> list[tuple[float, dict]]:
+    """(weight, nodes by id) of every tree, read from the saved model (at most 500 x 127 nodes)."""
+    path = f"{tables_dir(spark)}/trees-{uuid.uuid4().hex[:12]}"
+    gbt.write().save(path)
+    trees: dict[int, dict] = {}
+    for r in spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").collect():
+        if r["split"]["numCategories"] != -1 and r["leftChild"] >= 0:
+            raise ValueError("splits by category aren't supported")
+        trees.setdefault(r["treeID"], {})[r["id"]] = r
+    return [(w, trees[i]) for i, w in enumerate(gbt.treeWeights)]
+
+
+def staged_margins(rows: DataFrame, trees: list[tuple[float, dict]], keep: list[str], features: list[str] = FEATURE_COLS) -> DataFrame:
+    """The columns ``keep`` and MARGINS, a row's log-odds after each tree. Narrow; all rows of a batch go down a
+    tree together."""
+    flat = []
+    for weight, nodes in trees:
+        at = {i: k for k, i in enumerate(sorted(nodes))}
+        inner = [nodes[i]["leftChild"] >= 0 for i in sorted(nodes)]
+        cell = lambda f, none, nodes=nodes, inner=inner: np.array([f(nodes[i]) if inner[k] else none for k, i in enumerate(sorted(nodes))])
+        flat.append((cell(lambda r: r["split"]["featureIndex"], 0), cell(lambda r: r["split"]["leftCategoriesOrThreshold"][0], 0.0),
+                     cell(lambda r, at=at: at[r["leftChild"]], -1), cell(lambda r, at=at: at[r["rightChild"]], -1),
+                     2 * weight * np.array([nodes[i]["prediction"] for i in sorted(nodes)])))
+    source = rows.select(*keep, *[F.col(c).cast("double").alias(f"_x{i}") for i, c in enumerate(features)])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(keep)])
+
+    def run(batches):
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            x = np.stack([batch.column(len(keep) + i).to_numpy(zero_copy_only=False).astype(float) for i in range(len(features))], axis=1)
+            margins = np.empty((n, len(flat)))
+            for t, (feature, cut, left, right, value) in enumerate(flat):
+                node = np.zeros(n, np.int64)
+                while len(live := np.flatnonzero(left[node] >= 0)):
+                    at = node[live]
+                    node[live] = np.where(x[live, feature[at]] <= cut[at], left[at], right[at])
+                margins[:, t] = value[node]
+            lists = pa.ListArray.from_arrays(np.arange(0, n * len(flat) + 1, len(flat), dtype=np.int32), np.cumsum(margins, axis=1).ravel())
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], lists], [*keep, "MARGINS"])
+
+    return source.mapInArrow(run, f"{kinds}, MARGINS array<double>")
+
+
+def best_round(trace: list[tuple[int, float | None]], patience: int) -> tuple[int, bool]:
+    """The round of the best AUC before ``patience`` rounds in a row don't exceed it (ties: the first), and
+    whether the trace is long enough to tell. Without any AUC (one label only) it is the last round."""
+    best, at = None, 0
+    for k, auc in trace:
+        if auc is not None and (best is None or auc > best):
+            best, at = auc, k
+        elif best is not None and k - at >= patience:
+            return at, True
+    return (at, False) if best is not None else (trace[-1][0], True)
+
+
+def first_trees(gbt: GBTClassificationModel, rounds: int) -> GBTClassificationModel:
+    """The ensemble of the first ``rounds`` trees."""
+    java, jvm = gbt._java_obj, SparkContext._active_spark_context._jvm
+    trees, weights = java.trees(), java.treeWeights()
+    gateway = SparkContext._active_spark_context._gateway
+    some = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    of = gateway.new_array(jvm.double, rounds)
+    for i in range(rounds):
+        some[i], of[i] = trees[i], weights[i]
+    cut = jvm.org.apache.spark.ml.classification.GBTClassificationModel(java.uid(), some, of, java.numFeatures(), java.numClasses())
+    model = GBTClassificationModel(cut.copy(java.extractParamMap()))
+    model._transfer_params_from_java()
+    return model
+
+
+def fit_boosted(data: DataFrame, cfg: ClassifierConfig) -> tuple[GBTClassificationModel, list[tuple[int, float | None]]]:
+    """C4: the ensemble up to its best round, and the validation AUC of every round that was fitted.
+    ``data``: assembled rows with label, weight and is_val."""
+    fit_rows, val = data.where(~F.col("is_val")), data.where(F.col("is_val"))
+    rounds = min(cfg.n_rounds, max(1, cfg.first_rounds))
+    while True:
+        gbt = _gbt(cfg, rounds).fit(fit_rows)
+        spark = data.sparkSession
+        margins = staged_margins(val, tree_nodes(gbt, spark), ["label"], cfg.features)
+        trace = [(r["round"], r["auc_roc"]) for r in staged_auc(margins, "label").orderBy("round").collect()]  # one row a round
+        trace = trace or [(k, None) for k in range(1, gbt.getNumTrees + 1)]
+        best, settled = best_round(trace, cfg.patience)
+        if settled or rounds >= cfg.n_rounds or gbt.getNumTrees < rounds:
+            return first_trees(gbt, best), trace
+        rounds = min(cfg.n_rounds, 2 * rounds)
 
 
 def cross_validate(fit_rows: DataFrame, cfg: ClassifierConfig) -> float:
@@ -132,7 +227,7 @@ def cross_validate(fit_rows: DataFrame, cfg: ClassifierConfig) -> float:
         "weight", F.when(F.col("label") == 1, F.lit(spw)).otherwise(F.lit(1.0))
     ))
     cv = CrossValidator(
-        estimator=_gbt(cfg, with_validation=False, rounds=cfg.cv_rounds),
+        estimator=_gbt(cfg, rounds=cfg.cv_rounds),
         estimatorParamMaps=ParamGridBuilder().build(),
         evaluator=BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", metricName="areaUnderROC", numBins=0),
         foldCol="fold",
@@ -182,6 +277,12 @@ class TrainedClassifier:
     cv_auc: float | None
     positive_weight: float
     config: ClassifierConfig
+    trace: list[tuple[int, float | None]] = field(default_factory=list)  # validation AUC by round
+
+    def trace_table(self) -> DataFrame:
+        """C4: (round, auc_roc, kept) of every round that was fitted."""
+        rows = [(k, auc, k <= self.gbt.getNumTrees) for k, auc in self.trace]
+        return SparkSession.getActiveSession().createDataFrame(rows, "round int, auc_roc double, kept boolean")
 
     def raw_probability(self, df: DataFrame, out: str = "RAW_PROB") -> DataFrame:
         """Positive-class probability (calibrated when a calibrator exists) + MARGIN."""
@@ -205,6 +306,7 @@ class TrainedClassifier:
     def save(self, path: str) -> None:
         """Model, calibrator and one-row metadata table."""
         self.gbt.write().overwrite().save(f"{path}/gbt")
+        self.trace_table().coalesce(1).write.mode("overwrite").parquet(f"{path}/trace")
         if self.calibrator is not None:
             self.calibrator.write().overwrite().save(f"{path}/calibrator")
         self.save_meta(path)
@@ -230,12 +332,13 @@ class TrainedClassifier:
         kind = IsotonicRegressionModel if cfg.calibration == "isotonic" else LogisticRegressionModel
         cal = kind.load(f"{path}/calibrator") if meta["is_calibrated"] == "True" else None
         cv = None if meta["cv_auc"] is None else float(meta["cv_auc"])
+        trace = [(r["round"], r["auc_roc"]) for r in spark.read.parquet(f"{path}/trace").orderBy("round").collect()]
         return TrainedClassifier(GBTClassificationModel.load(f"{path}/gbt"), cal, float(meta["threshold"]),
-                                 cv, float(meta["positive_weight"]), cfg)
+                                 cv, float(meta["positive_weight"]), cfg, trace)
 
 
 def train_classifier(train: DataFrame, cfg: ClassifierConfig | None = None, with_cv: bool = False) -> TrainedClassifier:
-    """C2-C6 on the train split: validation cut, weighted GBT with early stopping, optional CV on the
+    """C2-C6 on the train split: validation cut, weighted GBT with patience on the validation AUC, optional CV on the
     fitting rows (with as many rounds as the GBT kept), Platt calibration and the guarded F1 threshold."""
     cfg = cfg or ClassifierConfig()
     cut = validation_cut(train).persist()  # reused by the fit, calibration and threshold steps
@@ -244,12 +347,12 @@ def train_classifier(train: DataFrame, cfg: ClassifierConfig | None = None, with
     data = training_frame(assemble(cut, cfg.features).withColumn(
         "weight", F.when(F.col("label") == 1, F.lit(spw)).otherwise(F.lit(1.0))
     ))
-    gbt = _gbt(cfg, with_validation=True).fit(data)
+    gbt, trace = fit_boosted(data, cfg)
     data.unpersist()
     cv_auc = cross_validate(fit_rows.drop("is_val"), replace(cfg, cv_rounds=cfg.cv_rounds or gbt.getNumTrees)) if with_cv else None
     val = margin(gbt.transform(assemble(cut.where(F.col("is_val")), cfg.features)))
     calibrator = (isotonic(val) if cfg.calibration == "isotonic" else platt(val)) if cfg.calibrate else None
-    model = TrainedClassifier(gbt, calibrator, 0.5, cv_auc, spw, cfg)
+    model = TrainedClassifier(gbt, calibrator, 0.5, cv_auc, spw, cfg, trace)
     val_prob = model.raw_probability(cut.where(F.col("is_val")))
     best = optimize_threshold(val_prob, p="RAW_PROB").first()
     model.threshold = float(best["threshold"]) if best is not None else 0.5
@@ -257,11 +360,18 @@ def train_classifier(train: DataFrame, cfg: ClassifierConfig | None = None, with
     return model
 
 
+def key_uniform(df: DataFrame, seed: int) -> Column:
+    """A uniform number in [0, 1) from the row's key, the same whatever the partitioning."""
+    keys = [F.col(c).cast("string") for c in ("BELNR", "BUZEI") if c in df.columns]
+    digest = F.md5(F.concat_ws("|", *keys, F.lit(str(seed))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
 def baselines(train: DataFrame, test: DataFrame, model: TrainedClassifier, seed: int = RANDOM_SEED) -> DataFrame:
     """Test AUC of a stratified random guess, a standardised logistic regression and the
     boosted trees."""
     base_rate = train.agg(F.avg(TARGET_COL)).scalar()
-    rnd = test.withColumn("RAW_PROB", (F.rand(seed) < base_rate).cast("double"))
+    rnd = test.withColumn("RAW_PROB", (key_uniform(test, seed) < base_rate).cast("double"))
     pipe = Pipeline(stages=[
         VectorAssembler(inputCols=FEATURE_COLS, outputCol="raw_features"),
         StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True),

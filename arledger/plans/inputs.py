@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..constants import FEATURE_COLS
 from ..operators import normalize
 from ..sources import testdata
 
@@ -197,6 +198,42 @@ LINEAR_WEIGHTS = [0.91371723, -0.02197341, 0.11391127, -0.15139733, 0.03177129,
                   0.05197119, -0.20193131, 0.04177713, 0.30192741]
 
 
+def _split_node(node_id: int, feature: str, cut: float, left: int, right: int) -> dict:
+    split = {"featureIndex": FEATURE_COLS.index(feature), "leftCategoriesOrThreshold": [cut], "numCategories": -1}
+    return {"id": node_id, "leftChild": left, "rightChild": right, "split": split, "prediction": 0.0}
+
+
+def _leaf_node(node_id: int, prediction: float) -> dict:
+    return {"id": node_id, "leftChild": -1, "rightChild": -1, "split": None, "prediction": prediction}
+
+
+# FIXED VALUES: a small forest by hand, as the stand-in for the fitted one (cuts that no feature value equals)
+HAND_FOREST = [
+    (1.0, [_split_node(0, "CUST_LATE_RATE", 0.6137, 1, 4), _split_node(1, "LOG_AMOUNT", 11.70317, 2, 3), _leaf_node(2, -0.8), _leaf_node(3, 0.15),
+           _split_node(4, "CUST_AVG_DAYS_LATE", 12.3719, 5, 6), _leaf_node(5, 0.6), _leaf_node(6, 1.7)]),
+    (0.5, [_split_node(0, "PAYMENT_DAYS_NUM", 30.5, 1, 2), _leaf_node(1, -0.3), _split_node(2, "CUST_INVOICE_COUNT", 6.5, 3, 4), _leaf_node(3, 0.45),
+           _split_node(4, "CUST_LATE_RATE", 0.7391, 5, 6), _leaf_node(5, -0.2), _leaf_node(6, 0.9)]),
+    (0.25, [_split_node(0, "CUST_AVG_AMOUNT", 140321.77, 1, 2), _split_node(1, "INVOICE_MONTH", 6.5, 3, 4), _leaf_node(2, 0.35), _leaf_node(3, -0.55), _leaf_node(4, 0.1)]),
+]
+HAND_BACKGROUND = 16
+
+
+def hand_forest() -> list[tuple[float, dict]]:
+    """``HAND_FOREST`` as ``classify.tree_nodes`` returns fitted trees."""
+    return [(w, {n["id"]: n for n in nodes}) for w, nodes in HAND_FOREST]
+
+
+def _forest_attributions(inp: "Inputs"):
+    """X2 of the stand-in forest over the whole feature store, by the operator of the fitted model."""
+    from ..operators import attribution
+
+    def build():
+        bg = attribution.background(inp.feature_store, n=HAND_BACKGROUND)
+        return attribution.tree_shapley(attribution.tree_leaves(hand_forest()), inp.feature_store, bg)
+
+    return inp._memo("forest_attr", build)
+
+
 def _report_attributions(inp: "Inputs"):
     """X2 on the top-N flagged invoices, memoised."""
     from ..operators import attribution
@@ -204,7 +241,7 @@ def _report_attributions(inp: "Inputs"):
     def build():
         top = attribution.top_flagged(inp.model_scored)
         bg = attribution.background(inp.feature_store)
-        phi, base = attribution.tree_shapley(inp.classifier, top, bg)
+        phi, base = attribution.model_shapley(inp.classifier, top, bg)
         return top, phi, base
 
     return inp._memo("report_attr", build)
@@ -216,7 +253,7 @@ def _portfolio_attributions(inp: "Inputs"):
 
     def build():
         bg = attribution.background(inp.feature_store)
-        return attribution.tree_shapley(inp.classifier, inp.feature_store, bg)
+        return attribution.model_shapley(inp.classifier, inp.feature_store, bg)
 
     return inp._memo("portfolio_attr", build)
 
@@ -236,3 +273,4 @@ def _linear_attributions(inp: "Inputs"):
 Inputs.report_attributions = property(_report_attributions)
 Inputs.portfolio_attributions = property(_portfolio_attributions)
 Inputs.linear_attributions = property(_linear_attributions)
+Inputs.forest_attributions = property(_forest_attributions)

@@ -792,7 +792,7 @@ def c7_model_scores(inp):
 
 @register("c4_model_summary")
 def c4_model_summary(inp):
-    """Fitted model: trees kept after early stopping, threshold, positive weight, calibration."""
+    """Fitted model: trees up to the best validation AUC, threshold, positive weight, calibration."""
     m = inp.classifier
     return inp.spark.createDataFrame(
         [(m.gbt.getNumTrees, float(m.threshold), float(m.positive_weight), m.calibrator is not None)],
@@ -800,6 +800,12 @@ def c4_model_summary(inp):
     ).withColumn("n_train_rows", inp.split.where(F.col("split") == "train").agg(F.count(F.lit(1))).scalar())
 
 
+@register("c4_boosting_trace")
+def c4_boosting_trace(inp):
+    """Validation AUC of every fitted round of the boosted trees, and which rounds were kept."""
+    return inp.classifier.trace_table()
+
+
 @register("e1_e5_model_test_metrics")
 def e1_e5_model_test_metrics(inp):
     """AUC-ROC, step AUC-PR, Brier and confusion counts of the fitted model on the test split."""

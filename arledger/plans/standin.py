@@ -1,7 +1,10 @@
 """Oracles for the model reports: the same operators on stand-ins that SQL can express.
 
-* Attributions (X1-X4, X7-X9, X11): ``shapley`` with a linear scorer and one background row gives
-  w * (x - z) whatever the permutations are.
+* Attributions of trees (X2-X4, X8, X9, X11): ``tree_shapley``, as the reports on the fitted model run it, on a
+  small forest made by hand; SQL sums over leaves and background rows.
+* Attributions of other scorers (X1-X4, X7-X9, X11): ``shapley`` with a linear scorer and one background row
+  gives w * (x - z) whatever the permutations are.
+* Early stopping (C4): the hand-made forest's margins after each tree, and the AUC of every prefix.
 * Forecast reports (M19-M22, P2, P10-P12): quantiles taken from a slice's own recent months, neither
   ordered nor positive, go through the same table, chart, KPI and loss operators.
 * Data quality over incomplete inputs (Q1, Q10): a missing column, an absent table, the overall flag.
@@ -13,9 +16,9 @@ from pyspark.sql import functions as F
 
 from ..constants import BACKGROUND_ROWS, FEATURE_COLS, FORECAST_HORIZONS, FORECAST_QUANTILES, RANDOM_SEED
 from ..functions.narrative import narrative
-from ..operators import attribution, forecast, metrics, monthly, portfolio, quality
+from ..operators import attribution, classify, forecast, metrics, monthly, portfolio, quality
 from . import oracle as O
-from .inputs import LINEAR_WEIGHTS
+from .inputs import HAND_BACKGROUND, HAND_FOREST, LINEAR_WEIGHTS, hand_forest
 from .queries import _quality_tables
 from .registry import precision, register
 
@@ -168,6 +171,110 @@ def x11_audit_checks_few_rows(inp):
     return attribution.audit_checks(inp.linear_attributions[0], inp.scored.where("RISK_TIER = 'Medium'"))
 
 
+# ---- the tree attributions and staged margins on a forest made by hand ---------------------------
+_LEAVES = attribution.tree_leaves(hand_forest())
+_COND = ", ".join(f"({k}, CAST({v!r} AS DOUBLE), {f}, CAST('{lo}' AS DOUBLE), CAST('{hi}' AS DOUBLE))"
+                  for k, (v, on, lower, upper) in enumerate(_LEAVES) for f, lo, hi in zip(on, lower.tolist(), upper.tolist(), strict=True))
+_USED = sorted({f for _, on, _, _ in _LEAVES for f in on})
+_LONG = " UNION ALL ".join(f"SELECT BELNR, {i} AS f, CAST({FEATURE_COLS[i]} AS DOUBLE) AS v FROM {{0}}" for i in _USED)
+FOREST = [
+    *O.SCORED,
+    f"bg AS (SELECT * FROM fs ORDER BY {_ORDER} LIMIT {HAND_BACKGROUND})",
+    f"cond(leaf, value, f, lo, hi) AS (VALUES {_COND})",
+    f"xm AS (SELECT BELNR, leaf, value, f, v > lo AND v <= hi AS x FROM ({_LONG.format('fs')}) JOIN cond USING (f))",
+    f"zm AS (SELECT BELNR AS z_id, leaf, value, f, v > lo AND v <= hi AS z FROM ({_LONG.format('bg')}) JOIN cond USING (f))",
+    "met AS (SELECT BELNR, z_id, xm.leaf, any_value(xm.value) AS value, bool_and(x OR z) AS whole, count_if(x AND NOT z) AS u, count_if(z AND NOT x) AS v "
+    "FROM xm JOIN zm ON xm.leaf = zm.leaf AND xm.f = zm.f GROUP BY BELNR, z_id, xm.leaf)",
+    "part AS (SELECT m.BELNR, xm.f, CASE WHEN x AND NOT z THEN m.value * factorial(CAST(u - 1 AS INTEGER)) * factorial(CAST(v AS INTEGER)) / factorial(CAST(u + v AS INTEGER)) "
+    "WHEN z AND NOT x THEN -m.value * factorial(CAST(u AS INTEGER)) * factorial(CAST(v - 1 AS INTEGER)) / factorial(CAST(u + v AS INTEGER)) ELSE 0.0 END AS phi "
+    "FROM met m JOIN xm ON xm.BELNR = m.BELNR AND xm.leaf = m.leaf JOIN zm ON zm.z_id = m.z_id AND zm.leaf = m.leaf AND zm.f = xm.f WHERE whole)",
+    f"phis AS (SELECT BELNR, f, sum(phi) / {HAND_BACKGROUND} AS phi FROM part GROUP BY BELNR, f)",
+    "lin AS (" + " UNION ALL ".join(
+        f"SELECT fs.BELNR, RISK_TIER, CAST({i} AS INTEGER) AS feature_idx, '{c}' AS feature, CAST({c} AS DOUBLE) AS value, coalesce(phi, 0.0) AS phi_margin "
+        f"FROM fs LEFT JOIN phis ON phis.BELNR = fs.BELNR AND f = {i}" for i, c in enumerate(FEATURE_COLS)) + ")",
+]
+
+
+def _forest_top(inp):
+    phi, base = inp.forest_attributions
+    top = attribution.top_flagged(inp.scored)
+    return top, phi.join(top.select("BELNR"), "BELNR"), base
+
+
+@precision({"phi_margin": 9, "base_margin": 9, "f_margin": 9})
+@register("x2_forest_attributions", O.with_prefix(*FOREST, _TOP, select=(
+    "SELECT BELNR, feature_idx, feature, phi_margin, (SELECT sum(value) FROM (SELECT z_id, leaf, any_value(value) AS value FROM zm GROUP BY z_id, leaf "
+    f"HAVING bool_and(z))) / {HAND_BACKGROUND} AS base_margin, f_margin FROM lin JOIN (SELECT BELNR, sum(value) AS f_margin FROM (SELECT BELNR, leaf, "
+    "any_value(value) AS value FROM xm GROUP BY BELNR, leaf HAVING bool_and(x)) GROUP BY BELNR) USING (BELNR) WHERE BELNR IN (SELECT BELNR FROM top)")))
+def x2_forest_attributions(inp):
+    """Exact contributions of the stand-in forest on the reported invoices, with base and own margin."""
+    _, phi, base = _forest_top(inp)
+    return phi.join(base, "BELNR").select("BELNR", "feature_idx", "feature", "phi_margin", "base_margin", "f_margin")
+
+
+@register("x3_forest_importance", O.rounded(O.with_prefix(*FOREST, _IMP, select="SELECT feature, mean_abs_phi, rank FROM imp"), ["mean_abs_phi"]))
+def x3_forest_importance(inp):
+    """Mean |contribution| per feature of the stand-in forest over all invoices, ranked."""
+    return attribution.global_importance(inp.forest_attributions[0])
+
+
+@precision({"phi_margin": 9, "value": 4})
+@register("x4_forest_waterfall", O.with_prefix(*FOREST, _TOP, select=(
+    "SELECT BELNR, position, feature, value, phi_margin, CASE WHEN phi_margin > 0 THEN 'increases risk' ELSE 'reduces risk' END AS direction "
+    "FROM (SELECT * REPLACE (round(phi_margin, 9) AS phi_margin), row_number() OVER (PARTITION BY BELNR ORDER BY round(abs(phi_margin), 9) DESC, feature) AS position FROM lin "
+    "WHERE BELNR IN (SELECT BELNR FROM top)) WHERE position <= 8")))
+def x4_forest_waterfall(inp):
+    """Top-8 drivers per reported invoice of the stand-in forest."""
+    top, phi, _ = _forest_top(inp)
+    return attribution.waterfall(phi.withColumn("phi_margin", F.round("phi_margin", 9)), top).select(
+        "BELNR", "position", "feature", "value", "phi_margin", "direction")
+
+
+@register("x8_forest_by_tier", O.rounded(O.with_prefix(*FOREST, select=(
+    "SELECT RISK_TIER, feature, avg(phi_margin) AS mean_phi FROM lin GROUP BY ALL")), ["mean_phi"]))
+def x8_forest_by_tier(inp):
+    """Mean contribution of the stand-in forest per (risk tier, feature)."""
+    return attribution.contributions_by_tier(inp.forest_attributions[0], inp.feature_store)
+
+
+@precision({"phi_margin": 9, "value": 4, "interaction_value": 4})
+@register("x9_forest_dependence", O.with_prefix(*FOREST, select=(
+    "SELECT lin.BELNR, feature, value, phi_margin, 'CUST_AVG_DAYS_LATE' AS interaction, CAST(CUST_AVG_DAYS_LATE AS DOUBLE) AS interaction_value "
+    "FROM lin JOIN fs USING (BELNR) WHERE feature = 'CUST_LATE_RATE'")))
+def x9_forest_dependence(inp):
+    """CUST_LATE_RATE's contribution to the stand-in forest against its value and CUST_AVG_DAYS_LATE."""
+    found = attribution.dependence(inp.forest_attributions[0], inp.feature_store, "CUST_LATE_RATE", "CUST_AVG_DAYS_LATE")
+    return found.select("BELNR", "feature", "value", "phi_margin", "interaction", "interaction_value")
+
+
+@register("x11_forest_audit_checks", O.with_prefix(*FOREST, _IMP, *_CHECKS, select=_CHECK_SQL))
+def x11_forest_audit_checks(inp):
+    """The six policy checks on the stand-in forest's contributions and the stand-in score."""
+    return attribution.audit_checks(inp.forest_attributions[0], inp.scored)
+
+
+def _tree_sql(nodes: list[dict], at: int = 0) -> str:
+    node = next(n for n in nodes if n["id"] == at)
+    if node["leftChild"] < 0:
+        return f"CAST({node['prediction']!r} AS DOUBLE)"
+    cut = f"CAST({FEATURE_COLS[node['split']['featureIndex']]} AS DOUBLE) <= CAST({node['split']['leftCategoriesOrThreshold'][0]!r} AS DOUBLE)"
+    return f"CASE WHEN {cut} THEN {_tree_sql(nodes, node['leftChild'])} ELSE {_tree_sql(nodes, node['rightChild'])} END"
+
+
+_TREES = [f"2 * CAST({w!r} AS DOUBLE) * ({_tree_sql(nodes)})" for w, nodes in HAND_FOREST]
+_STAGES = " UNION ALL ".join(f"SELECT {k} AS round, LATE_FLAG, {' + '.join(f't{i}' for i in range(1, k + 1))} AS m FROM trees" for k in range(1, len(_TREES) + 1))
+
+
+@register("c4_staged_auc_standin", O.rounded(O.with_prefix(
+    *O.FS_CTES, "trees AS (SELECT LATE_FLAG, " + ", ".join(f"{t} AS t{i}" for i, t in enumerate(_TREES, 1)) + " FROM fs)",
+    f"st AS (SELECT round, floor(m / CAST({metrics.MARGIN_BIN!r} AS DOUBLE)) AS s, count_if(LATE_FLAG = 1) AS pos, count_if(LATE_FLAG = 0) AS neg FROM ({_STAGES}) GROUP BY ALL)",
+    "cum AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY round ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_below FROM st)",
+    select="SELECT CAST(round AS INTEGER) AS round, sum(pos * (neg_below + neg * CAST(0.5 AS DOUBLE))) / (sum(pos) * sum(neg)) AS auc_roc FROM cum GROUP BY round"), ["auc_roc"]))
+def c4_staged_auc_standin(inp):
+    """AUC after each tree of the stand-in forest, from one pass over the rows."""
+    return metrics.staged_auc(classify.staged_margins(inp.feature_store, hand_forest(), ["LATE_FLAG"]))
+
+
 # ---- forecast reports on stand-in quantiles ------------------------------------------------------
 MISSING = "No Such Region"
 _RAW = ("q AS (SELECT h AS Horizon_Days, COLLECTIONS_LAG2 - COLLECTIONS_ROLL3_MEAN * h / 45 AS lo, "

@@ -174,7 +174,7 @@ def test_tree_contributions_are_exact(inp):
 
     bg = attribution.background(inp.feature_store, 3)
     rows = inp.feature_store.orderBy("BELNR").limit(2)
-    phi, base = attribution.tree_shapley(inp.classifier, rows, bg)
+    phi, base = attribution.model_shapley(inp.classifier, rows, bg)
     # every subset of the features switched on, averaged over the background
     n = len(FEATURE_COLS)
     x = rows.select("BELNR", F.array(*[F.col(c).cast("double") for c in FEATURE_COLS]).alias("x"))
@@ -207,7 +207,7 @@ def test_importance_of_the_portfolio_has_no_sampling_noise(inp):
 def test_folds_are_fitted_after_the_model_with_its_rounds(inp, tmp_dir, monkeypatch):
     from arledger.operators import classify
 
-    assert classify.ClassifierConfig().validation_tol <= 1e-5
+    assert classify.ClassifierConfig().patience == 50 and classify.ClassifierConfig().n_rounds == 500
     seen = []
     monkeypatch.setattr(classify, "cross_validate", lambda rows, cfg: seen.append(cfg.cv_rounds) or 0.75)
     train = inp.split.where("split = 'train'").drop("split")
@@ -225,3 +225,68 @@ def test_cv_auc_is_saved_with_the_model(inp, monkeypatch):
     monkeypatch.setattr(classify, "cross_validate", lambda rows, cfg: 0.75)
     assert inp.cv_auc == 0.75
     assert classify.TrainedClassifier.load(inp._classifier_path).cv_auc == 0.75
+
+
+def test_best_round_waits_for_the_patience():
+    from arledger.operators.classify import best_round
+
+    rise = [(k, 0.5 + k / 1000) for k in range(1, 101)]
+    assert best_round(rise, 50) == (100, False)
+    assert best_round(rise + [(100 + k, 0.55) for k in range(1, 50)], 50) == (100, False)
+    assert best_round(rise + [(100 + k, 0.55) for k in range(1, 51)], 50) == (100, True)
+    late = rise + [(100 + k, 0.55) for k in range(1, 40)] + [(140, 0.9)] + [(140 + k, 0.9) for k in range(1, 51)]
+    assert best_round(late, 50) == (140, True)
+    assert best_round([(k, None) for k in range(1, 8)], 3) == (7, True)
+
+
+def test_staged_auc_by_pairs(spark):
+    import random
+
+    from arledger.operators.metrics import staged_auc
+
+    rnd = random.Random(2)
+    rows = [(rnd.randint(0, 1), [round(rnd.gauss(0, 2), 3) for _ in range(4)]) for _ in range(200)] + [(1, [99.0, -99.0, 0.0, 0.0])]
+    got = {r["round"]: r["auc_roc"] for r in staged_auc(spark.createDataFrame(rows, "LATE_FLAG int, MARGINS array<double>").repartition(3)).collect()}
+    for k in range(4):
+        pairs = [(a[1][k], b[1][k]) for a in rows for b in rows if a[0] == 1 and b[0] == 0]
+        want = sum((a > b) + 0.5 * (a == b) for a, b in pairs) / len(pairs)
+        assert abs(got[k + 1] - want) < 2e-3
+    assert staged_auc(spark.createDataFrame([(1, [0.1])], "LATE_FLAG int, MARGINS array<double>")).first()["auc_roc"] is None
+
+
+def test_trees_after_the_best_round_are_cut(inp, tmp_dir):
+    from arledger.operators import classify
+
+    train = inp.split.where("split = 'train'").drop("split")
+    m = classify.train_classifier(train, classify.ClassifierConfig(n_rounds=24, first_rounds=6, patience=4, max_depth=3))
+    best, _ = classify.best_round(m.trace, 4)
+    assert m.gbt.getNumTrees == best <= len(m.trace) and len(m.trace) in (6, 12, 24)
+    kept = m.trace_table().where("kept").count()
+    assert kept == best
+    # the margins after the last kept tree are those of the cut ensemble
+    rows = inp.split.where("split = 'test'").limit(200)
+    staged = classify.staged_margins(rows, classify.tree_nodes(m.gbt, inp.spark), ["BELNR"]).collect()
+    own = {r["BELNR"]: r["MARGIN"] for r in m.raw_probability(rows).collect()}
+    assert all(abs(r["MARGINS"][-1] - own[r["BELNR"]]) < 1e-9 and len(r["MARGINS"]) == best for r in staged)
+    m.save(tmp_dir + "/cut")
+    back = classify.TrainedClassifier.load(tmp_dir + "/cut")
+    assert back.trace == m.trace and back.gbt.getNumTrees == best and back.config == m.config
+
+
+def test_one_label_keeps_all_trees(inp):
+    from arledger.operators import classify
+
+    data = classify.assemble(inp.feature_store.limit(60).withColumn("LATE_FLAG", F.lit(1))).withColumns(
+        {"weight": F.lit(1.0), "is_val": F.col("BELNR") % 2 == 0})
+    gbt, trace = classify.fit_boosted(data, classify.ClassifierConfig(n_rounds=2, max_depth=2))
+    assert gbt.getNumTrees == 2 and all(auc is None for _, auc in trace)
+
+
+def test_random_baseline_follows_the_keys(inp):
+    from arledger.operators.classify import key_uniform
+
+    u = inp.feature_store.select("BELNR", key_uniform(inp.feature_store, 42).alias("u"))
+    a = {r[0]: r[1] for r in u.collect()}
+    fs = inp.feature_store.repartition(7)
+    b = {r[0]: r[1] for r in fs.select("BELNR", key_uniform(fs, 42).alias("u")).collect()}
+    assert a == b and all(0 <= v < 1 for v in a.values()) and 0.4 < sum(a.values()) / len(a) < 0.6
