@@ -10,13 +10,13 @@ from arledger.llm import queries
 
 DIR = "/root/testdata/sf0.001"
 ORACLE = queries.ORACLE | corpus_pipeline.ORACLE
-NUMBERED = {f"op{n}_" for n in range(1, 11)}
+NUMBERED = {f"op{n}_" for n in range(1, 14)}
 
 
 @pytest.fixture(scope="module")
 def con():
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations", "pages"):
+    for t in ("documents", "benchmark", "conversations", "pages", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DIR}/{t}.parquet')")
     return con
 
@@ -31,8 +31,8 @@ def test_query_matches_sql(spark, con, name):
 
 
 def test_each_operator_has_one_query():
-    assert {n[: n.index("_") + 1] for n in queries.QUERIES} == NUMBERED and len(queries.QUERIES) == 10
-    assert set(queries.QUERIES) - set(queries.ORACLE) == {"op5_language_fusion", "op7_packed_rows", "op8_prefix_token_counts"}
+    assert {n[: n.index("_") + 1] for n in queries.QUERIES} == NUMBERED and len(queries.QUERIES) == 13
+    assert set(queries.QUERIES) - set(queries.ORACLE) == {"op5_language_fusion", "op7_packed_rows", "op8_prefix_token_counts", "op13_factorization_toxicity"}
 
 
 PYTHON = ("MapInArrow", "PythonUDF", "ArrowEvalPython", "BatchEvalPython", "FlatMapGroups")
