@@ -33,12 +33,12 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Rows that teach, terms that count, and how far a term must be over-represented.
-SAMPLE, TERMS, LEAST_Z = 65_536, 8_192, 4.0
+SAMPLE, TERMS, LEAST_Z = 32_768, 8_192, 4.0
 #: Every ``FOLDS``-th id (by checksum) is held out.
 FOLDS = 5
 #: Leading characters of a word that are terms of their own.
 STEMS = (3, 4, 5, 6, 7)
-FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 25, 256, 0.1, 1e-4
+FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 12, 256, 0.1, 1e-4
 
 #: Bytes of words: ASCII letters and digits, and all beyond ASCII.
 WORD = np.zeros(256, bool)
@@ -55,31 +55,41 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def terms(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct terms of each text: (number of the text, hash of the term), by text."""
+def word_terms(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of each text as (number of the text, number of the word) by text, and the hashes of each
+    word's terms (words x kinds; a stem that a word is too short for is the word itself)."""
     data, begins = common.lined_up(texts)
     data = lowered(data)
     inside = WORD[data]
     ids, counts, starts, used = common.word_table(data, ~inside, begins)
     if not len(ids):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    pairs = np.unique(np.repeat(np.arange(len(texts)), counts) * used + ids)  # distinct words of each text
-    _, one = np.unique(ids, return_index=True)
-    start = starts[one]  # an occurrence of each word of the chunk
-    end = common.spans(inside)[1][one]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 1 + len(STEMS)), np.uint64)
+    pairs = np.unique(np.repeat(np.arange(len(texts)), counts) * used + ids)
+    one = np.empty(used, np.int64)
+    one[ids] = np.arange(len(ids))
+    start, end = starts[one], common.spans(inside)[1][one]  # an occurrence of each word of the chunk
     characters = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
     first = np.searchsorted(characters, start)
     kinds = [common.string_hashes(data, start, end)]
     for k in STEMS:
         stem_end = characters[np.minimum(first + k, len(characters) - 1)]
         hashed = common.mix64(common.string_hashes(data, start, np.minimum(stem_end, end)) ^ np.uint64(0x5851F42D4C957F2D))
-        kinds.append(np.where(stem_end <= end, hashed, kinds[0]))  # a shorter word is only itself
-    text, word = np.tile(pairs // used, len(kinds)), pairs % used
-    found = np.concatenate([k[word] for k in kinds])
-    by = np.lexsort((found, text))
-    text, found = text[by], found[by]
-    new = (np.diff(text, prepend=-1) != 0) | np.concatenate(([True], found[1:] != found[:-1]))
-    return text[new], found[new]
+        kinds.append(np.where(stem_end <= end, hashed, kinds[0]))
+    return pairs // used, pairs % used, np.stack(kinds, axis=1)
+
+
+def _distinct(text: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs, by text and value."""
+    by = np.lexsort((value, text))
+    text, value = text[by], value[by]
+    new = (np.diff(text, prepend=-1) != 0) | np.concatenate((np.ones(min(len(value), 1), bool), value[1:] != value[:-1]))
+    return text[new], value[new]
+
+
+def terms(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct terms of each text: (number of the text, hash of the term), by text."""
+    text, word, kinds = word_terms(texts)
+    return _distinct(np.repeat(text, kinds.shape[1]), kinds[word].ravel())
 
 
 class Machine:
@@ -99,12 +109,15 @@ class Machine:
 
     def inputs(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """(number of the text, number of the input) of the texts' terms that count."""
-        row, found = terms(texts)
-        if not len(self.hashes):
-            return row[:0], row[:0]
-        at = np.minimum(np.searchsorted(self.hashes, found), len(self.hashes) - 1)
-        known = self.hashes[at] == found
-        return row[known], at[known]
+        text, word, kinds = word_terms(texts)
+        if not len(self.hashes) or not len(word):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, kinds), len(self.hashes) - 1)
+        known = self.hashes[at] == kinds
+        some = known.any(axis=1)[word]  # few words have a term that counts
+        text, word = text[some], word[some]
+        mine = known[word]
+        return _distinct(np.repeat(text, mine.sum(axis=1)), at[word][mine])
 
     def scores(self, texts: list[bytes | None]) -> np.ndarray:
         row, at = self.inputs(texts)
@@ -116,22 +129,26 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _summed(row: np.ndarray, values: np.ndarray, rows: int) -> np.ndarray:
-    out = np.zeros((rows, values.shape[1]))
-    np.add.at(out, row, values)
+    """Sums of the values of each row number; ``row`` rises."""
+    out = np.zeros((rows, *values.shape[1:]))
+    if len(row):
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        out[row[first]] = np.add.reduceat(values, first, axis=0)
     return out
 
 
 def _margins(row: np.ndarray, at: np.ndarray, rows: int, w0: float, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Margins of the rows, and the sums of their factors: pairs come from (sum v)^2 - sum v^2."""
-    total = _summed(row, v[at], rows)
-    pairs = (total**2).sum(1) - np.bincount(row, (v[at] ** 2).sum(1), rows)
-    return w0 + np.bincount(row, w[at], rows) + pairs / 2, total
+    mine = v[at]
+    total = _summed(row, mine, rows)
+    pairs = (total**2).sum(1) - _summed(row, (mine**2).sum(1), rows)
+    return w0 + _summed(row, w[at], rows) + pairs / 2, total
 
 
 def fit(row: np.ndarray, at: np.ndarray, label: np.ndarray, inputs: int, seed: int = 13) -> tuple[float, np.ndarray, np.ndarray]:
     """w0, w and v from rows given as (row, input) pairs by row, by AdaGrad on the logistic loss."""
     rows, rnd = len(label), np.random.default_rng(seed)
-    share = (label.sum() + 1) / (rows + 2)
+    share = (label.sum() + 0.5) / (rows + 2)
     w0, w, v = np.log(share / (1 - share)), np.zeros(inputs), rnd.normal(0, 0.05, (inputs, FACTORS))
     if not inputs or label.min(initial=1) == label.max(initial=0):
         return float(w0), w, v * 0
@@ -146,9 +163,11 @@ def fit(row: np.ndarray, at: np.ndarray, label: np.ndarray, inputs: int, seed: i
             margin, total = _margins(local, here, len(some), w0, w, v)
             slope = (_sigmoid(margin) - label[some]) / len(some)
             w0 -= RATE * slope.sum() / np.sqrt(g0 := g0 + slope.sum() ** 2)
-            used, of = np.unique(here, return_inverse=True)
-            dw = np.bincount(of, slope[local], len(used)) + DECAY * w[used]
-            dv = _summed(of, slope[local, None] * (total[local] - v[here]), len(used)) + DECAY * v[used]
+            by = np.argsort(here, kind="stable")
+            used, of = np.unique(here[by], return_inverse=True)
+            push = slope[local[by]]
+            dw = _summed(of, push, len(used)) + DECAY * w[used]
+            dv = _summed(of, push[:, None] * (total[local[by]] - v[here[by]]), len(used)) + DECAY * v[used]
             gw[used] += dw**2
             gv[used] += dv**2
             w[used] -= RATE * dw / np.sqrt(gw[used])
@@ -217,7 +236,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     lists = rows.mapInArrow(listed, f"id {kind}, toxic boolean, terms array<int>")
     lists = lists.groupBy("id").agg(F.max("toxic").alias("toxic"), F.min("terms").alias("terms"))
     lists = lists.repartition(1).sortWithinPartitions("id").select("toxic", "terms")
-    return Machine.loaded(bytes(lists.mapInArrow(fitted, "machine binary").first().machine))
+    found = lists.mapInArrow(fitted, "machine binary").first()
+    return Machine.loaded(bytes(found.machine)) if found else Machine(blank.hashes, *fit(np.zeros(0, int), np.zeros(0, int), np.zeros(0), 0))
 
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from arledger.llm import audit
 
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LABELS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("quality", T.IntegerType()), T.StructField("toxic", T.IntegerType())])
 
 
@@ -66,8 +67,6 @@ def test_every_order_counted(spark, docs, corpus, labels):
 
 def test_parts_with_null_and_many_values(spark, corpus, labels):
     rows = [(r[0], r[1], None if i % 7 == 0 else f"p{i % 40}", r[3], r[4]) for i, r in enumerate(corpus)]
-    from .conftest import DOCS
-
     assert found(audit.audit(spark.createDataFrame(rows, DOCS), labels[1])) == expected(rows, labels[0])
 
 

@@ -13,8 +13,7 @@ from pyspark.sql import types as T
 
 from arledger.llm import toxicity
 
-from .conftest import DOCS
-
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LABELS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("quality", T.IntegerType()), T.StructField("toxic", T.IntegerType())])
 
 
