@@ -1,47 +1,34 @@
 """Quantile cash-collection forecasts.
 
-MLlib has no quantile-loss boosting, so the quantile model is a quantile regression forest
-(Meinshausen 2006): one ``RandomForestRegressor`` per (model slice, horizon) serves every
-quantile. Training rows and query rows are exploded to (tree, leaf); the join on
-(model, horizon, tree, leaf) gives each query row the weights 1 / (trees x leaf size) of the
-training rows sharing its leaves; the weighted quantile is the first training target whose
-cumulative weight reaches q (a window over one query row's candidates). Every table here is
-bounded by slices x months, not by invoice volume.
+The quantile models are boosted trees on the pinball loss (``boosting``), one per (model, horizon, quantile): the
+global model on the overall series (or on the pooled segments) and one per eligible segment value. All of them are
+fitted in one job over one table of rows keyed by the model, and kept as one table of leaves. Scoring, of the test
+rows as of any selection of slices, is one join with that table; the number of jobs doesn't depend on the
+number of segments or selections. Every table here is bounded by slices x months, not by invoice volume.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field, fields
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import (
     FORECAST_FEATURE_COLS,
     FORECAST_HORIZONS,
     FORECAST_QUANTILES,
-    RANDOM_SEED,
     SEGMENT_COLUMN,
 )
 from ..session import stored
+from . import boosting
 from .monthly import SLICE, horizon_targets, segment_summary, select_slice
 from .normalize import normalize_selector
 
 
-#: Target rows up to which the forests are fitted on one partition.
-ONE_PARTITION_ROWS = 100_000
-
-
 @dataclass
 class ForecastConfig:
-    num_trees: int = 100
-    max_depth: int = 5
-    min_instances_per_node: int = 2
-    subsample: float = 0.8
-    seed: int = RANDOM_SEED
+    boost: boosting.BoostConfig = field(default_factory=boosting.BoostConfig)
     quantiles: tuple = tuple(FORECAST_QUANTILES)
     horizons: tuple = tuple(FORECAST_HORIZONS)
 
@@ -51,35 +38,11 @@ def qname(q: float) -> str:
     return f"q{int(round(q * 100)):02d}"
 
 
-def _assemble(df: DataFrame) -> DataFrame:
-    return VectorAssembler(inputCols=FORECAST_FEATURE_COLS, outputCol="features").transform(df)
-
-
-def leaf_rows(forest: RandomForestRegressionModel, rows: DataFrame, model_key: str, horizon: int, ids: list[str]) -> DataFrame:
-    """One row per (row, tree): model, horizon, ids, tree, leaf."""
-    return forest.transform(_assemble(rows)).select(
-        F.lit(model_key).alias("model"), F.lit(int(horizon)).alias("horizon"), *ids,
-        F.posexplode(vector_to_array("leaf")).alias("tree", "leaf"),
-    )
-
-
-def leaf_weights(train_leaves: DataFrame) -> DataFrame:
-    """Weight 1 / (trees x leaf size) of every training row in every tree."""
-    of_leaf = Window.partitionBy("model", "horizon", "tree", "leaf")
-    of_row = Window.partitionBy("model", "horizon", "_rid")
-    return train_leaves.withColumn("w", 1.0 / (F.count(F.lit(1)).over(of_leaf) * F.count(F.lit(1)).over(of_row)))
-
-
-def weighted_quantiles(query_leaves: DataFrame, leaves: DataFrame, id_cols: list[str], quantiles) -> DataFrame:
-    """model, horizon, id_cols and one ``qname(q)`` column each, for the queries of all models at once."""
-    at = ["model", "horizon", "tree", "leaf"]
-    keys = ["model", "horizon", *id_cols]
-    weights = query_leaves.join(leaves, at).groupBy(*keys, "_ty", "_rid").agg(F.sum("w").alias("w"))
-    w = Window.partitionBy(*keys).orderBy("_ty", "_rid").rowsBetween(Window.unboundedPreceding, 0)
-    cum = weights.withColumn("cw", F.sum("w").over(w))
-    return cum.groupBy(*keys).agg(*[
-        F.min(F.when(F.col("cw") >= F.lit(float(q)) - 1e-9, F.col("_ty"))).alias(qname(q)) for q in quantiles
-    ])
+def quantile_columns(rows: DataFrame, trees: DataFrame, keep: list[str], quantiles) -> DataFrame:
+    """model, horizon, ``keep`` and one ``qname(q)`` column each."""
+    long = boosting.predict(rows, trees, FORECAST_FEATURE_COLS, keep)
+    return long.groupBy("model", "horizon", *keep).agg(*[
+        F.max(F.when(F.col("quantile") == F.lit(float(q)), F.col("prediction"))).alias(qname(q)) for q in quantiles])
 
 
 def pinball_table(pred: DataFrame, quantiles, target: str = "TARGET") -> DataFrame:
@@ -95,120 +58,123 @@ def pinball_table(pred: DataFrame, quantiles, target: str = "TARGET") -> DataFra
 
 @dataclass
 class Forecaster:
-    """Global forest per horizon plus forests for eligible segment values."""
+    """The global models and those of the eligible segment values."""
 
-    models: dict  # (model_key, horizon) -> fitted forest
-    leaves: DataFrame  # model, horizon, _rid, _ty (training target), tree, leaf, w
+    trees: DataFrame  # one row per leaf of every (model, horizon, quantile)
     summary: DataFrame  # M16 + trained flag / reason
     results: DataFrame  # M22 pinball losses
     cfg: ForecastConfig
+    segment: str = SEGMENT_COLUMN
+
+    @property
+    def models(self) -> set[tuple[str, int]]:
+        """(model, horizon) of all fitted models."""
+        return {(r["model"], r["horizon"]) for r in self.trees.where("tree = 0").select("model", "horizon").distinct().collect()}
+
+    def rounds(self) -> DataFrame:
+        """Kept rounds and leaves of every model, and its loss on the test months."""
+        last = F.max(F.struct("tree", "test_loss"))["test_loss"]
+        return self.trees.groupBy(*boosting.MODEL).agg(
+            F.max("tree").alias("n_rounds"), F.count_if(F.col("tree") > 0).alias("n_leaves"), last.alias("test_loss"))
 
     def save(self, path: str) -> None:
-        """Every forest, the training leaves, the summary, the results and one metadata row."""
+        """The leaves of all models, the summary, the results and one metadata row (written last)."""
+        for name in ("trees", "summary", "results"):
+            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        boost = [str(getattr(self.cfg.boost, f.name)) for f in fields(boosting.BoostConfig)]
+        meta = [(",".join(map(str, self.cfg.quantiles)), ",".join(map(str, self.cfg.horizons)), ",".join(FORECAST_FEATURE_COLS), self.segment, *boost)]
+        names = ["quantiles", "horizons", "feature_cols", "segment", *(f.name for f in fields(boosting.BoostConfig))]
         spark = self.summary.sparkSession
-        index = []
-        for i, ((key, h), forest) in enumerate(sorted(self.models.items(), key=lambda m: m[0])):
-            forest.write().overwrite().save(f"{path}/forest_{i}")
-            index.append((i, key, int(h)))
-        spark.createDataFrame(index, "i int, model_key string, horizon int").coalesce(1) \
-            .write.mode("overwrite").parquet(f"{path}/index")
-        self.leaves.write.mode("overwrite").parquet(f"{path}/leaves")
-        self.summary.write.mode("overwrite").parquet(f"{path}/summary")
-        self.results.write.mode("overwrite").parquet(f"{path}/results")
-        meta = [(",".join(map(str, self.cfg.quantiles)), ",".join(map(str, self.cfg.horizons)),
-                 ",".join(FORECAST_FEATURE_COLS), self.cfg.num_trees, self.cfg.max_depth)]
-        spark.createDataFrame(meta, "quantiles string, horizons string, feature_cols string, num_trees int, "
-                                    "max_depth int").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+        spark.createDataFrame(meta, ", ".join(f"{n} string" for n in names)).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
     @staticmethod
     def load(path: str) -> "Forecaster":
-        from pyspark.sql import SparkSession
-
         spark = SparkSession.getActiveSession()
         meta = spark.read.parquet(f"{path}/meta").first()
-        cfg = ForecastConfig(num_trees=meta["num_trees"], max_depth=meta["max_depth"],
-                             quantiles=tuple(float(q) for q in meta["quantiles"].split(",")),
-                             horizons=tuple(int(h) for h in meta["horizons"].split(",")))
-        models = {(r["model_key"], r["horizon"]): RandomForestRegressionModel.load(f"{path}/forest_{r['i']}")
-                  for r in spark.read.parquet(f"{path}/index").collect()}  # one row per saved forest
-        return Forecaster(models, spark.read.parquet(f"{path}/leaves"), spark.read.parquet(f"{path}/summary"),
-                          spark.read.parquet(f"{path}/results"), cfg)
+        boost = boosting.BoostConfig(**{f.name: type(f.default)(meta[f.name]) for f in fields(boosting.BoostConfig)})
+        cfg = ForecastConfig(boost, tuple(float(q) for q in meta["quantiles"].split(",")), tuple(int(h) for h in meta["horizons"].split(",")))
+        return Forecaster(*[spark.read.parquet(f"{path}/{name}") for name in ("trees", "summary", "results")], cfg, meta["segment"])
+
+
+#: What tells the rows of a series apart: they are sorted by it before a fit.
+ROW = [*SLICE, "COLLECT_MONTH"]
+
+
+def model_rows(monthly: DataFrame, summary: DataFrame, horizons=tuple(FORECAST_HORIZONS), pooled: bool = False, segment: str = SEGMENT_COLUMN) -> DataFrame:
+    """The targets (M13) of every model: those of the overall series for ``global`` (``pooled``: of all kept
+    segment series, if there are any) and those of each eligible segment value for ``segment:value``.
+    Targets never cross slices (lead inside a slice) and the 80 % split is per slice."""
+    targets = horizon_targets(monthly, horizons)
+    flag_seg, flag_other = ("ALL_REGION", "ALL_INDUSTRY") if segment == "REGION" else ("ALL_INDUSTRY", "ALL_REGION")
+    series = targets.where((F.col(flag_seg) == 0) & (F.col(flag_other) == 1)).join(
+        summary.select(F.col("segment").alias(segment), "eligible_for_segment_model", "kept_for_pooling"), segment)
+    of_segment = series.where("eligible_for_segment_model").withColumn("model", F.concat(F.lit("segment:"), F.col(segment)))
+    overall = targets.where((F.col("ALL_REGION") == 1) & (F.col("ALL_INDUSTRY") == 1)).withColumn("model", F.lit("global"))
+    if pooled:
+        any_kept = summary.agg(F.coalesce(F.max(F.col("kept_for_pooling")), F.lit(False))).scalar()
+        pool = series.where("kept_for_pooling").withColumn("model", F.lit("global"))
+        overall = overall.where(~any_kept).select(*targets.columns, "model").unionByName(pool.select(*targets.columns, "model"))
+    rows = overall.select(*targets.columns, "model").unionByName(of_segment.select(*targets.columns, "model"))
+    return rows.select("model", F.col("HORIZON_DAYS").cast("int").alias("horizon"), (F.col("split") == "train").alias("is_train"),
+                       F.col("TARGET").alias("target"), *ROW, *FORECAST_FEATURE_COLS)
 
 
 def train_forecaster(monthly: DataFrame, cfg: ForecastConfig | None = None, pooled: bool = False,
                      segment: str = SEGMENT_COLUMN) -> Forecaster:
-    """M15 + M18 + M22. The global model trains on the overall series (``pooled=True`` trains it
-    on the kept segment series instead); each eligible segment value gets its own forests.
-    Targets never cross slices (lead inside a slice) and the 80 % split is per slice.
-
-    MLlib fits one forest at a time; everything after the fits is one table keyed (model, horizon,
-    tree, leaf): the training leaves are stored once, and all test rows of all models get all
-    quantiles and losses in one aggregate."""
+    """M15 + M18 + M22: all models of all horizons and quantiles in one job, kept as one table of leaves; then
+    all test rows get all quantiles and losses in one aggregate."""
     cfg = cfg or ForecastConfig()
-    targets = stored(horizon_targets(monthly, cfg.horizons).withColumn("_rid", F.monotonically_increasing_id()), "forecast-targets")
-    if targets.count() <= ONE_PARTITION_ROWS:  # slices x months: one partition saves a scheduling round per tree level
-        targets = targets.coalesce(1)
-    summ = segment_summary(monthly, segment)
-    # segment values drive one MLlib fit each, so the (small, label-domain bounded) list of
-    # eligible / kept values is read on the driver; no data rows are collected
-    eligible = [r["segment"] for r in summ.where("eligible_for_segment_model").select("segment").collect()]
-    flag_seg = "ALL_REGION" if segment == "REGION" else "ALL_INDUSTRY"
-    flag_other = "ALL_INDUSTRY" if segment == "REGION" else "ALL_REGION"
-    overall = (F.col("ALL_REGION") == 1) & (F.col("ALL_INDUSTRY") == 1)
-    seg_rows = (F.col(flag_seg) == 0) & (F.col(flag_other) == 1)
-    kept = [r["segment"] for r in summ.where("kept_for_pooling").select("segment").collect()]
-    global_rows = (seg_rows & F.col(segment).isin(kept)) if (pooled and kept) else overall
-    plans = [("global", global_rows)] + [
-        (f"segment:{v}", seg_rows & (F.col(segment) == v)) for v in eligible
-    ]
-    models, train_leaves, test_leaves = {}, None, None
-    for key, cond in plans:
-        for h in cfg.horizons:
-            rows = targets.where(cond & (F.col("HORIZON_DAYS") == h))
-            train = rows.where(F.col("split") == "train").withColumn("_ty", F.col("TARGET"))
-            test = rows.where(F.col("split") == "test")
-            rf = RandomForestRegressor(
-                featuresCol="features", labelCol="TARGET", numTrees=cfg.num_trees, maxDepth=cfg.max_depth,
-                minInstancesPerNode=cfg.min_instances_per_node, subsamplingRate=cfg.subsample, seed=cfg.seed,
-                featureSubsetStrategy="onethird", leafCol="leaf",
-            )
-            data = _assemble(train).persist()
-            models[(key, h)] = forest = rf.fit(data)
-            data.unpersist()
-            a = leaf_rows(forest, train, key, h, ["_rid", "_ty"])
-            b = leaf_rows(forest, test, key, h, ["_rid", "TARGET"]).withColumnRenamed("_rid", "_qid")
-            train_leaves = a if train_leaves is None else train_leaves.unionByName(a)
-            test_leaves = b if test_leaves is None else test_leaves.unionByName(b)
-    leaves = stored(leaf_weights(train_leaves), "forecast-leaves")
-    pred = weighted_quantiles(test_leaves, leaves, ["_qid", "TARGET"], cfg.quantiles)
-    results = stored(pinball_table(pred, cfg.quantiles), "forecast-results")
-    trained = F.col("segment").isin(eligible) if eligible else F.lit(False)
-    summary = summ.withColumn("trained", trained).withColumn(
-        "reason", F.when(F.col("trained"), F.lit("trained")).otherwise(F.col("reason"))
-    )
-    return Forecaster(models, leaves, summary, results, cfg)
-
-
-def resolve_model(fc: Forecaster, region: str | None = None, industry: str | None = None,
-                  segment: str = SEGMENT_COLUMN) -> tuple[str, str, str | None]:
-    """Segment forests when the selected segment value has them, else global."""
-    sel = normalize_selector(region if segment == "REGION" else industry)
-    key = f"segment:{sel}"
-    if sel is not None and any(k == key for k, _ in fc.models):
-        return key, "segment", sel
-    return "global", "global", sel
-
-
-def inference_rows(monthly: DataFrame, region: str | None = None, industry: str | None = None,
-                   min_rows: int = 12) -> DataFrame:
-    """The selected slice when it has >= min_rows rows, else the overall series (decided
-    by a scalar count of the slice: at most one row per month)."""
-    sel = select_slice(monthly, region, industry)
-    overall = select_slice(monthly)
-    if normalize_selector(region) is None and normalize_selector(industry) is None:
-        return overall
-    n = sel.agg(F.count(F.lit(1))).scalar()
-    return sel.where(n >= min_rows).unionByName(overall.where(n < min_rows))
+    summary = segment_summary(monthly, segment)
+    rows = stored(model_rows(monthly, summary, cfg.horizons, pooled, segment), "forecast-rows")
+    trees = stored(boosting.fit_models(rows, FORECAST_FEATURE_COLS, cfg.quantiles, cfg.boost, tuple(ROW)), "forecast-trees")
+    test = rows.where(~F.col("is_train"))
+    pred = quantile_columns(test.fillna("", SLICE), trees, [*ROW, "target"], cfg.quantiles)
+    results = stored(pinball_table(pred, cfg.quantiles, "target"), "forecast-results")
+    trained = F.col("eligible_for_segment_model")
+    summary = summary.withColumn("trained", trained).withColumn(
+        "reason", F.when(trained, F.lit("trained")).otherwise(F.col("reason")))
+    return Forecaster(trees, stored(summary, "forecast-summary"), results, cfg, segment)
+
+
+def selections(spark: SparkSession, slices: list[tuple[str | None, str | None]]) -> DataFrame:
+    """N9 for a list of (region, industry) selections: the labels to show and the values to look for (null: all)."""
+    rows = [(i, r or "All", s or "All", normalize_selector(r), normalize_selector(s)) for i, (r, s) in enumerate(slices)]
+    return spark.createDataFrame(rows, "selection int, Selected_Region string, Selected_Industry string, region string, industry string")
+
+
+def resolve_models(chosen: DataFrame, summary: DataFrame, segment: str = SEGMENT_COLUMN) -> DataFrame:
+    """M19 for all selections at once: the models of the selected segment value if it has them, else the global ones
+    (columns model, Model_Source, Model_Segment)."""
+    own = summary.where("trained").select(F.col("segment").alias("_trained"))
+    value = F.col("region") if segment == "REGION" else F.col("industry")
+    found = chosen.join(own, value == F.col("_trained"), "left")
+    has = F.col("_trained").isNotNull()
+    return found.select(*chosen.columns, F.when(has, F.concat(F.lit("segment:"), value)).otherwise("global").alias("model"),
+                        F.when(has, "segment").otherwise("global").alias("Model_Source"), F.coalesce(value, F.lit("All")).alias("Model_Segment"))
+
+
+def latest_rows(monthly: DataFrame, chosen: DataFrame, min_rows: int = 12) -> DataFrame:
+    """M20 for all selections at once: the latest row of the selected slice if it has ``min_rows`` months, else of the
+    overall series, and which one it is and why (Inference_Slice)."""
+    latest = monthly.withColumns({
+        "_months": F.count(F.lit(1)).over(Window.partitionBy(*SLICE)),
+        "_rk": F.row_number().over(Window.partitionBy(*SLICE).orderBy(F.desc("COLLECT_MONTH")))}).where("_rk = 1")
+    latest = stored(latest.drop("_rk"), "forecast-latest")  # one row per slice
+    # flags and values are looked for together, so a slice without a label isn't taken for the overall one
+    slices = latest.select((F.col("ALL_REGION") == 1).alias("_all_r"), (F.col("ALL_INDUSTRY") == 1).alias("_all_i"), F.when(F.col("ALL_REGION") == 0, F.col("REGION")).alias("_r"),
+                           F.when(F.col("ALL_INDUSTRY") == 0, F.col("INDUSTRY")).alias("_i"), F.struct(*monthly.columns).alias("_row"), F.col("_months"))
+    same = F.col("region").eqNullSafe(F.col("_r")) & F.col("industry").eqNullSafe(F.col("_i"))
+    flags = (F.col("region").isNull() == F.col("_all_r")) & (F.col("industry").isNull() == F.col("_all_i"))
+    found = chosen.join(slices, same & flags, "left")
+    months = F.coalesce("_months", F.lit(0))
+    whole = F.col("region").isNull() & F.col("industry").isNull()
+    portfolio = slices.where("_all_r and _all_i").select(F.col("_row").alias("_overall"))
+    overall = portfolio.select("_overall").scalar()
+    own = whole | (months >= min_rows)
+    why = F.when(whole, F.lit("portfolio")).when(months >= min_rows, F.lit("selected slice")).otherwise(
+        F.concat(F.lit("portfolio (fallback: selected slice has "), months.cast("string"), F.lit(f" months < {min_rows})")))
+    rows = found.select(*chosen.columns, why.alias("Inference_Slice"), F.when(own, F.col("_row")).otherwise(overall).alias("_row")).where("_row is not null")
+    return rows.select(*chosen.columns, "Inference_Slice", "_row.*")
 
 
 #: Columns that a quantile source hands to ``forecast_table``.
@@ -235,33 +201,18 @@ def forecast_table(pred: DataFrame) -> DataFrame:
     )
 
 
-def latest_rows(monthly: DataFrame, region: str | None = None, industry: str | None = None) -> DataFrame:
-    """The latest row of the inference slice, and which series it is."""
-    rows = inference_rows(monthly, region, industry)
-    last = F.row_number().over(Window.partitionBy(*SLICE).orderBy(F.desc("COLLECT_MONTH")))
-    rows = rows.withColumn("_rk", last).where(F.col("_rk") == 1).drop("_rk")
-    return rows.withColumn("Inference_Slice", _inference_reason(monthly, region, industry))
-
-
 def generate_forecasts(fc: Forecaster, monthly: DataFrame, slices: list[tuple[str | None, str | None]]) -> DataFrame:
-    """M21 for several (region, industry) selections at once: every (selection, horizon) is a query
-    of one weighted-quantile job."""
+    """M21 for several (region, industry) selections at once: their rows and models are joined, and all get all
+    quantiles in one sum."""
     qs = fc.cfg.quantiles
     lo_q, med_q, hi_q = (min(qs, key=lambda x: abs(x - t)) for t in (0.10, 0.50, 0.90))
-    ids = ["Selected_Region", "Selected_Industry", "Model_Source", "Model_Segment", "Inference_Slice"]
-    queries = None
-    for region, industry in slices:
-        key, source, seg = resolve_model(fc, region, industry)
-        rows = latest_rows(monthly, region, industry).withColumns({
-            "Selected_Region": F.lit(region or "All"), "Selected_Industry": F.lit(industry or "All"),
-            "Model_Source": F.lit(source), "Model_Segment": F.lit(seg or "All")})
-        for h in fc.cfg.horizons:
-            one = leaf_rows(fc.models[(key, h)], rows, key, h, ids)
-            queries = one if queries is None else queries.unionByName(one)
-    pred = weighted_quantiles(queries, fc.leaves, ids, [lo_q, med_q, hi_q])
+    ids = ["selection", "Selected_Region", "Selected_Industry", "Model_Source", "Model_Segment", "Inference_Slice"]
+    chosen = resolve_models(selections(monthly.sparkSession, slices), fc.summary, fc.segment)
+    rows = latest_rows(monthly, chosen).withColumn("horizon", F.explode(F.array(*[F.lit(int(h)) for h in fc.cfg.horizons])))
+    pred = quantile_columns(rows, fc.trees, ids, [lo_q, med_q, hi_q])
     return forecast_table(pred.select(
         F.col("horizon").alias("Horizon_Days"), F.col(qname(lo_q)).alias("LOWER"), F.col(qname(med_q)).alias("MEDIAN"),
-        F.col(qname(hi_q)).alias("UPPER"), *ids))
+        F.col(qname(hi_q)).alias("UPPER"), *ids[1:]))
 
 
 def generate_forecast(fc: Forecaster, monthly: DataFrame, region: str | None = None,
@@ -273,17 +224,12 @@ def generate_forecast(fc: Forecaster, monthly: DataFrame, region: str | None = N
 def standin_quantiles(monthly: DataFrame, slices: list[tuple[str | None, str | None]], horizons=tuple(FORECAST_HORIZONS)) -> DataFrame:
     """Model-free quantiles from a slice's own recent months, so the forecast reports have an exact
     oracle. They are neither ordered nor positive, which ``forecast_table`` has to mend."""
-    out = None
     h = F.col("Horizon_Days")
-    for region, industry in slices:
-        rows = latest_rows(monthly, region, industry).withColumns({
-            "Selected_Region": F.lit(region or "All"), "Selected_Industry": F.lit(industry or "All")})
-        one = rows.withColumn("Horizon_Days", F.explode(F.array(*[F.lit(int(x)) for x in horizons]))).select(
-            "Horizon_Days", (F.col("COLLECTIONS_LAG2") - F.col("COLLECTIONS_ROLL3_MEAN") * h / 45).alias("LOWER"),
-            (F.col("COLLECTIONS_LAG1") - F.col("COLLECTIONS_ROLL3_MEAN") * (h - 30) / 80).alias("MEDIAN"),
-            (F.col("ACTUAL_COLLECTIONS") * h / 60).alias("UPPER"), "Selected_Region", "Selected_Industry", "Inference_Slice")
-        out = one if out is None else out.unionByName(one)
-    return out
+    rows = latest_rows(monthly, selections(monthly.sparkSession, slices))
+    return rows.withColumn("Horizon_Days", F.explode(F.array(*[F.lit(int(x)) for x in horizons]))).select(
+        "Horizon_Days", (F.col("COLLECTIONS_LAG2") - F.col("COLLECTIONS_ROLL3_MEAN") * h / 45).alias("LOWER"),
+        (F.col("COLLECTIONS_LAG1") - F.col("COLLECTIONS_ROLL3_MEAN") * (h - 30) / 80).alias("MEDIAN"),
+        (F.col("ACTUAL_COLLECTIONS") * h / 60).alias("UPPER"), "Selected_Region", "Selected_Industry", "Inference_Slice")
 
 
 def regions(monthly: DataFrame) -> list[str]:
@@ -292,16 +238,6 @@ def regions(monthly: DataFrame) -> list[str]:
     return sorted(r["REGION"] for r in rows if r["REGION"] is not None)
 
 
-def _inference_reason(monthly: DataFrame, region: str | None, industry: str | None, min_rows: int = 12):
-    """M20 reporting: which series fed the forecast, and why the portfolio was used instead."""
-    if normalize_selector(region) is None and normalize_selector(industry) is None:
-        return F.lit("portfolio")
-    n = select_slice(monthly, region, industry).agg(F.count(F.lit(1))).scalar()
-    return F.when(n >= min_rows, F.lit("selected slice")).otherwise(
-        F.concat(F.lit("portfolio (fallback: selected slice has "), n.cast("string"),
-                 F.lit(f" months < {min_rows})")))
-
-
 def history_band(monthly_slice: DataFrame, n_months: int = 18) -> DataFrame:
     """Last 18 months in millions with a rolling sample std of 3 (min 2); missing std is
     max(0.25 x std of the window, 0.15); lower bound clipped at 0."""

@@ -832,7 +832,7 @@ def c8_baselines(inp):
 
 
 # ----------------------------------------------------------------------------------------------
-# 2.8 M15, M18-M22, P9-P11: quantile forecasts (model outputs: rows-only checks)
+# 2.8 M15, M18-M22, P9-P11: quantile forecasts (model outputs: rows-only checks; stand-ins in standin.py)
 # ----------------------------------------------------------------------------------------------
 from ..operators import forecast  # noqa: E402
 
@@ -856,6 +856,12 @@ def m18_segment_models(inp):
     return inp.forecaster.summary
 
 
+@register("m15_boosted_models")
+def m15_boosted_models(inp):
+    """Kept rounds, leaves and test loss of every quantile model."""
+    return inp.forecaster.rounds()
+
+
 @register("m21_forecast_portfolio")
 def m21_forecast_portfolio(inp):
     """30 / 60 / 90-day collection quantiles for the whole portfolio."""

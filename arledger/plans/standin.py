@@ -7,6 +7,7 @@
 * Early stopping (C4): the hand-made forest's margins after each tree, and the AUC of every prefix.
 * Forecast reports (M19-M22, P2, P10-P12): quantiles taken from a slice's own recent months, neither
   ordered nor positive, go through the same table, chart, KPI and loss operators.
+* Quantile boosting (M15): one round of trees of two leaves, for all models. M19: which models a selection gets.
 * Data quality over incomplete inputs (Q1, Q10): a missing column, an absent table, the overall flag.
 """
 
@@ -14,9 +15,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import BACKGROUND_ROWS, FEATURE_COLS, FORECAST_HORIZONS, FORECAST_QUANTILES, RANDOM_SEED
+from ..constants import BACKGROUND_ROWS, FEATURE_COLS, FORECAST_FEATURE_COLS, FORECAST_HORIZONS, FORECAST_QUANTILES, RANDOM_SEED
 from ..functions.narrative import narrative
-from ..operators import attribution, classify, forecast, metrics, monthly, portfolio, quality
+from ..operators import attribution, boosting, classify, forecast, metrics, monthly, portfolio, quality
 from . import oracle as O
 from .inputs import HAND_BACKGROUND, HAND_FOREST, LINEAR_WEIGHTS, hand_forest
 from .queries import _quality_tables
@@ -496,3 +497,75 @@ def m1_tier_asof(inp):
     """Customer-months per month and tier, where the tier knows only earlier months."""
     tiers = monthly.customer_tier(monthly.customer_months(inp.invoices), asof=True)
     return tiers.where("KUNNR IS NOT NULL").groupBy("COLLECT_MONTH", "RISK_TIER").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- one boosting round of all models, and the models that selections get ------------------------
+_ROUND = boosting.BoostConfig(n_rounds=1, max_depth=1)
+_ELIGIBLE = "SELECT REGION FROM monthly WHERE ALL_REGION = 0 AND ALL_INDUSTRY = 1 GROUP BY REGION HAVING count(*) >= 24 AND sum(N_INVOICES_CLEARED) >= 250"
+_KEY = "model, horizon, quantile"
+
+
+def _quantile_of(value: str, source: str, more: str = "") -> str:
+    """SELECT of the model key, ``more`` and the model's quantile ``x`` of ``value``."""
+    return " UNION ALL ".join(f"SELECT model, horizon, CAST({q} AS DOUBLE) AS quantile{more}, quantile_cont({value}, {q}) AS x FROM {source} "
+                              f"{'' if source == 'tr' else f'WHERE quantile = CAST({q} AS DOUBLE) '}GROUP BY ALL" for q in FORECAST_QUANTILES)
+
+
+@precision({"start": 1, "cut": 4, "left_value": 1, "right_value": 1})
+@register("m15_boosting_round_standin", O.with_prefix(
+    *O.SCORED, *O.MONTHLY_CTES,
+    f"t AS (SELECT *, lead(ACTUAL_COLLECTIONS, 1) OVER ({O._W_SLICE}) AS t30, lead(ACTUAL_COLLECTIONS, 2) OVER ({O._W_SLICE}) AS t60, "
+    f"lead(ACTUAL_COLLECTIONS, 3) OVER ({O._W_SLICE}) AS t90 FROM monthly)",
+    "tl AS (SELECT *, 30 AS horizon, t30 AS TARGET FROM t UNION ALL SELECT *, 60, t60 FROM t UNION ALL SELECT *, 90, t90 FROM t)",
+    "tr AS (SELECT *, 'global' AS model, row_number() OVER () AS rid FROM tl WHERE TARGET IS NOT NULL AND ALL_REGION = 1 AND ALL_INDUSTRY = 1 "
+    f"UNION ALL SELECT *, 'segment:' || REGION, -row_number() OVER () FROM tl WHERE TARGET IS NOT NULL AND ALL_REGION = 0 AND ALL_INDUSTRY = 1 AND REGION IN ({_ELIGIBLE}))",
+    f"started AS ({_quantile_of('TARGET', 'tr')})",
+    "g AS (SELECT tr.*, quantile, x AS start, (x >= TARGET)::INT AS over, TARGET - x AS residual FROM tr JOIN started USING (model, horizon))",
+    f"tot AS (SELECT {_KEY}, any_value(start) AS start, count(*) AS n, sum(over) AS o FROM g GROUP BY ALL)",
+    "long AS (" + " UNION ALL ".join(f"SELECT {_KEY}, rid, {i} AS f, '{c}' AS feature, round(CAST({c} AS DOUBLE), 6) AS v, over, residual FROM g" for i, c in enumerate(FORECAST_FEATURE_COLS)) + ")",
+    f"bins AS (SELECT {_KEY}, f, feature, v, sum(count(*)) OVER w AS nl, sum(sum(over)) OVER w AS ol FROM long GROUP BY {_KEY}, f, feature, v WINDOW w AS (PARTITION BY {_KEY}, f ORDER BY v))",
+    "gains AS (SELECT *, round(power(ol - quantile * nl, 2) / nl + power((o - ol) - quantile * (n - nl), 2) / (n - nl) - power(o - quantile * n, 2) / n, 9) AS gain "
+    f"FROM bins JOIN tot USING ({_KEY}) WHERE nl >= {_ROUND.min_rows} AND n - nl >= {_ROUND.min_rows})",
+    f"split AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {_KEY} ORDER BY gain DESC, f, v) AS rk FROM gains WHERE gain > 0) WHERE rk = 1)",
+    f"side AS (SELECT {_KEY}, long.v <= split.v AS is_left, residual FROM long JOIN split USING ({_KEY}, f))",
+    f"leaf AS ({_quantile_of('residual', 'side', ', is_left')})",
+    select=f"SELECT model, horizon, quantile, tot.start, feature, split.v AS cut, nl::BIGINT AS n_left, (tot.n - nl)::BIGINT AS n_right, l.x * {_ROUND.step} AS left_value, r.x * {_ROUND.step} AS right_value "
+    f"FROM tot LEFT JOIN split USING ({_KEY}) LEFT JOIN leaf l ON l.is_left AND l.model = tot.model AND l.horizon = tot.horizon AND l.quantile = tot.quantile "
+    "LEFT JOIN leaf r ON NOT r.is_left AND r.model = tot.model AND r.horizon = tot.horizon AND r.quantile = tot.quantile"))
+def m15_boosting_round_standin(inp):
+    """Start value, split and leaf values of the first boosting round of every model, on all its months."""
+    rows = forecast.model_rows(inp.monthly, monthly.segment_summary(inp.monthly))
+    rows = rows.withColumns({"is_train": F.lit(True), **{c: F.round(F.col(c).cast("double"), 6) for c in FORECAST_FEATURE_COLS}})
+    trees = boosting.fit_models(rows, FORECAST_FEATURE_COLS, FORECAST_QUANTILES, _ROUND, tuple(forecast.ROW))
+    bound = F.get("bounds", F.lit(0))
+    is_left = (F.col("tree") == 1) & (bound["lower"] == float("-inf"))
+    is_right = (F.col("tree") == 1) & (bound["upper"] == float("inf"))
+    names = F.array(*[F.lit(c) for c in FORECAST_FEATURE_COLS])
+    return trees.groupBy(*boosting.MODEL).agg(
+        F.max(F.when(F.col("tree") == 0, F.col("value"))).alias("start"), F.max(F.get(names, bound["feature"])).alias("feature"),
+        F.max(F.when(is_left, bound["upper"])).alias("cut"), F.max(F.when(is_left, F.col("n_rows"))).alias("n_left"),
+        F.max(F.when(is_right, F.col("n_rows"))).alias("n_right"), F.max(F.when(is_left, F.col("value"))).alias("left_value"),
+        F.max(F.when(is_right, F.col("value"))).alias("right_value"))
+
+
+@register("m19_model_resolution", O.with_prefix(*O.SCORED, *O.MONTHLY_CTES, _LAST,
+    "asked AS (SELECT 'All' AS r, 'All' AS i UNION ALL SELECT REGION, 'All' FROM lastrow WHERE ALL_REGION = 0 AND ALL_INDUSTRY = 1 "
+    f"UNION ALL SELECT '{MISSING}', 'All' UNION ALL SELECT 'All', INDUSTRY FROM lastrow WHERE ALL_REGION = 1 AND ALL_INDUSTRY = 0 "
+    "UNION ALL SELECT REGION, INDUSTRY FROM lastrow WHERE ALL_REGION = 0 AND ALL_INDUSTRY = 0)",
+    "own AS (SELECT r, i, months FROM asked LEFT JOIN lastrow ON (CASE WHEN r = 'All' THEN ALL_REGION = 1 ELSE ALL_REGION = 0 AND REGION = r END) "
+    "AND (CASE WHEN i = 'All' THEN ALL_INDUSTRY = 1 ELSE ALL_INDUSTRY = 0 AND INDUSTRY = i END))",
+    select="SELECT r AS Selected_Region, i AS Selected_Industry, CASE WHEN e.REGION IS NULL THEN 'global' ELSE 'segment:' || r END AS model, "
+    "CASE WHEN e.REGION IS NULL THEN 'global' ELSE 'segment' END AS Model_Source, r AS Model_Segment, "
+    "CASE WHEN r = 'All' AND i = 'All' THEN 'portfolio' WHEN coalesce(months, 0) >= 12 THEN 'selected slice' "
+    "ELSE 'portfolio (fallback: selected slice has ' || coalesce(months, 0) || ' months < 12)' END AS Inference_Slice, "
+    "CASE WHEN (r = 'All' AND i = 'All') OR coalesce(months, 0) < 12 THEN 1 ELSE (r = 'All')::INT END AS ALL_REGION "
+    f"FROM own LEFT JOIN ({_ELIGIBLE}) e ON e.REGION = r"))
+def m19_model_resolution(inp):
+    """Which models and which series every selection of region and industry is forecast with."""
+    flat = inp.monthly.select(*monthly.SLICE).distinct().collect()  # one row per slice
+    value = lambda r, c: None if r[f"ALL_{c}"] == 1 else r[c]
+    asked = [(value(r, "REGION"), value(r, "INDUSTRY")) for r in flat] + [(MISSING, None)]
+    summary = monthly.segment_summary(inp.monthly).withColumn("trained", F.col("eligible_for_segment_model"))
+    chosen = forecast.resolve_models(forecast.selections(inp.spark, asked), summary)
+    return forecast.latest_rows(inp.monthly, chosen).select(
+        "Selected_Region", "Selected_Industry", "model", "Model_Source", "Model_Segment", "Inference_Slice", F.col("ALL_REGION").cast("int").alias("ALL_REGION"))

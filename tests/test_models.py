@@ -49,7 +49,8 @@ def test_forecast_bounds(inp):
     for r in fc:
         assert 0 <= r["Lower_10pct"] <= r["Median_50pct"] <= r["Upper_90pct"]
         assert r["Range_Width"] >= 0 and r["Uncertainty_Pct"] >= 0
-    assert ("global", 30) in inp.forecaster.models and len([k for k in inp.forecaster.models if k[0] == "global"]) == 3
+    models = inp.forecaster.models
+    assert ("global", 30) in models and len([k for k in models if k[0] == "global"]) == 3
     res = inp.forecaster.results.collect()
     assert all(r["pinball_loss"] >= 0 for r in res)
 
