@@ -8,7 +8,7 @@ children, leaves and what sharing saves in its subtree, and the digest of the co
 2. Equal conversations become one class with a count, so copies are one path.
 3. A node is *upper* if over ``SHARD_TURNS`` turns of classes lie at or below it. Upper nodes are closed towards the
    root. Below each upper node hang whole subtrees of at most that many turns: the prefix shards.
-4. A task reads its shards in order and packs one double array at a time (some whole shards, about ``SHARD_TURNS``
+4. A task reads its shards in order and packs one double array at a time (some whole shards, about ``PACKED_TURNS``
    turns): turn digests become dense ids, BASE and CHECK are filled level by level with first-fit placement, and the
    paths are traversed through the arrays for the nodes and, bottom up, their subtree sums.
 5. Upper nodes are shared by shards: their members are grouped sums over all shards, their subtree sums take in the
@@ -35,8 +35,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Turns below a node that one shard may hold; positions of one window group; ids of one block of a digest.
-SHARD_TURNS, RANGE, BLOCK, UNFOLD = 32_768, 4_096, 4_096, 4_096
+#: Turns below a node that one shard may hold, turns that one double array is meant to hold (of whole shards);
+#: positions of one window group, ids of one block of a digest, copies unfolded at a time.
+SHARD_TURNS, PACKED_TURNS = 2_048, 32_768
+RANGE, BLOCK, UNFOLD = 4_096, 4_096, 4_096
 #: Conversations c take their first crc32(c) % HEADS turns from conversation c - c % GROUP.
 GROUP, HEADS = 20, 4
 KEY = ["depth", "a", "b"]
@@ -209,14 +211,14 @@ def _shard_nodes(rows: pa.Table) -> pa.RecordBatch:
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Nodes of sorted rows, some whole shards of about ``SHARD_TURNS`` rows at a time."""
+    """Nodes of sorted rows, some whole shards of about ``PACKED_TURNS`` rows at a time."""
     held: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
         new = pa.Table.from_batches([batch])
         held = new if held is None else pa.concat_tables([held, new])
-        if held.num_rows >= SHARD_TURNS:
+        if held.num_rows >= PACKED_TURNS:
             sa, sb = (held.column(c).to_numpy() for c in ("sa", "sb"))
             cut = np.flatnonzero((sa != sa[-1]) | (sb != sb[-1]))  # the last shard may go on
             if len(cut):
