@@ -33,7 +33,7 @@ from math import factorial
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import BACKGROUND_ROWS, FEATURE_COLS, RANDOM_SEED, TOP_N_RISKS
@@ -280,15 +280,56 @@ def dependence(phi: DataFrame, fs: DataFrame, feature: str, interaction: str) ->
              F.lit(interaction).alias("interaction"), "interaction_value")
 
 
+#: Rows of one run of the ordered feature (fewer if there are few rows), and a deviation that counts as none.
+RUN_ROWS, NO_SPREAD = 50, 1e-12
+
+
+def interaction_strengths(phi: DataFrame, fs: DataFrame, feature: Column, features: list[str] = FEATURE_COLS) -> DataFrame:
+    """(interaction, strength) of every other feature with ``feature``. The lines are ordered by the feature's value
+    (ties by key) and cut into runs of min(rows / 10, ``RUN_ROWS``); inside a run the feature hardly changes, so
+    what its contribution still varies with is another feature: the strength is the sum over the runs of the
+    |correlation| of the contribution with the other feature.
+
+    The place of a line in the order comes from its place in a stored range partition and the sizes of the
+    partitions before it; correlations are grouped sums, so no run and no partition of lines goes through
+    the driver. ``feature`` may be a scalar of the plan."""
+    keys = line_keys(phi)
+    values = F.array(*[F.round(F.col(c).cast("double"), 6) for c in features])
+    lines = phi.where(F.col("feature") == feature).select(*keys, "feature", F.round("phi_margin", 9).alias("_phi"))
+    lines = lines.join(fs.select(*keys, values.alias("_x")), keys)
+    index = F.array_position(F.array(*[F.lit(c) for c in features]), F.col("feature")).cast("int") - 1
+    lines = lines.select(*keys, "feature", "_phi", "_x", F.get("_x", index).alias("_v"))
+    order = [F.asc_nulls_last("_v"), *[F.asc(k) for k in keys]]
+    parts = int(phi.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(lines.repartitionByRange(parts, *order).withColumn("_pid", F.spark_partition_id()), "interaction-lines")
+    sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))  # one row per partition
+    before = sizes.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    placed = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_pid").orderBy(*order))).join(F.broadcast(before), "_pid")
+    size = F.greatest(F.least(F.floor(F.col("_all") / F.lit(10)), F.lit(RUN_ROWS)), F.lit(1))
+    runs = placed.withColumn("_run", F.floor((F.col("_before") + F.col("_at") - 1) / size))
+    spread = [F.stddev_pop("_phi"), *[F.stddev_pop(F.get("_x", F.lit(i))) for i in range(len(features))]]
+    per_run = runs.groupBy("_run").agg(
+        F.first("feature").alias("_feature"), F.array(*[F.covar_pop("_phi", F.get("_x", F.lit(i))) for i in range(len(features))]).alias("_cov"), F.array(*spread).alias("_sd"))
+    names = F.array(*[F.lit(c) for c in features])
+    long = per_run.select("_feature", "_sd", F.posexplode("_cov").alias("_i", "_c")).withColumn("interaction", F.get(names, F.col("_i")))
+    own, its = F.get("_sd", F.lit(0)), F.get("_sd", F.col("_i") + 1)
+    strength = F.sum(F.when((own > NO_SPREAD) & (its > NO_SPREAD), F.abs(F.col("_c") / (own * its))).otherwise(F.lit(0.0)))
+    return long.where(F.col("interaction") != F.col("_feature")).groupBy("interaction").agg(F.bround(strength, 6).alias("strength"))
+
+
 def top_dependence(phi: DataFrame, fs: DataFrame, features: list[str] = FEATURE_COLS) -> DataFrame:
-    """X9 for the feature of greatest mean |contribution|: (value, contribution) pairs. The
-    feature is found in the same plan (a scalar), its value picked by name."""
+    """X9 for the feature of greatest mean |contribution|: its value and contribution, and the name and value of the
+    feature that it interacts with most (``interaction_strengths``; ties by name). Both features are found in
+    the same plan (scalars), their values picked by name."""
     keys = line_keys(phi)
     top = global_importance(phi).where("rank = 1").select("feature").scalar()
+    strengths = stored(interaction_strengths(phi, fs, top, features), "interactions")  # a row per feature
+    other = strengths.orderBy(F.desc("strength"), "interaction").limit(1).select("interaction").scalar()
     value = F.create_map(*[x for c in features for x in (F.lit(c), F.col(c).cast("double"))])
     vals = fs.select(*keys, value.alias("_v"))
-    j = phi.where(F.col("feature") == top).join(vals, keys)
-    return j.select(*keys, "feature", F.element_at("_v", F.col("feature")).alias("value"), "phi_margin")
+    j = phi.where(F.col("feature") == top).join(vals, keys).withColumn("interaction", other)
+    return j.select(*keys, "feature", F.element_at("_v", F.col("feature")).alias("value"), "phi_margin",
+                    "interaction", F.element_at("_v", F.col("interaction")).alias("interaction_value"))
 
 
 def extremes(scored: DataFrame) -> DataFrame:

@@ -109,17 +109,36 @@ def x9_linear_dependence(inp):
     return attribution.dependence(inp.linear_attributions[0], inp.feature_store, "CUST_LATE_RATE", "CUST_AVG_DAYS_LATE")
 
 
-@precision({"phi_margin": 4, "value": 4})
-@register("x9_linear_top_dependence", O.with_prefix(*LINEAR, _IMP, select=(
-    "SELECT BELNR, feature, value, phi_margin FROM lin WHERE feature = (SELECT feature FROM imp WHERE rank = 1)")))
+def _spread(x: str) -> str:
+    return f"coalesce(stddev_pop({x}), 0) > CAST({attribution.NO_SPREAD!r} AS DOUBLE)"
+
+
+#: The most important feature's lines in order, their runs, and the strength of every other feature.
+_INTERACTION = [
+    f"line AS (SELECT lin.BELNR, feature, value AS v, round(phi_margin, 9) AS p, {', '.join(f'round(CAST({c} AS DOUBLE), 6) AS {c}' for c in FEATURE_COLS)} "
+    "FROM lin JOIN fs USING (BELNR) WHERE feature = (SELECT feature FROM imp WHERE rank = 1))",
+    f"run AS (SELECT *, floor((row_number() OVER (ORDER BY round(v, 6), BELNR) - 1) / greatest(least(floor(count(*) OVER () / 10), {attribution.RUN_ROWS}), 1)) AS run FROM line)",
+    "per_run AS (" + " UNION ALL ".join(
+        f"SELECT run, '{c}' AS interaction, any_value(feature) AS feature, CASE WHEN {_spread('p')} AND {_spread(c)} THEN abs(corr(p, {c})) ELSE 0.0 END AS r FROM run GROUP BY run" for c in FEATURE_COLS) + ")",
+    "strength AS (SELECT interaction, round_even(sum(coalesce(r, 0.0)), 6) AS strength FROM per_run WHERE interaction <> feature GROUP BY interaction)",
+    "other AS (SELECT interaction FROM strength ORDER BY strength DESC, interaction LIMIT 1)",
+]
+_TOP_DEPENDENCE = (
+    "SELECT lin.BELNR, feature, value, phi_margin, interaction, CASE interaction " + " ".join(f"WHEN '{c}' THEN CAST({c} AS DOUBLE)" for c in FEATURE_COLS)
+    + " END AS interaction_value FROM lin JOIN fs USING (BELNR), other WHERE feature = (SELECT feature FROM imp WHERE rank = 1)")
+
+
+@precision({"phi_margin": 4, "value": 4, "interaction_value": 4})
+@register("x9_linear_top_dependence", O.with_prefix(*LINEAR, _IMP, *_INTERACTION, select=_TOP_DEPENDENCE))
 def x9_linear_top_dependence(inp):
-    """The most important feature's linear contribution against its value."""
+    """The most important feature's linear contribution against its value and the feature it interacts with most."""
     return attribution.top_dependence(inp.linear_attributions[0], inp.feature_store)
 
 
 @register("x9_top_dependence")
 def x9_top_dependence(inp):
-    """The most important feature's contribution to the fitted model against its value."""
+    """The most important feature's contribution to the fitted model against its value and the feature that it
+    interacts with most."""
     return attribution.top_dependence(inp.portfolio_attributions[0], inp.feature_store)
 
 
@@ -248,6 +267,22 @@ def x9_forest_dependence(inp):
     return found.select("BELNR", "feature", "value", "phi_margin", "interaction", "interaction_value")
 
 
+@register("x9_forest_interactions", O.rounded(O.with_prefix(*FOREST, _IMP, *_INTERACTION, select="SELECT interaction, strength FROM strength"), ["strength"]))
+def x9_forest_interactions(inp):
+    """How strongly each other feature interacts with the stand-in forest's most important one."""
+    phi = inp.forest_attributions[0]
+    top = attribution.global_importance(phi).where("rank = 1").select("feature").scalar()
+    return attribution.interaction_strengths(phi, inp.feature_store, top)
+
+
+@precision({"phi_margin": 9, "value": 4, "interaction_value": 4})
+@register("x9_forest_top_dependence", O.with_prefix(*FOREST, _IMP, *_INTERACTION, select=_TOP_DEPENDENCE))
+def x9_forest_top_dependence(inp):
+    """The most important feature's contribution to the stand-in forest, with the feature it interacts with most."""
+    return attribution.top_dependence(inp.forest_attributions[0], inp.feature_store).select(
+        "BELNR", "feature", "value", "phi_margin", "interaction", "interaction_value")
+
+
 @register("x11_forest_audit_checks", O.with_prefix(*FOREST, _IMP, *_CHECKS, select=_CHECK_SQL))
 def x11_forest_audit_checks(inp):
     """The six policy checks on the stand-in forest's contributions and the stand-in score."""
