@@ -18,19 +18,23 @@ and a node's upper corner bounds the overlap with every set below; pairs whose o
 on the sets, highest bound first, and a pair that other links have already joined needs no test. A component
 too large for one task is dealt to blocks, and each pair of blocks is one task.
 
-Links join classes to final components; no list of pairs is ever made.
+Links join classes (by the digests of their sets) to final components, each named by its least id; no list of pairs
+is ever made.
 
 Defined results: a null or empty text, or one of white space, has an empty set and links with nothing; a row
-without id links with nothing and has a null component; rows of one id are one document; the order of rows and
-other columns don't matter; an empty table gives an empty one.
+without id links with nothing and has a null component; rows of one id are told apart by their texts, each has
+the component of its own text; the order of rows and other columns don't matter; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common, graph
 
@@ -154,6 +158,18 @@ def signatures(h: np.ndarray, counts: np.ndarray, scheme: Scheme) -> tuple[np.nd
     return tuple(map(np.concatenate, (sig, who, levels, needs)))
 
 
+def fewer_needed(file: np.ndarray, owner: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """``need`` of each entry, less the names that its owner's entries repeat, and at least 1."""
+    mixed = common.mix64(file.view(np.uint64) ^ common.mix64(owner))
+    by = np.argsort(mixed, kind="stable")
+    again = np.flatnonzero(mixed[by][1:] == mixed[by][:-1]) + 1
+    if not len(again):
+        return need
+    of, repeated = np.unique(owner[by[again]], return_counts=True)
+    at = np.minimum(np.searchsorted(of, owner), len(of) - 1)
+    return np.maximum(need - np.where(of[at] == owner, repeated[at], 0), 1)
+
+
 def _met(file: np.ndarray, node: np.ndarray):
     """Entries without repetitions, in the order of their files; which of them share their file with
     another node, and which are the first of their file."""
@@ -247,7 +263,7 @@ def spanning_links(sets: list[np.ndarray], percent: int, side: np.ndarray | None
 
 
 def _classed(source: DataFrame, words: int, kind: str) -> DataFrame:
-    """One row per document: id, n (size of its set) and the digest of the set, key1 and key2."""
+    """One row per document: id, n (size of its set), the digest of the set, key1 and key2, and that of the text."""
 
     def run(batches):
         for batch in batches:
@@ -256,9 +272,10 @@ def _classed(source: DataFrame, words: int, kind: str) -> DataFrame:
                 for s, e in common.chunks(texts):
                     h, n = shingles(texts[s:e], words)
                     made.append((n, *(k.view(np.int64) for k in set_keys(h, n))))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(x)) for x in zip(*made, strict=True))], ["id", "n", "key1", "key2"])
+                digest = pa.array([hashlib.md5(t or b"").digest() for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.concatenate(x)) for x in zip(*made, strict=True)), digest], ["id", "n", "key1", "key2", "digest"])
 
-    return source.mapInArrow(run, f"id {kind}, n long, key1 long, key2 long")
+    return source.mapInArrow(run, f"id {kind}, n long, key1 long, key2 long, digest binary")
 
 
 #: In place of a bucket: entries that meet within their batch, and the files that nodes need.
@@ -268,12 +285,15 @@ MET, NEEDS = -1, -2
 def _filed(source: DataFrame, words: int, scheme: Scheme, buckets: int) -> DataFrame:
     """Entries (files, nodes) back to back: of every file of a batch the first one, by bucket; with whole
     file names those that meet within the batch; and what every node needs. A file's name is its bucket and
-    32 bits of its digest; a chance meeting of names only lets more pairs be tested."""
+    32 bits of its digest. A chance meeting of names of two sets only lets more pairs be tested; groups of one set that
+    share a name count once, so the set needs as many files fewer."""
 
-    def flush(parts):
-        sig, node, need = (np.concatenate(x) for x in zip(*parts, strict=True))
+    def named(sig):
         bucket = (sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-        file = (bucket << np.uint64(32) | sig & np.uint64(0xFFFFFFFF)).view(np.int64)
+        return (bucket << np.uint64(32) | sig & np.uint64(0xFFFFFFFF)).view(np.int64)
+
+    def flush(parts):
+        file, node, need = (np.concatenate(x) for x in zip(*parts, strict=True))
         nodes, one = np.unique(node, return_index=True)
         file, node, shared, first = _met(file, node)
         rows = [(NEEDS, need[one].tobytes(), nodes.tobytes()), (MET, file[shared].tobytes(), node[shared].tobytes())]
@@ -293,7 +313,8 @@ def _filed(source: DataFrame, words: int, scheme: Scheme, buckets: int) -> DataF
                 sig, who, level, need = signatures(h, n, scheme)
                 node = set_keys(h, n)[0].view(np.int64) >> LEVEL_BITS << LEVEL_BITS
                 if len(sig):
-                    parts.append((sig, node[who] | level, need))
+                    file = named(sig)
+                    parts.append((file, node[who] | level, fewer_needed(file, who * len(scheme.bounds) + level, need)))
                 if sum(len(p[0]) for p in parts) >= BATCH_SIGNATURES:
                     yield flush(parts)
                     parts.clear()
@@ -348,39 +369,43 @@ def _ties(met: DataFrame) -> DataFrame:
     return ties.where("a <> b").distinct()
 
 
-def _linked(percent: int, kind: str):
+def _linked(percent: int):
     """Links of the R-tree tasks, which come one after the other."""
 
     def made(rows):
         block = np.array([r["block"] for r in rows])
         side = None if rows[0]["i"] == rows[0]["j"] else block == rows[0]["i"]
         sets = [np.frombuffer(r["members"], np.uint64) for r in rows]
-        return [(rows[x]["id"], rows[y]["id"]) for x, y in spanning_links(sets, percent, side)]
+        return [(rows[x]["node"], rows[y]["node"]) for x, y in spanning_links(sets, percent, side)]
 
     def run(batches):
-        last, rows, out, types = None, [], [], None
+        last, rows, out = None, [], []
         for batch in batches:
-            types = batch.column("id").type
             for row in batch.to_pylist():
                 task = (row["task"], row["i"], row["j"])
                 if rows and task != last:
                     out += made(rows)
                     rows = []
                     if len(out) >= 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, types) for x in zip(*out, strict=True)], ["a", "b"])
+                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], ["a", "b"])
                         out = []
                 last = task
                 rows.append(row)
         if rows:
             out += made(rows)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, types) for x in zip(*out, strict=True)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], ["a", "b"])
 
     return run
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_shingles, component_id (the least id that links reach)."""
+def _node():
+    """A class in the graph of links: the digest of its set."""
+    return F.unhex(F.concat(*[F.lpad(F.hex(k), 16, "0") for k in ("key1", "key2")]))
+
+
+def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per document: id, n, digest of the text, component (a digest; null without id or set) and component_id."""
     source = common.pick(docs, id=id_col, text=text_col)
     kind = source.schema["id"].dataType.simpleString()
     scheme = Scheme(percent)
@@ -420,24 +445,50 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
                     sets.append(h[end[t] - n[t] : end[t]].tobytes() if same else None)
                     last = keys[s + t] if same else last
             full = pa.array(sets, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(i) for i in (4, 5, 6)), full], ["id", "task", "blocks", "block", "members"]).filter(full.is_valid())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(i) for i in (4, 5, 6)), full], ["node", "task", "blocks", "block", "members"]).filter(full.is_valid())
 
-    points = texts.select("id", "text", "key1", "key2", "task", "blocks", "block").mapInArrow(reread, f"id {kind}, task long, blocks long, block long, members binary")
+    points = texts.select(_node().alias("node"), "text", "key1", "key2", "task", "blocks", "block").mapInArrow(reread, "node binary, task long, blocks long, block long, members binary")
     pairs = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: F.struct(F.least("block", other).alias("i"), F.greatest("block", other).alias("j"))))
-    dealt = points.withColumn("pair", pairs).select("id", "task", "pair.i", "pair.j", "block", "members")
-    links = dealt.repartition("task", "i", "j").sortWithinPartitions("task", "i", "j").mapInArrow(_linked(percent, kind), f"a {kind}, b {kind}")
+    dealt = points.withColumn("pair", pairs).select("node", "task", "pair.i", "pair.j", "block", "members")
+    links = dealt.repartition("task", "i", "j").sortWithinPartitions("task", "i", "j").mapInArrow(_linked(percent), "a binary, b binary")
     final = graph.components(links)
 
-    named = classes.join(final.withColumnRenamed("node", "id"), "id", "left").select("key1", "key2", F.coalesce("component", "id").alias("component"))
+    named = classes.withColumn("node", _node()).join(final, "node", "left").select("key1", "key2", "id", F.coalesce("component", "node").alias("component"))
     named = common.stored(named, "jaccard-named")
+    least = common.stored(named.groupBy("component").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("classes")).where("classes > 1"), "jaccard-least")
+    named = named.join(least.select("component", "component_id"), "component", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    named = common.stored(named.select("key1", "key2", "component", "component_id"), "jaccard-named")
     out = plain.join(named, ["key1", "key2"], "left")
-    component = F.when(F.col("id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.cast(kind).alias("component_id"))
+    linked = F.col("id").isNotNull() & (F.col("n") > 0)
+    component_id = F.when(F.col("id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
+    return out.select("id", "n", "digest", F.when(linked, F.col("component")).alias("component"), component_id.cast(kind).alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, n_shingles, component_id (the least id that links reach)."""
+    found = _components(docs, words, percent, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per component, its document of least id, with the columns of ``docs``; rows without id stay."""
-    found = jaccard_components(docs, words, percent, id_col, text_col)
-    gone = common.stored(found.where(f"`{id_col}` <> component_id").select(F.col(id_col).alias("__gone")).distinct(), "jaccard-gone")
-    left = docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
-    return left.where(left[id_col].isNotNull()).dropDuplicates([id_col]).unionByName(docs.where(docs[id_col].isNull()))
+    """The rows of ``docs`` less all but one of each component: that of least id stays (of several texts with this id
+    that of least MD5, of exact copies with this id that of least other columns, null first). Rows without id or without
+    words stay. A row goes only if it is in a component with one that stays, whatever rows share its id."""
+    rows = common.stored(_components(docs, words, percent, id_col, text_col).where("component is not null"), "jaccard-rows")
+    of_first = rows.where("id = component_id")
+    several = of_first.groupBy("component").agg(F.min("digest").alias("least"), F.max("digest").alias("last")).where("least <> last")
+    others = of_first.join(common.stored(several.select("component", "least"), "jaccard-several"), "component").where("digest <> least")
+    gone = rows.where("id <> component_id").select("id", "digest").union(others.select("id", "digest")).distinct()
+    gone = common.stored(gone.select(F.col("id").alias("__id"), F.col("digest").alias("__digest")), "jaccard-gone")
+    repeated = of_first.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    repeated = common.stored(repeated.select(F.col("id").alias("__id"), F.col("digest").alias("__digest")), "jaccard-repeated")
+
+    digest = F.unhex(F.md5(F.coalesce(docs[text_col], F.lit("")).cast("binary")))
+    same = (docs[id_col] == F.col("__id")) & (digest == F.col("__digest"))
+    left = docs.join(gone, same, "left_anti")
+    if not repeated.limit(1).count():
+        return left
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    order = F.struct(*[docs[f.name] for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))])
+    one = left.join(repeated, same, "left_semi").groupBy(docs[id_col].alias("__id"), digest.alias("__digest")).agg(F.min_by(whole, order).alias("__row"))
+    return left.join(repeated, same, "left_anti").union(one.select("__row.*"))

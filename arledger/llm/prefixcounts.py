@@ -7,8 +7,9 @@ no entry holds costs its UTF-8 bytes (byte fallback).
 
 No entry of the model joins two *units*: a unit begins where spaces follow something else, and at a line feed.
 So the table over a whole text is a running sum over its units, and the inner table of a unit is made once
-for all its occurrences in a chunk, and those of many units go in step, position by position, in arrays. Tested
-token pairs are remembered in a table of fixed size. ``token_counts`` takes the last entry of each table; ``prefix_tables`` stores all entries, which ``tokens_of_prefix`` and
+for all its occurrences in a chunk, and those of many units go in step, position by position, in arrays. A long unit
+(a script without spaces, encoded data) is cut further wherever no entry holds the two characters beside each other,
+as no merge crosses such a place. Tested token pairs are remembered in a table of fixed size. ``token_counts`` takes the last entry of each table; ``prefix_tables`` stores all entries, which ``tokens_of_prefix`` and
 ``longest_prefix`` read to answer truncation and budget questions without encoding anything again.
 
 Counts are those of the library's plain ``encode``: no begin or end token, names of control tokens in a text
@@ -31,10 +32,11 @@ from pyspark.sql.functions import pandas_udf
 
 from . import common
 
-#: Units of up to so many characters are worked on together; bits of the number of token pairs that a worker remembers.
-TOGETHER, PAIR_BITS = 32, 21
-#: Pairs that are kept for units worked on alone.
-FEW = 1 << 17
+#: Units of more characters are cut; of longer parts, so many of about one length are worked on together; bits of the
+#: number of token pairs that a worker remembers.
+TOGETHER, CROWD, PAIR_BITS = 32, 128, 21
+#: Pairs that are kept for units worked on alone, and positions that such a unit asks about at a time.
+FEW, AHEAD = 1 << 18, 48
 SPACE = "▁"
 _OUTSIDE = -1
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -76,6 +78,8 @@ class Pieces:
         #: Tested pairs by slot: 2 * (pair + 1) + whether the two go together, or 0. A new pair takes an old one's slot.
         self.pairs = np.zeros(1 << PAIR_BITS, np.int64)
         self.few: dict[tuple[int, int], bool] = {}
+        letters = [np.frombuffer(p.encode("utf-32-le"), "<u4").astype(np.uint64) for p in self.vocabulary]
+        self.beside = np.unique(np.concatenate([x[:-1] << np.uint64(32) | x[1:] for x in letters]))
         self.known = np.array([_hash(np.frombuffer(p.encode("utf-32-le"), "<u4")) for p in self.vocabulary], np.uint64)
         self.number = np.fromiter(self.vocabulary.values(), np.int64, len(self.vocabulary))
         self.slots, rest = [], np.arange(len(self.known))
@@ -130,32 +134,97 @@ class Pieces:
         short = short[np.argsort(lens[short], kind="stable")]
         if len(short):
             self._in_step([units[i] for i in short], lens[short], begin[short], out)
-        for i in np.flatnonzero(lens > TOGETHER):
-            out[begin[i] : begin[i] + lens[i] + 1] = self._alone(units[i])
+        long = np.flatnonzero(lens > TOGETHER)
+        if len(long):
+            at = np.repeat(begin[long] + 1 - (np.cumsum(lens[long]) - lens[long]), lens[long]) + np.arange(lens[long].sum())
+            out[at] = self._cut([units[i] for i in long], lens[long])
         return out, begin
 
+    def _cut(self, units: list[str], lens: np.ndarray) -> np.ndarray:
+        """Token counts of the prefixes of long units (without the empty ones), back to back, from those of the
+        parts that no entry joins."""
+        joined = "".join(units)
+        chars = np.frombuffer(joined.encode("utf-32-le"), "<u4").astype(np.uint64)
+        pairs = chars[:-1] << np.uint64(32) | chars[1:]
+        place = np.minimum(np.searchsorted(self.beside, pairs), len(self.beside) - 1)
+        first = np.concatenate(([True], self.beside[place] != pairs))
+        starts_unit = np.zeros(len(chars), bool)
+        starts_unit[np.cumsum(lens) - lens] = True
+        part = np.flatnonzero(first | starts_unit)
+        size = np.diff(np.append(part, len(chars)))
+        number: dict[str, int] = {}
+        of = np.fromiter((number.setdefault(joined[a : a + n], len(number)) for a, n in zip(part.tolist(), size.tolist(), strict=True)), np.int64, len(part))
+        inner, begin = self._parts(list(number))
+        total = inner[begin[of] + size]
+        before = np.cumsum(total) - total
+        of_unit = np.cumsum(starts_unit[part]) - 1
+        before -= before[np.flatnonzero(starts_unit[part])][of_unit]
+        inside = np.arange(len(chars)) - np.repeat(part, size) + 1
+        return np.repeat(before, size) + inner[np.repeat(begin[of], size) + inside]
+
+    def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``prefixes`` for parts of any length: many of about one length go in step, the others alone."""
+        lens = np.fromiter(map(len, parts), np.int64, len(parts))
+        begin = np.cumsum(lens + 1) - (lens + 1)
+        out = np.zeros(int((lens + 1).sum()), np.int64)
+        sizes = np.where(lens <= TOGETHER, 0, np.ceil(np.log2(np.maximum(lens, 1))).astype(np.int64))
+        for kind in np.unique(sizes):
+            some = np.flatnonzero(sizes == kind)
+            if kind and len(some) < CROWD:
+                for i in some:
+                    out[begin[i] : begin[i] + lens[i] + 1] = self._alone(parts[i])
+            else:
+                some = some[np.argsort(lens[some], kind="stable")]
+                self._in_step([parts[i] for i in some], lens[some], begin[some], out)
+        return out, begin
+
+    def _ends(self, unit: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The entries in a unit, by where they end and, longest first: end, start, token."""
+        chars = np.frombuffer(unit.encode("utf-32-le"), "<u4")
+        upto = np.zeros(len(chars) + 1, np.uint64)
+        for i, c in enumerate(_char(chars).tolist()):
+            upto[i + 1] = (int(upto[i]) * int(_BASE) + c) & 0xFFFFFFFFFFFFFFFF
+        found = []
+        for size in range(1, min(self.longest, len(unit)) + 1):
+            token = self.tokens(upto[size:] - upto[:-size] * _POWERS[size])
+            at = np.flatnonzero(token >= 0)
+            found.append((at + size, at, token[at]))
+        end, start, token = (np.concatenate(x) for x in zip(*found, strict=True))
+        by = np.lexsort((start, end))
+        return end[by], start[by], token[by]
+
     def _alone(self, unit: str) -> list[int]:
-        """The table of one long unit."""
-        count, last = [0], [_OUTSIDE]
-        for end in range(1, len(unit) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = self.vocabulary.get(unit[start:end])
-                if token is not None and self._pair(last[start], token):
-                    count.append(count[start] + 1)
-                    last.append(token)
+        """The table of one long unit. The entries in it are found in arrays; pairs that aren't known yet are asked about
+        for the next ``AHEAD`` positions together."""
+        end, start, token = self._ends(unit)
+        first = np.searchsorted(end, np.arange(len(unit) + 2)).tolist()
+        starts, tokens = start.tolist(), token.tolist()
+        count, last = [0] * (len(unit) + 1), [_OUTSIDE] * (len(unit) + 1)
+        for at in range(1, len(unit) + 1):
+            for k in range(first[at], first[at + 1]):
+                pair = (last[starts[k]], tokens[k])
+                if pair not in self.few:
+                    self._ask_ahead(pair, at, first, starts, tokens, last)
+                if self.few[pair]:
+                    count[at], last[at] = count[starts[k]] + 1, tokens[k]
                     break
             else:
-                count.append(count[-1] + len(unit[end - 1].encode()))
-                last.append(_OUTSIDE)
+                count[at] = count[at - 1] + len(unit[at - 1].encode())
         return count
 
-    def _pair(self, a: int, b: int) -> bool:
-        key = (a, b)
-        if (known := self.few.get(key)) is None:
-            if len(self.few) >= FEW:
-                self.few.clear()
-            known = self.few[key] = bool(self.together(np.array([a]), np.array([b]))[0])
-        return known
+    def _ask_ahead(self, pair: tuple[int, int], at: int, first: list[int], starts: list[int], tokens: list[int], last: list[int]) -> None:
+        """Ask about ``pair`` and all pairs that the next positions may need."""
+        if len(self.few) >= FEW:
+            self.few.clear()
+        stop = min(at + AHEAD, len(first) - 2)
+        wanted = {pair}
+        for k in range(first[at], first[stop + 1]):
+            s = starts[k]
+            before = {last[s]} if s < at else {*tokens[first[s] : first[s + 1]], _OUTSIDE}
+            wanted |= {(b, tokens[k]) for b in before}
+        new = [p for p in wanted if p not in self.few]
+        known = self.together(np.array([a for a, _ in new]), np.array([b for _, b in new]))
+        self.few.update(zip(new, known.tolist(), strict=True))
 
     def _in_step(self, units: list[str], lens: np.ndarray, begin: np.ndarray, out: np.ndarray) -> None:
         """The tables of units that are sorted by length, one position of all at a time."""

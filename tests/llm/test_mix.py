@@ -5,15 +5,17 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from arledger.llm import chat, langid, mixing, sharding
+from arledger.llm import chat, jaccard, langid, mixing, sharding
 
 
 
@@ -201,6 +203,84 @@ def test_evidence_is_fused(spark):
     assert nothing.count() == len(rows) and nothing.where("lang is not null").count() == 0
 
 
+def brute_posterior(pages, names, model):
+    """Every formula of the module's docstring, page by page."""
+    k = range(len(names))
+    read = []
+    for i, url, page in pages:
+        score = langid.log_likelihood(model, langid.visible(page))
+        soft = np.exp(score - score.max())
+        host = langid.host_of(url)
+        read.append((i, host, host.rpartition(".")[2] if host else None, langid.declared(page), score, soft / soft.sum()))
+
+    def total(at, value):
+        return sum((r[5] for r in read if value is not None and r[at] == value), np.zeros(len(names)))
+
+    everything = sum(r[5] for r in read)
+    out = []
+    for i, host, suffix, mark, score, soft in read:
+        less = lambda w: np.maximum(w - soft, 0)
+        prior = (less(everything) + 1) / (everything.sum() - 1 + len(names))
+        for at, value, weight in ((2, suffix, langid.SUFFIX_WEIGHT), (1, host, langid.HOST_WEIGHT)):
+            w = less(total(at, value)) if value is not None else np.zeros(len(names))
+            prior = (w + weight * prior) / (w.sum() + weight)
+        log = score + np.log(prior)
+        if mark is not None:
+            w = less(total(3, mark))
+            log = log + np.log((w + langid.DECLARED_WEIGHT * max(w.sum() / everything.sum(), 1e-6)) / (everything + langid.DECLARED_WEIGHT))
+        p = np.exp(log - log.max())
+        out.append((i, names[int(log.argmax())], float(1 / p.sum()), names[int(score.argmax())], mark, host))
+    return sorted(out, key=repr)
+
+
+def odd_pages():
+    rnd = random.Random(9)
+    text = lambda: " ".join(rnd.choice(["the house and the tree", "das haus und der baum", "la maison et le arbre", "x1 y2"]) for _ in range(rnd.randint(0, 12)))
+    page = "<html {}><!-- {} --><p>{}</p><script>the the</script></html>".format
+    rows = [(i, rnd.choice([f"https://h{i % 9}.{rnd.choice(['de', 'fr', 'com'])}/x", None, "no address"]), page(rnd.choice(["lang=en", "lang='de-AT'", "", 'LANG="FR"', "lang=zz"]), text(), text())) for i in range(120)]
+    return rows + [(500, None, None), (501, "https://h1.de", ""), (501, "https://h1.de", ""), (None, "https://h2.fr", "<p>la maison")]
+
+
+@pytest.mark.parametrize("at_once", [32, 2])
+def test_posterior_by_hand(spark, monkeypatch, at_once):
+    monkeypatch.setattr(langid, "AT_ONCE", at_once)
+    docs = spark.createDataFrame([("the house and the tree " * 9, "en"), ("das haus und der baum " * 9, "de"), ("das haus " * 5, "de_CH"), ("la maison et le arbre " * 9, "FR-ca"), ("la casa y el arbol", " es "), ("", "it"), ("the end", ""), ("the end", None), (None, "en")], "text string, lang string")
+    rows = odd_pages()
+    names, model = langid.train(docs)
+    assert names == ["de", "en", "es", "fr", "it"]
+    found = langid.identify(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3), docs).collect()
+    want = brute_posterior(rows, names, model)
+    got = sorted((tuple(r) for r in found), key=repr)
+    assert [w[:2] + w[3:] for w in want] == [g[:2] + g[3:] for g in got]
+    assert all(abs(w[2] - g[2]) < 2e-6 for w, g in zip(want, got, strict=True))
+
+
+def test_many_languages(spark):
+    word = lambda i: f"{'abcdefghij'[i // 12]}{'klmnopqrstuv'[i % 12]}{'wxyz'[i % 4]}q"
+    docs = spark.createDataFrame([(f"{word(i)} " * 50, f"l{i:03d}") for i in range(120)], "text string, lang string")
+    pages = spark.createDataFrame([(i, f"https://a.x{i}", f"<p>{(word(i) + ' ') * 20}") for i in range(0, 120, 10)], "page_id long, url string, html string")
+    found = {r["page_id"]: r["lang"] for r in langid.identify(pages, docs).collect()}
+    assert found == {i: f"l{i:03d}" for i in range(0, 120, 10)}
+
+
+@pytest.mark.parametrize("broken", ["<meta content-language ", "<!-- ", "<script ", "<html ", "<", "</script ", "<meta content=", "<html lang", "<style></style ", "&lt", "<!---->", "<nav><script>"])
+def test_a_megabyte_of_broken_markup_is_read_in_a_second(broken):
+    page = broken * (1_000_000 // len(broken))
+    began = time.process_time()
+    langid.declared(page)
+    langid.visible(page)
+    assert time.process_time() - began < 3  # seconds; about one on a free machine
+
+
+def test_shown_text_and_declarations_of_broken_pages():
+    assert langid.visible("a <!-- b <p>c</p> <script>d</script> e").split() == ["a", "c", "e"]
+    assert langid.visible("a <script>b <style>c</style> d").split() == ["a", "b", "d"] and langid.visible("a < b").split() == ["a", "<", "b"]
+    assert langid.visible("x<nav>n</nav>y<NAV >n</Nav >z").split() == ["x", "y", "z"] and langid.visible(None) == ""
+    assert langid.declared("<html><html lang=pt>") == "pt" and langid.declared("<html lang=pt") == "pt"
+    assert langid.declared("<meta content=fr http-equiv=content-language>") is None
+    assert langid.declared("<meta content=de content-language content='fr'>") == "fr" and langid.declared("<meta content-language><meta content-language content=IT>") == "it"
+
+
 def test_features_and_markup():
     assert langid.visible("<p>a &amp; b<!-- c --><SCRIPT>x</SCRIPT ></p>").split() == ["a", "&", "b"]
     assert langid.declared('<HTML class="x" LANG="EN-us">') == "en" and langid.declared("<p>") is None
@@ -220,6 +300,37 @@ def test_pipeline_matches_sql(spark):
     assert [s[0] for s in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontaminate", "mix", "shard"]
 
 
+def test_near_duplicates_stage_keeps_unlinked_rows_of_one_id(spark):
+    rnd = random.Random(12)
+    text = lambda: " ".join(f"v{rnd.randrange(900)}" for _ in range(60))
+    a, b, c, d = (text() for _ in range(4))
+    near = b.rsplit(" ", 1)[0] + " other"
+    rows = [(1, a, "en", "s"), (1, b, "en", "s"), (2, c, "en", "s"), (3, near, "en", "s"), (3, d, "en", None), (3, d, None, "t"), (3, d, None, "s"),
+            (4, d, "a", "s"), (5, "", "x", "s"), (5, "", "x", "s"), (5, None, "x", "s"), (None, a, "x", "s"), (None, a, "x", "s"), (6, a, "x", "s"), (7, " \n ", "x", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("component", F.lit("old")).withColumn("digest", F.lit("old"))
+    kept = sorted(map(repr, (tuple(r)[:4] for r in jaccard.keep_first(docs.repartition(4)).collect())))
+    want = [rows[0], rows[1], rows[2], (3, d, None, "s"), *rows[8:13], rows[14]]
+    assert kept == sorted(map(repr, want))
+
+
+def test_pipeline_matches_sql_on_repeated_ids(spark, tmp_path):
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = base.withColumn("doc_id", F.when(F.col("doc_id") % 7 == 0, F.col("doc_id") % 3).when(F.col("doc_id") % 11 == 0, F.lit(None)).otherwise(F.col("doc_id")))
+    odd = odd.union(odd.where("doc_id % 5 = 1")).union(odd.where("doc_id % 5 = 2").withColumn("lang", F.lit(None).cast("string")))
+    odd.coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    cte = corpus_pipeline.ORACLE_SQL[: corpus_pipeline.ORACLE_SQL.index("q3 AS")].rstrip().rstrip(",")
+    want = con.execute(cte + " SELECT doc_id, text, lang, source, n_chars FROM q2").fetchall()
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:2]:
+        docs = corpus_pipeline.common.stored(stage(spark, docs, str(tmp_path)), "test-stage")
+    assert sorted(map(repr, map(tuple, docs.select("doc_id", "text", "lang", "source", "n_chars").collect()))) == sorted(map(repr, want))
+    assert 0 < len(want) < odd.count()
+
+
 def test_stages_on_odd_rows(spark, docs, clashing, no_docs):
     d = "/root/testdata/sf0.001"
     for table in (clashing, docs.limit(0), docs.where("text is null"), docs.where("doc_id is null"), docs.union(docs)):

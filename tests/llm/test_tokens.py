@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import base64
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -39,6 +41,40 @@ def test_every_prefix_is_exact(model):
         assert prefixcounts.table(model, t).tolist() == [len(model.library.encode(t[:k])) for k in range(len(t) + 1)]
 
 
+def without_spaces(n):
+    rnd = random.Random(n)
+    han = "的一是不了人我在有他这为之大来以个中上们到说国和地也子时道出而要于就下得可你年生自会那后能对着事其里所去行过家十用发天如然作方成者多日都"
+    return {
+        "base64": base64.b64encode(rnd.randbytes(n)).decode(), "hex": rnd.randbytes(n // 2).hex(), "chinese": "".join(rnd.choice(han) for _ in range(n // 3)),
+        "rare": "".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(n // 3)), "thai": "".join(chr(rnd.randrange(0xE01, 0xE2E)) for _ in range(n // 3)),
+        "one letter": "a" * n, "letters": "".join(rnd.choice("etaoinshrdlu") for _ in range(n)), "words": "".join(rnd.choice(["the", "and", "house", "quick", "number"]) for _ in range(n // 5)),
+        "code": "".join(rnd.choice(["function", "(a,b){", "return", "=;", "i++", ".push(", "null", "!==", "};"]) for _ in range(n // 5)), "mixed": "".join(rnd.choice("aé中😀ß1_-eth") for _ in range(n)),
+    }
+
+
+@pytest.mark.parametrize("kind", sorted(without_spaces(9)))
+def test_long_runs_without_spaces(model, kind):
+    text = without_spaces(6000)[kind]
+    texts = [text, "lead " + text, text + "\n" + text[: len(text) // 2], text[:40], text[:33], text[:32]]
+    assert prefixcounts.counts(model, [t.encode() for t in texts]).tolist() == [len(x) for x in model.library.encode(texts)]
+    part = text[:300]
+    assert prefixcounts.table(model, part).tolist() == [len(model.library.encode(part[:k])) for k in range(len(part) + 1)]
+
+
+def test_crowds_of_long_parts(model, monkeypatch):
+    monkeypatch.setattr(prefixcounts, "CROWD", 2)
+    texts = [t[:n] for t in without_spaces(1500).values() for n in (400, 900, 1500)]
+    assert prefixcounts.counts(model, [t.encode() for t in texts]).tolist() == [len(x) for x in model.library.encode(texts)]
+
+
+def test_a_megabyte_without_spaces(model):
+    for kind in ("base64", "chinese", "hex"):
+        text = without_spaces(1_000_000)[kind].encode()
+        began = time.process_time()
+        prefixcounts.counts(model, [text])
+        assert time.process_time() - began < 4  # seconds; well under one on a free machine
+
+
 def test_forgotten_pairs_change_nothing(model):
     texts = [t.encode() for t in odd_texts(300)]
     want = prefixcounts.counts(model, texts).tolist()
