@@ -40,7 +40,8 @@ from pyspark.sql import functions as F
 
 from ..constants import CV_FOLDS, FEATURE_COLS, RANDOM_SEED, TARGET_COL, TEST_SIZE
 from ..session import tables_dir
-from .features import time_split
+from ..sources import models
+from .features import build_feature_store, time_split
 from .metrics import optimize_threshold, ranking_metrics, staged_auc
 from .scoring import predict
 
@@ -320,6 +321,23 @@ class TrainedClassifier:
         schema = ", ".join(f"{k} string" for k in meta)
         spark.createDataFrame([tuple(meta.values())], schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
 
+    def publish(self, path: str, codes: DataFrame) -> None:
+        """Save the model with the category codes (F21) that its features were made with, then its manifest."""
+        self.save(path)
+        models.save_codes(codes, path)
+        models.publish(SparkSession.getActiveSession(), path, {
+            "kind": "classifier", "model": "gbt", "calibrator": "calibrator" if self.calibrator is not None else "", "trace": "trace", "codes": models.CODES,
+            "threshold": repr(self.threshold), "features": ",".join(self.config.features)})
+
+    @staticmethod
+    def load_published(folder: str) -> "tuple[TrainedClassifier, DataFrame]":
+        """The newest complete version in a folder, and its category codes."""
+        spark = SparkSession.getActiveSession()
+        found = models.latest(spark, folder)
+        if found is None:
+            raise FileNotFoundError(f"no published model in {folder}")
+        return TrainedClassifier.load(found[0]), models.load_codes(spark, found[0])
+
     @staticmethod
     def load(path: str) -> "TrainedClassifier":
         """The saved model with its whole configuration."""
@@ -360,6 +378,11 @@ def train_classifier(train: DataFrame, cfg: ClassifierConfig | None = None, with
     return model
 
 
+def score_invoices(model: TrainedClassifier, codes: DataFrame, customers: DataFrame, invoices: DataFrame, gl: DataFrame) -> DataFrame:
+    """C7 for invoices that a model hasn't seen: their features with the codes of its training data, then its scores."""
+    return model.predict(build_feature_store(customers, invoices, gl, codes=codes))
+
+
 def key_uniform(df: DataFrame, seed: int) -> Column:
     """A uniform number in [0, 1) from the row's key, the same whatever the partitioning."""
     keys = [F.col(c).cast("string") for c in ("BELNR", "BUZEI") if c in df.columns]

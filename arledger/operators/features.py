@@ -22,12 +22,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..constants import FEATURE_COLS, FEATURE_STORE_COLS, PAYMENT_TERMS, TARGET_COL, TEST_SIZE
 from ..functions.expressions import lookup, risk_tier, safe_div, weekday_mon0
 from .stats import exact_quantiles, running_counts
 
 ORDER_TIEBREAK = ("BELNR", "BUZEI")
+#: Document numbers of one block of a customer's day; leading characters that tell the blocks of text numbers apart.
+BLOCK_DOCUMENTS, BLOCK_PREFIX = 1_000_000, 4
+
+
+def document_block(df: DataFrame, ties: list[str]) -> Column:
+    """The block of a document number, in the order of the numbers: so many whole numbers, or a prefix of a text
+    (10-digit numbers: a million of them). It follows from the row alone, so no counts are needed beforehand."""
+    if "BELNR" not in ties:
+        return F.lit(0)
+    if isinstance(df.schema["BELNR"].dataType, T.NumericType):
+        return F.floor(F.col("BELNR") / F.lit(BLOCK_DOCUMENTS)).cast("long")
+    return F.substring(F.col("BELNR").cast("string"), 1, BLOCK_PREFIX)
 
 
 def _sum0(c: Column) -> Column:
@@ -79,7 +92,12 @@ def customer_history(cleared: DataFrame, key: str = "KUNNR", date: str = "BLDAT"
     # NULL keys match nothing in the joins below: dropped before they meet in one task
     cleared = cleared.where(F.col(key).isNotNull() & F.col(date).isNotNull())
     ties = [c for c in ORDER_TIEBREAK if c in cleared.columns]
-    w_day = Window.partitionBy(key, date).orderBy(*ties)
+    # a customer's day is cut into blocks of document numbers, in their order, so that a single day
+    # with very many documents is spread over as many tasks as it has blocks; the level above
+    # the rows is the block, and blocks follow each other as days do
+    cleared = cleared.withColumn("_block", document_block(cleared, ties))
+    unit = [key, date, "_block"]
+    w_day = Window.partitionBy(*unit).orderBy(*ties)
     prior = w_day.rowsBetween(Window.unboundedPreceding, -1)
     dl, lf, amt = F.col("DAYS_LATE"), F.col("LATE_FLAG"), F.col("DMBTR")
     rn = F.col("_rn")
@@ -104,27 +122,26 @@ def customer_history(cleared: DataFrame, key: str = "KUNNR", date: str = "BLDAT"
     # Totals: a hash aggregate (map-side partial, so a hot customer-day costs one partial row
     # per task). Last three values of the day: a row_number <= 3 filter, which Spark pre-limits
     # per task before the shuffle (WindowGroupLimit), then three conditional maxima.
-    totals = cleared.groupBy(key, date).agg(
+    totals = cleared.groupBy(*unit).agg(
         F.count(F.lit(1)).alias("_d_n"),
         F.sum(dl).alias("_d_sdl"), F.count(dl).alias("_d_ndl"),
         F.sum(lf).alias("_d_slf"), F.count(lf).alias("_d_nlf"),
         F.sum(amt).alias("_d_samt"), F.count(amt).alias("_d_namt"),
         F.max(amt).alias("_d_mx"),
     )
-    w_last = Window.partitionBy(key, date).orderBy(*[F.desc(c) for c in ties])
-    last3 = cleared.select(key, date, dl.alias("_v"), F.row_number().over(w_last).alias("_r")).where(F.col("_r") <= 3)
-    tails = last3.groupBy(key, date).agg(
+    w_last = Window.partitionBy(*unit).orderBy(*[F.desc(c) for c in ties])
+    last3 = cleared.select(*unit, dl.alias("_v"), F.row_number().over(w_last).alias("_r")).where(F.col("_r") <= 3)
+    tails = last3.groupBy(*unit).agg(
         *[F.max(F.when(F.col("_r") == k, F.col("_v"))).alias(f"_d{k}") for k in (1, 2, 3)]
     )
-    days = totals.join(tails, [key, date], "inner")
+    days = totals.join(tails, unit, "inner")
     n0 = lambda c: F.coalesce(c, F.lit(0))
 
     # level 2: prefix over the days of a customer (one row per customer-day)
-    w_c = Window.partitionBy(key).orderBy(date)
+    w_c = Window.partitionBy(key).orderBy(date, "_block")
     before = w_c.rowsBetween(Window.unboundedPreceding, -1)
     day_prefix = days.select(
-        key,
-        date,
+        *unit,
         F.sum("_d_n").over(before).alias("_c_n"),
         F.sum("_d_sdl").over(before).alias("_c_sdl"),
         F.sum("_d_ndl").over(before).alias("_c_ndl"),
@@ -148,7 +165,7 @@ def customer_history(cleared: DataFrame, key: str = "KUNNR", date: str = "BLDAT"
         day_prefix = day_prefix.join(dim, key, "left")
 
     # level 3: join the day prefix back (the fact side is already partitioned on the keys)
-    j = level1.join(day_prefix, [key, date], "inner")
+    j = level1.join(day_prefix, unit, "inner")
     n_prior = (n0(F.col("_c_n")) + rn - 1).cast("int")
     sdl = n0(F.col("_c_sdl")) + n0(F.col("_p_sdl"))
     ndl = n0(F.col("_c_ndl")) + n0(F.col("_p_ndl"))
@@ -179,7 +196,7 @@ def customer_history(cleared: DataFrame, key: str = "KUNNR", date: str = "BLDAT"
     roll = F.when(cnt > 0, tot / cnt)
 
     base = j.select(
-        *[F.col(c) for c in cleared.columns],
+        *[F.col(c) for c in cleared.columns if c != "_block"],
         *[F.col(c) for c in dim_cols],
         avg_dl.alias("CUST_AVG_DAYS_LATE"),
         avg_lf.alias("CUST_LATE_RATE"),

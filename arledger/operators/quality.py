@@ -1,24 +1,25 @@
 """Q1-Q10: declarative data-quality rules over the raw exports.
 
-One output schema for every rule: (dataset, rule, col_name, n_bad, n_rows, detail). A table is
-scanned once: its rows are grouped by (rule column, invalid value), with the counters of all scalar
-rules summed in the group that stands for the whole table (combined before the shuffle, so a value
-that fills a column is one record per task). The result - one row and the distinct invalid values -
-is stored; counts are taken from all of it, and the ``DETAIL_VALUES`` first values are listed in the
-report (``invalid_values`` gives all of them as rows).
+One output schema for every rule: (dataset, rule, col_name, n_bad, n_rows, detail). The scalar rules of
+a table are one aggregate without keys. Values outside a code list are counted among the rows that have one
+(a filter, so a clean table has none to group); the ``DETAIL_VALUES`` first ones are listed in the report, picked
+before the shuffle (``invalid_values`` gives all of them as rows). Nothing runs while a report is built.
+
+``observed`` measures the same rules as metrics of another action, such as the write of the loaded table
+(``load_validated``): then they cost no scan, and invalid values are looked for only in tables that have some.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import AGING_BUCKETS, INDUSTRY_MAP, PAYMENT_TERMS, REGION_MAP
 from ..functions.expressions import to_date, to_double
-from ..session import stored
 
 RESULT_SCHEMA = T.StructType(
     [
@@ -121,6 +122,9 @@ def scalar_rules(dataset: str, df: DataFrame, rules: TableRules) -> tuple[list,
         p = to_double(df, "POPER")
         aggs.append(F.count_if(p.isNull() | (p < 1) | (p > 12)).alias("poper__"))
         items.append(("period_bounds", "POPER", "poper__"))
+    if RECORD in cols:
+        aggs.append(F.count_if(F.col(RECORD).isNotNull()).alias("malformed__"))
+        items.append(("malformed_records", RECORD, "malformed__"))
     return aggs, items
 
 
@@ -128,55 +132,79 @@ def scalar_rules(dataset: str, df: DataFrame, rules: TableRules) -> tuple[list,
 DETAIL_VALUES = 1_000
 
 
-def _profile(dataset: str, df: DataFrame, rules: TableRules) -> tuple[DataFrame, list, list[str]]:
-    """One scan: a row (NULL, NULL) with the counters of all scalar rules and the number of rows,
-    and a row (column, value, n) per distinct invalid value (Q3); also the rules and the columns."""
-    aggs, items = scalar_rules(dataset, df, rules)
-    cols = [c for c in rules.valid_values if c in df.columns]
-    bad = []
-    for c in cols:
-        v = F.col(c).cast("string")
-        bad.append(F.when(v.isNotNull() & ~v.isin(*rules.valid_values[c]), F.struct(F.lit(c).alias("c"), v.alias("v"))))
-    table = F.struct(F.lit(None).cast("string").alias("c"), F.lit(None).cast("string").alias("v"))
-    found = F.filter(F.array(table, *bad), lambda e: e.isNotNull())
-    keyed = df.select("*", F.explode(found).alias("__k"))
-    whole = F.col("__k.c").isNull()
-    return keyed, [aggs, items, whole], cols
+#: Column of a raw table that holds the text of records that couldn't be split into its fields (else null).
+RECORD = "_MALFORMED"
 
 
-def _report(dataset: str, df: DataFrame, rules: TableRules) -> DataFrame:
-    """Q2-Q4, Q6-Q8 of one table."""
-    keyed, (aggs, items, whole), cols = _profile(dataset, df, rules)
-    grouped = keyed.groupBy(F.col("__k.c").alias("col_name"), F.col("__k.v").alias("value")).agg(*aggs)
-    one = stored(grouped, f"quality-{dataset}")
-    total = one.where("col_name is null")
-    names = [a for _, _, a in items]
-    parts = []
-    for rule, col, alias in items:
-        parts += [f"'{rule}'", f"'{col}'", f"CAST(`{alias}` AS BIGINT)"]
-    # an empty table has no group: its rules hold, over no rows
-    total = total.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("__n"), *[F.coalesce(F.sum(a), F.lit(0)).alias(a) for a in names])
-    n_rows = F.col("__n")
-    scalar = total.select(n_rows.alias("n_rows"), F.expr(f"stack({len(items)}, {', '.join(parts)}) AS (rule, col_name, n_bad)")).select(
-        F.lit(dataset).alias("dataset"), "rule", "col_name", "n_bad", "n_rows", F.lit(None).cast("string").alias("detail"))
-    if not cols:
-        return scalar
-    values = one.where("col_name is not null")
-    first = values.withColumn("__r", F.row_number().over(Window.partitionBy("col_name").orderBy("value"))).where(F.col("__r") <= DETAIL_VALUES)
-    listed = first.groupBy("col_name").agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("list"))
+def _invalid(df: DataFrame, rules: TableRules) -> dict[str, Column]:
+    """Per column with a code list: whether a row's value is outside of it."""
+    of = {c: F.col(c).cast("string") for c in rules.valid_values if c in df.columns}
+    return {c: F.coalesce(v.isNotNull() & ~v.isin(*rules.valid_values[c]), F.lit(False)) for c, v in of.items()}
+
+
+def invalid_values(dataset: str, df: DataFrame) -> DataFrame:
+    """Q3 in full: (dataset, col_name, value, n_rows) of every distinct value outside the code lists."""
+    bad = _invalid(df, RULES[dataset])
+    if not bad:
+        return df.sparkSession.createDataFrame([], "dataset string, col_name string, value string, n_rows long")
+    some = None
+    for cond in bad.values():
+        some = cond if some is None else some | cond
+    cells = [F.struct(F.when(cond, F.lit(c)).alias("c"), F.col(c).cast("string").alias("v")) for c, cond in bad.items()]
+    long = df.where(some).select(F.explode(F.array(*cells)).alias("e")).where("e.c is not null")
+    return long.groupBy(F.col("e.c").alias("col_name"), F.col("e.v").alias("value")).agg(F.count(F.lit(1)).alias("n_rows")).select(
+        F.lit(dataset).alias("dataset"), "col_name", "value", "n_rows")
+
+
+def _scalar_report(dataset: str, total: DataFrame, items: list[tuple[str, str, str]]) -> DataFrame:
+    """The scalar rules' rows from one row of their counts."""
+    cells = [F.struct(F.lit(rule).alias("rule"), F.lit(col).alias("col_name"), F.coalesce(F.col(a), F.lit(0)).cast("long").alias("n_bad")) for rule, col, a in items]
+    return total.select(F.col("__n").cast("long").alias("n_rows"), F.explode(F.array(*cells)).alias("r")).select(
+        F.lit(dataset).alias("dataset"), "r.rule", "r.col_name", "r.n_bad", "n_rows", F.lit(None).cast("string").alias("detail"))
+
+
+def _values_report(dataset: str, values: DataFrame, total: DataFrame, cols: list[str]) -> DataFrame:
+    """Q3: per column with a code list the number of invalid values, and the first of them."""
+    first = F.row_number().over(Window.partitionBy("col_name").orderBy("value"))
+    some = values.select("col_name", "value", first.alias("__r")).where(F.col("__r") <= DETAIL_VALUES)
+    listed = some.groupBy("col_name").agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("list"))
     counts = values.groupBy("col_name").agg(F.count(F.lit(1)).alias("n")).join(listed, "col_name")
     detail = F.when(F.col("n") > DETAIL_VALUES, F.concat("list", F.lit(",... ("), F.col("n").cast("string"), F.lit(" values)"))).otherwise(F.col("list"))
-    wanted = total.select(n_rows.alias("n_rows"), F.explode(F.array(*[F.lit(c) for c in cols])).alias("col_name"))
-    valid = wanted.join(counts.withColumn("detail", detail), "col_name", "left").select(
+    wanted = total.select(F.col("__n").cast("long").alias("n_rows"), F.explode(F.array(*[F.lit(c) for c in cols])).alias("col_name"))
+    return wanted.join(counts.withColumn("detail", detail), "col_name", "left").select(
         F.lit(dataset).alias("dataset"), F.lit("valid_values").alias("rule"), "col_name", F.coalesce("n", F.lit(0)).alias("n_bad"), "n_rows", "detail")
-    return scalar.unionByName(valid)
 
 
-def invalid_values(dataset: str, df: DataFrame) -> DataFrame:
-    """Q3 in full: (dataset, col_name, value, n_rows) of every distinct value outside the code lists."""
-    keyed, (_, _, whole), _ = _profile(dataset, df, RULES[dataset])
-    return keyed.where(~whole).groupBy(F.col("__k.c").alias("col_name"), F.col("__k.v").alias("value")).agg(
-        F.count(F.lit(1)).alias("n_rows")).select(F.lit(dataset).alias("dataset"), "col_name", "value", "n_rows")
+def _report(dataset: str, df: DataFrame, rules: TableRules) -> DataFrame:
+    """Q2-Q4, Q6-Q8 of one table."""
+    aggs, items = scalar_rules(dataset, df, rules)
+    total = df.agg(*aggs)
+    report, cols = _scalar_report(dataset, total, items), list(_invalid(df, rules))
+    return report.unionByName(_values_report(dataset, invalid_values(dataset, df), total, cols)) if cols else report
+
+
+def observed(dataset: str, df: DataFrame) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """``df``, whose next action also measures Q2-Q4 and Q6-Q8, and a function that gives their report afterwards."""
+    rules = RULES[dataset]
+    spark = df.sparkSession
+    missing = check_columns(df, rules.required)
+    if missing:
+        return df, lambda: _rows(spark, [(dataset, "required_columns", c, 1, None, "missing column") for c in missing])
+    aggs, items = scalar_rules(dataset, df, rules)
+    bad = _invalid(df, rules)
+    seen = Observation(f"rules-{dataset}")
+    names = ["__n", *(a for _, _, a in items)]
+    out = df.observe(seen, *aggs, *[F.count_if(cond).alias(f"bad__{c}") for c, cond in bad.items()])
+
+    def report() -> DataFrame:
+        got = seen.get
+        total = spark.createDataFrame([tuple(int(got.get(n) or 0) for n in names)], ", ".join(f"`{n}` long" for n in names))
+        found = any(got.get(f"bad__{c}") for c in bad)
+        values = invalid_values(dataset, df) if found else spark.createDataFrame([], "col_name string, value string, n_rows long")
+        scalar = _scalar_report(dataset, total, items)
+        return scalar.unionByName(_values_report(dataset, values, total, list(bad))) if bad else scalar
+
+    return out, report
 
 
 def all_invalid_values(tables: dict[str, DataFrame | None]) -> DataFrame:
@@ -222,19 +250,35 @@ def validate_table(dataset: str, df: DataFrame | None) -> DataFrame:
 def validate_all(tables: dict[str, DataFrame | None]) -> DataFrame:
     """Q10: every rule of every table (absent table = failed 'file_present' row), plus Q5 when
     both customer and invoice tables are usable. ``passed`` = n_bad == 0."""
+    return _together({name: validate_table(name, tables.get(name)) for name in RULES}, tables)
+
+
+def _together(reports: dict[str, DataFrame], tables: dict[str, DataFrame | None]) -> DataFrame:
     out = None
-    usable = {}
-    for name in RULES:
-        df = tables.get(name)
-        part = validate_table(name, df)
-        if df is not None and not check_columns(df, RULES[name].required):
-            usable[name] = df
+    for part in reports.values():
         out = part if out is None else out.unionByName(part)
+    usable = {name: df for name, df in tables.items() if df is not None and not check_columns(df, RULES[name].required)}
     if "invoice_history" in usable and "customer_master" in usable:
         out = out.unionByName(referential_integrity(usable["invoice_history"], usable["customer_master"]))
     return out.withColumn("passed", F.coalesce(F.col("n_bad") == 0, F.lit(False)))
 
 
+def load_validated(tables: dict[str, DataFrame | None], path: str) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Write every raw table that is there to ``path``/<name> and measure its rules during the write: the tables as
+    scans of what was written, and the report of ``validate_all``."""
+    spark = SparkSession.getActiveSession()
+    reports, loaded = {}, {}
+    for name in RULES:
+        if tables.get(name) is None:
+            reports[name] = validate_table(name, None)
+            continue
+        measured, report = observed(name, tables[name])
+        measured.write.mode("overwrite").parquet(f"{path}/{name}")
+        loaded[name] = spark.read.schema(measured.schema).parquet(f"{path}/{name}")
+        reports[name] = report()
+    return loaded, _together(reports, loaded)
+
+
 def overall_passed(report: DataFrame) -> DataFrame:
     """Q10 overall flag: one row."""
     return report.agg(F.bool_and("passed").alias("all_passed"), F.count(F.lit(1)).alias("n_rules"))

@@ -141,11 +141,12 @@ class Inputs:
         from pyspark.sql import functions as F
 
         from ..operators.classify import train_classifier
+        from ..operators.features import category_mapping
 
         def build():
             train = self.split.where(F.col("split") == "train").drop("split")
             model = train_classifier(train)
-            model.save(self._classifier_path)
+            model.publish(self._classifier_path, category_mapping(self.feature_store))
             return model
 
         return self._memo("classifier", build)

@@ -8,6 +8,7 @@
 * Forecast reports (M19-M22, P2, P10-P12): quantiles taken from a slice's own recent months, neither
   ordered nor positive, go through the same table, chart, KPI and loss operators.
 * Quantile boosting (M15): one round of trees of two leaves, for all models. M19: which models a selection gets.
+* Readers and sinks (S1, S4-S7), kept codes (F21, S8): tables that are written and read again.
 * Data quality over incomplete inputs (Q1, Q10): a missing column, an absent table, the overall flag.
 """
 
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 
 from ..constants import BACKGROUND_ROWS, FEATURE_COLS, FORECAST_FEATURE_COLS, FORECAST_HORIZONS, FORECAST_QUANTILES, RANDOM_SEED
 from ..functions.narrative import narrative
-from ..operators import attribution, boosting, classify, forecast, metrics, monthly, portfolio, quality
+from ..operators import attribution, boosting, classify, features, forecast, metrics, monthly, portfolio, quality
+from ..session import digest, tables_dir
+from ..sources import erp, models
 from . import oracle as O
 from .inputs import HAND_BACKGROUND, HAND_FOREST, LINEAR_WEIGHTS, hand_forest
 from .queries import _quality_tables
@@ -604,3 +607,108 @@ def m19_model_resolution(inp):
     chosen = forecast.resolve_models(forecast.selections(inp.spark, asked), summary)
     return forecast.latest_rows(inp.monthly, chosen).select(
         "Selected_Region", "Selected_Industry", "model", "Model_Source", "Model_Segment", "Inference_Slice", F.col("ALL_REGION").cast("int").alias("ALL_REGION"))
+
+
+# ---- tables that are written and read again -------------------------------------------------------
+def _folder(inp, name: str) -> str:
+    return f"{tables_dir(inp.spark)}/{name}-{digest(inp.sf_dir)}"
+
+
+@register("q10_measured_on_load", O.quality_sql())
+def q10_measured_on_load(inp):
+    """Every rule of the four raw tables, measured while they are written."""
+    return quality.load_validated(_quality_tables(inp), _folder(inp, "loaded"))[1]
+
+
+def _customer_lines(inp):
+    """The customer master as lines of an export in which every tenth name has a line break and every tenth record is cut."""
+    c = inp.customers_raw.select("KUNNR", "BUKRS", "NAME1", "LAND1", "REGIO", "BRSCH", "KTOKD", "ZTERM", "KLIMK", "ERDAT")
+    broken = F.concat(F.lit('"'), F.col("NAME1"), F.lit("\nBranch, "), F.col("LAND1"), F.lit('"'))
+    name = F.when(F.col("KUNNR") % 10 == 3, broken).otherwise(F.col("NAME1"))
+    cells = [F.coalesce(x.cast("string"), F.lit("")) for x in (F.col("KUNNR"), F.col("BUKRS"), name, *[F.col(k) for k in c.columns[3:]])]
+    whole, cut = F.concat_ws(",", *cells), F.concat_ws(",", *cells[:4])
+    return c.select(F.when(F.col("KUNNR") % 10 == 7, cut).otherwise(whole).alias("value"))
+
+
+@register("s1_quarantined_records", O.with_prefix(select=(
+    "SELECT 'lines' AS mode, count_if(KUNNR % 10 NOT IN (3, 7)) AS n_good, count_if(KUNNR % 10 = 7) + 2 * count_if(KUNNR % 10 = 3) AS n_malformed, "
+    "CAST(sum(KUNNR) FILTER (KUNNR % 10 NOT IN (3, 7)) AS BIGINT) AS key_sum, 0 AS n_two_lines, count_if(KUNNR % 10 = 7) + 2 * count_if(KUNNR % 10 = 3) AS n_in_report FROM cust "
+    "UNION ALL SELECT 'multi_line', count_if(KUNNR % 10 <> 7), count_if(KUNNR % 10 = 7), CAST(sum(KUNNR) FILTER (KUNNR % 10 <> 7) AS BIGINT), "
+    "count_if(KUNNR % 10 = 3), count_if(KUNNR % 10 = 7) FROM cust")))
+def s1_quarantined_records(inp):
+    """An export with open quotes, line breaks in quotes and cut records: rows that are read, records that are kept
+    apart, and what the quality report says of them, by line and as multi-line text."""
+    path = _folder(inp, "customers-export")
+    _customer_lines(inp).write.mode("overwrite").text(path)
+    out = None
+    for mode in ("lines", "multi_line"):
+        multi = mode == "multi_line"
+        good, bad = erp.read_quarantined(inp.spark, path, "customer_master", multi, header=False)
+        raw = erp.read_raw(inp.spark, path, "customer_master", multi, header=False, malformed=True)
+        rule = quality.validate_table("customer_master", raw).where("rule = 'malformed_records'").select("n_bad").scalar()
+        one = good.agg(F.lit(mode).alias("mode"), F.count(F.lit(1)).alias("n_good"), F.sum(F.col("KUNNR").cast("long")).alias("key_sum"),
+                       F.count_if(F.col("NAME1").contains("\nBranch, ")).alias("n_two_lines"))
+        one = one.withColumns({"n_malformed": bad.agg(F.count("record")).scalar(), "n_in_report": rule})
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@precision({"amount": 2})
+@register("s5_splits_reread", O.with_prefix(*O.FS_CTES, O.SPLIT_CTE, select=(
+    "SELECT split, count(*) AS n_rows, min(BLDAT) AS first_date, max(BLDAT) AS last_date, sum(DMBTR) AS amount, "
+    "CAST(sum(LATE_FLAG) AS BIGINT) AS n_late, 35 AS n_columns FROM split GROUP BY split")))
+def s5_splits_reread(inp):
+    """The split-partitioned feature store, written and read again as train and test."""
+    path = _folder(inp, "splits")
+    erp.write_feature_store(inp.split, path)
+    out = None
+    for name, part in zip(("train", "test"), erp.load_splits(inp.spark, path), strict=True):
+        one = part.agg(F.lit(name).alias("split"), F.count(F.lit(1)).alias("n_rows"), F.min("BLDAT").alias("first_date"), F.max("BLDAT").alias("last_date"),
+                       F.sum("DMBTR").alias("amount"), F.sum("LATE_FLAG").cast("long").alias("n_late"), F.lit(len(part.columns)).alias("n_columns"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("s6_risk_report_reread", O.narrative_sql((_BG,), lambda c: f"round({_phi(c)}, 7)", "top, bg"))
+def s6_risk_report_reread(inp):
+    """The risk report with its narratives of several lines, written as CSV and read again."""
+    path = _folder(inp, "risk-report")
+    report = x7_linear_risk_report(inp).withColumn("SHAP_VALUES", F.array(F.lit(0.0)))
+    erp.write_risk_report(report, path, files=1)
+    back = inp.spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return back.select(F.col("BELNR").cast("long").alias("BELNR"), "NARRATIVE")
+
+
+@precision({"DMBTR": 2, "LATE_PROB": 4})
+@register("s7_flagged_reread", O.with_prefix(*O.SCORED, select=(
+    f"SELECT {', '.join(erp.FLAGGED_COLS)} FROM scored WHERE LATE_PRED = 1")))
+def s7_flagged_reread(inp):
+    """The export of all flagged invoices, written as CSV and read again."""
+    path = _folder(inp, "flagged")
+    flagged = inp.scored.where("LATE_PRED = 1").select(*erp.FLAGGED_COLS)
+    erp.write_flagged_invoices(flagged, path)
+    return inp.spark.read.option("header", True).option("escape", '"').schema(flagged.schema).csv(path)
+
+
+@register("f21_published_codes", O.with_prefix(*O.FS_CTES, select="SELECT BELNR, INDUSTRY, REGION, INDUSTRY_CODE, REGION_CODE FROM fs"))
+def f21_published_codes(inp):
+    """Category codes that were published with a version, found as the newest one and given to the features
+    of all invoices."""
+    folder = _folder(inp, "codes")
+    models.save_codes(features.category_mapping(inp.feature_store), f"{folder}/v1")
+    models.publish(inp.spark, f"{folder}/v1", {"kind": "codes", "codes": models.CODES})
+    path, _ = models.latest(inp.spark, folder)
+    plain = inp.feature_store.select("BELNR", "INDUSTRY", "REGION")
+    return features.category_codes(plain, mapping=models.load_codes(inp.spark, path))
+
+
+@register("s8_scores_of_published_model")
+def s8_scores_of_published_model(inp):
+    """The newest published model scores all invoices, their features made with its own codes."""
+    inp.classifier  # noqa: B018  (published once per session)
+    from ..operators import classify
+    from ..session import models_dir
+
+    model, codes = classify.TrainedClassifier.load_published(models_dir(inp.spark, "classifier", inp.sf_dir))
+    scored = classify.score_invoices(model, codes, inp.customers, inp.invoices, inp.gl)
+    return scored.select("BELNR", "INDUSTRY_CODE", "REGION_CODE", "LATE_PROB", "LATE_PRED", "RISK_LABEL")

@@ -31,22 +31,25 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+#: Scratch folders of local sessions without a configured one, by application.
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the setting must name a shared folder (HDFS/object store). Only a local-mode
-    session without the setting (tests) gets a fresh scratch folder of its own.
+    session without the setting (tests) gets a fresh scratch folder of its own, which is remembered
+    here (the setting itself can't be changed at run time).
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if conf_dir:
-        spark.sparkContext.setCheckpointDir(conf_dir)
-        return conf_dir
-    master = spark.sparkContext.master
-    if not master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder before running on a cluster")
-    path = tempfile.mkdtemp(prefix="arledger-ckpt-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_DIRS.get(sc.applicationId)
+    if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder before running on a cluster")
+        path = _LOCAL_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="arledger-ckpt-", dir="/tmp")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path)
     return path
 
 

@@ -234,3 +234,33 @@ def test_kept_codes_hold_for_new_data(spark):
     many = spark.range(1500).select(F.format_string("%05d", "id").alias("INDUSTRY"), F.lit("x").alias("REGION"))
     codes = features.category_codes(many)
     assert codes.where(F.col("INDUSTRY").cast("int") != F.col("INDUSTRY_CODE")).count() == 0 and codes.count() == 1500
+
+
+@pytest.mark.parametrize("text_numbers", [False, True])
+def test_one_customer_day_is_split_into_blocks(spark, monkeypatch, text_numbers):
+    """Half of all rows on one customer-day: history over several blocks equals the single window's, and no
+    window group holds the day."""
+    import random
+
+    from arledger.operators import features
+
+    monkeypatch.setattr(features, "BLOCK_DOCUMENTS", 7)
+    rnd = random.Random(4)
+    rows = []
+    for i in range(400):
+        hot = i % 2 == 0
+        number = 1_800_000_000 + i * 37
+        rows.append((str(number) if text_numbers else i * 3, "001", "C1" if hot else f"C{rnd.randrange(5)}",
+                     "2024-03-01" if hot else f"2024-0{rnd.randint(1, 5)}-1{rnd.randrange(3)}", rnd.choice([None, -3.0, 0.0, 4.0, 21.0]), rnd.choice([0, 1, 1]), round(rnd.random() * 1000, 2)))
+    if text_numbers:
+        monkeypatch.setattr(features, "BLOCK_PREFIX", 8)
+    kind = "string" if text_numbers else "long"
+    df = spark.createDataFrame(rows, f"BELNR {kind}, BUZEI string, KUNNR string, BLDAT string, DAYS_LATE double, LATE_FLAG int, DMBTR double").withColumn("BLDAT", F.col("BLDAT").cast("date"))
+    blocks = df.where("KUNNR = 'C1' and BLDAT = '2024-03-01'").groupBy(features.document_block(df, ["BELNR", "BUZEI"])).count()
+    assert blocks.count() > 20 and blocks.agg(F.max("count")).first()[0] < 40
+    got = features.customer_history(df).orderBy("BELNR").collect()
+    want = features.customer_history_single_window(df).orderBy("BELNR").collect()
+    assert len(got) == len(want) == 400 and "_block" not in got[0].asDict()
+    for g, w in zip(got, want, strict=True):
+        for c in ("CUST_AVG_DAYS_LATE", "CUST_LATE_RATE", "CUST_INVOICE_COUNT", "CUST_AVG_AMOUNT", "CUST_TOTAL_EXPOSURE", "CUST_ROLLING3_DAYS_LATE", "CUST_MAX_INVOICE", "CUST_LATE_TREND"):
+            assert g[c] == pytest.approx(w[c], abs=1e-9), (c, g, w)
