@@ -74,7 +74,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     reader sees the same rows, and a lost executor re-reads files)."""
     path = f"{tables_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    _drop_at_exit(df.sparkSession)
+    drop_at_exit(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -102,7 +102,8 @@ def materialize(df, name: str, key: str = "", spark: SparkSession | None = None)
 _TO_DROP: set[str] = set()
 
 
-def _drop_at_exit(spark: SparkSession) -> None:
+def drop_at_exit(spark: SparkSession) -> None:
+    """Remove this application's intermediate tables when the driver ends."""
     app = spark.sparkContext.applicationId
     if app not in _TO_DROP:
         _TO_DROP.add(app)
