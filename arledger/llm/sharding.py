@@ -28,6 +28,8 @@ MASK32 = 0xFFFFFFFF
 BYTES_PER_ROW = 16
 #: Rows that one window group of ``slots`` is meant to hold, and slots that one row is unfolded to at a time.
 GROUP_ROWS, UNFOLD = 50_000, 4_096
+#: Jumps of the first block.
+JUMPS = 16
 
 
 def key_halves(id_column: Column) -> tuple[Column, Column]:
@@ -44,7 +46,9 @@ def _times(x: Column, factor: int) -> Column:
 
 
 def jump_shards(high: Column, low: Column, counts: list[int]) -> Column:
-    """Struct of the shards (s0, s1, ...) of a key for each of ``counts``."""
+    """Struct of the shards (s0, s1, ...) of a key for each of ``counts``. The jumps are taken in blocks of ``JUMPS``, twice
+    as many and so on, and a key that has passed the largest count skips the blocks that are left: a key takes about
+    2 ln(count) jumps, and the steps of one block more at most."""
     most = max(counts)
     start = F.struct(high.alias("h"), low.alias("l"), F.lit(0).cast("long").alias("j"), *[F.lit(0).cast("long").alias(f"s{i}") for i in range(len(counts))])
 
@@ -59,7 +63,15 @@ def jump_shards(high: Column, low: Column, counts: list[int]) -> Column:
         moved = F.struct(h.alias("h"), plus_one.bitwiseAND(MASK32).alias("l"), j.alias("j"), *seen)
         return F.when(b >= F.lit(most), state).otherwise(moved)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step)
+    blocks, size = [], JUMPS
+    while sum(blocks) < most:  # a jump moves by one shard at least
+        blocks.append(min(size, most - sum(blocks)))
+        size *= 2
+
+    def block(state: Column, steps: Column) -> Column:
+        return F.when(state["j"] >= F.lit(most), state).otherwise(F.aggregate(F.sequence(F.lit(1), steps), state, step))
+
+    return F.aggregate(F.array(*[F.lit(n) for n in blocks]), start, block)
 
 
 def assign(df: DataFrame, shards: int, id_col: str = "doc_id", shard_col: str = "shard") -> DataFrame:
