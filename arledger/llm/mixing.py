@@ -83,7 +83,8 @@ def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, e
     rows = docs.select(*old, docs[source_col].alias("of"), u.alias("u")).join(table, F.col("of").eqNullSafe(F.col("source")))
     count = F.col("least") + F.size(F.filter("cdf", lambda c: c <= F.col("u")))
     rows = rows.withColumn("times", count).where("times > 0")
-    place = F.xxhash64(F.lit(seed), F.col("u"), F.col("copy"), F.monotonically_increasing_id())
+    # repeated rows are told apart by their partition, which a recomputed task keeps whatever the order of its rows
+    place = F.xxhash64(F.lit(seed), F.col("u"), F.col("copy"), F.spark_partition_id())
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).withColumn("place", place)
     dealt = rows.repartition("place").sortWithinPartitions("place")
     kept = [i for i, c in enumerate(docs.columns) if copy_col is None or c.lower() != copy_col.lower()]
