@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import io
 import os
 import uuid
+import weakref
 import zipfile
 from collections.abc import Iterator
 
@@ -13,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, drop_at_exit, tables_dir
 
 #: Bytes of text that one numpy pass works on at a time (a longer single text is its own chunk).
 CHUNK_BYTES = 2 << 20
@@ -53,11 +55,48 @@ def shipped(spark: SparkSession) -> None:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once under the shared folder of ``spark.checkpoint.dir`` and return a scan of
-    it: lineage is cut, two readers see the same rows, and a lost executor loses nothing."""
+    it: lineage is cut, two readers see the same rows, and a lost executor loses nothing. The table goes when it is
+    freed, or when the application ends."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/llm-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{tables_dir(spark)}/llm-{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    drop_at_exit(spark)
+    scan = spark.read.schema(df.schema).parquet(path)
+    _PATHS[id(scan)] = (weakref.ref(scan), path)
+    for paths in _WATCHED:
+        paths.append(path)
+    return scan
+
+
+#: Where stored tables are, by their scans; and the lists of those that ``temporaries`` notes down.
+_PATHS: dict[int, tuple[weakref.ref, str]] = {}
+_WATCHED: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def free(*scans: DataFrame | None) -> None:
+    """Delete stored tables that nothing reads any more (other frames are left alone)."""
+    for scan in scans:
+        of, path = _PATHS.pop(id(scan), (None, None))
+        if of is not None and of() is scan:
+            _delete(scan.sparkSession, path)
+
+
+@contextlib.contextmanager
+def temporaries(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, all tables that were stored inside but the last: the one that holds the result."""
+    paths: list[str] = []
+    _WATCHED.append(paths)
+    try:
+        yield
+    finally:
+        _WATCHED.remove(paths)
+        for path in paths[:-1]:
+            _delete(spark, path)
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:

@@ -14,11 +14,12 @@ def components(edges: DataFrame) -> DataFrame:
     In each round a node takes its least neighbour (or itself) as parent, and the graph shrinks to the parents.
     Every join side is a stored table, so Spark can split a hot node's rows; distinct rows and minima are
     combined before their shuffles. The number of rounds is of the order of the logarithm of the longest path
-    when names are in no order along it, as hashes are.
+    when names are in no order along it, as hashes are. A round's tables go when those of the next are stored.
     """
     live = common.stored(edges.where("a <> b").select("a", "b").distinct(), "edges")
     labels = None
     while live.limit(1).count():
+        last = labels
         both = live.select("a", "b").union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = common.stored(both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("p")), "parents")
         of_a = parent.select("a", F.col("p").alias("pa"))
@@ -31,7 +32,9 @@ def components(edges: DataFrame) -> DataFrame:
         else:
             joined = labels.join(of_a, labels["component"] == of_a["a"], "left")
             labels = joined.select("node", F.coalesce("pa", "component").alias("component"))
+        old = live, parent, last
         live, labels = common.stored(shrunk, "edges"), common.stored(labels, "labels")
+        common.free(*old)
     if labels is None:
         return live.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return labels
