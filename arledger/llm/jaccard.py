@@ -18,8 +18,7 @@ and a node's upper corner bounds the overlap with every set below; pairs whose o
 on the sets, highest bound first, and a pair that other links have already joined needs no test. A component
 too large for one task is dealt to blocks, and each pair of blocks is one task.
 
-Links join classes (by the digests of their sets) to final components, each named by its least id; no list of pairs
-is ever made.
+Links join classes to final components, each named by its least id; no list of pairs is ever made.
 
 Defined results: a null or empty text, or one of white space, has an empty set and links with nothing; a row
 without id links with nothing and has a null component; rows of one id are told apart by their texts, each has
@@ -379,33 +378,43 @@ def _linked(percent: int):
         return [(rows[x]["node"], rows[y]["node"]) for x, y in spanning_links(sets, percent, side)]
 
     def run(batches):
-        last, rows, out = None, [], []
+        last, rows, out, types = None, [], [], None
         for batch in batches:
+            types = batch.column("node").type
             for row in batch.to_pylist():
                 task = (row["task"], row["i"], row["j"])
                 if rows and task != last:
                     out += made(rows)
                     rows = []
                     if len(out) >= 10_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], ["a", "b"])
+                        yield pa.RecordBatch.from_arrays([pa.array(x, types) for x in zip(*out, strict=True)], ["a", "b"])
                         out = []
                 last = task
                 rows.append(row)
         if rows:
             out += made(rows)
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*out, strict=True)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, types) for x in zip(*out, strict=True)], ["a", "b"])
 
     return run
 
 
-def _node():
-    """A class in the graph of links: the digest of its set."""
-    return F.unhex(F.concat(*[F.lpad(F.hex(k), 16, "0") for k in ("key1", "key2")]))
+def _nodes(classes: DataFrame) -> DataFrame:
+    """``classes`` with the node that each is in the graph of links: its least id. Of classes with one least id (rows of
+    one id with different texts) the first keeps it, the others are named by 64 bits of their digests (whole numbers)
+    or all of them (other ids)."""
+    keys = F.struct("key1", "key2")
+    shared = classes.groupBy("id").agg(F.min(keys).alias("first"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    shared = common.stored(shared.select("id", "first"), "jaccard-shared")
+    whole = isinstance(classes.schema["id"].dataType, T.IntegralType)
+    own = F.col("id").cast("long" if whole else "string")
+    other = F.xxhash64("key1", "key2") if whole else F.concat(F.lit("~"), F.lpad(F.hex("key1"), 16, "0"), F.lpad(F.hex("key2"), 16, "0"))
+    found = classes.join(shared, "id", "left").withColumn("node", F.when(F.col("first") != keys, other).otherwise(own))
+    return common.stored(found.drop("first"), "jaccard-classes")
 
 
 def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """One row per document: id, n, digest of the text, component (a digest; null without id or set) and component_id."""
+    """One row per document: id, n, digest of the text, component (a node; null without id or set) and component_id."""
     source = common.pick(docs, id=id_col, text=text_col)
     kind = source.schema["id"].dataType.simpleString()
     scheme = Scheme(percent)
@@ -414,6 +423,8 @@ def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col
     buckets = 1 + int(size * (100 - percent) // 300 // (TASK_SIGNATURES // 4))
     plain = common.stored(_classed(source, words, kind), "jaccard-classed")
     classes = common.stored(plain.where("n > 0 and id is not null").groupBy("key1", "key2").agg(F.min("id").alias("id"), F.first("n").alias("n")), "jaccard-classes")
+    classes = _nodes(classes)
+    node_kind = classes.schema["node"].dataType.simpleString()
 
     files = _filed(source, words, scheme, buckets)
     tasks = max(2 * source.sparkSession.sparkContext.defaultParallelism, 1 + buckets // 4)
@@ -421,13 +432,14 @@ def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col
     met = files.repartition(tasks, place).sortWithinPartitions("bucket").mapInArrow(_meetings, "file long, node long, need long")
     coarse = graph.components(_ties(met))
 
-    members = classes.withColumn("node", F.shiftright("key1", LEVEL_BITS)).join(coarse, "node").select("id", "key1", "key2", "n", F.col("component").alias("task"))
+    filed = classes.withColumnRenamed("node", "own").withColumn("node", F.shiftright("key1", LEVEL_BITS))
+    members = filed.join(coarse, "node").select("id", "own", "key1", "key2", "n", F.col("component").alias("task"))
     members = common.stored(members, "jaccard-members")
     held = F.sum("n")
     parts = F.when(held <= UNDIVIDED, F.lit(1)).otherwise(F.greatest(F.ceil(F.sqrt(held / F.lit(BLOCK_UNIT))), F.ceil(2 * held / F.lit(TASK_SHINGLES))))
     blocks = members.groupBy("task").agg(F.count("*").alias("classes"), parts.cast("long").alias("blocks")).where("classes > 1").select("task", "blocks")
     blocks = common.stored(blocks, "jaccard-blocks")
-    members = members.join(blocks, "task").select("id", "key1", "key2", "task", "blocks", F.pmod(F.xxhash64("key2"), "blocks").alias("block"))
+    members = members.join(blocks, "task").select("id", "own", "key1", "key2", "task", "blocks", F.pmod(F.xxhash64("key2"), "blocks").alias("block"))
     members = common.stored(members, "jaccard-placed")
     texts = source.join(members.hint("merge"), "id")  # the members are a share of all documents: never broadcast
 
@@ -447,13 +459,13 @@ def _components(docs: DataFrame, words: int, percent: int, id_col: str, text_col
             full = pa.array(sets, pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(i) for i in (4, 5, 6)), full], ["node", "task", "blocks", "block", "members"]).filter(full.is_valid())
 
-    points = texts.select(_node().alias("node"), "text", "key1", "key2", "task", "blocks", "block").mapInArrow(reread, "node binary, task long, blocks long, block long, members binary")
+    points = texts.select(F.col("own").alias("node"), "text", "key1", "key2", "task", "blocks", "block").mapInArrow(reread, f"node {node_kind}, task long, blocks long, block long, members binary")
     pairs = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda other: F.struct(F.least("block", other).alias("i"), F.greatest("block", other).alias("j"))))
     dealt = points.withColumn("pair", pairs).select("node", "task", "pair.i", "pair.j", "block", "members")
-    links = dealt.repartition("task", "i", "j").sortWithinPartitions("task", "i", "j").mapInArrow(_linked(percent), "a binary, b binary")
+    links = dealt.repartition("task", "i", "j").sortWithinPartitions("task", "i", "j").mapInArrow(_linked(percent), f"a {node_kind}, b {node_kind}")
     final = graph.components(links)
 
-    named = classes.withColumn("node", _node()).join(final, "node", "left").select("key1", "key2", "id", F.coalesce("component", "node").alias("component"))
+    named = classes.join(final, "node", "left").select("key1", "key2", "id", F.coalesce("component", "node").alias("component"))
     named = common.stored(named, "jaccard-named")
     least = common.stored(named.groupBy("component").agg(F.min("id").alias("component_id"), F.count(F.lit(1)).alias("classes")).where("classes > 1"), "jaccard-least")
     named = named.join(least.select("component", "component_id"), "component", "left").withColumn("component_id", F.coalesce("component_id", "id"))
@@ -474,18 +486,24 @@ def keep_first(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_c
     """The rows of ``docs`` less all but one of each component: that of least id stays (of several texts with this id
     that of least MD5, of exact copies with this id that of least other columns, null first). Rows without id or without
     words stay. A row goes only if it is in a component with one that stays, whatever rows share its id."""
-    rows = common.stored(_components(docs, words, percent, id_col, text_col).where("component is not null"), "jaccard-rows")
-    of_first = rows.where("id = component_id")
+    rows = common.stored(_components(docs, words, percent, id_col, text_col).where("id is not null"), "jaccard-rows")
+    of_first = rows.where("id = component_id and component is not null")
     several = of_first.groupBy("component").agg(F.min("digest").alias("least"), F.max("digest").alias("last")).where("least <> last")
     others = of_first.join(common.stored(several.select("component", "least"), "jaccard-several"), "component").where("digest <> least")
     gone = rows.where("id <> component_id").select("id", "digest").union(others.select("id", "digest")).distinct()
     gone = common.stored(gone.select(F.col("id").alias("__id"), F.col("digest").alias("__digest")), "jaccard-gone")
+    # ids of which a text stays are told apart by their texts, the others go by the id alone
+    mixed = common.stored(rows.join(gone, (F.col("id") == F.col("__id")) & (F.col("digest") == F.col("__digest")), "left_anti").join(
+        gone.select("__id").distinct(), F.col("id") == F.col("__id"), "left_semi").select(F.col("id").alias("__mixed")).distinct(), "jaccard-mixed")
     repeated = of_first.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     repeated = common.stored(repeated.select(F.col("id").alias("__id"), F.col("digest").alias("__digest")), "jaccard-repeated")
 
     digest = F.unhex(F.md5(F.coalesce(docs[text_col], F.lit("")).cast("binary")))
     same = (docs[id_col] == F.col("__id")) & (digest == F.col("__digest"))
-    left = docs.join(gone, same, "left_anti")
+    whole_id = common.stored(gone.join(mixed, F.col("__id") == F.col("__mixed"), "left_anti").select("__id").distinct(), "jaccard-gone-ids")
+    left = docs.join(whole_id.hint("merge"), docs[id_col] == F.col("__id"), "left_anti")  # a share of all ids: never broadcast
+    if mixed.limit(1).count():
+        left = left.join(common.stored(gone.join(mixed, F.col("__id") == F.col("__mixed"), "left_semi"), "jaccard-gone-rows"), same, "left_anti")
     if not repeated.limit(1).count():
         return left
     whole = F.struct(*[docs[c] for c in docs.columns])
