@@ -128,7 +128,7 @@ def train_forecaster(monthly: DataFrame, cfg: ForecastConfig | None = None, pool
     rows = stored(model_rows(monthly, summary, cfg.horizons, pooled, segment), "forecast-rows")
     trees = stored(boosting.fit_models(rows, FORECAST_FEATURE_COLS, cfg.quantiles, cfg.boost, tuple(ROW)), "forecast-trees")
     test = rows.where(~F.col("is_train"))
-    pred = quantile_columns(test.fillna("", SLICE), trees, [*ROW, "target"], cfg.quantiles)
+    pred = quantile_columns(test, trees, [*ROW, "target"], cfg.quantiles)
     results = stored(pinball_table(pred, cfg.quantiles, "target"), "forecast-results")
     trained = F.col("eligible_for_segment_model")
     summary = summary.withColumn("trained", trained).withColumn(

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..constants import BACKGROUND_ROWS, FEATURE_COLS, FORECAST_FEATURE_COLS, FORECAST_HORIZONS, FORECAST_QUANTILES, RANDOM_SEED
 from ..functions.narrative import narrative
 from ..operators import attribution, boosting, classify, features, forecast, metrics, monthly, portfolio, quality
-from ..session import digest, tables_dir
+from ..session import digest, stored, tables_dir
 from ..sources import erp, models
 from . import oracle as O
 from .inputs import HAND_BACKGROUND, HAND_FOREST, LINEAR_WEIGHTS, hand_forest
@@ -574,7 +574,7 @@ def m15_boosting_round_standin(inp):
     """Start value, split and leaf values of the first boosting round of every model, on all its months."""
     rows = forecast.model_rows(inp.monthly, monthly.segment_summary(inp.monthly))
     rows = rows.withColumns({"is_train": F.lit(True), **{c: F.round(F.col(c).cast("double"), 6) for c in FORECAST_FEATURE_COLS}})
-    trees = boosting.fit_models(rows, FORECAST_FEATURE_COLS, FORECAST_QUANTILES, _ROUND, tuple(forecast.ROW))
+    trees = stored(boosting.fit_models(rows, FORECAST_FEATURE_COLS, FORECAST_QUANTILES, _ROUND, tuple(forecast.ROW)), "boosting-round")
     bound = F.get("bounds", F.lit(0))
     is_left = (F.col("tree") == 1) & (bound["lower"] == float("-inf"))
     is_right = (F.col("tree") == 1) & (bound["upper"] == float("inf"))

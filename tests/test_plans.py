@@ -44,17 +44,21 @@ def test_facts_are_reduced_before_segments_are_joined(spark):
     assert all(plan.index(j) < reduced for j in ("Join",))  # plans print top down: every join is above the aggregate
 
 
-def test_validation_scans_a_table_once(spark):
+def test_scalar_rules_are_one_keyless_aggregate(spark):
+    """The counters of a table come from one scan and one row per task; invalid values from the few columns with code
+    lists, filtered before they are unfolded and grouped."""
     from arledger.operators import quality
     from arledger.plans.inputs import Inputs
 
     raw = Inputs(spark, SF_SMALL).customers_raw
-    keyed, (aggs, _, _), _ = quality._profile("customer_master", raw, quality.RULES["customer_master"])
-    plan = _static(keyed.groupBy("__k.c", "__k.v").agg(*aggs), spark)
-    assert plan.count("customer.parquet") == 1 and plan.count("Exchange hashpartitioning") == 1
-    # the stored groups are all that the report reads
-    report = _plan(quality.validate_table("customer_master", raw))
-    assert "customer.parquet" not in report
+    aggs, _ = quality.scalar_rules("customer_master", raw, quality.RULES["customer_master"])
+    plan = _static(raw.agg(*aggs), spark)
+    assert plan.count("customer.parquet") == 1 and "Exchange hashpartitioning" not in plan and "Generate" not in plan
+    values = _static(quality.invalid_values("customer_master", raw), spark)
+    assert values.count("customer.parquet") == 1 and values.count("Exchange hashpartitioning") == 1
+    lines = values.splitlines()
+    at = {word: next(i for i, line in enumerate(lines) if word in line) for word in ("Generate", "FileScan")}
+    assert any("Filter" in line for line in lines[at["Generate"] : at["FileScan"]]) and "c_acctbal" not in values
 
 
 def test_split_is_a_projection_of_one_scan(spark):
