@@ -156,31 +156,29 @@ def invalid_values(dataset: str, df: DataFrame) -> DataFrame:
         F.lit(dataset).alias("dataset"), "col_name", "value", "n_rows")
 
 
-def _scalar_report(dataset: str, total: DataFrame, items: list[tuple[str, str, str]]) -> DataFrame:
-    """The scalar rules' rows from one row of their counts."""
-    cells = [F.struct(F.lit(rule).alias("rule"), F.lit(col).alias("col_name"), F.coalesce(F.col(a), F.lit(0)).cast("long").alias("n_bad")) for rule, col, a in items]
-    return total.select(F.col("__n").cast("long").alias("n_rows"), F.explode(F.array(*cells)).alias("r")).select(
-        F.lit(dataset).alias("dataset"), "r.rule", "r.col_name", "r.n_bad", "n_rows", F.lit(None).cast("string").alias("detail"))
-
-
-def _values_report(dataset: str, values: DataFrame, total: DataFrame, cols: list[str]) -> DataFrame:
-    """Q3: per column with a code list the number of invalid values, and the first of them."""
+def _report_rows(dataset: str, total: DataFrame, items: list[tuple[str, str, str]], cols: list[str], values: DataFrame | None) -> DataFrame:
+    """The rules' rows from one row of counts (``total``); Q3's counts and first values from the distinct ``values``
+    (None: there are none) outside the lists of ``cols``."""
+    cell = lambda rule, col, n: F.struct(F.lit(rule).alias("rule"), F.lit(col).alias("col_name"), n.cast("long").alias("n_bad"))
+    cells = [cell(rule, col, F.coalesce(F.col(a), F.lit(0))) for rule, col, a in items] + [cell("valid_values", c, F.lit(0)) for c in cols]
+    rows = total.select(F.col("__n").cast("long").alias("n_rows"), F.explode(F.array(*cells)).alias("r"))
+    rows = rows.select("r.rule", "r.col_name", "r.n_bad", "n_rows")
+    if values is None or not cols:
+        return rows.select(F.lit(dataset).alias("dataset"), "rule", "col_name", "n_bad", "n_rows", F.lit(None).cast("string").alias("detail"))
     first = F.row_number().over(Window.partitionBy("col_name").orderBy("value"))
     some = values.select("col_name", "value", first.alias("__r")).where(F.col("__r") <= DETAIL_VALUES)
     listed = some.groupBy("col_name").agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("list"))
     counts = values.groupBy("col_name").agg(F.count(F.lit(1)).alias("n")).join(listed, "col_name")
-    detail = F.when(F.col("n") > DETAIL_VALUES, F.concat("list", F.lit(",... ("), F.col("n").cast("string"), F.lit(" values)"))).otherwise(F.col("list"))
-    wanted = total.select(F.col("__n").cast("long").alias("n_rows"), F.explode(F.array(*[F.lit(c) for c in cols])).alias("col_name"))
-    return wanted.join(counts.withColumn("detail", detail), "col_name", "left").select(
-        F.lit(dataset).alias("dataset"), F.lit("valid_values").alias("rule"), "col_name", F.coalesce("n", F.lit(0)).alias("n_bad"), "n_rows", "detail")
+    more = F.when(F.col("n") > DETAIL_VALUES, F.concat("list", F.lit(",... ("), F.col("n").cast("string"), F.lit(" values)"))).otherwise(F.col("list"))
+    counts = counts.select(F.lit("valid_values").alias("rule"), "col_name", "n", more.alias("detail"))
+    return rows.join(counts, ["rule", "col_name"], "left").select(
+        F.lit(dataset).alias("dataset"), "rule", "col_name", F.coalesce("n", "n_bad").alias("n_bad"), "n_rows", "detail")
 
 
 def _report(dataset: str, df: DataFrame, rules: TableRules) -> DataFrame:
     """Q2-Q4, Q6-Q8 of one table."""
     aggs, items = scalar_rules(dataset, df, rules)
-    total = df.agg(*aggs)
-    report, cols = _scalar_report(dataset, total, items), list(_invalid(df, rules))
-    return report.unionByName(_values_report(dataset, invalid_values(dataset, df), total, cols)) if cols else report
+    return _report_rows(dataset, df.agg(*aggs), items, list(_invalid(df, rules)), invalid_values(dataset, df))
 
 
 def observed(dataset: str, df: DataFrame) -> tuple[DataFrame, Callable[[], DataFrame]]:
@@ -200,9 +198,7 @@ def observed(dataset: str, df: DataFrame) -> tuple[DataFrame, Callable[[], DataF
         got = seen.get
         total = spark.createDataFrame([tuple(int(got.get(n) or 0) for n in names)], ", ".join(f"`{n}` long" for n in names))
         found = any(got.get(f"bad__{c}") for c in bad)
-        values = invalid_values(dataset, df) if found else spark.createDataFrame([], "col_name string, value string, n_rows long")
-        scalar = _scalar_report(dataset, total, items)
-        return scalar.unionByName(_values_report(dataset, values, total, list(bad))) if bad else scalar
+        return _report_rows(dataset, total, items, list(bad), invalid_values(dataset, df) if found else None)
 
     return out, report
 
