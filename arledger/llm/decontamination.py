@@ -11,8 +11,9 @@ item, spaces included, so a byte match is a word match. For each class of patter
 * direct comparison: first the patterns' first eight bytes, then all bytes.
 
 The benchmark goes to the tasks in blocks of at most ``BLOCK_BYTES``, cut by a hash after its size is known;
-with one block, documents are read once and never shuffled; further blocks read the stored result of the one
-before, so only one block's tables are in memory.
+with one block, documents are read once and never shuffled. Each block before the last is a pass of its own over the
+documents, so only one block's tables are in memory; such a pass stores no text, only the hits of each different text
+that has any, which the rows of the last pass meet by the text's digest.
 
 Defined results: a null or empty text has no words and no hits; an item without words has no windows; rows of
 one item_id count as one item, a null item_id as the id ""; equal documents get equal results; an empty
@@ -22,13 +23,14 @@ along untouched by ``keep_clean``. A byte 0xFF, which UTF-8 doesn't have, is rea
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -240,7 +242,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     kind = source.schema["id"].dataType.simpleString()
     tail = "n_words long, spans array<long>, items array<string>"
 
-    def scan(patterns: Broadcast, first: bool, last: bool):
+    def scan(patterns: Broadcast, whole: bool):
+        """All rows with their digests, or only those with hits, without id."""
+
         def run(batches):
             for batch in batches:
                 if not batch.num_rows:
@@ -252,22 +256,42 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                     n_words.append(n)
                     ranges += r
                     items += i
-                if not first:
-                    for k, (old, ids) in enumerate(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
-                        ranges[k] = _union(ranges[k] + list(zip(old[::2], old[1::2], strict=True)))
-                        items[k].update(ids)
                 columns = [pa.array(np.concatenate(n_words)), pa.array([[x for r in rs for x in r] for rs in ranges], pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *([] if last else [batch.column(1)]), *columns], ["id", *([] if last else ["text"]), "n_words", "spans", "items"])
+                out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["id", "digest", "n_words", "spans", "items"])
+                yield out if whole else out.filter(pa.array([bool(r) for r in ranges])).select(["digest", "spans", "items"])
 
         return run
 
-    held = None
-    for k, block in enumerate(blocks(benchmark, item_col, item_text_col, window)):
+    texts, held, earlier = source.withColumn("digest", _digest(F.col("text"))), None, []
+    for block in blocks(benchmark, item_col, item_text_col, window):
         if held is not None:
-            source = common.stored(source.mapInArrow(scan(held, k == 1, False), f"id {kind}, text string, {tail}"), "wu-manber")
+            found = texts.mapInArrow(scan(held, False), "digest binary, spans array<long>, items array<string>")
+            earlier.append(common.stored(found.dropDuplicates(["digest"]), "wu-manber"))
             held.unpersist()
-        held, n = block, k + 1
-    return source.mapInArrow(scan(held, n == 1, True), f"id {kind}, {tail}").withColumnRenamed("id", id_col)
+        held = block
+    if not earlier:
+        rows = source.withColumn("digest", F.lit(None).cast("binary")).mapInArrow(scan(held, True), f"id {kind}, digest binary, {tail}")
+        return rows.drop("digest").withColumnRenamed("id", id_col)
+    rows = common.stored(texts.mapInArrow(scan(held, True), f"id {kind}, digest binary, {tail}"), "wu-manber-last")
+    more = functools.reduce(DataFrame.union, earlier).groupBy("digest").agg(F.collect_list("spans").alias("s"), F.collect_list("items").alias("i"))  # one entry a block
+
+    def united(batches):
+        for batch in batches:
+            spans, items = [], []
+            for own, ids, s, i in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
+                flat = [own, *(s or [])]
+                spans.append([x for r in _union([(f[k], f[k + 1]) for f in flat for k in range(0, len(f), 2)]) for x in r])
+                items.append(sorted({*ids, *(x for part in i or [] for x in part)}))
+            columns = [pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "n_words", "spans", "items"])
+
+    joined = rows.join(common.stored(more, "wu-manber-earlier"), "digest", "left").select("id", "n_words", "spans", "items", "s", "i")
+    return joined.mapInArrow(united, f"id {kind}, {tail}").withColumnRenamed("id", id_col)
+
+
+def _digest(text: Column) -> Column:
+    """Equal texts have equal hits, so a text's MD5 stands for it between the passes."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -292,10 +316,23 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
 
         return run
 
-    held = None
+    def dirty(patterns: Broadcast):
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    raw = common.byte_texts(batch.column(0))
+                    hit = [bool(r) for a, b in common.chunks(raw) for r in patterns.value.found(raw[a:b])[1]]
+                    yield batch.select(["digest"]).filter(pa.array(hit, pa.bool_()))
+
+        return run
+
+    texts, held, earlier = common.pick(docs, text=text_col).withColumn("digest", _digest(F.col("text"))), None, []
     for block in blocks(benchmark, item_col, item_text_col, window):
         if held is not None:
-            docs = common.stored(docs.mapInArrow(scan(held), docs.schema), "wu-manber-clean")
+            earlier.append(common.stored(texts.mapInArrow(dirty(held), "digest binary").distinct(), "wu-manber-dirty"))
             held.unpersist()
         held = block
+    if earlier:
+        gone = common.stored(functools.reduce(DataFrame.union, earlier).distinct().select(F.col("digest").alias("__gone")), "wu-manber-gone")
+        docs = docs.join(gone, _digest(docs[text_col]) == F.col("__gone"), "left_anti")
     return docs.mapInArrow(scan(held), docs.schema)
