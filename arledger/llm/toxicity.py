@@ -27,6 +27,7 @@ import io
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -223,12 +224,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), lists], ["id", "toxic", "terms"])
 
     def fitted(batches):
-        labels_, lists = [np.zeros(0)], []
-        for batch in batches:
+        labels_, counts, inputs = [np.zeros(0)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for batch in batches:  # lists stay in arrays: the sample is small there, but not as Python objects
             labels_.append(batch.column(0).to_numpy(zero_copy_only=False).astype(float))
-            lists += batch.column(1).to_pylist()
-        row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        at = np.fromiter((i for x in lists for i in x), np.int64, len(row))
+            counts.append(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
+            inputs.append(batch.column(1).flatten().to_numpy(zero_copy_only=False))
+        each, at = np.concatenate(counts), np.concatenate(inputs)
+        row = np.repeat(np.arange(len(each), dtype=np.int32), each)
         w0, w, v = fit(row, at, np.concatenate(labels_), len(blank.hashes))
         yield pa.RecordBatch.from_arrays([pa.array([Machine(blank.hashes, w0, w, v).dumped()], pa.binary())], ["machine"])
 
