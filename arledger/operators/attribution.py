@@ -11,7 +11,8 @@ feature permutation and a seeded background row z are drawn; the 13 "switch-on"
 permutation (first k features from x, the rest from z) are scored in one ``transform``. A point's
 margin counts for the feature just switched on and against the next one, so the contributions are
 plain signed sums per (line, feature): the points are made and scored row by row, the sums are
-combined before their shuffle (12 rows per line are left), and no window over points is needed.
+combined before their shuffle (one row per line is left), and no window over points is needed. A scorer that can
+score numpy columns (``margins``) has its points made and scored batch by batch, without a row per point.
 Per sample the contributions telescope to f(x) - f(z), so base + sum(phi) = f(x) exactly (base =
 mean f(z) over the samples).
 
@@ -51,7 +52,7 @@ def line_keys(df: DataFrame) -> list[str]:
 
 
 def linear_scorer(weights: list[float]) -> Scorer:
-    """MARGIN = sum of weight * feature."""
+    """MARGIN = sum of weight * feature. ``margins`` is the same of numpy columns: [feature, row] to [row]."""
 
     def score(df: DataFrame) -> DataFrame:
         x = vector_to_array("features")
@@ -60,6 +61,13 @@ def linear_scorer(weights: list[float]) -> Scorer:
             total = total + F.lit(float(w)) * x[j]
         return df.withColumn("MARGIN", total)
 
+    def margins(x: np.ndarray) -> np.ndarray:
+        total = np.zeros(x.shape[1])
+        for j, w in enumerate(weights):
+            total = total + float(w) * x[j]
+        return total
+
+    score.margins = margins
     return score
 
 
@@ -83,6 +91,78 @@ def shapley(scorer: Scorer, rows: DataFrame, bg: DataFrame, n_samples: int = 32,
             feats: list[str] = FEATURE_COLS) -> tuple[DataFrame, DataFrame]:
     """Returns (long table keys, feature_idx, feature, phi_margin, phi_se; per-line table keys,
     base_margin, f_margin)."""
+    margins = getattr(scorer, "margins", None)
+    sums = _sums_in_batches(margins, rows, bg, n_samples, seed, feats) if margins else _sums_of_points(scorer, rows, bg, n_samples, seed, feats)
+    keys, n_feat = line_keys(rows), len(feats)
+    # a row per line; lines of one key count together
+    total = sums.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums.columns if c not in keys])
+    batches = min(BATCHES, n_samples)
+    size = [len(range(b, n_samples, batches)) for b in range(batches)]
+
+    def error(j: int) -> Column:
+        means = [F.col(f"b{b}_{j}") / F.lit(float(size[b])) for b in range(batches)]
+        centre = sum(means, F.lit(0.0)) / F.lit(float(batches))
+        spread = sum(((m - centre) * (m - centre) for m in means), F.lit(0.0))
+        return F.sqrt(spread / F.lit(float(max(1, batches * (batches - 1)))))
+
+    n = F.lit(float(n_samples))
+    done = stored(total.select(
+        *keys, F.array(*[F.col(f"v{j}") / n for j in range(n_feat)]).alias("phi"), F.array(*[error(j) for j in range(n_feat)]).alias("se"),
+        (F.col("start") / n).alias("base_margin"), (F.col("end") / n).alias("f_margin")), "shapley-lines")
+    return _long(done, feats), done.select(*keys, "base_margin", "f_margin")
+
+
+def _draws(rows: DataFrame, n_bg: Column, s: Column, seed: int, n_feat: int) -> tuple[Column, list[Column]]:
+    """The background row of sample ``s`` of a line, and the numbers whose order is its permutation (ties by feature)."""
+    ids = [F.col(k) for k in line_keys(rows)]
+    return (F.pmod(F.xxhash64(*ids, s, F.lit(seed)), n_bg).cast("int"), [F.xxhash64(*ids, s, F.lit(j), F.lit(seed + 1)) for j in range(n_feat)])
+
+
+def _sums_in_batches(margins: Callable[[np.ndarray], np.ndarray], rows: DataFrame, bg: DataFrame, n_samples: int, seed: int, feats: list[str]) -> DataFrame:
+    """The sums of ``_sums_of_points`` for a scorer of numpy columns: all points of a batch of lines are made and scored
+    in the task that reads them, so a line stays one row."""
+    keys, n_feat, batches = line_keys(rows), len(feats), min(BATCHES, n_samples)
+    zs = sorted((r["bg_idx"], r["z"]) for r in bg.select("bg_idx", F.transform("z", lambda v: F.coalesce(v, F.lit(0.0))).alias("z")).collect())  # at most BACKGROUND_ROWS rows
+    z = np.array([v for _, v in zs], dtype=np.float64).reshape(-1, n_feat).T
+    drawn = [_draws(rows, F.lit(len(zs)).cast("bigint"), F.lit(s), seed, n_feat) for s in range(n_samples)]
+    # a missing feature is 0, as in a vector made of an array
+    source = rows.select(*keys, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"x{j}") for j, c in enumerate(feats)],
+                         *[c.alias(f"d{s}_{i}") for s, (at, order) in enumerate(drawn) for i, c in enumerate([at, *order])])
+    names = [*[f"v{j}" for j in range(n_feat)], "start", "end", *[f"b{b}_{j}" for b in range(batches) for j in range(n_feat)]]
+
+    def run(found):
+        for batch in found:
+            n, at = batch.num_rows, len(keys)
+            if not n:
+                continue
+            column = lambda i: batch.column(i).to_numpy(zero_copy_only=False)
+            x = np.stack([column(at + j) for j in range(n_feat)])
+            line, total, by_batch = np.arange(n), np.zeros((n_feat, n)), np.zeros((batches, n_feat, n))
+            start, end = np.zeros(n), np.zeros(n)
+            for s in range(n_samples):
+                first = at + n_feat + s * (n_feat + 1)
+                order = np.argsort(np.stack([column(first + 1 + j) for j in range(n_feat)]), axis=0, kind="stable")
+                point = z[:, column(first)]
+                before = margins(point)
+                start += before
+                for turn in order:  # the feature of each line that is switched on
+                    point[turn, line] = x[turn, line]
+                    after = margins(point)
+                    for part in (total, by_batch[s % batches]):  # point by point, as sums of rows go
+                        part[turn, line] -= before
+                        part[turn, line] += after
+                    before = after
+                end += before
+            sums = [*total, start, end, *by_batch.reshape(-1, n)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *map(pa.array, sums)], [*keys, *names])
+
+    kinds = ", ".join(f"`{k}` {source.schema[k].dataType.simpleString()}" for k in keys)
+    return source.mapInArrow(run, f"{kinds}, {', '.join(f'{c} double' for c in names)}")
+
+
+def _sums_of_points(scorer: Scorer, rows: DataFrame, bg: DataFrame, n_samples: int, seed: int, feats: list[str]) -> DataFrame:
+    """Sums over a line's samples: v<feature> of the contributions, b<batch>_<feature> of those of a batch of samples,
+    start and end of the margins of the background row and of the line itself."""
     keys = line_keys(rows)
     n_feat = len(feats)
     n_bg = bg.agg(F.count(F.lit(1))).scalar()
@@ -101,33 +181,51 @@ def shapley(scorer: Scorer, rows: DataFrame, bg: DataFrame, n_samples: int = 32,
     scored = scorer(pts.withColumn("features", array_to_vector(vec)))
     m, k = F.col("MARGIN"), F.col("k")
     before, after = F.when(k > 0, F.col("perm")[k - 1]), F.when(k < n_feat, F.col("perm")[k])
-    # feature -1 holds the margins of the two ends: the background row, and the line itself
-    ends = [F.struct(F.when((k == 0) | (k == n_feat), F.lit(-1)).alias("j"), F.when(k == 0, m).otherwise(F.lit(0.0)).alias("v"),
-                     F.when(k == n_feat, m).otherwise(F.lit(0.0)).alias("end"))]
-    steps = [F.struct(before.cast("int").alias("j"), m.alias("v"), F.lit(0.0).alias("end")),
-             F.struct(after.cast("int").alias("j"), (-m).alias("v"), F.lit(0.0).alias("end"))]
-    parts = scored.select(*keys, "s", F.explode(F.array(*steps, *ends)).alias("p")).where(F.col("p.j").isNotNull())
     batches = min(BATCHES, n_samples)
-    sums = parts.groupBy(*keys, F.col("p.j").alias("j")).agg(
-        F.sum("p.v").alias("v"), F.sum("p.end").alias("end"),
-        *[F.sum(F.when(F.col("s") % batches == b, F.col("p.v"))).alias(f"b{b}") for b in range(batches)],
-    )
-    # one narrow row per (line, feature); both results read it, so the points are scored once
-    sums = stored(sums, "shapley-sums")
-    size = [len(range(b, n_samples, batches)) for b in range(batches)]
-    means = [F.col(f"b{b}") / F.lit(float(size[b])) for b in range(batches)]
-    centre = sum(means, F.lit(0.0)) / F.lit(float(batches))
-    spread = sum(((x - centre) * (x - centre) for x in means), F.lit(0.0))
-    se = F.sqrt(spread / F.lit(float(max(1, batches * (batches - 1)))))
+    part = scored.select(*keys, "s", before.alias("_on"), after.alias("_off"), m.alias("m"), k.alias("k"))
+    of = [F.when(F.col("_on") == j, F.col("m")).when(F.col("_off") == j, -F.col("m")) for j in range(n_feat)]
+    return part.groupBy(*keys).agg(
+        *[F.sum(of[j]).alias(f"v{j}") for j in range(n_feat)],
+        F.sum(F.when(F.col("k") == 0, F.col("m"))).alias("start"), F.sum(F.when(F.col("k") == n_feat, F.col("m"))).alias("end"),
+        *[F.sum(F.when(F.col("s") % batches == b, of[j])).alias(f"b{b}_{j}") for b in range(batches) for j in range(n_feat)])
+
+
+def _long(lines: DataFrame, feats: list[str]) -> DataFrame:
+    """The long table of a stored table of lines (keys, phi and se as arrays), which stays at hand for reports that
+    join lines: they join one row a line, not one a feature."""
     names = F.array(*[F.lit(c) for c in feats])
-    phi = sums.where("j >= 0").select(
-        *keys, F.col("j").alias("feature_idx"), F.element_at(names, F.col("j") + 1).alias("feature"),
-        (F.col("v") / F.lit(float(n_samples))).alias("phi_margin"), se.alias("phi_se"),
-    )
-    base = sums.where("j = -1").select(
-        *keys, (F.col("v") / F.lit(float(n_samples))).alias("base_margin"), (F.col("end") / F.lit(float(n_samples))).alias("f_margin"),
-    )
-    return phi, base
+    each = lines.select(*line_keys(lines), F.posexplode(F.arrays_zip("phi", "se")).alias("feature_idx", "_p"))
+    phi = each.select(*line_keys(lines), "feature_idx", F.element_at(names, F.col("feature_idx") + 1).alias("feature"),
+                      F.col("_p.phi").alias("phi_margin"), F.col("_p.se").alias("phi_se"))
+    phi._lines = (lines, feats)
+    return phi
+
+
+def join_lines(phi: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
+    """``phi.join(other, on)``: the lines are joined before they become a row a feature, if they are at hand."""
+    found = getattr(phi, "_lines", None)
+    if found is None:
+        return phi.join(other, on)
+    lines, feats = found
+    rest = [c for c in [*line_keys(lines), *other.columns] if c not in on]
+    joined = lines.select(*line_keys(lines), "phi", "se").join(other, on)
+    names = F.array(*[F.lit(c) for c in feats])
+    each = joined.select(*on, *rest, F.posexplode(F.arrays_zip("phi", "se")).alias("feature_idx", "_p"))
+    own = [c for c in rest if c in line_keys(lines)]
+    return each.select(*on, *own, "feature_idx", F.element_at(names, F.col("feature_idx") + 1).alias("feature"), F.col("_p.phi").alias("phi_margin"),
+                       F.col("_p.se").alias("phi_se"), *[c for c in rest if c not in own])
+
+
+def of_feature(phi: DataFrame, feature: Column | str) -> DataFrame:
+    """keys, feature, phi_margin of one feature, a name or a scalar of the plan."""
+    feature = F.lit(feature) if isinstance(feature, str) else feature
+    found = getattr(phi, "_lines", None)
+    if found is None:
+        return phi.where(F.col("feature") == feature).select(*line_keys(phi), "feature", "phi_margin")
+    lines, feats = found
+    at = F.array_position(F.array(*[F.lit(c) for c in feats]), F.col("feature")).cast("int") - 1
+    return lines.withColumn("feature", feature).where(F.col("feature").isin(*feats)).select(
+        *line_keys(lines), "feature", F.get("phi", at).alias("phi_margin"))
 
 
 #: A leaf: margin, features on its path, lower and upper bounds. A row is in it if lower < value <= upper for all.
@@ -223,10 +321,8 @@ def tree_shapley(leaves: list[Leaf], rows: DataFrame, bg: DataFrame, feats: list
     kinds = ", ".join(f"`{k}` {source.schema[k].dataType.simpleString()}" for k in keys)
     done = stored(source.mapInArrow(run, f"{kinds}, phi array<double>, f double"), "shapley-exact")
     leaves.unpersist()
-    names = F.array(*[F.lit(c) for c in feats])
-    phi = done.select(*keys, F.posexplode("phi").alias("feature_idx", "phi_margin")).select(
-        *keys, "feature_idx", F.element_at(names, F.col("feature_idx") + 1).alias("feature"), "phi_margin", F.lit(0.0).alias("phi_se"))
-    return phi, done.select(*keys, F.lit(base).alias("base_margin"), F.col("f").alias("f_margin"))
+    exact = done.withColumn("se", F.transform("phi", lambda _: F.lit(0.0)))
+    return _long(exact, feats), done.select(*keys, F.lit(base).alias("base_margin"), F.col("f").alias("f_margin"))
 
 
 def with_error(result: DataFrame, phi: DataFrame) -> DataFrame:
@@ -265,7 +361,7 @@ def waterfall(phi: DataFrame, rows: DataFrame, top: int = 8, features: list[str]
 def contributions_by_tier(phi: DataFrame, fs: DataFrame) -> DataFrame:
     """Mean contribution per (risk tier, feature)."""
     keys = line_keys(phi)
-    return phi.join(fs.select(*keys, "RISK_TIER"), keys).groupBy("RISK_TIER", "feature").agg(
+    return join_lines(phi, fs.select(*keys, "RISK_TIER"), keys).groupBy("RISK_TIER", "feature").agg(
         F.avg("phi_margin").alias("mean_phi")
     )
 
@@ -273,7 +369,7 @@ def contributions_by_tier(phi: DataFrame, fs: DataFrame) -> DataFrame:
 def dependence(phi: DataFrame, fs: DataFrame, feature: str, interaction: str) -> DataFrame:
     """(value, contribution, interacting value) triples for one feature."""
     keys = line_keys(phi)
-    return phi.where(F.col("feature") == feature).join(
+    return of_feature(phi, feature).join(
         fs.select(*keys, F.col(feature).cast("double").alias("value"),
                   F.col(interaction).cast("double").alias("interaction_value")), keys
     ).select(*keys, F.lit(feature).alias("feature"), "value", "phi_margin",
@@ -295,7 +391,7 @@ def interaction_strengths(phi: DataFrame, fs: DataFrame, feature: Column, featur
     the driver. ``feature`` may be a scalar of the plan."""
     keys = line_keys(phi)
     values = F.array(*[F.round(F.col(c).cast("double"), 6) for c in features])
-    lines = phi.where(F.col("feature") == feature).select(*keys, "feature", F.round("phi_margin", 9).alias("_phi"))
+    lines = of_feature(phi, feature).select(*keys, "feature", F.round("phi_margin", 9).alias("_phi"))
     lines = lines.join(fs.select(*keys, values.alias("_x")), keys)
     index = F.array_position(F.array(*[F.lit(c) for c in features]), F.col("feature")).cast("int") - 1
     lines = lines.select(*keys, "feature", "_phi", "_x", F.get("_x", index).alias("_v"))
@@ -327,7 +423,7 @@ def top_dependence(phi: DataFrame, fs: DataFrame, features: list[str] = FEATURE_
     other = strengths.orderBy(F.desc("strength"), "interaction").limit(1).select("interaction").scalar()
     value = F.create_map(*[x for c in features for x in (F.lit(c), F.col(c).cast("double"))])
     vals = fs.select(*keys, value.alias("_v"))
-    j = phi.where(F.col("feature") == top).join(vals, keys).withColumn("interaction", other)
+    j = of_feature(phi, top).join(vals, keys).withColumn("interaction", other)
     return j.select(*keys, "feature", F.element_at("_v", F.col("feature")).alias("value"), "phi_margin",
                     "interaction", F.element_at("_v", F.col("interaction")).alias("interaction_value"))
 
@@ -370,6 +466,8 @@ def audit_checks(phi: DataFrame, scored: DataFrame) -> DataFrame:
         F.avg("LATE_PROB").alias("mean_prob"),
         F.avg("LATE_FLAG").alias("late_rate"),
     )
+    # one row each, measured once: every scalar of the plan reads the stored row
+    shares, tiers = stored(shares, "audit-shares"), stored(tiers, "audit-tiers")
     s = {c: shares.select(c).scalar() for c in shares.columns}
     t = {c: tiers.select(c).scalar() for c in tiers.columns}
     gap = F.abs(t["mean_prob"] - t["late_rate"])

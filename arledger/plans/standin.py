@@ -49,7 +49,7 @@ def _linear_top(inp):
     """The report's invoices on the stand-in score, with their linear contributions."""
     phi, base = inp.linear_attributions
     top = attribution.top_flagged(inp.scored)
-    return top, phi.join(top.select("BELNR"), "BELNR"), base
+    return top, attribution.join_lines(phi, top.select("BELNR"), ["BELNR"]), base
 
 
 @register("x1_background_rows", O.with_prefix(*O.FS_CTES, select=(
@@ -221,7 +221,7 @@ FOREST = [
 def _forest_top(inp):
     phi, base = inp.forest_attributions
     top = attribution.top_flagged(inp.scored)
-    return top, phi.join(top.select("BELNR"), "BELNR"), base
+    return top, attribution.join_lines(phi, top.select("BELNR"), ["BELNR"]), base
 
 
 @precision({"phi_margin": 9, "base_margin": 9, "f_margin": 9})
