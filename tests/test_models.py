@@ -327,3 +327,14 @@ def test_reports_join_lines_before_they_explode(spark):
     assert rows(report) == rows(plain)
     one = attribution.dependence(phi, lines, "CUST_LATE_RATE", "LOG_AMOUNT")
     assert "Generate" not in one._jdf.queryExecution().optimizedPlan().toString() and one.count() == 5
+
+
+def test_fit_keeps_only_the_columns_it_reads(inp, monkeypatch):
+    from arledger.operators import classify
+
+    seen, frame = [], classify.training_frame
+    monkeypatch.setattr(classify, "training_frame", lambda df, *a: seen.append(df.columns) or frame(df, *a))
+    train = inp.split.where("split = 'train'").drop("split")
+    model = classify.train_classifier(train, classify.ClassifierConfig(n_rounds=2, cv_folds=2), with_cv=True)
+    allowed = {"BELNR", "BUZEI", *FEATURE_COLS, "LATE_FLAG", "is_val", "features", "label", "weight", "fold"}
+    assert len(seen) == 2 and all(set(c) <= allowed for c in seen) and model.cv_auc > 0.5
