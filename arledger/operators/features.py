@@ -164,48 +164,48 @@ def customer_history(cleared: DataFrame, key: str = "KUNNR", date: str = "BLDAT"
         dim_cols = [c for c in dim.columns if c != key]
         day_prefix = day_prefix.join(dim, key, "left")
 
-    # level 3: join the day prefix back (the fact side is already partitioned on the keys)
+    # level 3: join the day prefix back (the fact side is already partitioned on the keys). What is read more than once
+    # is a column of its own: written out at every place, the last stage is one method of over 8,000 bytes, which the
+    # JVM doesn't compile but interprets
     j = level1.join(day_prefix, unit, "inner")
-    n_prior = (n0(F.col("_c_n")) + rn - 1).cast("int")
-    sdl = n0(F.col("_c_sdl")) + n0(F.col("_p_sdl"))
-    ndl = n0(F.col("_c_ndl")) + n0(F.col("_p_ndl"))
-    slf = n0(F.col("_c_slf")) + n0(F.col("_p_slf"))
-    nlf = n0(F.col("_c_nlf")) + n0(F.col("_p_nlf"))
     samt = F.when(F.col("_c_samt").isNull() & F.col("_p_samt").isNull(), F.lit(None)).otherwise(
         n0(F.col("_c_samt")) + n0(F.col("_p_samt"))
     )
-    namt = n0(F.col("_c_namt")) + n0(F.col("_p_namt"))
-    avg_dl = F.coalesce(safe_div(sdl, ndl.cast("double")), F.lit(0.0))
-    avg_lf = F.coalesce(safe_div(slf, nlf.cast("double")), F.lit(0.0))
-    if asof:
-        avg_dl = F.coalesce(safe_div(F.col("_k_sdl"), F.col("_k_ndl").cast("double")), F.lit(0.0))
-        avg_lf = F.coalesce(safe_div(F.col("_k_slf"), F.col("_k_nlf").cast("double")), F.lit(0.0))
-    avg_amt = F.coalesce(F.when(namt > 0, samt / namt), amt)
-
-    # rolling window of the previous three rows: in-day lags first, then the rows of earlier days
     p = rn - 1  # earlier rows of the same day
-    have = p + n0(F.col("_c_n"))  # earlier rows of the customer
+    # rolling window of the previous three rows: in-day lags first, then the rows of earlier days
     w1 = F.when(p >= 1, F.col("_l1")).otherwise(F.col("_c1"))
     w2 = F.when(p >= 2, F.col("_l2")).when(p == 1, F.col("_c1")).otherwise(F.col("_c2"))
     w3 = F.when(p >= 3, F.col("_l3")).when(p == 2, F.col("_c1")).when(p == 1, F.col("_c2")).otherwise(F.col("_c3"))
-    slots = [(w1, have >= 1), (w2, have >= 2), (w3, have >= 3)]
+    known = [c for c in j.columns if c.startswith("_k_")]
+    parts = j.select(
+        *[F.col(c) for c in cleared.columns if c != "_block"],
+        *[F.col(c) for c in [*dim_cols, *known]],
+        (n0(F.col("_c_n")) + p).alias("_have"),  # earlier rows of the customer
+        *[(n0(F.col(f"_c_{c}")) + n0(F.col(f"_p_{c}"))).alias(f"_{c}") for c in ("sdl", "ndl", "slf", "nlf", "namt")],
+        samt.alias("_samt"),
+        F.greatest(F.col("_c_mx"), F.col("_p_mx")).alias("_mx"),
+        w1.alias("_w1"), w2.alias("_w2"), w3.alias("_w3"),
+    )
+    state = "_k_" if asof else "_"
+    mean = lambda total, n: F.coalesce(safe_div(F.col(state + total), F.col(state + n).cast("double")), F.lit(0.0))
+    have = F.col("_have")
+    slots = [(F.col(f"_w{i}"), have >= i) for i in (1, 2, 3)]
     if asof:
         slots = [(F.col(f"_k_v{i}"), F.lit(True)) for i in (1, 2, 3)]
     cnt = sum((e & v.isNotNull()).cast("int") for v, e in slots)
     tot = sum(F.when(e & v.isNotNull(), v).otherwise(F.lit(0.0)) for v, e in slots)
-    roll = F.when(cnt > 0, tot / cnt)
 
-    base = j.select(
+    base = parts.select(
         *[F.col(c) for c in cleared.columns if c != "_block"],
         *[F.col(c) for c in dim_cols],
-        avg_dl.alias("CUST_AVG_DAYS_LATE"),
-        avg_lf.alias("CUST_LATE_RATE"),
-        n_prior.alias("CUST_INVOICE_COUNT"),
-        avg_amt.alias("CUST_AVG_AMOUNT"),
-        F.coalesce(samt, F.lit(0.0)).alias("CUST_TOTAL_EXPOSURE"),
-        roll.alias("_roll"),
-        F.coalesce(F.greatest(F.col("_c_mx"), F.col("_p_mx")), F.lit(0.0)).alias("CUST_MAX_INVOICE"),
-    )
+        mean("sdl", "ndl").alias("CUST_AVG_DAYS_LATE"),
+        mean("slf", "nlf").alias("CUST_LATE_RATE"),
+        have.cast("int").alias("CUST_INVOICE_COUNT"),
+        F.coalesce(F.when(F.col("_namt") > 0, F.col("_samt") / F.col("_namt")), amt).alias("CUST_AVG_AMOUNT"),
+        F.coalesce(F.col("_samt"), F.lit(0.0)).alias("CUST_TOTAL_EXPOSURE"),
+        cnt.alias("_cnt"), tot.alias("_tot"),
+        F.coalesce(F.col("_mx"), F.lit(0.0)).alias("CUST_MAX_INVOICE"),
+    ).withColumn("_roll", F.when(F.col("_cnt") > 0, F.col("_tot") / F.col("_cnt"))).drop("_cnt", "_tot")
     rolling = F.coalesce(F.col("_roll"), F.col("CUST_AVG_DAYS_LATE"))
     keep = [c for c in base.columns if c != "_roll"]
     return base.select(

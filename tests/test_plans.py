@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
@@ -90,3 +92,21 @@ def test_history_shuffles_fact_rows_once(spark):
     assert any("WindowGroupLimit" in l and "Partial" in l for l in lines)
     assert any("HashAggregate(keys=[KUNNR" in l and "partial_count" in l for l in lines)
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_feature_store_stages_are_small_enough_to_be_compiled(spark, capsys):
+    """The JVM interprets methods of more than 8,000 bytes (HugeMethodLimit)."""
+    from arledger.operators.features import build_feature_store
+    from arledger.plans.inputs import Inputs
+
+    inp = Inputs(spark, SF_SMALL)
+    kept = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for asof in (False, True):
+            capsys.readouterr()
+            build_feature_store(inp.customers, inp.invoices, inp.gl, asof=asof).explain("codegen")
+            sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+            assert sizes and max(sizes) < 8000
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", kept)
