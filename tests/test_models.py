@@ -338,3 +338,31 @@ def test_fit_keeps_only_the_columns_it_reads(inp, monkeypatch):
     model = classify.train_classifier(train, classify.ClassifierConfig(n_rounds=2, cv_folds=2), with_cv=True)
     allowed = {"BELNR", "BUZEI", *FEATURE_COLS, "LATE_FLAG", "is_val", "features", "label", "weight", "fold"}
     assert len(seen) == 2 and all(set(c) <= allowed for c in seen) and model.cv_auc > 0.5
+
+
+def test_more_rounds_at_once_give_the_same_model(inp, monkeypatch):
+    """Many rows take several steps of the rounds in one fit: fewer fits, the same trees and the same trace."""
+    from arledger.operators import classify
+
+    cfg = classify.ClassifierConfig(n_rounds=24, first_rounds=3, patience=4, max_depth=3)
+    fits, gbt = [], classify._gbt
+    monkeypatch.setattr(classify, "_gbt", lambda c, rounds=None: fits.append(rounds) or gbt(c, rounds))
+    train = inp.split.where("split = 'train'").drop("split")
+    cut = classify.fit_columns(classify.validation_cut(train), cfg.features)
+    data = classify.assemble(cut).withColumn("weight", F.lit(1.0)).coalesce(1).sortWithinPartitions("BELNR").persist()
+    model, trace = classify.fit_boosted(data, cfg)
+    apart, fits[:] = list(fits), []
+    assert len(apart) > 1 and apart == [3, 6, 12, 24][: len(apart)]
+    monkeypatch.setattr(classify, "FIRST_FIT_ROWS", 1)
+    again, trace_again = classify.fit_boosted(data, cfg)
+    assert fits == [24] and trace_again == trace and again.toDebugString.split("\n")[1:] == model.toDebugString.split("\n")[1:]
+    data.unpersist()
+
+
+def test_partitions_of_a_fit_dont_follow_the_rows():
+    """Every task of every level sends its result to the driver: six times the rows aren't six times the tasks."""
+    from arledger.operators.classify import fit_partitions
+
+    assert [fit_partitions(n) for n in (0, 1, 100_000, 100_001, 800_000, 2_400_000)] == [1, 1, 1, 2, 8, 24]
+    assert fit_partitions(4_800_000) == fit_partitions(28_800_000) == 24
+    assert fit_partitions(288_000_000) == 240  # a task's rows stay bounded
