@@ -329,6 +329,26 @@ def test_reports_join_lines_before_they_explode(spark):
     assert "Generate" not in one._jdf.queryExecution().optimizedPlan().toString() and one.count() == 5
 
 
+def test_means_of_contributions_dont_explode_the_lines(spark):
+    """Means by feature or tier take a row a line; only the means become a row a feature."""
+    from arledger.operators import attribution
+
+    lines = _five_lines(spark)
+    phi, _ = attribution.shapley(attribution.linear_scorer([0.3 * (i + 1) for i in range(12)]), lines, attribution.background(lines, n=2), n_samples=3)
+    plain = spark.createDataFrame(phi.collect(), phi.schema)
+    reports = [attribution.global_importance, lambda p: attribution.contributions_by_tier(p, lines)]
+    rows = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    for report in reports:
+        found = report(phi)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate") == 1 and plan.index("Generate") < plan.index("Aggregate")  # the aggregate is below
+        assert rows(found) == rows(report(plain)) and found.columns == report(plain).columns
+    error = [{r["max_phi_se"] for r in attribution.with_error(reports[0](p), p).collect()} for p in (phi, plain)]
+    assert error[0] == error[1] and len(error[0]) == 1
+    none, _ = attribution.shapley(attribution.linear_scorer([1.0] * 12), lines.limit(0), attribution.background(lines, n=1), n_samples=2)
+    assert attribution.global_importance(none).count() == attribution.contributions_by_tier(none, lines).count() == 0
+
+
 def test_fit_keeps_only_the_columns_it_reads(inp, monkeypatch):
     from arledger.operators import classify
 
