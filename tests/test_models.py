@@ -349,6 +349,23 @@ def test_means_of_contributions_dont_explode_the_lines(spark):
     assert attribution.global_importance(none).count() == attribution.contributions_by_tier(none, lines).count() == 0
 
 
+def test_runs_are_aggregated_by_hash(spark):
+    """An aggregate that keeps a string sorts its rows, and none of it is compiled."""
+    from arledger.operators import attribution
+
+    lines = _five_lines(spark)
+    phi, _ = attribution.shapley(attribution.linear_scorer([1.0] * 12), lines, attribution.background(lines, n=1), n_samples=2)
+    found = attribution.interaction_strengths(phi, lines, F.lit("CUST_LATE_RATE"))
+    assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    names = [r["interaction"] for r in found.collect()]
+    assert len(names) == len(FEATURE_COLS) - 1 and "CUST_LATE_RATE" not in names
+    top = attribution.top_dependence(phi, lines)
+    assert "map(" not in top._jdf.queryExecution().optimizedPlan().toString()  # two values of a line, not a map of all
+    want = lines.collect()
+    for r in top.collect():
+        assert any(r["value"] == w[r["feature"]] and r["interaction_value"] == w[r["interaction"]] for w in want if w["BELNR"] == r["BELNR"])
+
+
 def test_fit_keeps_only_the_columns_it_reads(inp, monkeypatch):
     from arledger.operators import classify
 
