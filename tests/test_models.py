@@ -403,3 +403,46 @@ def test_partitions_of_a_fit_dont_follow_the_rows():
     assert [fit_partitions(n) for n in (0, 1, 100_000, 100_001, 800_000, 2_400_000)] == [1, 1, 1, 2, 8, 24]
     assert fit_partitions(4_800_000) == fit_partitions(28_800_000) == 24
     assert fit_partitions(288_000_000) == 240  # a task's rows stay bounded
+
+
+def _random_forest(n_trees: int, depth: int, seed: int) -> list[tuple[float, dict]]:
+    import random
+
+    rnd = random.Random(seed)
+
+    def grow(nodes, at, level):
+        nodes[at] = {"id": at, "leftChild": -1, "rightChild": -1, "split": None, "prediction": rnd.gauss(0, 1)}
+        if level < depth and rnd.random() < 0.9:
+            nodes[at].update(leftChild=2 * at + 1, rightChild=2 * at + 2,
+                             split={"featureIndex": rnd.randrange(12), "leftCategoriesOrThreshold": [rnd.choice([-1.0, 0.0, 0.5, 2.0])], "numCategories": -1})
+            grow(nodes, 2 * at + 1, level + 1)
+            grow(nodes, 2 * at + 2, level + 1)
+
+    forest = []
+    for t in range(n_trees):
+        nodes: dict = {}
+        grow(nodes, 0, 0)
+        forest.append((1.0 / (t + 1), nodes))
+    return forest
+
+
+def test_leaves_share_their_lookups(spark):
+    """Few leaves a look-up instead of one, the same contributions as leaf by leaf."""
+    import numpy as np
+
+    forest = _random_forest(4, 6, 5) + [(0.5, {0: {"id": 0, "leftChild": -1, "rightChild": -1, "split": None, "prediction": 0.3}})]
+    leaves = attribution.tree_leaves(forest)
+    parts, rnd = [], np.random.default_rng(1)
+    for _, on, _, _ in leaves:
+        parts.append(rnd.normal(size=(len(on), 1 << len(on))))
+    lookups = attribution.leaf_lookups(leaves, parts)
+    assert len(lookups) <= 0.4 * len(leaves) and all(len(b) <= attribution.LOOKUP_BOUNDS for b, _, _ in lookups)
+    for x in rnd.choice([-1.0, 0.0, 0.5, 2.0, 0.2, -3.0, np.inf], size=(50, 12)):
+        want, got = np.zeros(13), np.zeros(13)
+        for (value, on, lower, upper), part in zip(leaves, parts):
+            inside = (x[on] > lower) & (x[on] <= upper)
+            want[on] += part[:, int((inside << np.arange(len(on))).sum())]
+            want[12] += value if inside.all() else 0.0
+        for bounds, on, table in lookups:
+            got[[*on, 12]] += table[:, sum(int(x[f] <= b) << k for k, (f, b) in enumerate(bounds))]
+        assert np.allclose(want, got, atol=1e-12)
