@@ -426,6 +426,15 @@ def _random_forest(n_trees: int, depth: int, seed: int) -> list[tuple[float, dic
     return forest
 
 
+def _lines(spark, n: int, seed: int):
+    import random
+
+    rnd = random.Random(seed)
+    value = lambda: rnd.choice([-1.0, 0.0, 0.5, 2.0, rnd.gauss(0, 2), None])
+    rows = [(i, rnd.choice([0, 1, 1, None]), *[value() for _ in FEATURE_COLS]) for i in range(n)]
+    return spark.createDataFrame(rows, "BELNR long, LATE_FLAG int, " + ", ".join(f"{c} double" for c in FEATURE_COLS)).repartition(3)
+
+
 def test_leaves_share_their_lookups(spark):
     """Few leaves a look-up instead of one, the same contributions as leaf by leaf."""
     import numpy as np
@@ -446,3 +455,18 @@ def test_leaves_share_their_lookups(spark):
         for bounds, on, table in lookups:
             got[[*on, 12]] += table[:, sum(int(x[f] <= b) << k for k, (f, b) in enumerate(bounds))]
         assert np.allclose(want, got, atol=1e-12)
+
+
+def test_staged_counts_give_the_auc_of_the_margins(spark):
+    """Counted in the tasks: no row a line and round, the same AUC of every round."""
+    from arledger.operators import classify, metrics
+
+    forest, lines = _random_forest(5, 4, 3), _lines(spark, 400, 4)
+    by_row = metrics.staged_auc(classify.staged_margins(lines, forest, ["LATE_FLAG"]))
+    counts = classify.staged_counts(lines, forest, "LATE_FLAG")
+    assert sorted(metrics.auc_of_counts(counts).collect()) == sorted(by_row.collect())
+    assert "Generate" not in metrics.auc_of_counts(counts)._jdf.queryExecution().toString()
+    assert counts.groupBy("round").agg(F.sum(F.col("pos") + F.col("neg")).alias("n")).select("n").distinct().count() == 1
+    none = lines.withColumn("LATE_FLAG", F.lit(None).cast("int"))
+    assert sorted(metrics.auc_of_counts(classify.staged_counts(none, forest, "LATE_FLAG")).collect()) == [(k, None) for k in range(1, 6)]
+    assert classify.staged_counts(lines.limit(0), forest, "LATE_FLAG").count() == 0
